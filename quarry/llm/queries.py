@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import secrets, topk, url_rules
+from quarry.llm import language, pieces, secrets, topk, url_rules, warc
 from quarry.llm.common import table
 
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -16,6 +16,20 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(table(spark, sf_dir, "documents"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages")).drop("archive")
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.where(~language.held_out()))
+    return language.predict(docs.select("doc_id", "text", language.held_out().alias("held_out")), model).drop("text")
+
+
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
@@ -70,9 +84,20 @@ m AS (SELECT page_id, h || p AS rule, v FROM u JOIN rules ON (host = h OR ends_w
 best AS (SELECT page_id, rule, v FROM m QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC, rule DESC) = 1)
 SELECT u.page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM u LEFT JOIN best USING (page_id)"""
 
+OP7_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+d AS (SELECT page_id, octet_length(body) AS payload_bytes, sha1(body) AS payload_digest FROM p),
+k AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS kept FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id < kept THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id < kept THEN kept END AS refers_to FROM k"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op4_sentencepiece": op4_sentencepiece,
+    "op7_warc": op7_warc,
+    "op8_language": op8_language,
     "op9_exact_topk": op9_exact_topk,
     "op10_url_filter": op10_url_filter,
 }
-SQL: dict[str, str] = {"op1_secret_scan": OP1_SQL, "op9_exact_topk": OP9_SQL, "op10_url_filter": OP10_SQL}
+SQL: dict[str, str] = {"op1_secret_scan": OP1_SQL, "op7_warc": OP7_SQL, "op9_exact_topk": OP9_SQL, "op10_url_filter": OP10_SQL}
