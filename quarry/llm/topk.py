@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of query vectors that one pass broadcasts at most.
 PASS_BYTES = 16 << 20
-#: Query vectors that are scored at once.
-BLOCK = 1024
+#: Query vectors, and candidates, that meet at once: bounds what a task holds, whatever survives.
+BLOCK, CANDIDATES = 256, 1024
 #: Segments at each resolution, coarse to fine.
 LEVELS = (4, 8, 16)
 
@@ -93,6 +93,13 @@ def _search(q_ids: np.ndarray, q: np.ndarray, parts: Iterator[tuple[np.ndarray,
     return {r: (kept_i[r][f], kept_s[r][f]) for r in range(rows) if (f := np.isfinite(kept_s[r])).any()}
 
 
+def _of_length(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for ids, lengths, flat in parts:
+        same = lengths == width
+        if same.any():
+            yield ids[same], flat[np.repeat(same, lengths)].reshape(-1, width).astype(np.float64)
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """The k highest integer inner products of each query vector over all vectors but its own id.
 
@@ -118,15 +125,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
         blocks = spark.sparkContext.broadcast([(np.array(i[a : a + BLOCK], dtype=np.int64), np.array(v[a : a + BLOCK], dtype=np.float64)) for i, v in sent.values() for a in range(0, len(i), BLOCK)])
 
         def score(batches: Iterator[pa.RecordBatch], blocks=blocks) -> Iterator[pa.RecordBatch]:
-            parts = [(np.asarray(b.column(0)), *_matrix(b.column(1))) for b in batches if b.num_rows]
+            parts = [(np.asarray(c.column(0)), *_matrix(c.column(1))) for b in batches for c in (b.slice(a, CANDIDATES) for a in range(0, b.num_rows, CANDIDATES))]
             for q_ids, q in blocks.value:
-                def of_length(width=q.shape[1]):
-                    for ids, lengths, flat in parts:
-                        same = lengths == width
-                        if same.any():
-                            yield ids[same], flat[np.repeat(same, lengths)].reshape(-1, width).astype(np.float64)
-
-                out = _search(q_ids, q, of_length(), k)
+                out = _search(q_ids, q, _of_length(parts, q.shape[1]), k)
                 if out:
                     n_each = [len(i) for i, _ in out.values()]
                     yield pa.RecordBatch.from_arrays(
