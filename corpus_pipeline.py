@@ -1,8 +1,69 @@
-"""The corpus pipeline; stages are filled in as the operators land."""
+"""A corpus pipeline of five stages; each works on all that its predecessor kept.
 
-STAGES = []
+language: documents without a language (no letter, or no text) go.
+near_duplicates: of each group of documents that the n-gram Jaccard join connects, the one of the smallest id stays.
+decontamination: documents that hold an item of the benchmark go.
+secrets: secrets in texts are replaced by a mark.
+pieces: what is left is encoded; returns ids, counts and digests instead of the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.llm import decontaminate, jaccard, language, pieces, secrets
+from quarry.llm.common import staged, table
+
+#: Ids that a broadcast join takes at most; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without those ids; ids is written first, so its size is known before the join is chosen."""
+    ids = staged(ids.distinct(), "dropped")
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti")
+
+
+def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Fit on the labelled documents that aren't held out, predict all, drop those that get no language."""
+    model = language.fit(docs.where(~language.held_out()))
+    return language.predict(docs, model).where(F.col("lang_pred") != language.UNKNOWN).select(*docs.columns)
+
+
+def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    groups = jaccard.jaccard_groups(docs)
+    return _without(docs, groups.where("component_id <> doc_id").select("doc_id"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _without(docs, decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id"))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets.redact(docs)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pieces.digests(docs)
+
+
+STAGES = [
+    ("language", keep_languages),
+    ("near_duplicates", keep_one_of_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("secrets", mask_secrets),
+    ("pieces", encode_pieces),
+]
+
+#: Stages 1 and 5 have no SQL form; tests hold run() against a brute-force version instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for n, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if n < len(STAGES) - 1:
+            docs = staged(docs, f"stage-{name}")
+    return docs
