@@ -7,7 +7,9 @@ from the first order; size, position and parity-sketch bounds, none of which los
 thin them; a candidate must also share prefix tokens under each further order; what is left
 is verified on the whole sets. Equal sets are one class from the start. Only connections are
 asked for, so each token group passes on a spanning forest of its candidates, closest pairs
-first, and rounds go on until every candidate pair is connected or refuted.
+first. Documents that candidates connect are a family; its sets meet once in one task, or, in
+families of more than FAMILY members, in joins whose rounds go on until every candidate pair
+is connected or refuted.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ CHUNK = 1 << 16
 SKETCH_WORDS = 4
 #: Ids that a broadcast join takes at most; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Members of a family of candidates that one task takes at most; larger ones are settled by joins, in rounds.
+FAMILY = 4000
 #: Members of a token group that are compared at once.
 BLOCK = 1024
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -259,12 +263,109 @@ def _verify(pairs: DataFrame, sets: DataFrame, classes, hundredths: int) -> Data
     return with_a.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean")
 
 
-def _packed(texts: DataFrame, words: int) -> DataFrame:
+def _packed(texts: DataFrame, words: int, more: list[str]) -> DataFrame:
+    """(id, more, tokens): whole sets as bytes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(part.column(1), words)], pa.binary())], names=["id", "tokens"])
+            yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], pa.array([s.tobytes() for s in shingle_sets(part.column(1), words)], pa.binary())], names=["id", *more, "tokens"])
+
+    return texts.mapInArrow(run, ", ".join(["id long", *[f"{c} long" for c in more], "tokens binary"]))
+
+
+def _together(entries: DataFrame, comp: DataFrame | None = None, refuted: DataFrame | None = None) -> DataFrame:
+    """Entries with their component so far and the partners that were refuted, token groups together."""
+    if comp is None:
+        now = entries.withColumns({"comp": F.col("id"), "refuted": F.lit(None).cast("array<long>")})
+    else:
+        now = entries.join(comp.select(F.col("node").alias("id"), F.col("component").alias("comp")), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        now = now.join(refuted.groupBy("a").agg(F.collect_set("b").alias("refuted")).withColumnRenamed("a", "id"), "id", "left")
+    return now.repartition("token").sortWithinPartitions("token")
+
+
+def _sets_of(texts: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """Packed sets of the texts of the (written) ids, with whatever other columns (of longs) ids has."""
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    more = [c for c in ids.columns if c != "id"]
+    return _packed(texts.join(ids, "id").select("id", "text", *more), words, more)
+
+
+def _connected(ids: list[int], sets: list[np.ndarray], classes: np.ndarray, hundredths: int) -> list[int]:
+    """Components (smallest ids) of the links among a family."""
+    order = sorted(range(len(ids)), key=lambda i: (len(sets[i]), ids[i]))
+    sizes = np.array([len(sets[i]) for i in order])
+    parity = np.frombuffer(b"".join(_parity(sets[i]) for i in order), dtype=np.uint64).reshape(-1, SKETCH_WORDS)
+    first = [[prefix(sets[i], classes, k, hundredths).tolist() for k in range(ORDERS)] for i in order]
+    others = [[frozenset(f) for f in x[1:]] for x in first]
+    holders: dict[int, list[int]] = {}
+    root = np.arange(len(ids))  # kept flat: a member's root is its component
+    for j in range(len(order)):
+        found = {i for t in first[j][0] for i in holders.get(t, ())}
+        for t in first[j][0]:
+            holders.setdefault(t, []).append(j)
+        if not found:
+            continue
+        near = np.fromiter(found, dtype=np.int64)
+        both = sizes[near] + sizes[j]
+        need = -(-both * hundredths // (100 + hundredths))
+        apart = np.bitwise_count(parity[near] ^ parity[j]).sum(axis=1, dtype=np.int64)
+        fits = (sizes[near] * 100 >= sizes[j] * hundredths) & (apart <= both - 2 * need)
+        near, need, apart = near[fits], need[fits], apart[fits]
+        for k in np.argsort(apart, kind="stable").tolist():
+            i = int(near[k])
+            if root[i] == root[j] or any(x.isdisjoint(y) for x, y in zip(others[i], others[j], strict=True)):
+                continue
+            if len(np.intersect1d(sets[order[i]], sets[order[j]], assume_unique=True)) >= need[k]:
+                root[root == root[j]] = root[i]
+    least: dict[int, int] = {}
+    for j, i in enumerate(order):
+        r = int(root[j])
+        least[r] = min(ids[i], least.get(r, ids[i]))
+    out = [0] * len(ids)
+    for j, i in enumerate(order):
+        out[i] = least[int(root[j])]
+    return out
+
+
+def _within_families(texts: DataFrame, members: DataFrame, classes, words: int, hundredths: int) -> DataFrame:
+    """(node, component) of families of at most FAMILY members: every set travels once, to its family."""
+    parts = max(members.sparkSession.sparkContext.defaultParallelism, -(-members.count() // FAMILY))
+
+    def run(table: pa.Table) -> pa.Table:
+        family = table.column("family").to_numpy()
+        ids, packed = table.column("id").to_pylist(), table.column("tokens")
+        order = np.argsort(family, kind="stable")
+        nodes, labels = [], []
+        for mine in np.split(order, np.flatnonzero(np.diff(family[order])) + 1):
+            own = {ids[i]: np.frombuffer(packed[i].as_buffer(), dtype=np.uint64) for i in mine.tolist()}
+            nodes += list(own)
+            labels += _connected(list(own), list(own.values()), classes.value, hundredths)
+        return pa.table({"node": pa.array(nodes, pa.int64()), "component": pa.array(labels, pa.int64())})
+
+    sets = _sets_of(texts, members.select(F.col("node").alias("id"), F.col("component").alias("family")), words)
+    dealt = sets.withColumn("part", F.pmod(F.xxhash64("family"), F.lit(parts)))
+    return dealt.groupBy("part").applyInArrow(run, "node long, component long")
+
 
-    return texts.mapInArrow(run, "id long, tokens binary")
+def _in_rounds(entries: DataFrame, texts: DataFrame, classes, words: int, hundredths: int) -> DataFrame:
+    """(node, component) of families of any size: each round verifies a spanning forest of the open candidates by joins, until none is open."""
+    entries = staged(entries, "entries")
+    links = refuted = sets = labels = None
+    while True:
+        pairs = staged(_candidates(_together(entries, labels, refuted), hundredths), "pairs")
+        if pairs.isEmpty():
+            break
+        if sets is None:  # a forest touches every class that has a candidate
+            ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+            sets = staged(_sets_of(texts, staged(ids, "ids"), words).dropDuplicates(["id"]), "sets")
+        judged = staged(_verify(pairs, sets, classes, hundredths), "judged")
+        new = judged.where("linked").select("a", "b")
+        links = new if links is None else links.unionByName(new)
+        wrong = judged.where("NOT linked").select("a", "b")
+        wrong = wrong.unionByName(wrong.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        refuted = wrong if refuted is None else refuted.unionByName(wrong)
+        labels = staged(components(links), "labels")
+    return labels if labels is not None else entries.select(F.col("id").alias("node"), F.col("id").alias("component")).limit(0)
 
 
 def jaccard_groups(docs: DataFrame, words: int = WORDS, hundredths: int = HUNDREDTHS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -287,30 +388,18 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS, hundredths: int = HUNDRE
     shared = listed.withColumn("n", F.count("*").over(Window.partitionBy("token"))).where("n > 1").select("token", F.col("rep").alias("id"), F.col("pos").cast("long").alias("pos"))
     entries = shared.join(groups.select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), "parity"), "id")
     entries = staged(entries, "entries")
-    links = refuted = sets = labels = None
-    while True:
-        now = entries
-        if labels is None:
-            now = now.withColumns({"comp": F.col("id"), "refuted": F.lit(None).cast("array<long>")})
-        else:
-            now = now.join(labels.select(F.col("node").alias("id"), F.col("component").alias("comp")), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-            now = now.join(refuted.groupBy("a").agg(F.collect_set("b").alias("refuted")).withColumnRenamed("a", "id"), "id", "left")
-        now = now.repartition("token").sortWithinPartitions("token")
-        pairs = staged(_candidates(now, hundredths), "pairs")
-        if pairs.isEmpty():
-            break
-        if sets is None:  # a forest touches every class that has a candidate
-            ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-            ids = staged(ids, "ids")
-            ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-            sets = staged(_packed(texts.join(ids, "id", "left_semi"), words).dropDuplicates(["id"]), "sets")
-        judged = staged(_verify(pairs, sets, classes, hundredths), "judged")
-        new = judged.where("linked").select("a", "b")
-        links = new if links is None else links.unionByName(new)
-        wrong = judged.where("NOT linked").select("a", "b")
-        wrong = wrong.unionByName(wrong.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        refuted = wrong if refuted is None else refuted.unionByName(wrong)
-        labels = staged(components(links), "labels")
+    pairs = staged(_candidates(_together(entries), hundredths), "pairs")
+    labels = None
+    if not pairs.isEmpty():
+        families = staged(components(pairs), "families")  # all that candidates connect; links never leave a family
+        sizes = families.groupBy("component").agg(F.count("*").alias("members"))
+        large = staged(sizes.where(F.col("members") > FAMILY).select("component"), "large")
+        small = families.join(large, "component", "left_anti") if not large.isEmpty() else families
+        labels = _within_families(texts, staged(small, "small"), classes, words, hundredths)
+        if not large.isEmpty():
+            far = families.join(large, "component", "left_semi").select(F.col("node").alias("id"))
+            labels = labels.unionByName(_in_rounds(entries.join(far, "id", "left_semi"), texts, classes, words, hundredths))
+        labels = staged(labels, "labels")
     member = own.join(groups.select("f1", "f2", "n_shingles", "rep"), ["f1", "f2", "n_shingles"]).select("id", "rep").distinct()
     if labels is not None:
         member = member.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("rep", F.coalesce("component", "rep"))
