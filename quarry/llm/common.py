@@ -120,3 +120,9 @@ def word_hashes(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     terms = _BYTE_KEYS[letters] * _powers(int(lengths.max()))[place]
     sums = np.add.reduceat(terms, begin)
     return mix64(sums ^ (lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))), at.astype(np.int64)
+
+
+def about(df: DataFrame, n: int, total: int, *columns: str) -> DataFrame:
+    """About n of total rows by a hash of columns, all if there are no more: a bounded, repeatable selection for fitting, which tasks make on their own."""
+    share = n / max(total, 1)
+    return df if share >= 1 else df.where(F.xxhash64(*columns) < int(share * 2**64) - 2**63)

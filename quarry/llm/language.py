@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import MIX_1, crc_mod, slices
+from quarry.llm.common import MIX_1, about, crc_mod, slices
 
 #: Longest n-grams, slots that n-grams are hashed to, landmarks of each language.
 N_GRAM, SLOTS, LANDMARKS = 3, 1 << 14, 24
@@ -74,11 +74,12 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     fine = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), F.substring(F.col(text_col), 1, FIT_CHARS).alias("text"), F.xxhash64(F.col(id_col)).alias("at"))
     counts = {r["lang"]: r["count"] for r in fine.groupBy("lang").count().collect()}
     taken: dict[str, list[str]] = {}
-    for r in fine.orderBy("at", "text").limit(fit_texts * max(1, 2 * len(counts))).collect():
+    wanted = fit_texts * max(1, 2 * len(counts))
+    for r in about(fine, 2 * wanted, sum(counts.values()), "at").orderBy("at", "text").limit(wanted).collect():
         taken.setdefault(r["lang"], []).append(r["text"])
     for lang, n in counts.items():  # languages that are too rare for the common sample
         if len(taken.get(lang, [])) < min(n, fit_texts):
-            taken[lang] = [r["text"] for r in fine.where(F.col("lang") == lang).orderBy("at", "text").limit(fit_texts).collect()]
+            taken[lang] = [r["text"] for r in about(fine.where(F.col("lang") == lang), 2 * fit_texts, n, "at").orderBy("at", "text").limit(fit_texts).collect()]
     languages = sorted(taken)
     texts = [t for k in languages for t in taken[k][:fit_texts]]
     target = [n for n, k in enumerate(languages) for _ in taken[k][:fit_texts]]
