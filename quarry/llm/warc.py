@@ -19,7 +19,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import shared_dir, slices, staged
+from quarry.llm.common import about, shared_dir, slices, staged
 
 #: Of equal payloads of at least so many bytes, one is kept.
 REVISIT_BYTES = 1000
@@ -46,7 +46,7 @@ def train_dictionary(bodies: DataFrame) -> bytes:
     """A dictionary from SAMPLE_RECORDS records, taken in the order of a hash; empty where there is too little to learn from."""
     import zstandard
 
-    sample = bodies.select("page_id", F.expr(f"substring(body, 1, {SAMPLE_BYTES})").alias("body"), F.xxhash64("page_id").alias("at")).orderBy("at").limit(SAMPLE_RECORDS).collect()
+    sample = about(bodies, 4 * SAMPLE_RECORDS, bodies.count(), "page_id").select("page_id", F.expr(f"substring(body, 1, {SAMPLE_BYTES})").alias("body"), F.xxhash64("page_id").alias("at")).orderBy("at").limit(SAMPLE_RECORDS).collect()
     records = [b"".join(_response(r["page_id"], "", bytes(r["body"]))) for r in sample if r["body"]]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, records).as_bytes()
