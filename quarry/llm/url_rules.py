@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import ascii_lower
+from quarry.llm.common import about, ascii_lower
 
 #: URLs that one task sweeps at once, about.
 ROWS_A_RANGE = 100_000
@@ -80,9 +80,11 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     spots = rules.where(F.col("host").isNotNull() & (F.col("host") != "")).select(
         host_key(ascii_lower(F.col("host"))).alias("key"), F.col("prefix"), F.concat(ascii_lower(F.col("host")), F.col("prefix")).alias("rule"), F.col("verdict")
     )
-    ranges = max(spark.sparkContext.defaultParallelism, -(-pages.count() // rows_a_range))
+    rows = pages.count()
+    ranges = max(spark.sparkContext.defaultParallelism, -(-rows // rows_a_range))
     # Range borders: a bounded, repeatable selection of keys by hash, as any range partitioning takes.
-    seen = sorted(r[0] for r in urls.select("key", F.xxhash64("path", "key").alias("at")).orderBy("at").limit(min(32 * ranges, 50_000)).select("key").collect())
+    wanted = min(32 * ranges, 50_000)
+    seen = sorted(r[0] for r in about(urls, 2 * wanted, rows, id_col).select("key").limit(4 * wanted).collect())
     borders = [seen[i * len(seen) // ranges] for i in range(1, ranges)] if seen else []
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
