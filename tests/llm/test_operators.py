@@ -1,0 +1,381 @@
+"""Every operator against a brute-force version on a small fixture: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
+
+import collections
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from quarry.llm import decontaminate, jaccard, language, pieces, recurrent, secrets, suffixes, topk, url_rules, warc
+
+CLASH = "text string, doc_id long, lang string, score double, start int, id long, token string, a long"
+
+
+def docs_of(spark, rows):
+    """doc_id and text among columns whose names operators use themselves."""
+    return spark.createDataFrame([(t, i, "en", 0.5, 1, 7, "x", 1) for i, t in rows], CLASH)
+
+
+def prose(seed, n, words=60):
+    rng = random.Random(seed)
+    vocabulary = ["".join(rng.choice("abcdeéfgß") for _ in range(rng.randint(1, 7))) for _ in range(words)]
+    return " ".join(rng.choice(vocabulary) for _ in range(n))
+
+
+# --- 1: secrets --------------------------------------------------------------------------------
+
+
+def brute_secrets(text):
+    out = []
+    for rank, rule in enumerate(secrets.RULES):
+        out += [(m.start(), rank, rule.kind, m.end()) for m in re.finditer(rule.pattern, text or "") if len(m.group(rule.group)) >= rule.least]
+    return sorted(out)
+
+
+SECRET_TEXTS = [
+    None, "", "nothing", 'é password = "hunter22" token=ab token: abcdef', "API_KEY:'" + "x" * 9 + "' apikey=zzzzzz9 TOKEN==abcdef passwd=token:abcdef",
+    "AKIA" + "Z9" * 8 + " AKIAAKIA" + "0" * 16 + " AKIAshort", "0123456789abcdef" * 3 + "g" + "ab" * 11, "ghp_" + "a" * 40 + " xoxb-1234567890-x https://u:pass@h/ eyJab.eyJcd." + "q" * 40,
+    "-----BEGIN RSA PRIVATE KEY-----\nsecret=abc123", "ſecret=abcdefg toKen=abcdefg", "x " * 30_000 + "secret : 'a1b2c3d4'" + " y" * 30_000,
+]
+
+
+def test_secrets_match_brute_force(spark):
+    rows = [(i, t) for i, t in enumerate(SECRET_TEXTS)] * 2
+    got = sorted((r["doc_id"], [tuple(s) for s in r["found"]]) for r in secrets.scan(docs_of(spark, rows)).collect())
+    assert got == sorted((i, brute_secrets(t)) for i, t in rows)
+    assert secrets.scan(docs_of(spark, []).limit(0)).count() == 0
+    assert len(secrets.digests(secrets.scan(docs_of(spark, rows))).collect()) == len(rows)
+
+
+def test_trigram_queries_are_necessary_conditions():
+    for rule in secrets.RULES:
+        query = secrets.trigram_query(rule.pattern)
+        for text in filter(None, SECRET_TEXTS):
+            for m in re.finditer(rule.pattern, text):
+                low = m.group().lower()
+                assert not query or any(all(t in low for t in c) for c in query), (rule, m.group())
+    assert not secrets.trigram_query("[0-9a-f]+") and secrets.trigram_query("abc(de|fg)h") == frozenset({frozenset({"abc", "bcd", "cde", "deh"}), frozenset({"abc", "bcf", "cfg", "fgh"})})
+
+
+def test_redaction_takes_every_span(spark):
+    rows = [(i, t) for i, t in enumerate(SECRET_TEXTS)]
+    frame = docs_of(spark, rows)
+    out = secrets.redact(frame)
+    assert out.columns == frame.columns
+    got = {r["doc_id"]: r["text"] for r in out.collect()}
+    for i, t in rows:
+        if t is None:
+            assert got[i] is None
+            continue
+        want, at = "", 0
+        for start, _, _, end in brute_secrets(t):
+            if start >= at:
+                want += t[at:start] + "[secret]"
+            at = max(at, end)
+        assert got[i] == want + t[at:]
+
+
+# --- 2: suffix arrays --------------------------------------------------------------------------
+
+
+def test_suffix_order_on_random_strings():
+    rng = random.Random(5)
+    for _ in range(1500):
+        s = [rng.randint(1, rng.choice([1, 2, 3, 6])) for _ in range(rng.randint(0, 40))]
+        s = (s * rng.choice([1, 1, 4])) + [0]
+        assert suffixes.suffix_order(s) == sorted(range(len(s)), key=lambda i: s[i:])
+
+
+def brute_dedup(rows):
+    first, out = {}, []
+    for i, t in sorted(rows, key=lambda r: r[0]):
+        b = (t or "").encode()
+        for k in range(len(b) - 49):
+            first.setdefault(b[k : k + 50], i)
+    for i, t in rows:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for k in range(len(b) - 49):
+            if first[b[k : k + 50]] < i:
+                gone[k : k + 50] = b"\1" * 50
+        kept = bytes(x for x, g in zip(b, gone) if not g)
+        out.append((i, len(b), sum(gone), (b"\0" + bytes(gone)).count(b"\0\1"), hashlib.sha256(kept).hexdigest()))
+    return sorted(out)
+
+
+def test_suffix_dedup_matches_brute_force(spark):
+    shared, line = prose(1, 60), "All of this is licensed under the terms of the licence that comes with it. "
+    rows = [(3, None), (4, ""), (5, shared), (9, prose(2, 30) + shared + prose(3, 20)), (7, shared[:120] + "#" + shared[60:260]), (8, shared), (20, "a" * 300), (21, "a" * 400), (22, line * 5), (23, line * 3 + prose(4, 20)), (24, "x" + line + "y" + line[5:60]), (30, prose(6, 4000)), (31, prose(6, 4000)[5000:9000])]
+    rows += [(40 + i, prose(1, 40)[i : 150 + 2 * i] + prose(50 + i, 10) + line[i : i + 52]) for i in range(12)]
+    got = sorted(tuple(r) for r in suffixes.deduplicate(docs_of(spark, rows)).drop("kept").collect())
+    assert got == brute_dedup(rows)
+    assert suffixes.deduplicate(docs_of(spark, []).limit(0)).count() == 0
+    assert suffixes.deduplicate(docs_of(spark, [(None, "q" * 90), (1, "q" * 90)])).where("n_removed > 0").count() == 0
+
+
+def test_long_texts_come_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "PIECE", 2000)
+    import pyarrow as pa
+
+    text = prose(8, 1500).encode()
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([text, text[100:]], pa.binary())], names=["doc", "text"])
+    starts = sorted(int(ids[r]) * 10**6 + int(base[r]) + int(s) + k for ids, base, data, rows in suffixes._pieces(iter([batch])) for r, s, n in zip(*suffixes.stretches(data, rows)[:3]) for k in range(n))
+    assert starts == [10**6 + k for k in range(len(text) - 49)] + [2 * 10**6 + k for k in range(len(text) - 149)]
+
+
+# --- 3: Jaccard --------------------------------------------------------------------------------
+
+
+def brute_jaccard(rows):
+    sets = {}
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        sets[i] = frozenset(tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))) if w else frozenset()
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    keys = sorted(sets)
+    for a in keys:
+        for b in keys:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return sorted((i, len(sets[i]), find(i)) for i in keys)
+
+
+def jaccard_rows():
+    rng = random.Random(9)
+    rows = [(0, None), (1, ""), (2, " \t\n"), (3, "one"), (4, "ONE"), (5, "one two"), (6, "one  two"), (7, "two one")]
+    for family in range(4):
+        base = prose(100 + family, 60 + 40 * family, 500).split()
+        for k in range(14):
+            w = list(base)
+            for _ in range(rng.randint(0, 3 + k // 3)):
+                w[rng.randrange(len(w))] = f"w{rng.randrange(10**6)}"
+            rows.append((50 + 20 * family + k, " ".join(w)))
+    return rows + [(200, prose(11, 3000, 900)), (201, prose(11, 3000, 900) + " end")]
+
+
+@pytest.mark.parametrize("family", [4000, 1])
+def test_jaccard_groups_match_brute_force(spark, monkeypatch, family):
+    monkeypatch.setattr(jaccard, "FAMILY", family)
+    rows = jaccard_rows()
+    got = sorted(tuple(r) for r in jaccard.jaccard_groups(docs_of(spark, rows + rows[10:14])).distinct().collect())
+    assert got == brute_jaccard(rows)
+
+
+def test_jaccard_of_little(spark):
+    assert jaccard.jaccard_groups(docs_of(spark, []).limit(0)).count() == 0
+    assert [tuple(r) for r in jaccard.jaccard_groups(docs_of(spark, [(None, "a b c")])).collect()] == [(None, 1, None)]
+
+
+def test_prefixes_lose_no_pair():
+    rng = np.random.default_rng(3)
+    classes = rng.integers(0, 5, jaccard.COUNTERS).astype(np.uint8)
+    for n in (1, 2, 9, 10, 11, 57):
+        x = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        for d in range(len(x) // 10 + 1):
+            y = np.unique(np.concatenate([x[: len(x) - d], rng.integers(0, 2**63, d, dtype=np.uint64)]))
+            both = len(np.intersect1d(x, y))
+            if 100 * both >= 90 * (len(x) + len(y) - both):
+                for order in range(jaccard.ORDERS):
+                    assert len(np.intersect1d(jaccard.prefix(x, classes, order, 90), jaccard.prefix(y, classes, order, 90)))
+
+
+# --- 4: pieces ---------------------------------------------------------------------------------
+
+
+def test_pieces_agree_with_the_library(spark):
+    library = pieces.codec(pieces.default_model()).library
+    texts = [None, "", " ", "  two  blanks ", "\n", "a\n\nb \n c", "▁mark ▁ x", "😀 日本 \x00\t", "é" * 200, "x" * 3000, "<s> </s> <0x0A> <unk>", prose(4, 500), "hello world " * 40 + " " * 40]
+    rows = list(enumerate(texts)) * 2
+    got = pieces.encode_decode(docs_of(spark, rows)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        ids = library.encode(texts[r["doc_id"]] or "")
+        assert (r["ids"], r["decoded"], r["agrees"]) == (ids, library.decode(ids), True)
+    for r in pieces.digests(docs_of(spark, rows)).collect():
+        ids = library.encode(texts[r["doc_id"]] or "")
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest())
+    assert pieces.digests(docs_of(spark, []).limit(0)).count() == 0
+
+
+def test_both_agendas_merge_alike(monkeypatch):
+    own = pieces.codec(pieces.default_model())
+    words = ["▁" + w for w in prose(12, 300).split()] + ["▁▁▁▁the", "aaaaaaaaaaaaaaa", "▁internationalisation"]
+    assert own.encode_many(words) == [[x for s in own._heap(w) for x in own._fallen(s)] for w in words]
+
+
+# --- 5: decontamination ------------------------------------------------------------------------
+
+
+ITEM = "A train leaves Paris with 120 passengers and travels 300 km in 3 hours before Marie counts the remaining 95 seats in the last wagon."
+
+
+def test_contaminated_documents(spark):
+    changed = ITEM.replace("120", "77").replace("300 km", "250 miles").replace("Paris", "Berlin").replace("Marie", "Otto")
+    mixed = ITEM.replace("Marie", "Paris").replace("120", "95").replace("300 km", "95 km")  # one value now stands for several
+    rows = [(1, prose(1, 80) + " " + ITEM + " " + prose(2, 80)), (2, changed), (3, prose(3, 900)), (4, ITEM.upper()), (5, None), (6, ""), (7, " ".join(ITEM.split()[:8])), (8, ITEM.replace("remaining", "other")), (9, "Tiny text!"), (10, mixed.replace("leaves", "quits").replace("travels", "goes"))]
+    bench = spark.createDataFrame([(1, ITEM, 0), (2, None, 0), (3, "", 0), (4, prose(70, 30), 0), (5, "tiny text", 0)], "item_id long, text string, doc_id int")
+    got = {(r["doc_id"], r["item_id"]): r["reparameterised"] for r in decontaminate.contaminated(docs_of(spark, rows * 2), bench).collect()}
+    assert got == {(1, 1): False, (2, 1): True, (4, 1): False, (8, 1): False, (9, 5): False}
+    in_parts = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs_of(spark, rows), bench, pass_windows=40).collect()}
+    assert in_parts == set(got)
+    assert decontaminate.contaminated(docs_of(spark, []).limit(0), bench).count() == 0
+    assert decontaminate.contaminated(docs_of(spark, rows), bench.limit(0)).count() == 0
+
+
+def test_templates():
+    import pyarrow as pa
+
+    t = decontaminate.template(pa.array(["In Paris, Bob has 3,500.2 kg; 5km on, twenty feet.", None, ""]))
+    assert t.kinds.tolist() == [0, 3, 3, 0, 1, 2, 1, 2, 0, 1, 2] and t.rows.tolist() == [0, 11, 11, 11]
+
+
+# --- 6: language model -------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("head", [250_000, 20])
+def test_scores(spark, monkeypatch, head):
+    monkeypatch.setattr(recurrent, "HEAD", head)
+    rows = [(i, prose(i % 3, 40, 80)) for i in range(60)] + [(100, None), (101, ""), (102, "unseenword é ZZ zz"), (103, prose(1, 2500, 80)), (5, prose(2, 40, 80))]
+    frame = docs_of(spark, rows)
+    model, counts = recurrent.fit(frame.where(~recurrent.held_out()))
+    got = recurrent.score(frame, model, counts).withColumn("held", recurrent.held_out()).collect()
+    assert len(got) == len(rows)
+    seen = collections.Counter()
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 10:
+            seen.update([*(t or "").encode().lower().split(), b""])
+    n, v = sum(seen.values()), len(seen)
+    want = collections.defaultdict(list)
+    for i, t in rows:
+        w = [*(t or "").encode().lower().split(), b""]
+        want[i].append((len(w), sum(seen[x] > 0 for x in w), n, round(sum(math.log10((seen[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w), 6)))
+    have = collections.defaultdict(list)
+    for r in got:
+        have[r["doc_id"]].append((r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)))
+        assert r["held"] == (zlib.crc32(str(r["doc_id"]).encode()) % 10 == 0) and r["score"] < 0
+    assert {k: sorted(x) for k, x in have.items()} == {k: sorted(x) for k, x in want.items()}
+    assert recurrent.score(frame.limit(0), model, counts).count() == 0
+
+
+def test_nothing_to_learn_from(spark):
+    frame = docs_of(spark, [(1, "a b")])
+    model, counts = recurrent.fit(frame.limit(0))
+    r = recurrent.score(frame, model, counts).first()
+    assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (3, 0, 0) and abs(r["base_score"]) < 1e-9
+
+
+def test_probabilities_sum_to_one_and_state_is_carried():
+    net = recurrent.Network.fresh(3)
+    states, _ = net.forward(np.array([[2], [5]]), np.zeros((1, recurrent.HIDDEN), dtype=np.float32))
+    every = np.arange(recurrent.VOCABULARY)
+    ln, _ = net.log_probs(np.repeat(states[1], recurrent.VOCABULARY, axis=0), every)
+    assert abs(np.exp(ln.astype(np.float64)).sum() - 1) < 1e-4
+    rng = np.random.default_rng(0)
+    xs = [rng.integers(0, 900, n) for n in (150, 3, 60)]
+    together = recurrent._window_scores(net, xs, xs)
+    alone = np.concatenate([net.log_probs(net.forward(x[:, None], np.zeros((1, recurrent.HIDDEN), dtype=np.float32))[0][:, 0], x)[0] for x in xs])
+    assert np.allclose(together, alone, atol=1e-4)
+
+
+def test_gradients():
+    net = recurrent.Network.fresh(2)
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 900, 400)
+    loss = lambda: -float(recurrent._window_scores(net, [x], [np.roll(x, -1)]).sum())
+    before = loss()
+    for _ in range(15):
+        net.train([(x, np.roll(x, -1))])
+    assert loss() < 0.9 * before
+
+
+# --- 7: archives -------------------------------------------------------------------------------
+
+
+def test_archives_round_trip(spark, tmp_path):
+    import pyarrow.fs
+    import struct
+
+    big = "<p>é" + "x" * 1200
+    rows = [(1, "http://a/\r\nb", big), (2, None, big), (3, "http://c", "small"), (4, "http://d", "small"), (5, "u", None), (6, "u", ""), (9, "u", big), (9, "u", big), (None, "n", big)] + [(100 + i, f"http://x/{i}", prose(i, 300)) for i in range(60)]
+    pages = spark.createDataFrame([(u, i, h, 0) for i, u, h in rows], "url string, page_id long, html string, refers_to long")
+    got = warc.archive_pages(pages, f"file://{tmp_path}/w").collect()
+    want = []
+    for i, _, h in rows:
+        body = (h or "").encode()
+        again = len(body) >= 1000 and h == big and i != 9
+        want.append((i, len(body), hashlib.sha1(body).hexdigest(), "revisit" if again else "response", 9 if again else None))
+    assert sorted(map(str, want)) == sorted(str(tuple(r)[:5]) for r in got)
+    store, path = pyarrow.fs.FileSystem.from_uri(got[0]["archive"])
+    head = store.open_input_stream(path).read(8)
+    assert struct.unpack("<II", head)[0] == warc.DICTIONARY_MAGIC
+    assert warc.archive_pages(pages.limit(0)).count() == 0
+
+
+# --- 8: languages ------------------------------------------------------------------------------
+
+
+def test_languages(spark):
+    rng = random.Random(1)
+    words = {"xx": "the and of with that from this have".split(), "yy": "der und mit nicht eine ist auch für".split()}
+    rows = [(i, " ".join(rng.choice(words[k]) for _ in range(30)), k) for i, k in enumerate(["xx", "yy"] * 60)]
+    frame = spark.createDataFrame([(t, i, k, 9.0) for i, t, k in rows] + [(None, 900, "xx", 1.0), ("123 !!", 901, "xx", 1.0), ("", 902, None, 1.0), ("und mit der " * 9000, 903, None, 1.0)], "text string, doc_id long, lang string, score double")
+    model = language.fit(frame.where(~language.held_out()))
+    got = {r["doc_id"]: r for r in language.predict(frame, model).collect()}
+    assert all(got[i]["lang_pred"] == k and 0 <= got[i]["score"] <= 1 for i, _, k in rows)
+    assert [got[i]["lang_pred"] for i in (900, 901, 902, 903)] == ["und", "und", "und", "yy"]
+    assert language.predict(frame.limit(0), model).count() == 0
+    assert language.predict(frame, language.fit(frame.limit(0))).where("lang_pred <> 'und'").count() == 0
+
+
+# --- 9: top-k ----------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("pass_bytes", [1 << 20, 600])
+def test_topk(spark, pass_bytes):
+    rng = np.random.default_rng(4)
+    vectors = [(i, [float(x) for x in rng.normal(size=16)]) for i in range(400)]
+    vectors += [(i, vectors[0][1]) for i in (450, 451)] + [(500, None), (501, [1.0] * 15 + [float("nan")]), (502, [1.0] * 15 + [None]), (503, []), (550, [1.0, 2.0]), (551, [3.0, 1.0]), (None, [1.0, 1.0])]
+    frame = spark.createDataFrame([(0, v, i) for i, v in vectors], "rank int, embedding array<float>, vec_id long")
+    got = sorted(tuple(r) for r in topk.top_k(frame, frame.where("vec_id % 50 = 0"), pass_bytes=pass_bytes).collect())
+    fine = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in vectors if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    want = []
+    for q, x in fine:
+        if q % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(x, y)), i) for i, y in fine if i != q and len(y) == len(x))[:5]
+            want += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    assert got == sorted(want)
+    assert topk.top_k(frame.limit(0), frame.limit(0)).count() == 0
+
+
+# --- 10: URLs ----------------------------------------------------------------------------------
+
+
+def test_url_rules(spark):
+    rules = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"), ("a.b.org", "/fr/x", "block"), ("a.b.org", "/", "allow"), ("", "/", "block")]
+    urls = [None, "", "no scheme", "http://", "http://NET/", "http://net", "http://x.net?q", "https://www.Example.net/en/1?x#y", "http://badexample.net/en/", "http://example.com/de/", "http://m.example.com/dex/", "http://a.b.org/fr/xy", "http://c.a.b.org/fr/", "http://z.org/fr/", "http://org/fr/#/", "ftp://.net/x", "http://net./"]
+    pages = spark.createDataFrame([(u, i, "h") for i, u in enumerate(urls * 40)], "url string, page_id long, host string")
+    frame = spark.createDataFrame(rules, "host string, prefix string, verdict string")
+
+    def judge(url):
+        rest = url.partition("://")[2] if url and "://" in url else ""
+        host = re.match(r"[^/?#]*", rest).group()
+        path = re.match(r"[^?#]*", rest[len(host) :]).group()
+        host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+        fits = [(len(h + p), h + p, v) for h, p, v in rules if h and (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return (host, path, max(fits)[1] if fits else None, max(fits)[2] if fits else "allow")
+
+    got = {r["page_id"]: tuple(r)[1:] for r in url_rules.filter_urls(pages, frame, rows_a_range=50).collect()}
+    assert got == {i: judge(u) for i, u in enumerate(urls * 40)}
+    assert url_rules.filter_urls(pages.limit(0), frame).count() == 0
+    assert url_rules.filter_urls(pages, frame.limit(0)).where("verdict <> 'allow' OR rule IS NOT NULL").count() == 0

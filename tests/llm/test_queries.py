@@ -1,0 +1,78 @@
+"""Registered queries against their SQL, and the pipeline against a brute-force version, on the smallest tables."""
+
+import hashlib
+import re
+from pathlib import Path
+
+import duckdb
+import pytest
+
+import corpus_pipeline
+from quarry.llm import decontaminate, language, pieces, queries, secrets
+
+SF = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="tables are not there")
+
+
+def views():
+    c = duckdb.connect()
+    for p in Path(SF).glob("*.parquet"):
+        c.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
+    return c
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_query_equals_its_sql(spark, name):
+    got = queries.QUERIES[name](spark, SF)
+    r = views().execute(queries.SQL[name])
+    columns = [d[0] for d in r.description]
+    assert sorted(columns) == sorted(got.columns)
+    assert sorted(map(str, (tuple(x) for x in got.select(*columns).collect()))) == sorted(map(str, r.fetchall()))
+
+
+def test_pipeline(spark):
+    docs = views().execute("SELECT doc_id, text FROM documents ORDER BY doc_id").fetchall()
+    bench = views().execute("SELECT text FROM benchmark").fetchall()
+    kept = [(i, t) for i, t in docs if t and re.search(r"[^\W\d_]", t)]
+    shingles = {i: frozenset(zip(*[t.encode().lower().split()[k:] for k in range(3)])) or frozenset(t.encode().lower().split()) for i, t in kept}
+    root = {i: i for i, _ in kept}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for n, (i, _) in enumerate(kept):
+        for j, _ in kept[n + 1 :]:
+            if 100 * len(shingles[i] & shingles[j]) >= 90 * len(shingles[i] | shingles[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    kept = [(i, t) for i, t in kept if find(i) == i]
+    plain = lambda t: " " + " ".join(re.findall(r"\w+", t.lower())) + " "
+    items = [plain(t) for (t,) in bench]
+    kept = [(i, t) for i, t in kept if not any(x in plain(t) for x in items)]
+    library = pieces.codec(pieces.default_model()).library
+    want = {}
+    for i, t in kept:
+        out, at = "", 0
+        for start, end in sorted((m.start(), m.end()) for r in secrets.RULES for m in re.finditer(r.pattern, t) if len(m.group(r.group)) >= r.least):
+            if start >= at:
+                out += t[at:start] + "[secret]"
+            at = max(at, end)
+        ids = library.encode(out + t[at:])
+        want[i] = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"]) for r in corpus_pipeline.run(spark, SF).collect()}
+    assert got == want
+
+
+def test_stages_keep_the_columns_of_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, SF).columns == docs.columns
+        assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_held_out_languages_are_recognised(spark):
+    got = queries.op8_language(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in got) >= 0.95 * len(got)
+    assert language.UNKNOWN == "und" and decontaminate.COVERAGE == 0.8
