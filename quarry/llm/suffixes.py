@@ -25,10 +25,8 @@ from quarry.llm.common import mix64, slices, staged, text_bytes
 LENGTH, GRAM = 50, 16
 #: Bytes of text that are hashed at once, and that fill a bucket about.
 PIECE, BUCKET_BYTES = 4 << 20, 32 << 20
-#: Rows and bytes of a table that a broadcast join takes at most.
-BROADCAST_ROWS, BROADCAST_VALUES = 500_000, 8_000_000
 
-_ENTRY = np.dtype([("m", "<u4"), ("h", "<u8"), ("doc", "<u2"), ("at", "<u4"), ("n", "u1")])
+_ENTRY = np.dtype([("m", "<u4"), ("h", "<u8"), ("doc", "<u2"), ("at", "<u4"), ("n", "u1"), ("off", "u1")])
 _BASES = [0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
 _KEYS = [mix64(np.arange(s, s + 256, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for s in (1, 5001)]
 _FORTH: list[np.ndarray] = []
@@ -145,12 +143,12 @@ def _powers(n: int) -> None:
         _BACK[:] = [np.multiply.accumulate(np.append(np.uint64(1), np.full(n, pow(b, -1, 1 << 64), dtype=np.uint64))) for b in _BASES]
 
 
-def stretches(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, start, strings, hash of the piece, hash of the bytes) of the stretches of texts that follow each other in data."""
+def stretches(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, start, strings, hash of the piece, hash of the bytes, place of the piece in them) of the stretches of texts that follow each other in data."""
     n = len(data)
     none = np.zeros(0, dtype=np.int64)
     if n < LENGTH:
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64), none.astype(np.uint64), none
     _powers(max(n, PIECE + 65536))
     sums = [np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_KEYS[k][data] * _FORTH[k][:n])]) for k in range(2)]
     grams = mix64((sums[0][GRAM:] - sums[0][:-GRAM]) * _BACK[0][: n - GRAM + 1])
@@ -173,7 +171,7 @@ def stretches(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarra
     stop = end + LENGTH
     whole = mix64((sums[1][stop] - sums[1][start]) * _BACK[1][start] ^ ((stop - start).astype(np.uint64) << np.uint64(32)))
     own = row[start]
-    return own, start - rows[own], end - start + 1, grams[piece[start]], whole
+    return own, start - rows[own], end - start + 1, grams[piece[start]], whole, piece[start] - start
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -216,7 +214,7 @@ _REPLY = "doc long, start array<int>, end array<int>, ask array<int>, strings ar
 
 
 def _reply(doc: np.ndarray, start: np.ndarray, end: np.ndarray, piece: np.ndarray | None = None) -> pa.Table:
-    """Removed spans, or, with piece, requests for the bytes of stretches (start, and number of strings as end), one row a document."""
+    """Removed spans, or, with piece, requests for the bytes of stretches (start, and, as end, number of strings + 64 * place of the piece), one row a document."""
     order = np.lexsort((start, doc))
     doc, start, end = doc[order], start[order].astype(np.int32), end[order].astype(np.int32)
     names = ["doc", "start", "end", "ask", "strings", "piece"]
@@ -234,7 +232,7 @@ def _dealt(texts: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, base, data, rows in _pieces(batches):
-            row, start, n, piece, whole = stretches(data, rows)
+            row, start, n, piece, whole, off = stretches(data, rows)
             if not len(row):
                 continue
             order = np.lexsort((ids[row], whole, piece))
@@ -247,7 +245,7 @@ def _dealt(texts: DataFrame, buckets: int) -> DataFrame:
             by = np.argsort(bucket, kind="stable")
             kept, bucket = kept[by], bucket[by]
             entries = np.zeros(len(kept), dtype=_ENTRY)
-            entries["m"], entries["h"], entries["doc"], entries["at"], entries["n"] = (piece[kept] & np.uint64(0xFFFFFFFF)).astype(np.uint32), whole[kept], row[kept], start[kept] + base[row[kept]], n[kept]
+            entries["m"], entries["h"], entries["doc"], entries["at"], entries["n"], entries["off"] = (piece[kept] & np.uint64(0xFFFFFFFF)).astype(np.uint32), whole[kept], row[kept], start[kept] + base[row[kept]], n[kept], off[kept]
             cuts = np.searchsorted(bucket, np.arange(buckets + 1))
             used = np.flatnonzero(np.diff(cuts))
             names, payload = [], []
@@ -286,7 +284,8 @@ def _settle(table: pa.Table) -> pa.Table:
     apart = np.minimum.reduceat(doc, groups) != np.maximum.reduceat(doc, groups)
     ask = np.flatnonzero(~gone & (several & apart)[in_group])  # of the first document, every occurrence
     removed = _reply(np.concatenate([spans[:, 0], doc[gone]]), np.concatenate([spans[:, 1], at[gone]]), np.concatenate([spans[:, 2], at[gone] + n[gone] + LENGTH - 1]))
-    asked = _reply(doc[ask], at[ask], n[ask], (bucket << np.uint64(32)) | m[ask].astype(np.uint64))
+    off = e["off"][order].astype(np.int64)
+    asked = _reply(doc[ask], at[ask], n[ask] + 64 * off[ask], (bucket << np.uint64(32)) | m[ask].astype(np.uint64))
     return pa.concat_tables([removed, asked])
 
 
@@ -298,20 +297,50 @@ def _fetched(asked: DataFrame, buckets: int) -> DataFrame:
             found: dict[int, list[tuple]] = {}
             for doc, text, asks, strings, pieces in zip(*[c.to_pylist() for c in part.columns], strict=True):
                 for a, n, p in zip(asks, strings, pieces, strict=True):
-                    found.setdefault((p ^ (p >> 32)) % buckets, []).append((p, doc, a, text[a : a + n + LENGTH - 1]))
+                    found.setdefault((p ^ (p >> 32)) % buckets, []).append((p, doc, a, n >> 6, text[a : a + (n & 63) + LENGTH - 1]))
             if found:
-                p, d, a, b = ([list(x) for x in c] for c in zip(*[zip(*rows, strict=True) for rows in found.values()], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array(p, pa.list_(pa.int64())), pa.array(d, pa.list_(pa.int64())), pa.array(a, pa.list_(pa.int32())), pa.array(b, pa.list_(pa.binary()))], names=["bucket", "piece", "doc", "at", "bytes"])
+                p, d, a, o, b = ([list(x) for x in c] for c in zip(*[zip(*rows, strict=True) for rows in found.values()], strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array(p, pa.list_(pa.int64())), pa.array(d, pa.list_(pa.int64())), pa.array(a, pa.list_(pa.int32())), pa.array(o, pa.list_(pa.int32())), pa.array(b, pa.list_(pa.binary()))], names=["bucket", "piece", "doc", "at", "off", "bytes"])
 
-    return asked.select("doc", "text", "ask", "strings", "piece").mapInArrow(run, "bucket int, piece array<long>, doc array<long>, at array<int>, bytes array<binary>")
+    return asked.select("doc", "text", "ask", "strings", "piece").mapInArrow(run, "bucket int, piece array<long>, doc array<long>, at array<int>, off array<int>, bytes array<binary>")
+
+
+def _hopeful(texts: pa.Array, piece: np.ndarray, doc: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Places of the stretches that can share a string with another document's.
+
+    A string of LENGTH bytes around its piece covers, by where the piece stands in it, one of
+    three blocks around the piece; without a block in common there is no string in common.
+    """
+    data, rows = text_bytes(texts)
+    _powers(max(len(data) + 1, PIECE))
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_KEYS[1][data] * _FORTH[1][: len(data)])])
+    begin, end, at = rows[:-1], rows[1:], rows[:-1] + off
+    rest = LENGTH - GRAM
+    third = rest // 3
+    keep = np.zeros(len(piece), dtype=bool)
+    for left, right in ((0, rest - third), (third, rest - 2 * third), (2 * third, 0)):
+        a, b = at - left, at + GRAM + right
+        there = np.flatnonzero((a >= begin) & (b <= end))
+        if not len(there):
+            continue
+        block = mix64((sums[b[there]] - sums[a[there]]) * _BACK[1][a[there]])
+        order = np.lexsort((block, piece[there]))
+        p, k, d = piece[there][order], block[order], doc[there][order]
+        new = np.concatenate([[True], (p[1:] != p[:-1]) | (k[1:] != k[:-1])])
+        heads = np.flatnonzero(new)
+        several = np.minimum.reduceat(d, heads) != np.maximum.reduceat(d, heads)
+        keep[there[order[several[np.cumsum(new) - 1]]]] = True
+    return np.flatnonzero(keep)
 
 
 def _shared(table: pa.Table) -> pa.Table:
     """Suffix arrays over the different stretches of each piece: strings that an earlier document has too are removed."""
-    piece, doc, at = (table.column(c).combine_chunks().flatten().to_numpy() for c in ("piece", "doc", "at"))
-    texts = table.column("bytes").combine_chunks().flatten().to_pylist()
+    piece, doc, at, off = (table.column(c).combine_chunks().flatten().to_numpy() for c in ("piece", "doc", "at", "off"))
+    texts = table.column("bytes").combine_chunks().flatten()
+    hopeful = _hopeful(texts, piece, doc, off)
+    piece, doc, at, texts = piece[hopeful], doc[hopeful], at[hopeful], texts.take(pa.array(hopeful)).to_pylist()
     order = np.argsort(piece, kind="stable")
-    cuts = np.concatenate([[0], np.flatnonzero(np.diff(piece[order])) + 1, [len(order)]])
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(piece[order])) + 1, [len(order)]]) if len(order) else np.zeros(1, dtype=np.int64)
     out = []
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
         mine = order[a:b]
@@ -365,17 +394,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     settled = staged(_dealt(texts, buckets).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_settle, _REPLY), "settled")
     asks = settled.where("ask IS NOT NULL").groupBy("doc").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("ask", "strings", "piece")])
     asks = staged(asks, "asks")
-    shared = staged(_fetched(texts.join(_sized(asks, "ask"), "doc"), 8 * buckets).groupBy("bucket").applyInArrow(_shared, "doc long, start array<int>, end array<int>"), "shared")
+    shared = staged(_fetched(texts.join(asks, "doc"), 8 * buckets).groupBy("bucket").applyInArrow(_shared, "doc long, start array<int>, end array<int>"), "shared")
     spans = settled.where("start IS NOT NULL").select("doc", "start", "end").unionByName(shared)
     return spans.groupBy("doc").agg(F.flatten(F.collect_list("start")).alias("start"), F.flatten(F.collect_list("end")).alias("end"))
 
 
-def _sized(df: DataFrame, column: str) -> DataFrame:
-    """Marked for broadcast if it is proven small; otherwise the join shuffles."""
-    rows, values = df.select(F.count("*"), F.coalesce(F.sum(F.size(column)), F.lit(0))).first()
-    return F.broadcast(df) if rows <= BROADCAST_ROWS and values <= BROADCAST_VALUES else df
-
-
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_bytes, n_removed, n_spans, kept_sha256, kept binary) of every row.
 
@@ -403,5 +426,5 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]], names=["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    done = texts.join(_sized(spans, "start"), "doc", "left").select("doc", "text", "start", "end").mapInArrow(run, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    done = texts.join(spans, "doc", "left").select("doc", "text", "start", "end").mapInArrow(run, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return done.withColumnRenamed("doc", id_col)
