@@ -27,11 +27,12 @@ from quarry.llm.components import components
 #: Words of a shingle; similarity in hundredths; counters of the frequency sketch; different token orders.
 WORDS, HUNDREDTHS, COUNTERS, ORDERS = 3, 90, 1 << 20, 3
 CHUNK = 1 << 16
-SKETCH_WORDS = 4
+#: Words (of 64 bits) of the parity sketch of sets of up to so many tokens; larger ones have the last.
+SKETCHES = ((900, 4), (4000, 16), (0, 64))
 #: Ids that a broadcast join takes at most; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Members of a family of candidates that one task takes at most; larger ones are settled by joins, in rounds.
-FAMILY = 4000
+FAMILY = 10_000
 #: Members of a token group that are compared at once.
 BLOCK = 1024
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -101,8 +102,34 @@ def prefix(tokens: np.ndarray, classes: np.ndarray, order: int, hundredths: int)
 
 def _parity(tokens: np.ndarray) -> bytes:
     """Bits that say whether an odd number of tokens falls on them: two sets differ in as many tokens at least as bits."""
-    bits = np.bincount(((tokens * _STEP) >> np.uint64(56)).astype(np.int64) & (64 * SKETCH_WORDS - 1), minlength=64 * SKETCH_WORDS) & 1
-    return np.packbits(bits.astype(np.uint8)).tobytes()
+    bits = 64 * next(words for most, words in SKETCHES if len(tokens) <= most or not most)
+    odd = np.bincount(((tokens * _STEP) >> np.uint64(48)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _sketches(parity: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each width, narrow to wide: (place of each set among those that have that width or more, or -1; their sketches folded to it)."""
+    sizes = np.array([len(x) for x in parity])
+    out = []
+    for _, words in SKETCHES:
+        place = np.full(len(parity), -1, dtype=np.int64)
+        own = np.flatnonzero(sizes >= 8 * words)
+        place[own] = np.arange(len(own))
+        folded = np.zeros((len(own), words), dtype=np.uint64)
+        for size in np.unique(sizes[own]).tolist():
+            rows = np.flatnonzero(sizes[own] == size)
+            folded[rows] = np.bitwise_xor.reduce(np.frombuffer(b"".join([parity[i] for i in own[rows].tolist()]), dtype=np.uint64).reshape(len(rows), size // (8 * words), words), axis=1)
+        out.append((place, folded))
+    return out
+
+
+def _apart(sketches: list[tuple[np.ndarray, np.ndarray]], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Tokens in which sets differ at least, by the widest sketch that both have."""
+    out = np.zeros(len(i), dtype=np.int64)
+    for place, folded in sketches:
+        both = np.flatnonzero((place[i] >= 0) & (place[j] >= 0))
+        out[both] = np.maximum(out[both], np.bitwise_count(folded[place[i[both]]] ^ folded[place[j[both]]]).sum(axis=1, dtype=np.int64))
+    return out
 
 
 def signatures(texts: DataFrame, classes, words: int, hundredths: int) -> DataFrame:
@@ -140,9 +167,10 @@ def _fits(e: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, hundredths: in
     ni, nj, pi, pj = e["n"][i], e["n"][j], e["pos"][i], e["pos"][j]
     both = ni + nj
     need = -(-both * hundredths // (100 + hundredths))  # tokens that the two must share
-    fine = (np.minimum(ni, nj) * 100 >= np.maximum(ni, nj) * hundredths) & (np.minimum(pi, pj) + np.minimum(ni - pi, nj - pj) >= need) & (e["comp"][i] != e["comp"][j])
+    # seen from the first token that both prefixes have, all that is shared comes from there on
+    fine = (np.minimum(ni, nj) * 100 >= np.maximum(ni, nj) * hundredths) & (np.minimum(ni - pi, nj - pj) >= need) & (e["comp"][i] != e["comp"][j])
     at = np.flatnonzero(fine)
-    apart = np.bitwise_count(e["parity"][i[at]] ^ e["parity"][j[at]]).sum(axis=1, dtype=np.int64)
+    apart = _apart(e["parity"], i[at], j[at])
     close = apart <= (both - 2 * need)[at]
     return at[close], apart[close]
 
@@ -212,8 +240,7 @@ def _candidates(entries: DataFrame, hundredths: int) -> DataFrame:
             tokens = table.column("token").to_numpy()
             edges = np.flatnonzero(np.diff(tokens)) + 1
             groups = np.diff(np.concatenate([[0], edges, [len(tokens)]]))
-            parity = np.frombuffer(b"".join(table.column("parity").to_pylist()), dtype=np.uint64).reshape(-1, SKETCH_WORDS)
-            e = {"id": table.column("id").to_numpy(), "n": table.column("n").to_numpy(), "pos": table.column("pos").to_numpy(), "comp": table.column("comp").to_numpy(), "parity": parity, "refuted": [frozenset(x) if x else None for x in table.column("refuted").to_pylist()]}
+            e = {"id": table.column("id").to_numpy(), "n": table.column("n").to_numpy(), "pos": table.column("pos").to_numpy(), "comp": table.column("comp").to_numpy(), "parity": _sketches(table.column("parity").to_pylist()), "refuted": [frozenset(x) if x else None for x in table.column("refuted").to_pylist()]}
             found = sorted(set(_forest(e, groups, hundredths)))
             if found:
                 a, b = zip(*found, strict=True)
@@ -294,7 +321,7 @@ def _connected(ids: list[int], sets: list[np.ndarray], classes: np.ndarray, hund
     """Components (smallest ids) of the links among a family."""
     order = sorted(range(len(ids)), key=lambda i: (len(sets[i]), ids[i]))
     sizes = np.array([len(sets[i]) for i in order])
-    parity = np.frombuffer(b"".join(_parity(sets[i]) for i in order), dtype=np.uint64).reshape(-1, SKETCH_WORDS)
+    parity = _sketches([_parity(sets[i]) for i in order])
     first = [[prefix(sets[i], classes, k, hundredths).tolist() for k in range(ORDERS)] for i in order]
     others = [[frozenset(f) for f in x[1:]] for x in first]
     holders: dict[int, list[int]] = {}
@@ -308,7 +335,7 @@ def _connected(ids: list[int], sets: list[np.ndarray], classes: np.ndarray, hund
         near = np.fromiter(found, dtype=np.int64)
         both = sizes[near] + sizes[j]
         need = -(-both * hundredths // (100 + hundredths))
-        apart = np.bitwise_count(parity[near] ^ parity[j]).sum(axis=1, dtype=np.int64)
+        apart = _apart(parity, near, np.full(len(near), j))
         fits = (sizes[near] * 100 >= sizes[j] * hundredths) & (apart <= both - 2 * need)
         near, need, apart = near[fits], need[fits], apart[fits]
         for k in np.argsort(apart, kind="stable").tolist():
