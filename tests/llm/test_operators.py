@@ -164,7 +164,7 @@ def jaccard_rows():
     return rows + [(200, prose(11, 3000, 900)), (201, prose(11, 3000, 900) + " end")]
 
 
-@pytest.mark.parametrize("family", [4000, 1])
+@pytest.mark.parametrize("family", [10_000, 1])
 def test_jaccard_groups_match_brute_force(spark, monkeypatch, family):
     monkeypatch.setattr(jaccard, "FAMILY", family)
     rows = jaccard_rows()
