@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from quarry.functions.text import SPACE
 
 DIMENSION = 384
+_WORD = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
 def bucket(word: Column) -> Column:
@@ -27,3 +34,15 @@ def nearest_by_hash(docs: DataFrame, query: DataFrame, key: str, limit: int, tex
     asked = F.broadcast(weights(query, key, text_col).select("bucket", F.col("weight").alias("asked")))
     scored = weights(docs, key, text_col).join(asked, "bucket").groupBy(key).agg(F.sum(F.col("weight") * F.col("asked")).alias("score"))
     return scored.orderBy(F.desc("score"), key).limit(limit).select(key, F.round("score", 6).alias("score"))
+
+
+@F.pandas_udf(ArrayType(FloatType()))
+def dense(texts: pd.Series) -> pd.Series:
+    """Unit vectors of DIMENSION floats, in Arrow batches; zeros for a text without words."""
+
+    def one(text: str | None) -> np.ndarray:
+        places = [int(hashlib.md5(w.encode()).hexdigest()[:7], 16) % DIMENSION for w in _WORD.findall((text or "").lower())]
+        counts = np.bincount(np.array(places, dtype=np.int64), minlength=DIMENSION).astype(np.float64)
+        return (counts / max(np.sqrt((counts * counts).sum()), 1e-12)).astype(np.float32)
+
+    return texts.map(one)
