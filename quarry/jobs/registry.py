@@ -389,7 +389,11 @@ def event_lines(spark, sf_dir):
     return _table(spark, sf_dir, "events").select("event_id", F.to_json(F.struct("event_id", "event_type", "user_id")).alias("line"))
 
 
-@_register("hashing_search")
+@_register("hashing_search", f"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[^{text.SPACE}]+')) AS word FROM documents),
+b AS (SELECT doc_id, CAST('0x' || substr(md5(word), 1, 7) AS BIGINT) % 384 AS bucket, count(*) AS n FROM w GROUP BY 1, 2),
+v AS (SELECT doc_id, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)) AS weight FROM b),
+s AS (SELECT v.doc_id, round(sum(v.weight * q.weight), 9) AS s FROM v JOIN v q ON q.doc_id = 1 AND q.bucket = v.bucket GROUP BY v.doc_id)
+SELECT doc_id, round(s, 6) AS score FROM s ORDER BY s.s DESC, doc_id LIMIT 40""")
 def hashing_search(spark, sf_dir):
     from quarry.operators import embedding
 

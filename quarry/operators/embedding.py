@@ -30,10 +30,10 @@ def weights(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
 
 
 def nearest_by_hash(docs: DataFrame, query: DataFrame, key: str, limit: int, text_col: str = "text") -> DataFrame:
-    """The limit texts closest to the query text. The query has at most DIMENSION weights, so it is broadcast."""
+    """The limit texts closest to the query text; scores that agree to nine digits are ties, which the smaller key wins. The query has at most DIMENSION weights, so it is broadcast."""
     asked = F.broadcast(weights(query, key, text_col).select("bucket", F.col("weight").alias("asked")))
     scored = weights(docs, key, text_col).join(asked, "bucket").groupBy(key).agg(F.sum(F.col("weight") * F.col("asked")).alias("score"))
-    return scored.orderBy(F.desc("score"), key).limit(limit).select(key, F.round("score", 6).alias("score"))
+    return scored.withColumn("score", F.round("score", 9)).orderBy(F.desc("score"), key).limit(limit).select(key, F.round("score", 6).alias("score"))
 
 
 @F.pandas_udf(ArrayType(FloatType()))
