@@ -24,7 +24,7 @@ from quarry.llm.common import slices
 
 MARK = "▁"
 #: Words that a Python worker remembers at most; then it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: Symbols of a word that the matrix agenda takes at most.
 WIDE = 48
 
