@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from quarry.llm import decontaminate, jaccard, language, pieces, secrets
 from quarry.llm.common import staged, table
 
+#: Words of a shingle and similarity in hundredths of near duplicates; jaccard's own defaults are those of op3's contract.
+NEAR_WORDS, NEAR_HUNDREDTHS = 5, 80
 #: Ids that a broadcast join takes at most; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -32,7 +34,7 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = jaccard.jaccard_groups(docs)
+    groups = jaccard.jaccard_groups(docs, NEAR_WORDS, NEAR_HUNDREDTHS)
     return _without(docs, groups.where("component_id <> doc_id").select("doc_id"))
 
 

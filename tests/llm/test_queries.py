@@ -76,3 +76,27 @@ def test_held_out_languages_are_recognised(spark):
     got = queries.op8_language(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert sum(r["lang"] == r["lang_pred"] for r in got) >= 0.95 * len(got)
     assert language.UNKNOWN == "und" and decontaminate.COVERAGE == 0.8
+
+
+def test_near_duplicates_of_the_pipeline_match_brute_force(spark):
+    words = [f"w{k}" for k in range(120)]
+    texts = {1: words, 2: words[:100], 3: words[:90], 4: [*words, *[f"x{k}" for k in range(20)]], 5: [f"y{k}" for k in range(60)], 6: ["short", "text"], 7: ["Short", "text"], 8: []}
+    for k in range(9, 15):  # words changed apart from each other
+        texts[k] = [f"z{k}" if n in range(7, 7 + 15 * (k - 8), 15) else w for n, w in enumerate(words)]
+    sets = {i: {tuple(w.lower() for w in t[k : k + 5]) for k in range(max(1, len(t) - 4))} if t else set() for i, t in texts.items()}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.keep_one_of_near_duplicates(spark, docs, SF).collect())
+    assert kept == [i for i in sets if find(i) == i]
+    assert 2 not in kept and 4 not in kept and 5 in kept
