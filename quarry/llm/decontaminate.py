@@ -6,7 +6,9 @@ the build side of a hash join that every window of every document probes. What m
 together by document and item: slots must be filled consistently (one value of the item always
 by the same value of the document, different values by different ones), and the windows within
 one stretch of the document must cover enough of the item. So an item is found word for word,
-with changed numbers, names or units, or with a few words edited.
+with changed numbers, names or units, or with a few words edited. Windows that say little as a
+template (fewer than two literal words, or an item of fewer than WINDOW words within a longer
+document) are matched word for word, numbers and names included.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import _BYTE_KEYS, _LOWER, _powers, mix64, slices, text_bytes
+from quarry.llm.common import _BYTE_KEYS, _LOWER, _SPACE, _powers, mix64, slices, text_bytes
 
 #: Template words of a window; share of an item's template words that matching windows must cover.
 WINDOW, COVERAGE = 5, 0.8
@@ -35,6 +37,7 @@ UNITS = (
 NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
 
 WORD, NUMBER, UNIT, NAME = range(4)
+_EXACT = np.uint64(0xA24BAED4963EE407)
 _PLACE = mix64(np.arange(1, 5, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
 _KIND = np.zeros(256, dtype=np.uint8)
@@ -76,6 +79,30 @@ def _isin(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[at] == keys
 
 
+def _goes_on(data: np.ndarray, kind: np.ndarray, begin: np.ndarray, lengths: np.ndarray, numeric: np.ndarray, after_number: np.ndarray) -> np.ndarray:
+    """Words that continue the number before them: digits after one , or . (3,500.2), number words after blanks or a hyphen (twenty-five, 5 million)."""
+    out = np.zeros(len(begin), dtype=bool)
+    at = np.flatnonzero(numeric & after_number)
+    if len(at):
+        ends, starts = begin[at - 1] + lengths[at - 1], begin[at]
+        digits = (kind[begin[at - 1]] == 2).astype(np.int8) + (kind[starts] == 2)
+        single = np.where(starts - ends == 1, data[ends], 0)
+        solid = np.concatenate([[0], np.cumsum(~_SPACE[data])])
+        out[at] = np.where(digits == 2, (single == ord(",")) | (single == ord(".")), (solid[starts] == solid[ends]) | (single == ord("-")))
+    return out
+
+
+def _merged(words: np.ndarray, keep: np.ndarray) -> np.ndarray:
+    """Hashes of the kept words; what goes on a number counts in its hash, so 3.5 isn't 3.7."""
+    out, more = words[keep], np.flatnonzero(~keep)
+    of = np.cumsum(keep)[more] - 1
+    nth = more - np.flatnonzero(keep)[of]
+    for n in range(1, int(nth.max(initial=0)) + 1):
+        i = nth == n
+        out[of[i]] = mix64(out[of[i]] * np.uint64(0x9E3779B97F4A7C15) + words[more[i]])
+    return out
+
+
 def template(values: pa.Array) -> Template:
     """Canonicalise every text of an Arrow array; null counts as empty."""
     data, offsets = text_bytes(values)
@@ -110,8 +137,9 @@ def template(values: pa.Array) -> Template:
     upper = ((letter >= 65) & (letter <= 90)) | ((letter == 0xC3) & (second >= 0x80) & (second <= 0x9E))
     name = upper & ~sentence & ~numeric & ~unit
     kinds = np.where(numeric, NUMBER, np.where(unit, UNIT, np.where(name, NAME, WORD))).astype(np.uint8)
-    keep = ~(numeric & after_number)  # 3,500.2 is one number
-    words, kinds, row = words[keep], kinds[keep], row[keep]
+    keep = ~_goes_on(data, kind, begin, lengths, numeric, after_number)
+    words = _merged(words, keep)
+    kinds, row = kinds[keep], row[keep]
     plain = np.where((kinds == NUMBER) | (kinds == UNIT), _PLACE[kinds], words)
     named = np.where(kinds == NAME, _PLACE[NAME], plain)
     return Template(words, kinds, named, plain, np.searchsorted(row, np.arange(len(values) + 1)))
@@ -144,6 +172,36 @@ def windows(t: Template, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np
     return place, keys, rows[place] if n else place
 
 
+def exact_windows(t: Template, widths: list[int], of_items: bool = False, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of the first word, hash, row) of windows by their words, with numbers and names as they stand.
+
+    Full windows are those that windows() leaves out. Smaller ones have the given widths; of items they are whole
+    items, of documents all but what windows() has of texts as short. A single number is no window.
+    """
+    n = len(t.words)
+    rows = np.repeat(np.arange(len(t.rows) - 1), np.diff(t.rows))
+    left = t.rows[rows + 1] - np.arange(n) if n else np.zeros(0, dtype=np.int64)
+    at_start = np.arange(n) == t.rows[rows] if n else np.zeros(0, dtype=bool)
+    words = np.concatenate([[0], np.cumsum((t.kinds == WORD) | (t.kinds == NAME))])
+    places, keys = [], []
+    for width in sorted({size, *widths}):
+        at = np.flatnonzero(left >= width)
+        literal = words[at + width] - words[at]
+        if width == size:
+            use = literal < 2
+        else:
+            whole = (left[at] == width) & at_start[at]
+            use = whole if of_items else ~(whole & (literal >= min(2, width)))
+        at = at[use & ((literal > 0) | (width > 1))]
+        sums = np.zeros(len(at), dtype=np.uint64)
+        for k in range(width):
+            sums = (sums + t.words[at + k]) * np.uint64(0x9E3779B97F4A7C15)
+        places.append(at)
+        keys.append(mix64(sums ^ _EXACT ^ np.uint64(width)))
+    place = np.concatenate(places)
+    return place, np.concatenate(keys), rows[place] if n else place
+
+
 @dataclass
 class Index:
     """Benchmark windows in the order of their hashes, and the templates of the items."""
@@ -154,14 +212,17 @@ class Index:
     ids: list[int]
     words: list[np.ndarray]
     kinds: list[np.ndarray]
+    widths: list[int]  # of items shorter than a window
 
 
 def build_index(ids: list[int], texts: list[str | None]) -> Index:
     t = template(pa.array(texts, pa.string()))
-    place, keys, row = windows(t)
+    lengths = np.diff(t.rows)
+    widths = np.unique(lengths[(lengths > 0) & (lengths < WINDOW)]).tolist()
+    place, keys, row = (np.concatenate(x) for x in zip(windows(t), exact_windows(t, widths, of_items=True), strict=True))
     order = np.argsort(keys, kind="stable")
     parts = [slice(a, b) for a, b in zip(t.rows[:-1], t.rows[1:], strict=True)]
-    return Index(keys[order], row[order], (place - t.rows[row])[order], ids, [t.words[p] for p in parts], [t.kinds[p] for p in parts])
+    return Index(keys[order], row[order], (place - t.rows[row])[order], ids, [t.words[p] for p in parts], [t.kinds[p] for p in parts], widths)
 
 
 def _covered(item_at: np.ndarray, doc_at: np.ndarray, item_words: np.ndarray, item_kinds: np.ndarray, doc_words: np.ndarray, size: int = WINDOW) -> tuple[int, int, bool]:
@@ -196,7 +257,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     """(id_col, item_id, coverage, n_windows, reparameterised), one row for each document and each item that it holds.
 
     Whole texts are read. Null or empty texts, on either side, match nothing; an item shorter
-    than a window counts as one window if it has a literal word; repeated documents are found
+    than a window counts as one window, found word for word anywhere and, if it has two literal
+    words (or is one), with its slots changed in documents as short; repeated documents are found
     each, repeated items too; empty tables give an empty result; other columns are ignored
     whatever their names. The benchmark is sent to the executors in parts of at most
     pass_windows windows, one pass over the documents for each.
@@ -219,7 +281,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
             filled[(own.keys >> np.uint64(44)).astype(np.int64)] = True
             for part in slices(batches, "__text", 2 << 20):
                 t = template(part.column(1))
-                place, keys, row = windows(t)
+                place, keys, row = (np.concatenate(x) for x in zip(windows(t), exact_windows(t, own.widths), strict=True))
                 maybe = np.flatnonzero(filled[(keys >> np.uint64(44)).astype(np.int64)])
                 low, high = np.searchsorted(own.keys, keys[maybe]), np.searchsorted(own.keys, keys[maybe], side="right")
                 hits = np.repeat(maybe, high - low)

@@ -233,6 +233,26 @@ def test_contaminated_documents(spark):
     assert decontaminate.contaminated(docs_of(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_short_and_number_dense_items_in_longer_documents(spark):
+    items = ["What is 12 + 35?", "Solve 3 + 4", "Solve 3 + 4 + 5 + 6 + 7 + 8", "tiny text", "Add 1.5 to 2.25"]
+    bench = spark.createDataFrame(list(enumerate(items, 1)), "item_id long, text string")
+    rows = [(10 + n, prose(n, 40) + ". " + t + " " + prose(20 + n, 40)) for n, t in enumerate(items, 1)]
+    rows += [(20, prose(31, 30) + " What is 12 + 36? Add 1.7 to 2.25 Solve 4 + 3 tiny texts " + prose(32, 30)), (21, "What is 13 + 36?"), (22, items[1]), (23, "7"), (24, "solve 3 + 4 tiny"), (25, None)]
+    got = {(r["doc_id"], r["item_id"]): (r["coverage"], r["n_windows"], r["reparameterised"]) for r in decontaminate.contaminated(docs_of(spark, rows), bench).collect()}
+    assert set(got) == {(11, 1), (12, 2), (13, 3), (13, 2), (14, 4), (15, 5), (21, 1), (22, 2), (24, 2)}
+    assert got[11, 1] == got[22, 2] == (1.0, 1, False) and got[21, 1] == (1.0, 1, True)
+
+
+def test_numbers_go_on_only_across_commas_and_points():
+    import pyarrow as pa
+
+    kinds = lambda text: decontaminate.template(pa.array([text])).kinds.tolist()
+    assert kinds("is 12 + 35") == kinds("is 12-35") == kinds("is 12 35") == [0, 1, 1]
+    assert kinds("is 3,500.2") == kinds("is twenty-five") == kinds("is 5 million") == [0, 1]
+    a, b, c = (decontaminate.template(pa.array([t])).words for t in ("is 3.5", "is 3.7", "is 3.5"))
+    assert a[1] != b[1] and a[1] == c[1]
+
+
 def test_templates():
     import pyarrow as pa
 
