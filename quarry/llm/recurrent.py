@@ -2,9 +2,10 @@
 
 Token counts are gathered over all training documents. A gated recurrent unit over the most
 frequent words (the rest share one symbol, and enter by their ending) is trained in numpy with
-backpropagation truncated to WINDOW tokens: first on a bounded number of documents, then, from
-there, in every task on its part of a fixed share of all training documents; the tasks' weights
-are averaged by tokens, in a tree. The output softmax is factored into classes. For scoring,
+backpropagation truncated to WINDOW tokens: first on the starts of a bounded number of documents,
+which gives all tasks the same weights to begin with, then, from there, in every task on the
+whole texts of its part of all training documents; the tasks' weights are averaged by tokens, in
+a tree. The output softmax is factored into classes. For scoring,
 the state is carried from window to window, so a document's score is that of its whole text.
 The network is mixed with the counts, so that every word has a probability.
 """
@@ -25,11 +26,11 @@ from quarry.llm.common import crc_mod, slices, staged
 
 ALPHA = 0.1
 #: Classes of the output layer, words of each; input and state size; endings that stand for rare words.
-CLASSES, PER_CLASS, EMBED, HIDDEN, ENDINGS = 32, 32, 16, 24, 64
+CLASSES, PER_CLASS, EMBED, HIDDEN, ENDINGS = 64, 64, 24, 32, 64
 VOCABULARY = CLASSES * PER_CLASS
 END, RARE = 0, 1
-#: Tokens that gradients go back, and that are scored at once; streams trained side by side; documents of the first training and tokens of each; share of the rest, as a remainder of SHARE.
-WINDOW, SCORED, STREAMS, FIRST_DOCS, FIRST_TOKENS, SHARE = 24, 48, 48, 1500, 400, 24
+#: Tokens that gradients go back, and that are scored at once; streams trained side by side; documents of the first training and tokens of each.
+WINDOW, SCORED, STREAMS, FIRST_DOCS, FIRST_TOKENS = 24, 48, 48, 1500, 400
 RATE, CLIP = 4e-3, 5.0
 #: Tokens of a document from which it counts as long; tokens that are scored side by side.
 LONG, HELD = 1500, 600_000
@@ -155,15 +156,15 @@ class Network:
         return out, back
 
     def train(self, documents: list[tuple[np.ndarray, np.ndarray]]) -> int:
-        """One pass over (inputs, targets) of documents, put end to end into STREAMS streams; returns the number of tokens."""
+        """One pass over (inputs, targets) of documents, put end to end into STREAMS streams, the last of which is filled up from the first; returns the number of tokens."""
         if not documents:
             return 0
         inputs = np.concatenate([d[0] for d in documents])
         targets = np.concatenate([d[1] for d in documents])
         first = np.concatenate([np.arange(len(d[0])) == 0 for d in documents])
         streams = max(1, min(STREAMS, len(inputs) // WINDOW))
-        steps = len(inputs) // streams
-        inputs, targets, first = (x[: steps * streams].reshape(streams, steps).T for x in (inputs, targets, first))
+        tokens, steps = len(inputs), -(-len(inputs) // streams)
+        inputs, targets, first = (np.resize(x, steps * streams).reshape(streams, steps).T for x in (inputs, targets, first))
         state = np.zeros((streams, HIDDEN), dtype=np.float32)
         flat = np.zeros_like(self.vector)
         grads, squares = self.split(flat), np.full_like(self.vector, 1e-4)
@@ -200,7 +201,7 @@ class Network:
             squares += 0.02 * flat * flat
             self.vector -= RATE * flat / (np.sqrt(squares) + 1e-4)
             state = last
-        return steps * streams
+        return tokens
 
 
 @dataclass
@@ -288,8 +289,7 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tup
         return pa.table({"group": pa.array([0], pa.int32()), "tokens": pa.array([int(tokens.sum())], pa.int64()), "weights": pa.array([(total_ / tokens.sum()).astype(np.float32).tobytes()], pa.binary())})
 
     shape = "group int, tokens long, weights binary"
-    share = texts.where(F.pmod(F.xxhash64("id"), F.lit(SHARE)) == 0).select("text")
-    refined = share.mapInArrow(refine, shape).groupBy("group").applyInArrow(mean, shape).groupBy("group").applyInArrow(mean, shape).collect()
+    refined = texts.select("text").mapInArrow(refine, shape).groupBy("group").applyInArrow(mean, shape).groupBy("group").applyInArrow(mean, shape).collect()
     if refined:
         model.network = Network(np.frombuffer(bytes(refined[0]["weights"]), dtype=np.float32).copy())
     return model, counts

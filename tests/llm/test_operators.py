@@ -288,6 +288,19 @@ def test_scores(spark, monkeypatch, head):
     assert recurrent.score(frame.limit(0), model, counts).count() == 0
 
 
+def test_network_learns_from_every_training_document(spark, monkeypatch):
+    monkeypatch.setattr(recurrent, "FIRST_DOCS", 1)
+    rows = [(i, f"a{i} b{i} " * 300 + f"end{i}") for i in range(30)]
+    frame = docs_of(spark, rows).coalesce(1)
+    model, _ = recurrent.fit(frame.where(~recurrent.held_out()))
+    moved = (model.network.parts["embed"] != recurrent.Network.fresh().parts["embed"]).any(axis=1)  # only inputs that were learned from move
+    for i, _ in rows:
+        if zlib.crc32(str(i).encode()) % 10:
+            assert all(moved[model.numbers[w.encode()]] for w in (f"a{i}", f"b{i}", f"end{i}"))
+    net, end = recurrent.Network.fresh(), np.zeros(recurrent.WINDOW * 3 + 2, dtype=np.int64)
+    assert net.train([(end, end)]) == len(end)
+
+
 def test_nothing_to_learn_from(spark):
     frame = docs_of(spark, [(1, "a b")])
     model, counts = recurrent.fit(frame.limit(0))
