@@ -56,11 +56,14 @@ def search(chunks: DataFrame, query: list[float], limit: int = 10, per_file: int
 
 
 def nearest_each(chunks: DataFrame, queries: DataFrame, limit: int, most_queries: int = 10_000, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
-    """(query_id, rank, vec_id, score) of many queries at once. Queries are broadcast, so their number is checked; callers pass more in blocks."""
-    n = queries.count()
-    if n > most_queries:
-        raise ValueError(f"{n} queries in one pass; at most {most_queries}")
-    q = F.broadcast(queries.select(F.col(key).alias("query_id"), F.col(vector).alias("__q")))
-    scored = chunks.join(q, F.size(vector) == F.size("__q")).select("query_id", key, cosine(F.col(vector), F.col("__q")).alias("score"))
+    """(query_id, rank, vec_id, score) of many queries at once. Queries are broadcast, in blocks of about most_queries by a hash of their keys."""
+    blocks = max(1, -(-queries.count() // most_queries))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(key))
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    found = None
+    for n in range(blocks):
+        own = queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == n) if blocks > 1 else queries
+        q = F.broadcast(own.select(F.col(key).alias("query_id"), F.col(vector).alias("__q")))
+        scored = chunks.join(q, F.size(vector) == F.size("__q")).select("query_id", key, cosine(F.col(vector), F.col("__q")).alias("score"))
+        ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+        found = ranked if found is None else found.unionByName(ranked)
+    return found

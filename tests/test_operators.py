@@ -129,3 +129,11 @@ def test_streams_agree_with_batches(spark, tmp_path):
         q.awaitTermination(120)
     assert {r["key"]: r["level"] for r in spark.table("gauge").collect()} == {1: 1, 2: 2}
     assert sorted((r["user_id"], r["hints"]) for r in spark.table("runs").collect()) == [(1, 2), (1, 2), (2, 1)]
+
+
+def test_many_queries_run_in_blocks(spark):
+    v = spark.createDataFrame([(i, [float(i % 7 + 1), float(i % 5), float(i % 3)]) for i in range(40)], "vec_id long, embedding array<float>")
+    rows = lambda df: sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in df.collect())
+    asked = v.where("vec_id % 2 = 0")
+    got = rows(search.nearest_each(v, asked, 3, most_queries=6))
+    assert len(got) == 60 and got == rows(search.nearest_each(v, asked, 3))
