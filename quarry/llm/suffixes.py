@@ -1,13 +1,17 @@
 """Exact removal of repeated strings with suffix arrays built by linear grouping.
 
-A string of LENGTH bytes belongs to the smallest hash among its GRAM-byte pieces, so equal
-strings belong to equal pieces wherever they stand. Neighbouring strings with the same piece
-make one stretch of text; stretches are dealt to buckets by the hash of their piece, packed
-and without their bytes. Equal stretches are settled there by their first document. Where one
+A string of LENGTH bytes belongs to the rarest of its GRAM-byte pieces (a sketch of fixed size
+counts them over all documents; a hash decides among pieces as rare), so equal strings belong
+to equal pieces wherever they stand, and a frequent piece only has strings whose pieces are all
+as frequent: those within a passage that many documents repeat, not those at its edges.
+Neighbouring strings with the same piece make one stretch of text; stretches are dealt to
+buckets by the hash of their piece, packed and without their bytes. Equal stretches are settled
+there by their first document, by a hash of 64 bits beside 32 bits of the piece. Where one
 piece has different stretches, the bytes of each different one are fetched once, and a suffix
 array over them finds the strings that they share. It is built by grouping: suffixes with the
 same Lyndon prefix form groups, which are refined in descending order by previous-smaller
-pointers and then put out in order, without renaming and recursion.
+pointers and then put out in order, without renaming and recursion. Where the stretches of one
+piece are many, an array is built for those that agree in a block around the piece.
 """
 
 from __future__ import annotations
@@ -23,10 +27,16 @@ from pyspark.sql import functions as F
 from quarry.llm.common import mix64, slices, staged, text_bytes
 
 LENGTH, GRAM = 50, 16
-#: Bytes of text that are hashed at once, and that fill a bucket about.
-PIECE, BUCKET_BYTES = 4 << 20, 32 << 20
-
-_ENTRY = np.dtype([("m", "<u4"), ("h", "<u8"), ("doc", "<u2"), ("at", "<u4"), ("n", "u1"), ("off", "u1")])
+#: Bytes of text that are hashed at once, that fill a bucket about, and whose buckets make a task.
+PIECE, BUCKET_BYTES, TASK_BYTES = 1 << 20, 4 << 20, 32 << 20
+#: Stretches that a task gathers before it deals them; pieces of a task that are counted only if it has so many.
+GATHERED, SEEN = 250_000, 4
+#: Counters of the frequency sketch, and of one row of it.
+COUNTERS, CHUNK = 1 << 22, 1 << 18
+#: Bytes of the different stretches of one piece from which they are divided by the blocks around it.
+DIVIDED = 1 << 17
+
+_ENTRY = np.dtype([("m", "<u4"), ("h", "<u8"), ("doc", "<u4"), ("at", "<u4"), ("n", "u1"), ("off", "u1")])
 _BASES = [0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
 _KEYS = [mix64(np.arange(s, s + 256, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for s in (1, 5001)]
 _FORTH: list[np.ndarray] = []
@@ -143,23 +153,68 @@ def _powers(n: int) -> None:
         _BACK[:] = [np.multiply.accumulate(np.append(np.uint64(1), np.full(n, pow(b, -1, 1 << 64), dtype=np.uint64))) for b in _BASES]
 
 
-def stretches(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, ...]:
+def _sums(data: np.ndarray, k: int) -> np.ndarray:
+    """Running sums of weighted bytes, from which the hash of any part is a difference."""
+    _powers(max(len(data) + 1, PIECE + 65536))
+    return np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_KEYS[k][data] * _FORTH[k][: len(data)])])
+
+
+def _grams(data: np.ndarray) -> np.ndarray:
+    """Hashes of all pieces of GRAM bytes."""
+    sums = _sums(data, 0)
+    return mix64((sums[GRAM:] - sums[:-GRAM]) * _BACK[0][: max(len(data) - GRAM + 1, 0)])
+
+
+def _slot(grams: np.ndarray) -> np.ndarray:
+    return (grams >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
+
+
+def piece_classes(texts: DataFrame) -> np.ndarray:
+    """For every counter of the sketch, the binary logarithm of how often its pieces occur in all texts.
+
+    A task passes on what it has seen SEEN times or more, so a count may be short by SEEN - 1 for
+    each task. Counts only choose the piece that a string is filed under, never the result.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(COUNTERS, dtype=np.uint32)
+        for _, _, data, _ in _pieces(batches):
+            if len(data) >= GRAM:
+                np.add.at(seen, _slot(_grams(data)), np.uint32(1))
+        for n in range(COUNTERS // CHUNK):
+            own = seen[n * CHUNK : (n + 1) * CHUNK]
+            used = np.flatnonzero(own >= SEEN)
+            if len(used):
+                yield pa.RecordBatch.from_pydict({"chunk": pa.array([n], pa.int32()), "at": pa.array([used.astype(np.uint32).tobytes()], pa.binary()), "n": pa.array([own[used].tobytes()], pa.binary())})
+
+    def add(rows: pa.Table) -> pa.Table:
+        total = np.zeros(CHUNK, dtype=np.int64)
+        for at, n in zip(rows.column("at"), rows.column("n"), strict=True):
+            total[np.frombuffer(at.as_buffer(), dtype=np.uint32)] += np.frombuffer(n.as_buffer(), dtype=np.uint32)
+        return pa.table({"chunk": rows.column("chunk").slice(0, 1), "classes": pa.array([np.frexp(total)[1].astype(np.uint8).tobytes()], pa.binary())})
+
+    out = np.zeros(COUNTERS, dtype=np.uint8)
+    numbered = texts.select(F.lit(0).cast("long").alias("doc"), "text").mapInArrow(count, "chunk int, at binary, n binary")
+    for r in numbered.groupBy("chunk").applyInArrow(add, "chunk int, classes binary").toLocalIterator():
+        out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(bytes(r["classes"]), dtype=np.uint8)
+    return np.minimum(out, 63)
+
+
+def stretches(data: np.ndarray, rows: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, ...]:
     """(row, start, strings, hash of the piece, hash of the bytes, place of the piece in them) of the stretches of texts that follow each other in data."""
     n = len(data)
     none = np.zeros(0, dtype=np.int64)
     if n < LENGTH:
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64), none
-    _powers(max(n, PIECE + 65536))
-    sums = [np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_KEYS[k][data] * _FORTH[k][:n])]) for k in range(2)]
-    grams = mix64((sums[0][GRAM:] - sums[0][:-GRAM]) * _BACK[0][: n - GRAM + 1])
-    key = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
+    grams = _grams(data)
+    key = (classes[_slot(grams)].astype(np.uint64) << np.uint64(58)) | (grams >> np.uint64(38) << np.uint64(32)) | np.arange(len(grams), dtype=np.uint64)
     span, width = LENGTH - GRAM + 1, 1
     while width * 2 <= span:
         key = np.minimum(key[:-width], key[width:])
         width *= 2
     rest = span - width
     key = np.minimum(key[: len(key) - rest], key[rest:]) if rest else key
-    piece = (key & np.uint64(0xFFFFFFFF)).astype(np.int64)  # the smallest piece, the leftmost of equals, of each string
+    piece = (key & np.uint64(0xFFFFFFFF)).astype(np.int64)  # the rarest piece, the leftmost of equals, of each string
     row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
     fits = row[: n - LENGTH + 1] == row[LENGTH - 1 :]
     edge = fits.copy()
@@ -169,7 +224,8 @@ def stretches(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, ...]:
     last[:-1] &= (piece[1:] != piece[:-1]) | ~fits[1:]
     end = np.flatnonzero(last)
     stop = end + LENGTH
-    whole = mix64((sums[1][stop] - sums[1][start]) * _BACK[1][start] ^ ((stop - start).astype(np.uint64) << np.uint64(32)))
+    sums = _sums(data, 1)
+    whole = mix64((sums[stop] - sums[start]) * _BACK[1][start] ^ ((stop - start).astype(np.uint64) << np.uint64(32)))
     own = row[start]
     return own, start - rows[own], end - start + 1, grams[piece[start]], whole, piece[start] - start
 
@@ -195,8 +251,9 @@ def _merged(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
         return row, start, end
     order = np.lexsort((end, start, row))
     row, start, end = row[order], start[order].astype(np.int64), end[order].astype(np.int64)
+    turn = np.cumsum(np.concatenate([[0], row[1:] != row[:-1]]))
     wide = int(end.max()) + 2
-    shifted = np.maximum.accumulate(end + row.astype(np.int64) * wide) - row.astype(np.int64) * wide
+    shifted = np.maximum.accumulate(end + turn * wide) - turn * wide
     new = np.ones(len(row), dtype=bool)
     new[1:] = (row[1:] != row[:-1]) | (start[1:] > shifted[:-1])
     first = np.flatnonzero(new)
@@ -227,37 +284,46 @@ def _reply(doc: np.ndarray, start: np.ndarray, end: np.ndarray, piece: np.ndarra
     return pa.Table.from_arrays([pa.array(keys.astype(np.int64)), *none, s, e, p], names=names)
 
 
-def _dealt(texts: DataFrame, buckets: int) -> DataFrame:
-    """Stretches of all texts, packed by bucket; a stretch that an earlier document of the same part has too is settled at once."""
+def _dealt(texts: DataFrame, buckets: int, classes) -> DataFrame:
+    """Stretches of all texts, packed by bucket; a stretch that an earlier document among those gathered has too is settled at once."""
+
+    def pack(doc: np.ndarray, start: np.ndarray, n: np.ndarray, piece: np.ndarray, whole: np.ndarray, off: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((doc, whole, piece))
+        same = np.zeros(len(order), dtype=bool)
+        same[1:] = (whole[order][1:] == whole[order][:-1]) & (piece[order][1:] == piece[order][:-1])
+        head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
+        later = doc[order] > doc[order[head]]
+        gone, kept = order[later], order[~later]
+        bucket = (piece[kept] >> np.uint64(32)).astype(np.int64) % buckets
+        by = np.argsort(bucket, kind="stable")
+        kept, bucket = kept[by], bucket[by]
+        entries = np.zeros(len(kept), dtype=_ENTRY)
+        entries["m"], entries["h"], entries["at"], entries["n"], entries["off"] = (piece[kept] & np.uint64(0xFFFFFFFF)).astype(np.uint32), whole[kept], start[kept], n[kept], off[kept]
+        cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+        used = np.flatnonzero(np.diff(cuts))
+        names, payload = [], []
+        for b in used.tolist():
+            own = entries[cuts[b] : cuts[b + 1]]
+            docs, own["doc"] = np.unique(doc[kept[cuts[b] : cuts[b + 1]]], return_inverse=True)
+            names.append(docs.astype(np.int64).tobytes())
+            payload.append(own.tobytes())
+        spans = np.stack([x.astype(np.int64) for x in _merged(doc[gone], start[gone], start[gone] + n[gone] + LENGTH - 1)], axis=1)
+        spread = np.array_split(spans, len(used))
+        return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(names, pa.binary()), pa.array(payload, pa.binary()), pa.array([s.tobytes() for s in spread], pa.binary())], names=["bucket", "ids", "entries", "spans"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, held, size = classes.value, [], 0
         for ids, base, data, rows in _pieces(batches):
-            row, start, n, piece, whole, off = stretches(data, rows)
+            row, start, n, piece, whole, off = stretches(data, rows, known)
             if not len(row):
                 continue
-            order = np.lexsort((ids[row], whole, piece))
-            same = np.zeros(len(order), dtype=bool)
-            same[1:] = (whole[order][1:] == whole[order][:-1]) & (piece[order][1:] == piece[order][:-1])
-            head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-            later = ids[row[order]] > ids[row[order[head]]]
-            gone, kept = order[later], order[~later]
-            bucket = (piece[kept] >> np.uint64(32)).astype(np.int64) % buckets
-            by = np.argsort(bucket, kind="stable")
-            kept, bucket = kept[by], bucket[by]
-            entries = np.zeros(len(kept), dtype=_ENTRY)
-            entries["m"], entries["h"], entries["doc"], entries["at"], entries["n"], entries["off"] = (piece[kept] & np.uint64(0xFFFFFFFF)).astype(np.uint32), whole[kept], row[kept], start[kept] + base[row[kept]], n[kept], off[kept]
-            cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-            used = np.flatnonzero(np.diff(cuts))
-            names, payload = [], []
-            for b in used.tolist():
-                own = entries[cuts[b] : cuts[b + 1]].copy()
-                docs, own["doc"] = np.unique(own["doc"], return_inverse=True)
-                names.append(ids[docs].astype(np.int64).tobytes())
-                payload.append(own.tobytes())
-            g_row, g_start, g_end = _merged(row[gone], start[gone] + base[row[gone]], start[gone] + base[row[gone]] + n[gone] + LENGTH - 1)
-            spans = np.stack([ids[g_row].astype(np.int64), g_start.astype(np.int64), g_end.astype(np.int64)], axis=1) if len(g_row) else np.zeros((0, 3), dtype=np.int64)
-            spread = np.array_split(spans, len(used)) if len(used) else []
-            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(names, pa.binary()), pa.array(payload, pa.binary()), pa.array([s.tobytes() for s in spread], pa.binary())], names=["bucket", "ids", "entries", "spans"])
+            held.append((ids[row], start + base[row], n.astype(np.uint8), piece, whole, off.astype(np.uint8)))
+            size += len(row)
+            if size >= GATHERED:
+                yield pack(*[np.concatenate(c) for c in zip(*held, strict=True)])
+                held, size = [], 0
+        if held:
+            yield pack(*[np.concatenate(c) for c in zip(*held, strict=True)])
 
     return texts.mapInArrow(run, "bucket int, ids binary, entries binary, spans binary")
 
@@ -338,7 +404,7 @@ def _shared(table: pa.Table) -> pa.Table:
     piece, doc, at, off = (table.column(c).combine_chunks().flatten().to_numpy() for c in ("piece", "doc", "at", "off"))
     texts = table.column("bytes").combine_chunks().flatten()
     hopeful = _hopeful(texts, piece, doc, off)
-    piece, doc, at, texts = piece[hopeful], doc[hopeful], at[hopeful], texts.take(pa.array(hopeful)).to_pylist()
+    piece, doc, at, off, texts = piece[hopeful], doc[hopeful], at[hopeful], off[hopeful], texts.take(pa.array(hopeful)).to_pylist()
     order = np.argsort(piece, kind="stable")
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(piece[order])) + 1, [len(order)]]) if len(order) else np.zeros(1, dtype=np.int64)
     out = []
@@ -348,17 +414,44 @@ def _shared(table: pa.Table) -> pa.Table:
         for i in mine.tolist():
             same.setdefault(texts[i], []).append(i)
         heads = np.array([x[0] for x in same.values()])
-        which, start = _repeats(list(same), doc[heads])
-        for k, places in enumerate(same.values()):
-            own = start[which == k]
-            if len(own):
-                for i in places:
+        found = list(same)
+        for which, start in _parts(found, off[heads], doc[heads]):
+            by = np.argsort(which, kind="stable")
+            which, start = which[by], start[by]
+            ends = np.searchsorted(which, np.arange(len(found) + 1))
+            for k in np.unique(which).tolist():
+                own = start[ends[k] : ends[k + 1]]
+                for i in same[found[k]]:
                     out.append((np.full(len(own), doc[i]), at[i] + own, at[i] + own + LENGTH))
     none = np.zeros(0, dtype=np.int64)
     d, s, e = (np.concatenate(c) for c in zip((none, none, none), *out, strict=True))
     return _reply(d, s, e).select(["doc", "start", "end"])
 
 
+def _parts(texts: list[bytes], off: np.ndarray, doc: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text, start) of _repeats; many texts are divided, for each block around the piece, into those that agree in it.
+
+    A string with its piece at place o covers the first, second or third block as o goes from the
+    end of its string to the start, so each string is looked for with exactly one block.
+    """
+    if sum(map(len, texts)) <= DIVIDED:
+        yield _repeats(texts, doc)
+        return
+    rest = LENGTH - GRAM
+    third = rest // 3
+    for least, most in ((0, third - 1), (third, 2 * third - 1), (2 * third, rest)):  # places of the piece in the string
+        agree: dict[bytes, list[tuple[int, int]]] = {}
+        for k, (t, o) in enumerate(zip(texts, off.tolist(), strict=True)):
+            a, b = max(o - most, 0), min(o - least + LENGTH, len(t))  # all strings of this block
+            if o - least >= 0 and b - a >= LENGTH and a <= o - least:
+                agree.setdefault(t[o - least : o + GRAM + rest - most], []).append((k, a, b))
+        for own in agree.values():
+            if len(own) > 1:
+                which = np.array([k for k, _, _ in own])
+                found, start = _repeats([texts[k][a:b] for k, a, b in own], doc[which])
+                yield which[found], start + np.array([a for _, a, _ in own])[found]
+
+
 def _repeats(texts: list[bytes], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text, start) of the strings of different texts that a text of a smaller document has too."""
     symbols: list[int] = []
@@ -390,8 +483,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(doc, start array<int>, end array<int>): byte spans of the strings of LENGTH bytes that also start in a document of a smaller id."""
     texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.encode(F.col(text_col), "UTF-8").alias("text"))
     size = texts.select(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    buckets = int(max(docs.sparkSession.sparkContext.defaultParallelism, 16, -(-size // BUCKET_BYTES)))
-    settled = staged(_dealt(texts, buckets).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_settle, _REPLY), "settled")
+    spark = docs.sparkSession
+    buckets = int(max(spark.sparkContext.defaultParallelism, 16, -(-size // BUCKET_BYTES)))
+    tasks = int(max(spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES)))
+    classes = spark.sparkContext.broadcast(piece_classes(texts))  # COUNTERS bytes
+    settled = staged(_dealt(texts, buckets, classes).repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_settle, _REPLY), "settled")
     asks = settled.where("ask IS NOT NULL").groupBy("doc").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("ask", "strings", "piece")])
     asks = staged(asks, "asks")
     shared = staged(_fetched(texts.join(asks, "doc"), 8 * buckets).groupBy("bucket").applyInArrow(_shared, "doc long, start array<int>, end array<int>"), "shared")

@@ -117,13 +117,23 @@ def test_suffix_dedup_matches_brute_force(spark):
     assert suffixes.deduplicate(docs_of(spark, [(None, "q" * 90), (1, "q" * 90)])).where("n_removed > 0").count() == 0
 
 
+@pytest.mark.parametrize("divided", [1 << 17, 0])
+def test_one_common_line_in_most_documents(spark, monkeypatch, divided):
+    monkeypatch.setattr(suffixes, "DIVIDED", divided)
+    monkeypatch.setattr(suffixes, "GATHERED", 2000)
+    line = "All rights to this page are reserved by those who wrote it, as far as the law has it. "
+    rows = [(i, prose(i % 90, 12) + line[i % 7 :] * (i % 3) + prose(i % 40 + 100, 12) + line[: 50 + i % 30]) for i in range(600)]
+    got = sorted(tuple(r) for r in suffixes.deduplicate(docs_of(spark, rows).repartition(6)).drop("kept").collect())
+    assert got == brute_dedup(rows)
+
+
 def test_long_texts_come_in_parts(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "PIECE", 2000)
     import pyarrow as pa
 
     text = prose(8, 1500).encode()
     batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([text, text[100:]], pa.binary())], names=["doc", "text"])
-    starts = sorted(int(ids[r]) * 10**6 + int(base[r]) + int(s) + k for ids, base, data, rows in suffixes._pieces(iter([batch])) for r, s, n in zip(*suffixes.stretches(data, rows)[:3]) for k in range(n))
+    starts = sorted(int(ids[r]) * 10**6 + int(base[r]) + int(s) + k for ids, base, data, rows in suffixes._pieces(iter([batch])) for r, s, n in zip(*suffixes.stretches(data, rows, np.zeros(suffixes.COUNTERS, dtype=np.uint8))[:3]) for k in range(n))
     assert starts == [10**6 + k for k in range(len(text) - 49)] + [2 * 10**6 + k for k in range(len(text) - 149)]
 
 
