@@ -2,12 +2,13 @@
 
 Token counts are gathered over all training documents. A gated recurrent unit over the most
 frequent words (the rest share one symbol, and enter by their ending) is trained in numpy with
-backpropagation truncated to WINDOW tokens: first on the starts of a bounded number of documents,
-which gives all tasks the same weights to begin with, then, from there, in every task on the
-whole texts of its part of all training documents; the tasks' weights are averaged by tokens, in
-a tree. The output softmax is factored into classes. For scoring,
-the state is carried from window to window, so a document's score is that of its whole text.
-The network is mixed with the counts, so that every word has a probability.
+backpropagation truncated to WINDOW tokens, on the whole texts of all training documents: a hash
+deals each document to one of a few rounds and to one shard of its round. Shards train side by
+side, from the weights that the round before left, and their weights are averaged by tokens, in
+a tree and in a fixed order; so the model depends on the documents, not on how rows fall into
+partitions. The state starts anew with each document. The output softmax is factored into
+classes. For scoring, the state is carried from window to window, so a document's score is that
+of its whole text. The network is mixed with the counts, so that every word has a probability.
 """
 
 from __future__ import annotations
@@ -26,12 +27,15 @@ from quarry.llm.common import crc_mod, slices, staged
 
 ALPHA = 0.1
 #: Classes of the output layer, words of each; input and state size; endings that stand for rare words.
-CLASSES, PER_CLASS, EMBED, HIDDEN, ENDINGS = 64, 64, 24, 32, 64
+CLASSES, PER_CLASS, EMBED, HIDDEN, ENDINGS = 64, 64, 32, 48, 64
 VOCABULARY = CLASSES * PER_CLASS
 END, RARE = 0, 1
-#: Tokens that gradients go back, and that are scored at once; streams trained side by side; documents of the first training and tokens of each.
-WINDOW, SCORED, STREAMS, FIRST_DOCS, FIRST_TOKENS = 24, 48, 48, 1500, 400
-RATE, CLIP = 4e-3, 5.0
+#: Tokens that gradients go back, and that are scored at once; streams trained side by side, and steps that each has at least where texts are few.
+WINDOW, SCORED, STREAMS, STEPS = 24, 48, 256, 24
+#: Share of the training documents that the rounds end with, and the size of steps in each.
+ROUNDS, RATES, CLIP = (0.1, 0.25, 0.5, 1.0), (6e-3, 5e-3, 4e-3, 2e-3), 5.0
+#: Tokens of a shard (more where that would make over MOST_SHARDS), tokens that are laid out at once, shards that are averaged together.
+SHARD, MOST_SHARDS, LAID_OUT, AVERAGED = 1_500_000, 65_536, 400_000, 64
 #: Tokens of a document from which it counts as long; tokens that are scored side by side.
 LONG, HELD = 1500, 600_000
 #: Weight of the network in the mixture with the counts.
@@ -78,6 +82,8 @@ class Network:
 
     vector: np.ndarray
     parts: dict[str, np.ndarray] = field(default_factory=dict)
+    squares: np.ndarray | None = None  # of gradients so far, by which steps are sized, and how many there were
+    updates: int = 0
 
     SHAPES = {"embed": (VOCABULARY + ENDINGS, EMBED), "w": (EMBED, 3 * HIDDEN), "u": (HIDDEN, 3 * HIDDEN), "b": (3 * HIDDEN,), "class_w": (HIDDEN, CLASSES), "class_b": (CLASSES,), "word_w": (CLASSES, HIDDEN, PER_CLASS), "word_b": (CLASSES, PER_CLASS)}
 
@@ -103,14 +109,20 @@ class Network:
     def __post_init__(self):
         self.parts = self.split(self.vector)
 
-    def forward(self, inputs: np.ndarray, state: np.ndarray, kept: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """States after each of T inputs (T x B), from a state (B x HIDDEN), and the last one."""
+    def forward(self, inputs: np.ndarray, state: np.ndarray, kept: list | None = None, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """States after each of T inputs (T x B), from a state (B x HIDDEN), and the last one; keep (T x B) is 0 where a document begins."""
         p = self.parts
         a = p["embed"][inputs] @ p["w"] + p["b"]
-        out = np.empty((*inputs.shape, HIDDEN), dtype=np.float32)
+        out = np.empty((*inputs.shape, HIDDEN), dtype=self.vector.dtype)
         for t in range(len(inputs)):
+            if keep is not None:
+                state = state * keep[t][:, None]
             g = state @ p["u"]
-            zr = 1 / (1 + np.exp(-(a[t, :, : 2 * HIDDEN] + g[:, : 2 * HIDDEN])))
+            zr = a[t, :, : 2 * HIDDEN] + g[:, : 2 * HIDDEN]
+            zr *= -1
+            np.exp(zr, out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
             z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
             n = np.tanh(a[t, :, 2 * HIDDEN :] + r * g[:, 2 * HIDDEN :])
             if kept is not None:
@@ -155,52 +167,73 @@ class Network:
                 back[mine] += d @ p["word_w"][c].T
         return out, back
 
-    def train(self, documents: list[tuple[np.ndarray, np.ndarray]]) -> int:
-        """One pass over (inputs, targets) of documents, put end to end into STREAMS streams, the last of which is filled up from the first; returns the number of tokens."""
+    def gradients(self, x: np.ndarray, y: np.ndarray, state: np.ndarray, keep: np.ndarray, flat: np.ndarray) -> tuple[float, np.ndarray]:
+        """Adds the gradients of the sum of -ln P of the targets of a window to flat; returns that sum and the last state."""
+        p, grads = self.parts, self.split(flat)
+        kept: list = []
+        states, last = self.forward(x, state, kept, keep)
+        ln, back = self.log_probs(states.reshape(-1, HIDDEN), y.ravel(), grads)
+        back = back.reshape(*y.shape, HIDDEN)
+        carried = np.zeros_like(state)
+        d_a = np.empty((*x.shape, 3 * HIDDEN), dtype=self.vector.dtype)
+        d_g = np.empty_like(d_a)
+        for t in range(len(x) - 1, -1, -1):
+            h, z, r, n, gn = kept[t]
+            d = carried + back[t]
+            d_n = d * (1 - z) * (1 - n * n)
+            d_a[t, :, :HIDDEN] = d * (h - n) * z * (1 - z)
+            d_a[t, :, HIDDEN : 2 * HIDDEN] = d_n * gn * r * (1 - r)
+            d_a[t, :, 2 * HIDDEN :] = d_n
+            d_g[t] = d_a[t]
+            d_g[t, :, 2 * HIDDEN :] *= r
+            carried = (d * z + d_g[t] @ p["u"].T) * keep[t][:, None]
+        flat_a = d_a.reshape(-1, 3 * HIDDEN)
+        grads["u"] += np.concatenate([k[0] for k in kept]).T @ d_g.reshape(-1, 3 * HIDDEN)
+        grads["b"] += flat_a.sum(axis=0)
+        grads["w"] += p["embed"][x.ravel()].T @ flat_a
+        d_e = flat_a @ p["w"].T
+        order = np.argsort(x.ravel(), kind="stable")
+        words = x.ravel()[order]
+        heads = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
+        grads["embed"][words[heads]] += np.add.reduceat(d_e[order], heads, axis=0)
+        return -float(ln.sum()), last
+
+    def train(self, documents: list[tuple[np.ndarray, np.ndarray]], rate: float = RATES[0]) -> int:
+        """One pass over (inputs, targets) of documents, put end to end into streams, the last of which is filled up from the first; returns the number of tokens."""
         if not documents:
             return 0
         inputs = np.concatenate([d[0] for d in documents])
         targets = np.concatenate([d[1] for d in documents])
-        first = np.concatenate([np.arange(len(d[0])) == 0 for d in documents])
-        streams = max(1, min(STREAMS, len(inputs) // WINDOW))
+        begins = np.zeros(len(inputs), dtype=bool)
+        begins[np.cumsum([0, *[len(d[0]) for d in documents[:-1]]])] = True
+        streams = max(1, min(STREAMS, len(inputs) // (WINDOW * STEPS)))
         tokens, steps = len(inputs), -(-len(inputs) // streams)
-        inputs, targets, first = (np.resize(x, steps * streams).reshape(streams, steps).T for x in (inputs, targets, first))
-        state = np.zeros((streams, HIDDEN), dtype=np.float32)
-        flat = np.zeros_like(self.vector)
-        grads, squares = self.split(flat), np.full_like(self.vector, 1e-4)
-        p = self.parts
+        inputs, targets, begins = (np.resize(x, steps * streams).reshape(streams, steps).T for x in (inputs, targets, begins))
+        keep = np.where(begins, 0, 1).astype(self.vector.dtype)
+        keep[0] = 0
+        state = np.zeros((streams, HIDDEN), dtype=self.vector.dtype)
+        flat, work = np.zeros_like(self.vector), np.empty_like(self.vector)
+        if self.squares is None:
+            self.squares = np.zeros_like(self.vector)
         for at in range(0, steps, WINDOW):
-            x, y = inputs[at : at + WINDOW], targets[at : at + WINDOW]
-            state = np.where(first[at][:, None], 0, state).astype(np.float32)
-            kept: list = []
-            states, last = self.forward(x, state, kept)
             flat[...] = 0
-            _, back = self.log_probs(states.reshape(-1, HIDDEN), y.ravel(), grads)
-            back = back.reshape(*y.shape, HIDDEN)
-            carried = np.zeros_like(state)
-            d_a = np.empty((*x.shape, 3 * HIDDEN), dtype=np.float32)
-            for t in range(len(x) - 1, -1, -1):
-                h, z, r, n, gn = kept[t]
-                d = carried + back[t]
-                d_n = d * (1 - z) * (1 - n * n)
-                d_z = d * (h - n) * z * (1 - z)
-                d_r = d_n * gn * r * (1 - r)
-                d_a[t] = np.concatenate([d_z, d_r, d_n], axis=1)
-                d_g = np.concatenate([d_z, d_r, d_n * r], axis=1)
-                grads["u"] += h.T @ d_g
-                carried = d * z + d_g @ p["u"].T
-            flat_a = d_a.reshape(-1, 3 * HIDDEN)
-            grads["b"] += flat_a.sum(axis=0)
-            grads["w"] += p["embed"][x.ravel()].T @ flat_a
-            np.add.at(grads["embed"], x.ravel(), flat_a @ p["w"].T)
+            x = inputs[at : at + WINDOW]
+            _, state = self.gradients(x, targets[at : at + WINDOW], state, keep[at : at + WINDOW], flat)
             flat /= streams
-            size = float(np.sqrt((flat * flat).sum()))
+            size = float(np.sqrt(flat @ flat))
             if size > CLIP:
                 flat *= CLIP / size
-            squares *= 0.98
-            squares += 0.02 * flat * flat
-            self.vector -= RATE * flat / (np.sqrt(squares) + 1e-4)
-            state = last
+            np.multiply(flat, flat, out=work)
+            work *= 0.02
+            self.squares *= 0.98
+            self.squares += work
+            self.updates += 1
+            np.sqrt(self.squares, out=work)
+            work *= (1 - 0.98**self.updates) ** -0.5
+            work += 1e-4
+            np.divide(flat, work, out=work)
+            work *= rate
+            self.vector -= work
         return tokens
 
 
@@ -241,7 +274,7 @@ def _vocabulary(counts: dict[bytes, int]) -> dict[bytes, int]:
 
 
 def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[Model, DataFrame]:
-    """(model, written table of all token counts). train holds the documents that may be learned from; their whole texts are counted."""
+    """(model, written table of all token counts). train holds the documents that may be learned from: all their whole texts are counted and trained on."""
     texts = train.select(F.col(id_col).alias("id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("text"))
     counts = staged(token_counts(texts.select("text")), "counts")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
@@ -257,42 +290,61 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tup
     model = Model(known, numbers, int(total[0]), int(total[1]), 0.0, Network.fresh())
     inside = sum((known.get(w, 0) + ALPHA) / model.norm for w in numbers)
     model.rest = float(np.log(max(1 - inside, 1e-12)))
-    spark = train.sparkSession
-    # about twice as many as are wanted pass the filter, so that tasks send the driver little
-    near = 2 * FIRST_DOCS / max(1, known.get(b"", FIRST_DOCS))
-    first = texts.select(F.substring("text", 1, 16 * FIRST_TOKENS).alias("text"), F.xxhash64("id").alias("at")).where(F.col("at") < int(min(near, 1) * 2**64) - 2**63 - 1).orderBy("at", "text").limit(FIRST_DOCS).collect()
-    packed = model.packed()
-    coded = [model.encode(tokens_of(bytes(r["text"]))[-FIRST_TOKENS:], packed)[:2] for r in first]
-    for _ in range(2):
-        model.network.train(coded)
+    documents = texts.select("text", F.xxhash64("id", "text").alias("at"))
+    begin = 0.0
+    for end, rate in zip(ROUNDS, RATES, strict=True):
+        place = F.shiftrightunsigned("at", 33)  # 31 bits say which round, the others which shard
+        mine = documents.where((place >= int(begin * 2**31)) & (place < int(end * 2**31)))
+        model.network = _round(mine, model, rate, max(1, round(model.train_tokens * (end - begin))))
+        begin = end
+    return model, counts
+
+
+def _round(documents: DataFrame, model: Model, rate: float, tokens: int) -> Network:
+    """The network after one round over documents (text, at), about so many tokens: shards train side by side from model's weights."""
+    spark = documents.sparkSession
     sent = spark.sparkContext.broadcast(model)
+    shards = min(-(-tokens // SHARD), MOST_SHARDS)
 
     def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = sent.value
-        own, done, waiting, size, packed = Network(base.network.vector.copy()), 0, [], 0, base.packed()
+        base: Model = sent.value
+        packed, now, own, done, waiting, size = base.packed(), None, None, 0, [], 0
+
+        def result() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"shard": pa.array([now], pa.int64()), "tokens": pa.array([done], pa.int64()), "weights": pa.array([own.vector.tobytes()], pa.binary())})
+
         for part in slices(batches, "text"):
-            for text in part.column(0).to_pylist():
+            for shard, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                if shard != now or size >= LAID_OUT:
+                    done += own.train(waiting, rate) if waiting else 0
+                    waiting, size = [], 0
+                if shard != now:
+                    if own is not None:
+                        yield result()
+                    now, own, done = shard, Network(base.network.vector.copy()), 0
                 waiting.append(base.encode(tokens_of(text), packed)[:2])
                 size += len(waiting[-1][0])
-                if size > 200_000:
-                    done += own.train(waiting)
-                    waiting, size = [], 0
-        done += own.train(waiting)
-        if done:
-            yield pa.RecordBatch.from_pydict({"group": pa.array([TaskContext.get().partitionId() % 64], pa.int32()), "tokens": pa.array([done], pa.int64()), "weights": pa.array([own.vector.tobytes()], pa.binary())})
+        if own is not None:
+            done += own.train(waiting, rate)
+            yield result()
 
     def mean(rows: pa.Table) -> pa.Table:
-        tokens = np.array(rows.column("tokens").to_pylist(), dtype=np.float64)
-        total_ = np.zeros(len(sent.value.network.vector))
-        for n, w in zip(tokens, rows.column("weights"), strict=True):
-            total_ += n * np.frombuffer(w.as_py(), dtype=np.float32)
-        return pa.table({"group": pa.array([0], pa.int32()), "tokens": pa.array([int(tokens.sum())], pa.int64()), "weights": pa.array([(total_ / tokens.sum()).astype(np.float32).tobytes()], pa.binary())})
-
-    shape = "group int, tokens long, weights binary"
-    refined = texts.select("text").mapInArrow(refine, shape).groupBy("group").applyInArrow(mean, shape).groupBy("group").applyInArrow(mean, shape).collect()
-    if refined:
-        model.network = Network(np.frombuffer(bytes(refined[0]["weights"]), dtype=np.float32).copy())
-    return model, counts
+        order = np.argsort(rows.column("shard").to_numpy(), kind="stable").tolist()
+        tokens_ = rows.column("tokens").to_pylist()
+        total = np.zeros(len(sent.value.network.vector))
+        for i in order:
+            total += tokens_[i] * np.frombuffer(rows.column("weights")[i].as_buffer(), dtype=np.float32)
+        return pa.table({"shard": pa.array([rows.column("shard")[0].as_py() // AVERAGED], pa.int64()), "tokens": pa.array([sum(tokens_)], pa.int64()), "weights": pa.array([(total / sum(tokens_)).astype(np.float32).tobytes()], pa.binary())})
+
+    shape = "shard long, tokens long, weights binary"
+    dealt = documents.select(F.pmod("at", F.lit(shards)).alias("shard"), "text", "at")
+    trained = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "at").select("shard", "text").mapInArrow(refine, shape)
+    trained = staged(trained, "trained")
+    while shards > 1:
+        trained = trained.groupBy(F.floor(F.col("shard") / AVERAGED).alias("group")).applyInArrow(mean, shape)
+        shards = -(-shards // AVERAGED)
+    found = trained.collect()
+    return Network(np.frombuffer(bytes(found[0]["weights"]), dtype=np.float32).copy()) if found else model.network
 
 
 def _window_scores(net: Network, inputs: list[np.ndarray], targets: list[np.ndarray]) -> np.ndarray:

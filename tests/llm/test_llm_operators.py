@@ -298,8 +298,9 @@ def test_scores(spark, monkeypatch, head):
     assert recurrent.score(frame.limit(0), model, counts).count() == 0
 
 
-def test_network_learns_from_every_training_document(spark, monkeypatch):
-    monkeypatch.setattr(recurrent, "FIRST_DOCS", 1)
+@pytest.mark.parametrize("shard", [1_500_000, 800])
+def test_network_learns_from_every_training_document(spark, monkeypatch, shard):
+    monkeypatch.setattr(recurrent, "SHARD", shard)
     rows = [(i, f"a{i} b{i} " * 300 + f"end{i}") for i in range(30)]
     frame = docs_of(spark, rows).coalesce(1)
     model, _ = recurrent.fit(frame.where(~recurrent.held_out()))
@@ -307,10 +308,28 @@ def test_network_learns_from_every_training_document(spark, monkeypatch):
     for i, _ in rows:
         if zlib.crc32(str(i).encode()) % 10:
             assert all(moved[model.numbers[w.encode()]] for w in (f"a{i}", f"b{i}", f"end{i}"))
+    again, _ = recurrent.fit(frame.repartition(5).where(~recurrent.held_out()))
+    assert (again.network.vector == model.network.vector).all()  # rows may lie in any partitions
     net, end = recurrent.Network.fresh(), np.zeros(recurrent.WINDOW * 3 + 2, dtype=np.int64)
     assert net.train([(end, end)]) == len(end)
 
 
+def test_network_gains_over_the_counts_on_held_out_documents(spark):
+    rng = random.Random(2)
+    follows = {f"w{k}": [f"w{rng.randrange(40)}" for _ in range(2)] for k in range(40)}
+
+    def text():
+        words = [f"w{rng.randrange(40)}"]
+        while len(words) < 200:
+            words.append(rng.choice(follows[words[-1]]))
+        return " ".join(words)
+
+    frame = docs_of(spark, [(i, text()) for i in range(600)])
+    model, counts = recurrent.fit(frame.where(~recurrent.held_out()))
+    r = recurrent.score(frame, model, counts).where(recurrent.held_out()).groupBy().sum("score", "base_score").first()
+    assert r[0] > 0.6 * r[1]  # half of the bits or more would be gained by knowing both followers of each word
+
+
 def test_nothing_to_learn_from(spark):
     frame = docs_of(spark, [(1, "a b")])
     model, counts = recurrent.fit(frame.limit(0))
@@ -331,15 +350,40 @@ def test_probabilities_sum_to_one_and_state_is_carried():
     assert np.allclose(together, alone, atol=1e-4)
 
 
-def test_gradients():
-    net = recurrent.Network.fresh(2)
+def test_gradients_equal_finite_differences():
+    net = recurrent.Network(recurrent.Network.fresh(2).vector.astype(np.float64))
     rng = np.random.default_rng(1)
-    x = rng.integers(0, 900, 400)
-    loss = lambda: -float(recurrent._window_scores(net, [x], [np.roll(x, -1)]).sum())
-    before = loss()
-    for _ in range(15):
-        net.train([(x, np.roll(x, -1))])
-    assert loss() < 0.9 * before
+    x, y = rng.integers(0, 900, (7, 5)), rng.integers(0, 900, (7, 5))
+    keep = np.ones((7, 5))
+    keep[0], keep[3, 1], keep[5, 4] = 0, 0, 0
+    start = rng.normal(size=(5, recurrent.HIDDEN))
+    loss = lambda: net.gradients(x, y, start, keep, np.zeros_like(net.vector))[0]
+    flat = np.zeros_like(net.vector)
+    net.gradients(x, y, start, keep, flat)
+    names, at = recurrent.Network.split(np.arange(len(flat))), []
+    for name, places in names.items():
+        used = np.flatnonzero(flat[places.ravel()])
+        assert len(used), name
+        at += places.ravel()[rng.choice(used, 8)].tolist()
+    for k in at:
+        was = net.vector[k]
+        net.vector[k] = was + 1e-5
+        up = loss()
+        net.vector[k] = was - 1e-5
+        down = loss()
+        net.vector[k] = was
+        assert abs((up - down) / 2e-5 - flat[k]) < 1e-5 + 1e-4 * abs(flat[k])
+
+
+def test_state_starts_anew_with_each_document():
+    net = recurrent.Network.fresh(5)
+    rng = np.random.default_rng(2)
+    a, b = rng.integers(0, 900, 9), rng.integers(0, 900, 11)
+    keep = np.ones((20, 1), dtype=np.float32)
+    keep[[0, 9]] = 0
+    zero = np.zeros((1, recurrent.HIDDEN), dtype=np.float32)
+    together, _ = net.forward(np.concatenate([a, b])[:, None], zero, None, keep)
+    assert np.allclose(together[9:], net.forward(b[:, None], zero)[0], atol=1e-6)
 
 
 # --- 7: archives -------------------------------------------------------------------------------
