@@ -33,8 +33,8 @@ PIECE, BUCKET_BYTES, TASK_BYTES = 1 << 20, 4 << 20, 32 << 20
 GATHERED, SEEN = 250_000, 4
 #: Counters of the frequency sketch, and of one row of it.
 COUNTERS, CHUNK = 1 << 22, 1 << 18
-#: Bytes of the different stretches of one piece from which they are divided by the blocks around it.
-DIVIDED = 1 << 17
+#: Bytes of stretches that one suffix array holds, and from which those of one piece are divided by the blocks around it.
+RUN, DIVIDED = 1 << 16, 1 << 17
 
 _ENTRY = np.dtype([("m", "<u4"), ("h", "<u8"), ("doc", "<u4"), ("at", "<u4"), ("n", "u1"), ("off", "u1")])
 _BASES = [0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
@@ -355,20 +355,19 @@ def _settle(table: pa.Table) -> pa.Table:
     return pa.concat_tables([removed, asked])
 
 
-def _fetched(asked: DataFrame, buckets: int) -> DataFrame:
-    """Bytes of the stretches that were asked for, packed by bucket."""
+def _fetched(asked: DataFrame) -> DataFrame:
+    """(piece, doc, at, off, bytes) of the stretches that were asked for, one a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", PIECE):
-            found: dict[int, list[tuple]] = {}
-            for doc, text, asks, strings, pieces in zip(*[c.to_pylist() for c in part.columns], strict=True):
-                for a, n, p in zip(asks, strings, pieces, strict=True):
-                    found.setdefault((p ^ (p >> 32)) % buckets, []).append((p, doc, a, n >> 6, text[a : a + (n & 63) + LENGTH - 1]))
-            if found:
-                p, d, a, o, b = ([list(x) for x in c] for c in zip(*[zip(*rows, strict=True) for rows in found.values()], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array(p, pa.list_(pa.int64())), pa.array(d, pa.list_(pa.int64())), pa.array(a, pa.list_(pa.int32())), pa.array(o, pa.list_(pa.int32())), pa.array(b, pa.list_(pa.binary()))], names=["bucket", "piece", "doc", "at", "off", "bytes"])
+            asks = part.column(2)
+            row = np.repeat(np.arange(part.num_rows), np.asarray(pa.compute.list_value_length(asks)))
+            at, coded, piece = (np.asarray(part.column(c).flatten()) for c in (2, 3, 4))
+            texts = part.column(1).to_pylist()
+            cut = [texts[r][a : a + n] for r, a, n in zip(row.tolist(), at.tolist(), ((coded & 63) + LENGTH - 1).tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array(np.asarray(part.column(0))[row]), pa.array(at), pa.array(coded >> 6), pa.array(cut, pa.binary())], names=["piece", "doc", "at", "off", "bytes"])
 
-    return asked.select("doc", "text", "ask", "strings", "piece").mapInArrow(run, "bucket int, piece array<long>, doc array<long>, at array<int>, off array<int>, bytes array<binary>")
+    return asked.select("doc", "text", "ask", "strings", "piece").mapInArrow(run, "piece long, doc long, at int, off int, bytes binary")
 
 
 def _hopeful(texts: pa.Array, piece: np.ndarray, doc: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -400,32 +399,36 @@ def _hopeful(texts: pa.Array, piece: np.ndarray, doc: np.ndarray, off: np.ndarra
 
 
 def _shared(table: pa.Table) -> pa.Table:
-    """Suffix arrays over the different stretches of each piece: strings that an earlier document has too are removed."""
-    piece, doc, at, off = (table.column(c).combine_chunks().flatten().to_numpy() for c in ("piece", "doc", "at", "off"))
-    texts = table.column("bytes").combine_chunks().flatten()
+    """Suffix arrays over the different stretches of pieces: strings that an earlier document has too are removed.
+
+    Equal strings have equal pieces, so one array can hold several pieces: pieces share one until they have RUN bytes.
+    """
+    piece, doc, at, off = (table.column(c).to_numpy() for c in ("piece", "doc", "at", "off"))
+    at, off = at.astype(np.int64), off.astype(np.int64)
+    texts = table.column("bytes").combine_chunks()
     hopeful = _hopeful(texts, piece, doc, off)
     piece, doc, at, off, texts = piece[hopeful], doc[hopeful], at[hopeful], off[hopeful], texts.take(pa.array(hopeful)).to_pylist()
-    order = np.argsort(piece, kind="stable")
-    cuts = np.concatenate([[0], np.flatnonzero(np.diff(piece[order])) + 1, [len(order)]]) if len(order) else np.zeros(1, dtype=np.int64)
-    out = []
-    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        mine = order[a:b]
-        same: dict[bytes, list[int]] = {}
-        for i in mine.tolist():
-            same.setdefault(texts[i], []).append(i)
-        heads = np.array([x[0] for x in same.values()])
-        found = list(same)
-        for which, start in _parts(found, off[heads], doc[heads]):
-            by = np.argsort(which, kind="stable")
-            which, start = which[by], start[by]
-            ends = np.searchsorted(which, np.arange(len(found) + 1))
-            for k in np.unique(which).tolist():
-                own = start[ends[k] : ends[k + 1]]
-                for i in same[found[k]]:
-                    out.append((np.full(len(own), doc[i]), at[i] + own, at[i] + own + LENGTH))
-    none = np.zeros(0, dtype=np.int64)
-    d, s, e = (np.concatenate(c) for c in zip((none, none, none), *out, strict=True))
-    return _reply(d, s, e).select(["doc", "start", "end"])
+    order = np.lexsort((doc, piece)).tolist()
+    same: dict[tuple[int, bytes], list[int]] = {}  # the first of each has the smallest document
+    for i in order:
+        same.setdefault((int(piece[i]), texts[i]), []).append(i)
+    found = [t for _, t in same]
+    places = list(same.values())
+    heads = np.array([x[0] for x in places], dtype=np.int64)
+    sizes = np.cumsum([len(t) for t in found])
+    of = piece[heads]
+    ends = np.append(np.flatnonzero(of[1:] != of[:-1]) + 1, len(of)) if len(of) else np.zeros(0, dtype=np.int64)
+    out, a = [], 0
+    while a < len(found):
+        full = int(sizes[a - 1]) + RUN if a else RUN
+        k = int(np.searchsorted(sizes[ends - 1], full, side="right"))
+        b = max(int(ends[k - 1]) if k else 0, int(ends[np.searchsorted(ends, a, side="right")]))  # whole pieces, one at least
+        for which, start in _parts(found[a:b], off[heads[a:b]], doc[heads[a:b]]):
+            for w, st in zip(which.tolist(), start.tolist(), strict=True):
+                out += [(doc[i], at[i] + st) for i in places[a + w]]
+        a = b
+    d, st = (np.array(c, dtype=np.int64) for c in zip(*out, strict=True)) if out else (np.zeros(0, dtype=np.int64),) * 2
+    return _reply(*_merged(d, st, st + LENGTH)).select(["doc", "start", "end"])
 
 
 def _parts(texts: list[bytes], off: np.ndarray, doc: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -490,7 +493,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     settled = staged(_dealt(texts, buckets, classes).repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_settle, _REPLY), "settled")
     asks = settled.where("ask IS NOT NULL").groupBy("doc").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("ask", "strings", "piece")])
     asks = staged(asks, "asks")
-    shared = staged(_fetched(texts.join(asks, "doc"), 8 * buckets).groupBy("bucket").applyInArrow(_shared, "doc long, start array<int>, end array<int>"), "shared")
+    fetched = _fetched(texts.join(asks, "doc")).withColumn("bucket", F.pmod(F.xxhash64("piece"), F.lit(buckets)))
+    shared = staged(fetched.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_shared, "doc long, start array<int>, end array<int>"), "shared")
     spans = settled.where("start IS NOT NULL").select("doc", "start", "end").unionByName(shared)
     return spans.groupBy("doc").agg(F.flatten(F.collect_list("start")).alias("start"), F.flatten(F.collect_list("end")).alias("end"))
 
