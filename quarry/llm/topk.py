@@ -3,9 +3,10 @@
 Vectors become integers. For a cut of the dimensions into segments, means and deviations
 of the segments give a lower bound of the Euclidean distance, and so, with both norms, an
 upper bound of the inner product. Bounds go from a coarse cut to a fine one; exact products
-are taken only of pairs that no bound could exclude. Queries are a stated set, packed into
-blocks; a pass sends at most PASS_BYTES of blocks to the executors, and further passes take
-the rest, so no broadcast grows with the data.
+are taken only of pairs that no bound could exclude. Queries are a stated set; they are dealt
+to blocks of bounded size, candidates to shares, and each block meets each share in one task:
+the block comes first, then the share streams past it, and only the best of each query leave.
+Nothing goes through the driver, and no broadcast grows with the data.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bytes of query vectors that one pass broadcasts at most.
-PASS_BYTES = 16 << 20
+#: Bytes of query vectors that a task holds about, and of candidates that stream past them.
+BLOCK_BYTES, SHARE_BYTES = 16 << 20, 256 << 20
 #: Query vectors, and candidates, that meet at once: bounds what a task holds, whatever survives.
 BLOCK, CANDIDATES = 256, 1024
 #: Segments at each resolution, coarse to fine.
@@ -26,9 +27,9 @@ LEVELS = (4, 8, 16)
 
 
 def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int = 256) -> DataFrame:
-    """(id, v): v holds floor(scale * x) as longs; vectors that are null, or hold null or non-finite components, are left out, as are null ids."""
+    """(id, v): v holds floor(scale * x) as longs; vectors that are null or empty, or hold null or non-finite components, are left out, as are null ids."""
     x = F.col(vector_col)
-    fine = x.isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
+    fine = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
     return vectors.where(fine & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.transform(x, lambda c: F.floor(F.lit(scale) * c.cast("double"))).alias("v"))
 
 
@@ -51,33 +52,36 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
-def _search(q_ids: np.ndarray, q: np.ndarray, parts: Iterator[tuple[np.ndarray, np.ndarray]], k: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Best k (ids, scores) of each query row over all parts; a row never meets its own id."""
-    rows = len(q_ids)
-    kept_s, kept_i = np.full((rows, k), -np.inf), np.full((rows, k), np.iinfo(np.int64).max)
-    q_norm = (q * q).sum(axis=1)
-    q_stats = [_statistics(q, s) for s in LEVELS]
-    q_rest = [(q_norm - (a * a).sum(axis=1)) / 2 for a in q_stats]
-    for ids, x in parts:
-        x_norm = (x * x).sum(axis=1)
-        open_q = np.repeat(np.arange(rows), len(ids)) if len(ids) < 4 * k else None
-        if open_q is None:
-            bound = kept_s[:, -1]
+class _Best:
+    """Best k (ids, scores) of each query of a block over all candidates that it has met; a query never meets its own id."""
+
+    def __init__(self, q_ids: np.ndarray, q: np.ndarray, k: int):
+        self.q_ids, self.q, self.k = q_ids, q, k
+        self.scores, self.ids = np.full((len(q), k), -np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
+        norm = (q * q).sum(axis=1)
+        self.stats = [_statistics(q, s) for s in LEVELS]
+        self.rest = [(norm - (a * a).sum(axis=1)) / 2 for a in self.stats]
+
+    def meet(self, ids: np.ndarray, x: np.ndarray) -> None:
+        q_ids, q, k, rows = self.q_ids, self.q, self.k, len(self.q)
+        if len(ids) < 4 * k:
+            open_q, open_x = np.repeat(np.arange(rows), len(ids)), np.tile(np.arange(len(ids)), rows)
+        else:
+            x_norm = (x * x).sum(axis=1)
+            bound = self.scores[:, -1]
             a = _statistics(x, LEVELS[0])
-            upper = q_stats[0] @ a.T + q_rest[0][:, None] + ((x_norm - (a * a).sum(axis=1)) / 2)[None, :]
+            upper = self.stats[0] @ a.T + self.rest[0][:, None] + ((x_norm - (a * a).sum(axis=1)) / 2)[None, :]
             if not np.isfinite(bound).all():  # a first threshold: exact scores of the most promising
                 top = np.argpartition(-upper, 2 * k, axis=1)[:, : 2 * k]
                 first = np.einsum("qd,qkd->qk", q, x[top])
                 first[ids[top] == q_ids[:, None]] = -np.inf
                 bound = np.maximum(bound, -np.sort(-first, axis=1)[:, k - 1])
             open_q, open_x = np.nonzero(upper >= bound[:, None] - 0.5)
-            for level, (stats, rest) in enumerate(zip(q_stats[1:], q_rest[1:], strict=True), 1):
+            for level, (stats, rest) in enumerate(zip(self.stats[1:], self.rest[1:], strict=True), 1):
                 a = _statistics(x, LEVELS[level])
                 x_rest = (x_norm - (a * a).sum(axis=1)) / 2
                 keep = np.einsum("nd,nd->n", stats[open_q], a[open_x]) + rest[open_q] + x_rest[open_x] >= bound[open_q] - 0.5
                 open_q, open_x = open_q[keep], open_x[keep]
-        else:
-            open_x = np.tile(np.arange(len(ids)), rows)
         fair = ids[open_x] != q_ids[open_q]
         open_q, open_x = open_q[fair], open_x[fair]
         exact = np.empty(len(open_q))
@@ -87,55 +91,86 @@ def _search(q_ids: np.ndarray, q: np.ndarray, parts: Iterator[tuple[np.ndarray,
         starts = np.searchsorted(open_q, np.arange(rows + 1))
         for r in np.flatnonzero(np.diff(starts)):
             own = slice(starts[r], starts[r + 1])
-            all_i, all_s = np.append(kept_i[r], ids[open_x[own]]), np.append(kept_s[r], exact[own])
+            all_i, all_s = np.append(self.ids[r], ids[open_x[own]]), np.append(self.scores[r], exact[own])
             best = _best(all_i, all_s, k)
-            kept_i[r], kept_s[r] = all_i[best], all_s[best]
-    return {r: (kept_i[r][f], kept_s[r][f]) for r in range(rows) if (f := np.isfinite(kept_s[r])).any()}
+            self.ids[r], self.scores[r] = all_i[best], all_s[best]
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        row, place = np.nonzero(np.isfinite(self.scores))
+        return self.q_ids[row], self.ids[row, place], self.scores[row, place].astype(np.int64)
+
+
+class _Blocks:
+    """The query vectors of a task by their length, in blocks of at most BLOCK."""
+
+    def __init__(self, k: int):
+        self.k, self.waiting, self.ready = k, {}, None
+
+    def ask(self, ids: np.ndarray, lengths: np.ndarray, flat: np.ndarray) -> None:
+        for width in np.unique(lengths).tolist():
+            same = lengths == width
+            self.waiting.setdefault(width, []).append((ids[same], flat[np.repeat(same, lengths)].reshape(-1, width)))
 
+    def meet(self, ids: np.ndarray, lengths: np.ndarray, flat: np.ndarray) -> None:
+        if self.ready is None:
+            self.ready = {}
+            for width, parts in self.waiting.items():
+                i, q = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.float64)
+                self.ready[width] = [_Best(i[a : a + BLOCK], q[a : a + BLOCK], self.k) for a in range(0, len(i), BLOCK)]
+        for width in np.unique(lengths).tolist():
+            same = lengths == width
+            x = flat[np.repeat(same, lengths)].reshape(-1, width).astype(np.float64)
+            for best in self.ready.get(width, ()):
+                best.meet(ids[same], x)
 
-def _of_length(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for ids, lengths, flat in parts:
-        same = lengths == width
-        if same.any():
-            yield ids[same], flat[np.repeat(same, lengths)].reshape(-1, width).astype(np.float64)
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        for best in (b for own in (self.ready or {}).values() for b in own):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in best.found()], names=["query_id", "vec_id", "score"])
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, pass_bytes: int = PASS_BYTES) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, block_bytes: int = BLOCK_BYTES, share_bytes: int = SHARE_BYTES) -> DataFrame:
     """The k highest integer inner products of each query vector over all vectors but its own id.
 
     queries has the same columns as vectors. Returns query_id, rank (from 1), vec_id, score;
     fewer than k rows where there are fewer candidates, ties to the smaller id. Vectors that
-    are null, or hold null or non-finite components, take no part; vectors of another length
-    than the query's are no candidates of it, rows with a null id are left out; an empty table gives no rows. Repeated rows
-    of one id count each. Sums must stay below 2**53, where doubles are exact integers.
+    are null or empty, or hold null or non-finite components, take no part; vectors of another
+    length than the query's are no candidates of it, rows with a null id are left out; an empty
+    table gives no rows. Repeated rows of one id count each; a query that is repeated is asked
+    once. Sums must stay below 2**53, where doubles are exact integers.
     """
-    spark = vectors.sparkSession
     ready = quantised(vectors, id_col, vector_col, scale)
-    asked = quantised(queries, id_col, vector_col, scale)
-    sizes = asked.select(F.count("*"), F.coalesce(F.sum(F.size("v") * 8 + 8), F.lit(0))).first()
-    passes = max(1, -(-int(sizes[1]) // pass_bytes))
-    found = None
-    for n in range(passes):
-        mine = asked.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == n) if passes > 1 else asked
-        sent: dict[int, tuple[list, list]] = {}
-        for r in mine.toArrow().to_pylist():
-            own = sent.setdefault(len(r["v"]), ([], []))
-            own[0].append(r["id"])
-            own[1].append(r["v"])
-        blocks = spark.sparkContext.broadcast([(np.array(i[a : a + BLOCK], dtype=np.int64), np.array(v[a : a + BLOCK], dtype=np.float64)) for i, v in sent.values() for a in range(0, len(i), BLOCK)])
-
-        def score(batches: Iterator[pa.RecordBatch], blocks=blocks) -> Iterator[pa.RecordBatch]:
-            parts = [(np.asarray(c.column(0)), *_matrix(c.column(1))) for b in batches for c in (b.slice(a, CANDIDATES) for a in range(0, b.num_rows, CANDIDATES))]
-            for q_ids, q in blocks.value:
-                out = _search(q_ids, q, _of_length(parts, q.shape[1]), k)
-                if out:
-                    n_each = [len(i) for i, _ in out.values()]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(q_ids[list(out)], n_each)), pa.array(np.concatenate([i for i, _ in out.values()])), pa.array(np.concatenate([s for _, s in out.values()]).astype(np.int64))],
-                        names=["query_id", "vec_id", "score"],
-                    )
-
-        part = ready.mapInArrow(score, "query_id long, vec_id long, score long")
-        found = part if found is None else found.unionByName(part)
+    asked = quantised(queries, id_col, vector_col, scale).distinct()
+    size = lambda df: int(df.select(F.coalesce(F.sum(F.size("v") * 8 + 8), F.lit(0))).first()[0])
+    blocks = max(1, -(-size(asked) // block_bytes))
+    shares = max(1, -(-size(ready) // share_bytes), -(-vectors.sparkSession.sparkContext.defaultParallelism // blocks))
+
+    def dealt(df: DataFrame, own: int, other: int, number, candidate: bool) -> DataFrame:
+        """Rows of a block or share (by ids, and the partition that a row lies in, so that no id is too frequent) for each of the other side."""
+        mine = F.pmod(F.xxhash64("id", F.spark_partition_id()), F.lit(own))
+        all_other = F.explode(F.sequence(F.lit(0), F.lit(other - 1)))
+        return df.select("id", "v", mine.cast("int").alias("mine"), all_other.alias("other")).select(number(F.col("mine"), F.col("other")).alias("task"), F.lit(candidate).alias("candidate"), "id", "v")
+
+    q = dealt(asked, blocks, shares, lambda mine, other: mine * shares + other, False)
+    c = dealt(ready, shares, blocks, lambda mine, other: other * shares + mine, True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own = None, None
+        for batch in batches:
+            for at in range(0, batch.num_rows, CANDIDATES):
+                some = batch.slice(at, CANDIDATES)
+                task, candidate = np.asarray(some.column(0)), some.column(1).to_numpy(zero_copy_only=False)
+                edges = np.flatnonzero((task[1:] != task[:-1]) | (candidate[1:] != candidate[:-1])) + 1
+                for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(task)], strict=True):
+                    if task[a] != now:
+                        if own is not None:
+                            yield from own.batches()
+                        now, own = task[a], _Blocks(k)
+                    part = some.slice(a, b - a)
+                    (own.meet if candidate[a] else own.ask)(np.asarray(part.column(2)), *_matrix(part.column(3)))
+        if own is not None:
+            yield from own.batches()
+
+    met = q.unionByName(c).repartitionById(blocks * shares, F.col("task")).sortWithinPartitions("task", "candidate")
+    found = met.mapInArrow(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     return found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -428,13 +428,13 @@ def test_languages(spark):
 # --- 9: top-k ----------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("pass_bytes", [1 << 20, 600])
-def test_topk(spark, pass_bytes):
+@pytest.mark.parametrize(("block", "share"), [(1 << 20, 1 << 20), (600, 4000)])
+def test_topk(spark, block, share):
     rng = np.random.default_rng(4)
     vectors = [(i, [float(x) for x in rng.normal(size=16)]) for i in range(400)]
-    vectors += [(i, vectors[0][1]) for i in (450, 451)] + [(500, None), (501, [1.0] * 15 + [float("nan")]), (502, [1.0] * 15 + [None]), (503, []), (550, [1.0, 2.0]), (551, [3.0, 1.0]), (None, [1.0, 1.0])]
+    vectors += [(i, vectors[0][1]) for i in (450, 451)] + [(500, None), (501, [1.0] * 15 + [float("nan")]), (502, [1.0] * 15 + [None]), (503, []), (600, []), (650, []), (550, [1.0, 2.0]), (551, [3.0, 1.0]), (None, [1.0, 1.0])]
     frame = spark.createDataFrame([(0, v, i) for i, v in vectors], "rank int, embedding array<float>, vec_id long")
-    got = sorted(tuple(r) for r in topk.top_k(frame, frame.where("vec_id % 50 = 0"), pass_bytes=pass_bytes).collect())
+    got = sorted(tuple(r) for r in topk.top_k(frame, frame.where("vec_id % 50 = 0"), block_bytes=block, share_bytes=share).collect())
     fine = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in vectors if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     want = []
     for q, x in fine:
