@@ -27,11 +27,15 @@ from quarry.llm.common import crc_mod, slices, staged
 
 ALPHA = 0.1
 #: Classes of the output layer, words of each; input and state size; endings that stand for rare words.
-CLASSES, PER_CLASS, EMBED, HIDDEN, ENDINGS = 64, 64, 32, 48, 64
+CLASSES, PER_CLASS, EMBED, HIDDEN, ENDINGS = 64, 64, 24, 32, 64
 VOCABULARY = CLASSES * PER_CLASS
 END, RARE = 0, 1
-#: Tokens that gradients go back, and that are scored at once; streams trained side by side, and steps that each has at least where texts are few.
-WINDOW, SCORED, STREAMS, STEPS = 24, 48, 256, 24
+#: Tokens that gradients go back; streams trained side by side, and steps that each has at least where texts are few.
+WINDOW, STREAMS, STEPS = 24, 256, 24
+#: Tokens of a document, and documents, that are scored at once.
+SCORED, ABREAST = 24, 512
+#: Scores of classes and words are cut here, so that no exponential overflows and none has to be shifted.
+HIGHEST = 60.0
 #: Share of the training documents that the rounds end with, and the size of steps in each.
 ROUNDS, RATES, CLIP = (0.1, 0.25, 0.5, 1.0), (6e-3, 5e-3, 4e-3, 2e-3), 5.0
 #: Tokens of a shard (more where that would make over MOST_SHARDS), tokens that are laid out at once, shards that are averaged together.
@@ -84,6 +88,7 @@ class Network:
     parts: dict[str, np.ndarray] = field(default_factory=dict)
     squares: np.ndarray | None = None  # of gradients so far, by which steps are sized, and how many there were
     updates: int = 0
+    room: dict[str, np.ndarray] = field(default_factory=dict)  # memory that windows use again
 
     SHAPES = {"embed": (VOCABULARY + ENDINGS, EMBED), "w": (EMBED, 3 * HIDDEN), "u": (HIDDEN, 3 * HIDDEN), "b": (3 * HIDDEN,), "class_w": (HIDDEN, CLASSES), "class_b": (CLASSES,), "word_w": (CLASSES, HIDDEN, PER_CLASS), "word_b": (CLASSES, PER_CLASS)}
 
@@ -109,62 +114,88 @@ class Network:
     def __post_init__(self):
         self.parts = self.split(self.vector)
 
+    def _space(self, name: str, *shape: int) -> np.ndarray:
+        size = int(np.prod(shape))
+        if name not in self.room or len(self.room[name]) < size:
+            self.room[name] = np.empty(size, dtype=self.vector.dtype)
+        return self.room[name][:size].reshape(shape)
+
     def forward(self, inputs: np.ndarray, state: np.ndarray, kept: list | None = None, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """States after each of T inputs (T x B), from a state (B x HIDDEN), and the last one; keep (T x B) is 0 where a document begins."""
+        """States after each of T inputs (T x B), from a state (B x HIDDEN), and the last one; keep (T x B) is 0 where a document begins. The states lie in memory that the next call uses again.
+
+        Inside, gates lie above each other (3 * HIDDEN x B), so that each of them is one stretch of memory.
+        """
         p = self.parts
-        a = p["embed"][inputs] @ p["w"] + p["b"]
-        out = np.empty((*inputs.shape, HIDDEN), dtype=self.vector.dtype)
-        for t in range(len(inputs)):
+        w, u, bias = np.ascontiguousarray(p["w"].T), np.ascontiguousarray(p["u"].T), p["b"][:, None]
+        steps, wide = inputs.shape
+        out = self._space("out", steps, wide, HIDDEN)
+        every_a, every_g, states = (self._space(k, steps if kept is not None else 1, n * HIDDEN, wide) for k, n in (("a", 3), ("g", 3), ("states", 1)))
+        state = np.ascontiguousarray(state.T)
+        for t in range(steps):
+            at = t if kept is not None else 0
             if keep is not None:
-                state = state * keep[t][:, None]
-            g = state @ p["u"]
-            zr = a[t, :, : 2 * HIDDEN] + g[:, : 2 * HIDDEN]
-            zr *= -1
-            np.exp(zr, out=zr)
-            zr += 1
-            np.reciprocal(zr, out=zr)
-            z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-            n = np.tanh(a[t, :, 2 * HIDDEN :] + r * g[:, 2 * HIDDEN :])
+                state = np.multiply(state, keep[t], out=states[at])
+            a = np.matmul(w, p["embed"][inputs[t]].T, out=every_a[at])
+            a += bias
+            g = np.matmul(u, state, out=every_g[at])
+            gn = g[2 * HIDDEN :]
+            zr = a[: 2 * HIDDEN]
+            zr += g[: 2 * HIDDEN]
+            zr *= 0.5  # the logistic function by way of tanh
+            np.tanh(zr, out=zr)
+            zr *= 0.5
+            zr += 0.5
+            z, r, n = zr[:HIDDEN], zr[HIDDEN:], a[2 * HIDDEN :]
+            n += r * gn
+            np.tanh(n, out=n)
             if kept is not None:
-                kept.append((state, z, r, n, g[:, 2 * HIDDEN :]))
-            state = n + z * (state - n)
-            out[t] = state
-        return out, state
+                kept.append((state, z, r, n, gn))
+            state = state - n
+            state *= z
+            state += n
+            out[t] = state.T
+        return out, np.ascontiguousarray(state.T)
 
     def log_probs(self, states: np.ndarray, targets: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """ln P of each target after each state (rows); with grads, also adds gradients of the sum of -ln P and returns those of the states."""
         p = self.parts
         of = targets // PER_CLASS
         rows = np.arange(len(targets))
-        logits = states @ p["class_w"] + p["class_b"]
-        logits -= logits.max(axis=1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(axis=1)
-        out = logits[rows, of] - np.log(total)
+        ones = np.ones(PER_CLASS, dtype=states.dtype)
+        e = np.matmul(states, p["class_w"], out=self._space("e", len(states), CLASSES))
+        e += p["class_b"]
+        np.minimum(e, HIGHEST, out=e)
+        own_class = e[rows, of]
+        np.exp(e, out=e)
+        total = e @ ones[:CLASSES]
+        out = own_class - np.log(total)
         back = None
         if grads is not None:
-            d = e / total[:, None]
-            d[rows, of] -= 1
-            grads["class_w"] += states.T @ d
-            grads["class_b"] += d.sum(axis=0)
-            back = d @ p["class_w"].T
+            e *= (1 / total)[:, None]
+            e[rows, of] -= 1
+            grads["class_w"] += states.T @ e
+            grads["class_b"] += e.sum(axis=0)
+            back = e @ p["class_w"].T
         order = np.argsort(of, kind="stable")
         edges = np.searchsorted(of[order], np.arange(CLASSES + 1))
         for c in np.flatnonzero(np.diff(edges)):
             mine = order[edges[c] : edges[c + 1]]
             own = targets[mine] % PER_CLASS
-            k = np.arange(len(mine))
-            logits = states[mine] @ p["word_w"][c] + p["word_b"][c]
-            logits -= logits.max(axis=1, keepdims=True)
-            e = np.exp(logits)
-            total = e.sum(axis=1)
-            out[mine] += logits[k, own] - np.log(total)
+            k = rows[: len(mine)]
+            there = states[mine]
+            e = np.matmul(there, p["word_w"][c], out=self._space("e", len(there), PER_CLASS))
+            e += p["word_b"][c]
+            np.minimum(e, HIGHEST, out=e)
+            own_word = e[k, own]
+            np.exp(e, out=e)
+            total = e @ ones
+            out[mine] += own_word - np.log(total)
             if grads is not None:
-                d = e / total[:, None]
-                d[k, own] -= 1
-                grads["word_w"][c] += states[mine].T @ d
-                grads["word_b"][c] += d.sum(axis=0)
-                back[mine] += d @ p["word_w"][c].T
+                e *= (1 / total)[:, None]
+                e[k, own] -= 1
+                grads["word_w"][c] += there.T @ e
+                grads["word_b"][c] += e.sum(axis=0)
+                back[mine] += e @ p["word_w"][c].T
         return out, back
 
     def gradients(self, x: np.ndarray, y: np.ndarray, state: np.ndarray, keep: np.ndarray, flat: np.ndarray) -> tuple[float, np.ndarray]:
@@ -174,21 +205,35 @@ class Network:
         states, last = self.forward(x, state, kept, keep)
         ln, back = self.log_probs(states.reshape(-1, HIDDEN), y.ravel(), grads)
         back = back.reshape(*y.shape, HIDDEN)
-        carried = np.zeros_like(state)
-        d_a = np.empty((*x.shape, 3 * HIDDEN), dtype=self.vector.dtype)
-        d_g = np.empty_like(d_a)
+        carried = np.zeros_like(state.T)
+        d_a = self._space("d_a", *x.shape, 3 * HIDDEN)
+        one = self._space("one", 3 * HIDDEN, x.shape[1])
+        u = np.ascontiguousarray(p["u"])
         for t in range(len(x) - 1, -1, -1):
             h, z, r, n, gn = kept[t]
-            d = carried + back[t]
-            d_n = d * (1 - z) * (1 - n * n)
-            d_a[t, :, :HIDDEN] = d * (h - n) * z * (1 - z)
-            d_a[t, :, HIDDEN : 2 * HIDDEN] = d_n * gn * r * (1 - r)
-            d_a[t, :, 2 * HIDDEN :] = d_n
-            d_g[t] = d_a[t]
-            d_g[t, :, 2 * HIDDEN :] *= r
-            carried = (d * z + d_g[t] @ p["u"].T) * keep[t][:, None]
+            d = carried + back[t].T
+            d_z, d_r, d_n = one[:HIDDEN], one[HIDDEN : 2 * HIDDEN], one[2 * HIDDEN :]
+            rest = 1 - z
+            np.subtract(h, n, out=d_z)
+            d_z *= z
+            np.multiply(n, n, out=d_n)
+            np.subtract(1, d_n, out=d_n)
+            d_n *= rest
+            d_n *= d
+            rest *= d
+            d_z *= rest
+            np.subtract(1, r, out=d_r)
+            d_r *= r
+            d_r *= gn
+            d_r *= d_n
+            d_a[t] = one.T
+            d_n *= r
+            grads["u"] += h @ one.T
+            carried = u @ one
+            d *= z
+            carried += d
+            carried *= keep[t]
         flat_a = d_a.reshape(-1, 3 * HIDDEN)
-        grads["u"] += np.concatenate([k[0] for k in kept]).T @ d_g.reshape(-1, 3 * HIDDEN)
         grads["b"] += flat_a.sum(axis=0)
         grads["w"] += p["embed"][x.ravel()].T @ flat_a
         d_e = flat_a @ p["w"].T
@@ -338,7 +383,7 @@ def _round(documents: DataFrame, model: Model, rate: float, tokens: int) -> Netw
 
     shape = "shard long, tokens long, weights binary"
     dealt = documents.select(F.pmod("at", F.lit(shards)).alias("shard"), "text", "at")
-    trained = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "at").select("shard", "text").mapInArrow(refine, shape)
+    trained = dealt.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "at").select("shard", "text").mapInArrow(refine, shape)
     trained = staged(trained, "trained")
     while shards > 1:
         trained = trained.groupBy(F.floor(F.col("shard") / AVERAGED).alias("group")).applyInArrow(mean, shape)
@@ -350,19 +395,22 @@ def _round(documents: DataFrame, model: Model, rate: float, tokens: int) -> Netw
 def _window_scores(net: Network, inputs: list[np.ndarray], targets: list[np.ndarray]) -> np.ndarray:
     """ln P by the network of every token of documents, end to end; documents run side by side, longest first, with their states carried on."""
     sizes = np.array([len(x) for x in inputs])
-    order = np.argsort(-sizes, kind="stable")
-    begin, lengths = (np.cumsum(sizes) - sizes)[order], sizes[order]
+    longest = np.argsort(-sizes, kind="stable")
+    begins = np.cumsum(sizes) - sizes
     flat_x, flat_y = np.concatenate(inputs), np.concatenate(targets)
     out = np.empty(len(flat_x), dtype=np.float32)
-    state = np.zeros((len(order), HIDDEN), dtype=np.float32)
-    for at in range(0, int(lengths[0]), SCORED):
-        n = int(np.searchsorted(-lengths, -at, side="left"))  # documents that go on
-        steps = np.arange(at, min(at + SCORED, int(lengths[0])))[:, None]
-        there = steps < lengths[:n]
-        where = np.where(there, begin[:n] + steps, 0)
-        states, last = net.forward(flat_x[where], state[:n])
-        out[where[there]] = net.log_probs(states[there], flat_y[where[there]])[0]
-        state = last
+    for first in range(0, len(longest), ABREAST):
+        order = longest[first : first + ABREAST]
+        begin, lengths = begins[order], sizes[order]
+        state = np.zeros((len(order), HIDDEN), dtype=np.float32)
+        for at in range(0, int(lengths[0]), SCORED):
+            n = int(np.searchsorted(-lengths, -at, side="left"))  # documents that go on
+            steps = np.arange(at, min(at + SCORED, int(lengths[0])))[:, None]
+            there = steps < lengths[:n]
+            where = np.where(there, begin[:n] + steps, 0)
+            states, last = net.forward(flat_x[where], state[:n])
+            out[where[there]] = net.log_probs(states[there], flat_y[where[there]])[0]
+            state = last
     return out
 
 
