@@ -1,11 +1,13 @@
 """Secret scans with a trigram inverted index, in DataFrame functions only.
 
 Each rule's regular expression is turned into a Boolean query over trigrams that every match
-must contain. The index is partitioned by document, as search engines shard theirs: for each
-trigram that some query names, a posting bitmap runs along the documents of a partition (one
-bit column a trigram, packed into longs), so postings are intersected and united by bitwise
-operations on the spot and no text is ever shuffled. Documents whose bits satisfy a rule's
-query are verified with the rule itself; rules without mandatory trigrams scan every text.
+must contain. The index is a written table of postings: one row for each trigram that some
+query names and each document that has it. A document is named by its id and by hash and length
+of its text, so no text is in the index and none is shuffled for it. Postings of a document
+come together once; a conjunction holds where all its trigrams are there, a query where one of
+its conjunctions holds, and what is left are candidates, (document, rules). Only their texts
+are verified, each with its candidate rules. Rules without mandatory trigrams (hex) scan every
+text fully.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import ascii_lower
+from quarry.llm.common import ascii_lower, staged
 
 try:
     import re._constants as sre
@@ -138,15 +140,45 @@ def plan(rules: tuple[Rule, ...]) -> tuple[list[str], dict[str, frozenset]]:
     return sorted({t for q in asked.values() for c in q for t in c}), asked
 
 
-def posting_bits(lowered: Column, trigrams: list[str]) -> Column:
-    """Array of longs: bit i is the document's place in the posting bitmap of trigram i."""
-    words = []
-    for at in range(0, max(len(trigrams), 1), 62):
-        word = F.lit(0).cast("long")
-        for i, t in enumerate(trigrams[at : at + 62]):
-            word = word.bitwiseOR(F.when(F.contains(lowered, F.lit(t)), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
-        words.append(word)
-    return F.array(*words)
+KEY = ("__id", "__hash", "__length")
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs with the columns that name a document in the index."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.withColumns({"__id": F.col(id_col), "__hash": F.xxhash64(text), "__length": F.octet_length(text)})
+
+
+def postings(docs: DataFrame, trigrams: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The inverted index: (trigram as its place in trigrams, __id, __hash, __length) of each trigram that a text has, A-Z lower-cased."""
+    lowered = _keyed(docs, id_col, text_col).select(*KEY, ascii_lower(F.col(text_col)).alias("__lower"))
+    there = F.array(*[F.when(F.contains("__lower", F.lit(t)), F.lit(n)) for n, t in enumerate(trigrams)]) if trigrams else F.array().cast("array<int>")
+    return lowered.select(F.explode(F.array_compact(there)).alias("trigram"), *KEY)
+
+
+def candidates(index: DataFrame, trigrams: list[str], queries: list[frozenset]) -> DataFrame:
+    """(__id, __hash, __length, rules): documents that fulfil a query or more; bit n of rules stands for query n. Queries that are always true are left out."""
+    words = [F.bit_or(F.when(F.col("trigram").between(at, at + 61), F.expr(f"shiftleft(1L, trigram - {at})")).otherwise(F.lit(0).cast("long"))) for at in range(0, max(len(trigrams), 1), 62)]
+    together = index.groupBy(*KEY).agg(F.array(*words).alias("__bits"))
+    rules = F.lit(0).cast("long")
+    for n, query in enumerate(queries):
+        if query:
+            rules = rules.bitwiseOR(F.when(_holds(F.col("__bits"), query, trigrams), F.lit(1 << n).cast("long")).otherwise(F.lit(0).cast("long")))
+    return together.select(*KEY, rules.alias("rules")).where("rules <> 0")
+
+
+def _candidates_of(docs: DataFrame, rules: tuple[Rule, ...], id_col: str, text_col: str) -> tuple[DataFrame, list[frozenset]]:
+    """Written candidates of docs, from a written index, and the queries of the rules."""
+    trigrams, asked = plan(rules)
+    queries = [asked[r.kind] for r in rules]
+    return staged(candidates(staged(postings(docs, trigrams, id_col, text_col), "postings"), trigrams, queries), "candidates"), queries
+
+
+def _same(a: DataFrame, b: DataFrame) -> Column:
+    one = None
+    for c in KEY:
+        one = a[c].eqNullSafe(b[c]) if one is None else one & a[c].eqNullSafe(b[c])
+    return one
 
 
 def _holds(bits: Column, query: frozenset, trigrams: list[str]) -> Column:
@@ -201,19 +233,26 @@ def _of_rank(rank: int):
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Secrets of every document: (id_col, found), found an array of (start, rank, kind, end) by start, then by the rules' order.
 
-    Whole texts are scanned. A null or empty text has an empty array; repeated rows and ids
-    are scanned each on their own; an empty table gives an empty result; other columns are
-    ignored whatever their names. Positions are code points, ends exclusive. Matches of one
+    Whole texts are scanned. Rows that agree in id and in hash (64 bits) and length of their text
+    are one document of the index; each row has its result. A null or empty text has an empty
+    array; an empty table gives an empty result; other columns are ignored whatever their names. Positions are code points, ends exclusive. Matches of one
     kind never overlap; those of different kinds may.
     """
-    trigrams, asked = plan(rules)
-    indexed = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("__text")).withColumn("__lower", ascii_lower(F.col("__text"))).withColumn("__bits", posting_bits(F.col("__lower"), trigrams))
+    found, queries = _candidates_of(docs, rules, id_col, text_col)
     none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
-    parts = []
-    for rank, rule in enumerate(rules):
-        shaped = F.transform(_spans(F.col("__text"), rule), _named(rank, rule.kind))
-        parts.append(F.when(_holds(F.col("__bits"), asked[rule.kind], trigrams), shaped).otherwise(none))
-    return indexed.select(id_col, F.array_sort(F.concat(*parts)).alias("found"))
+
+    def shaped(rank: int, text: str) -> Column:
+        return F.transform(_spans(F.col(text), rules[rank]), _named(rank, rules[rank].kind))
+
+    texts = _keyed(docs.select(id_col, text_col), id_col, text_col).select(*KEY, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    asked_for = texts.join(found, _same(texts, found)).select(*[texts[c] for c in KEY], "__text", "rules")
+    parts = [F.when(F.col("rules").bitwiseAND(F.lit(1 << n).cast("long")) != 0, shaped(n, "__text")).otherwise(none) for n, q in enumerate(queries) if q]
+    verified = asked_for.select(*KEY, F.concat(none, *parts).alias("verified")).where(F.size("verified") > 0)
+    verified = staged(verified.groupBy(*KEY).agg(F.first("verified").alias("verified")), "verified")  # repeated rows are one document of the index
+    full = [shaped(n, "__text") for n, q in enumerate(queries) if not q]
+    scanned = texts.select(*KEY, F.concat(none, *full).alias("full"))
+    both = F.array_sort(F.concat("full", F.coalesce("verified", none)))
+    return scanned.join(verified, _same(scanned, verified), "left").select(scanned["__id"].alias(id_col), both.alias("found"))
 
 
 def _written(found: Column) -> Column:
@@ -230,13 +269,15 @@ def digests(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]") -> DataFrame:
     """docs with the same columns, every secret in text_col replaced by mark; overlapping spans are replaced together.
 
-    Null texts stay null. Runs on each row in place, without any join.
+    Null texts stay null. Candidates come from the index, as in scan, and are joined to the rows.
     """
-    trigrams, asked = plan(rules)
+    found, queries = _candidates_of(docs, rules, id_col, text_col)
+    keyed = _keyed(docs, id_col, text_col)
+    out = keyed.join(found, _same(keyed, found), "left").select(*[keyed[c] for c in docs.columns], found["rules"].alias("__rules"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    out = docs.withColumn("__lower", ascii_lower(text)).withColumn("__bits", posting_bits(F.col("__lower"), trigrams))
-    spans = F.concat(*[F.when(_holds(F.col("__bits"), asked[r.kind], trigrams), _spans(text, r)).otherwise(F.array().cast("array<struct<start:int,end:int>>")) for r in rules])
-    out = out.withColumn("__spans", F.array_sort(spans))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    wanted = lambda n: F.lit(True) if not queries[n] else F.coalesce(F.col("__rules").bitwiseAND(F.lit(1 << n).cast("long")) != 0, F.lit(False))
+    out = out.withColumn("__spans", F.array_sort(F.concat(*[F.when(wanted(n), _spans(text, r)).otherwise(none) for n, r in enumerate(rules)])))
 
     def step(acc, s):
         inside = s["start"] < acc["at"]
@@ -246,4 +287,4 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_
         )
 
     folded = F.aggregate("__spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("text")), step, lambda a: F.concat(a["text"], text.substr(a["at"] + 1, F.length(text))))
-    return out.withColumn(text_col, F.when(F.size("__spans") > 0, folded).otherwise(F.col(text_col))).drop("__lower", "__bits", "__spans")
+    return out.withColumn(text_col, F.when(F.size("__spans") > 0, folded).otherwise(F.col(text_col))).drop("__rules", "__spans")
