@@ -9,6 +9,7 @@ takes a bounded sample; predictions run over whole texts as batched matrix produ
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,29 +18,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import MIX_1, about, crc_mod, slices
+from quarry.llm.common import MIX_1, crc_mod, slices
 
-#: Longest n-grams, slots that n-grams are hashed to, landmarks of each language.
-N_GRAM, SLOTS, LANDMARKS = 3, 1 << 14, 24
-#: Labelled texts of each language that fitting takes at most, and characters of each.
-FIT_TEXTS, FIT_CHARS = 400, 4000
+#: Longest n-grams, slots that n-grams are hashed to, landmarks of each language, and of all together.
+N_GRAM, SLOTS, LANDMARKS, ALL_LANDMARKS = 3, 1 << 14, 24, 512
+#: Labelled texts of each language that fitting takes at most.
+FIT_TEXTS = 400
 RIDGE = 1e-3
 UNKNOWN = "und"
 
-_LETTER = np.arange(0x250, dtype=np.uint32)
-for _c in range(0x250):
-    _LETTER[_c] = ord(chr(_c).lower()[0]) if chr(_c).isalpha() else 32
+#: Letters and marks of the first plane, lower-cased; anything else there is a space. Of the others, only symbols (emoji) are.
+_LETTER = np.array([ord(chr(c).lower()[0]) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c))[0] in "LM" else 32 for c in range(0x10000)], dtype=np.uint32)
+_SYMBOLS = (0x1F000, 0x20000)
 
 
 def presence(texts: list[str]) -> np.ndarray:
     """Rows of 0 and 1: which n-gram slots each text has. Characters that are no letters count as spaces."""
     out = np.zeros((len(texts), SLOTS), dtype=np.float32)
     flat = out.ravel()
-    codes = np.frombuffer(" ".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    low = codes < 0x250
-    codes = np.where(low, _LETTER[np.where(low, codes, 0)], codes).astype(np.uint64)
+    codes = np.frombuffer("".join([t + " " for t in texts]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    low = codes < 0x10000
+    codes = np.where(low, _LETTER[np.where(low, codes, 0)], np.where((codes >= _SYMBOLS[0]) & (codes < _SYMBOLS[1]), 32, codes)).astype(np.uint64)
     lengths = np.array([len(t) for t in texts])
-    row = np.repeat(np.arange(len(texts)), lengths + 1)[: len(codes)] if len(texts) else np.zeros(0, dtype=np.int64)
+    row = np.repeat(np.arange(len(texts)), lengths + 1) if len(texts) else np.zeros(0, dtype=np.int64)
     base = row * SLOTS
     key = np.zeros(len(codes), dtype=np.uint64)
     for n in range(1, N_GRAM + 1):  # a gram may reach into the space between two texts, not into the next one
@@ -67,28 +68,40 @@ class Classifier:
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_texts: int = FIT_TEXTS) -> Classifier:
-    """Fit on at most fit_texts texts (FIT_CHARS characters each) of every language, taken in the order of a hash.
+    """Fit on at most fit_texts whole texts of every language, taken in the order of a hash.
 
-    Rows with a null or letterless text or a null language are left out.
+    Tasks turn the texts that are taken into presence bits (SLOTS bits a text), which alone reach
+    the driver. One job counts the languages, one takes their texts. Rows with a null or
+    letterless text or a null language are left out.
     """
-    fine = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), F.substring(F.col(text_col), 1, FIT_CHARS).alias("text"), F.xxhash64(F.col(id_col)).alias("at"))
+    fine = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col)).alias("at"))
     counts = {r["lang"]: r["count"] for r in fine.groupBy("lang").count().collect()}
-    taken: dict[str, list[str]] = {}
-    wanted = fit_texts * max(1, 2 * len(counts))
-    for r in about(fine, 2 * wanted, sum(counts.values()), "at").orderBy("at", "text").limit(wanted).collect():
-        taken.setdefault(r["lang"], []).append(r["text"])
-    for lang, n in counts.items():  # languages that are too rare for the common sample
-        if len(taken.get(lang, [])) < min(n, fit_texts):
-            taken[lang] = [r["text"] for r in about(fine.where(F.col("lang") == lang), 2 * fit_texts, n, "at").orderBy("at", "text").limit(fit_texts).collect()]
-    languages = sorted(taken)
-    texts = [t for k in languages for t in taken[k][:fit_texts]]
-    target = [n for n, k in enumerate(languages) for _ in taken[k][:fit_texts]]
-    if not texts:
+    if not counts:
         return Classifier([], np.zeros((0, SLOTS), dtype=np.float32), np.zeros((0, 0), dtype=np.float32))
-    marks = presence([t for k in languages for t in sorted(taken[k][:fit_texts], key=len)[-LANDMARKS:]])
+    # more than are wanted pass, so that enough are there; of a language with fewer, all do
+    least = {k: int(min((1.25 * fit_texts + 50) / n, 1) * 2**64) - 2**63 - 1 for k, n in counts.items()}
+    limits = F.create_map(*[F.lit(x) for kv in least.items() for x in kv])
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices((c for b in batches for c in _rows(b, 512)), "text"):
+            packed = np.packbits(presence(part.column(1).to_pylist()).astype(bool), axis=1)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([r.tobytes() for r in packed], pa.binary())], names=["lang", "at", "bits"])
+
+    taken: dict[str, list[tuple[int, bytes]]] = {}
+    for r in fine.where(F.col("at") <= F.element_at(limits, F.col("lang"))).mapInArrow(bits, "lang string, at long, bits binary").collect():
+        taken.setdefault(r["lang"], []).append((r["at"], bytes(r["bits"])))
+    languages = sorted(taken)
+    x, target, marks = [], [], []
+    for n, k in enumerate(languages):
+        own = np.unpackbits(np.array([np.frombuffer(b, dtype=np.uint8) for _, b in sorted(taken[k])[:fit_texts]]), axis=1)
+        x.append(own)
+        target += [n] * len(own)
+        richest = np.argsort(-own.sum(axis=1, dtype=np.int64), kind="stable")
+        marks.append(own[richest[: max(2, min(LANDMARKS, ALL_LANDMARKS // len(languages)))]])
+    marks = np.concatenate(marks).astype(np.float32)
     marks /= np.sqrt(np.maximum(marks.sum(axis=1), 1))[:, None]
     model = Classifier(languages, marks, np.zeros((len(marks), len(languages)), dtype=np.float32))
-    k_nm = np.concatenate([model.kernel(presence(texts[a : a + 256])) for a in range(0, len(texts), 256)]).astype(np.float64)
+    k_nm = np.concatenate([model.kernel(own[a : a + 256].astype(np.float32)) for own in x for a in range(0, len(own), 256)]).astype(np.float64)
     k_mm = (marks @ marks.T).astype(np.float64)
     y = np.where(np.array(target)[:, None] == np.arange(len(languages)), 1.0, -1.0)
     each = 1.0 / np.bincount(target, minlength=len(languages))[target]  # languages weigh alike
@@ -97,15 +110,15 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     return model
 
 
-def predict(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score (0 to 1) added; a text that is null or has no letter, or a model without languages, gives und and 0.
+def predict(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
+    """docs with the columns lang and score (0 to 1) added; a text that is null or has no letter, or a model without languages, gives und and 0.
 
     Whole texts are read. Repeated rows are predicted each on their own; an empty table gives an
-    empty result; columns of docs pass through, except that own lang_pred and score are replaced.
+    empty result; columns of docs pass through, except that those of the names lang and score are replaced.
     """
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)  # LANDMARKS x languages x SLOTS floats
-    kept = docs.drop("lang_pred", "score").withColumn("__text", F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col)))
+    sent = spark.sparkContext.broadcast(model)  # at most ALL_LANDMARKS (or two a language) x SLOTS floats
+    kept = docs.drop(lang, score).withColumn("__text", F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
@@ -119,10 +132,10 @@ def predict(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col
                 for i, b, s in zip(there, best, np.clip((f[np.arange(len(there)), best] + 1) / 2, 0, 1), strict=True):
                     langs[i], scores[i] = own.languages[b], float(s)
             keep = [i for i, name in enumerate(part.schema.names) if name != "__text"]
-            yield pa.RecordBatch.from_arrays([*[part.column(i) for i in keep], pa.array(langs, pa.string()), pa.array(scores)], names=[*[part.schema.names[i] for i in keep], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*[part.column(i) for i in keep], pa.array(langs, pa.string()), pa.array(scores)], names=[*[part.schema.names[i] for i in keep], lang, score])
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c not in ("lang_pred", "score"))
-    return kept.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c not in (lang, score))
+    return kept.mapInArrow(run, f"{schema}, `{lang}` string, `{score}` double")
 
 
 def _rows(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
