@@ -253,6 +253,122 @@ def test_short_and_number_dense_items_in_longer_documents(spark):
     assert got[11, 1] == got[22, 2] == (1.0, 1, False) and got[21, 1] == (1.0, 1, True)
 
 
+FIRST, LAST = "Anna Ben Clara David Emma Felix Grace Hugo".split(), "Otto Karl Lena Mia Nora Paul Rosa Tom".split()
+STORIES = [
+    "{0} has {a} apples. {0} gives {1} {b} apples. {1} eats {c} of them. How many apples does {0} have left?",
+    "A shop sells pens at {a} cents each. {0} buys {b} pens and {1} buys {c} more than that. What do they pay together?",
+    "{0} walks {a} km on Monday. On Tuesday {0} walks {b} km with {1}. How far must they still go to reach {c} km?",
+    "There are {a} birds on a fence near the house of {0}. Then {b} fly off. {1} counts {c} new ones. How many birds are there now?",
+    "{0} reads {a} pages a day. {1} reads {b} pages a day. After {c} days who of the two has read more pages and by how many?",
+]
+
+
+def stories(rng, names):
+    return [s.format(*rng.sample(names, 2), a=rng.randint(11, 40), b=rng.randint(41, 70), c=rng.randint(71, 99)) for s in STORIES]
+
+
+def test_recall_of_reparameterised_questions(spark):
+    rng = random.Random(3)
+    items = [(k, t) for k, t in enumerate(stories(rng, FIRST))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows, want = [], set()
+    for n in range(12):
+        for k, t in enumerate(stories(rng, LAST)):
+            rows.append((10 * n + k, prose(5 * n + k, 40) + ". " + t + " " + prose(5 * n + k + 500, 40)))
+            want.add((10 * n + k, k))
+    rows += [(1000 + n, prose(900 + n, 120) + f". {LAST[n % 8]} has {n} pears. How many are there?") for n in range(40)]
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs_of(spark, rows), bench).collect()}
+    assert len(got & want) >= 0.9 * len(want) and got <= want
+
+
+def brute_templates(text):
+    """(word, kind, opens a sentence with a capital) of a text of ASCII and Latin-1."""
+    out, last = [], None
+    for m in re.finditer(r"[A-Za-z\x80-\uffff]+|[0-9]+", text or ""):
+        w, low = m.group(), m.group().lower()
+        numeric = w[0].isdigit() or low in decontaminate.NUMBERS
+        before = out and out[-1][1] == decontaminate.NUMBER
+        opens = last is None or bool(re.search(r'[.!?\n\r:;|"(]', text[last.start() : m.start()]))
+        if numeric and before:
+            gap, digits = text[last.end() : m.start()], (last.group()[0].isdigit(), w[0].isdigit())
+            if gap in (",", ".") if all(digits) else (not gap.strip() or gap == "-"):
+                out[-1] = (out[-1][0] + (low,), out[-1][1], False)
+                last = m
+                continue
+        kind = decontaminate.NUMBER if numeric else decontaminate.UNIT if before and low in decontaminate.UNITS else decontaminate.NAME if w[0].isupper() and not opens else decontaminate.WORD
+        out.append(((low,), kind, kind == decontaminate.WORD and w[0].isupper() and opens))
+        last = m
+    return out
+
+
+def brute_windows(t, items, widths):
+    size, found = decontaminate.WINDOW, []
+    for i in range(len(t)):
+        width = min(size, len(t) - i)
+        own = t[i : i + width]
+        word = lambda x: x[1] == decontaminate.WORD
+        name = lambda x: x[1] == decontaminate.NAME
+        if width == size or i == 0:
+            for shape, literal, needed in (
+                (lambda x: x[0] if word(x) or name(x) else x[1], lambda x: word(x) or name(x), lambda x: True),
+                (lambda x: x[0] if word(x) else x[1], word, name),
+                (lambda x: decontaminate.NAME if x[2] else x[0] if word(x) else x[1], lambda x: word(x) and not x[2], lambda x: x[2]),
+            ):
+                if sum(map(literal, own)) >= min(2, width) and any(map(needed, own)):
+                    found.append((i, tuple(map(shape, own))))
+        for width in {size, *widths}:
+            own = t[i : i + width]
+            literal = sum(word(x) or name(x) for x in own)
+            whole = i == 0 and len(t) == width
+            use = literal < 2 if width == size else whole if items else not (whole and literal >= min(2, width))
+            if len(own) == width and use and (literal or width > 1):
+                found.append((i, ("exact", *[x[0] for x in own])))
+    return found
+
+
+def brute_contaminated(rows, items):
+    size = decontaminate.WINDOW
+    items = {k: brute_templates(t) for k, t in items if t}
+    widths = {len(t) for t in items.values() if 0 < len(t) < size}
+    out = set()
+    for doc, text in rows:
+        t = brute_templates(text)
+        probes = brute_windows(t, False, widths)
+        for k, own in items.items():
+            index = collections.defaultdict(list)
+            for i, w in brute_windows(own, True, widths):
+                index[w].append(i)
+            hits = sorted({(d, i) for d, w in probes for i in index[w]})
+            for start, _ in hits:
+                there, back, seen = {}, {}, set()
+                for d, i in hits:
+                    if not start <= d < start + 2 * len(own):
+                        continue
+                    pairs = [(a[0], b[0]) for a, b in zip(own[i : i + size], t[d : d + size]) if a[1] != decontaminate.WORD or (a[2] and a[0] != b[0])]
+                    if all(there.get(x, y) == y and back.get(y, x) == x for x, y in pairs):
+                        there.update(pairs)
+                        back.update((y, x) for x, y in pairs)
+                        seen |= set(range(i, min(i + size, len(own))))
+                if len(seen) >= decontaminate.COVERAGE * len(own):
+                    out.add((doc, k))
+    return out
+
+
+def test_contaminated_matches_brute_force(spark):
+    rng = random.Random(11)
+    items = list(enumerate([*stories(rng, FIRST), ITEM, "What is 12 + 35?", "3 4 5 6 7 8 9 10 11", "tiny text", "7", "Élan vital für Österreich ist zwei Tage alt.", "", None]))
+    rows = []
+    for n in range(120):
+        t = rng.choice([*stories(rng, LAST), *[x for _, x in items if x]])
+        words = t.split(" ")
+        for _ in range(rng.choice([0, 0, 1, 2, 5])):
+            words[rng.randrange(len(words))] = rng.choice(["other", "19", "Zoe", "kg", words[0]])
+        rows.append((n, " ".join([prose(n, rng.randint(0, 12)) + rng.choice(["", ".", ","]), *words, prose(n + 300, rng.randint(0, 12))])))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs_of(spark, rows), bench).collect()}
+    assert got == brute_contaminated(rows, items) and len(got) > 60
+
+
 def test_numbers_go_on_only_across_commas_and_points():
     import pyarrow as pa
 
@@ -425,6 +541,44 @@ def test_languages(spark):
     assert language.predict(frame, language.fit(frame.limit(0))).where("lang_pred <> 'und'").count() == 0
 
 
+def test_languages_match_brute_force(spark):
+    """The kernels, the ridge regression and the predictions once more, by sets and by the whole kernel matrix of landmarks."""
+    rng = random.Random(7)
+    words = {"aa": "alpha étude Ωmega свет 日本".split(), "bb": "Betta ÉCOLE ωmikron СВЕТ 中文".split(), "cc": "gamma delta épée тень 語".split()}
+    rows = [(i, " ".join(rng.choice(words[k]) + rng.choice(["", "!", " 12", "😀"]) for _ in range(rng.randint(1, 40))), k) for i, k in enumerate(["aa", "bb", "cc"] * 30)]
+    frame = spark.createDataFrame([(t, i, k) for i, t, k in rows], "text string, doc_id long, lang string").repartition(5)
+    train = frame.where(~language.held_out())
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.predict(frame, language.fit(train)).collect()}
+
+    def grams(text):
+        low = [c if ord(c) < 0x10000 or not 0x1F000 <= ord(c) < 0x20000 else " " for c in text]
+        low = [c.lower()[0] if language.unicodedata.category(c)[0] in "LM" else " " for c in low] + [" "]
+        out = set()
+        for n in (1, 2, 3):
+            for k in range(len(low) - n + 1):
+                key = 0
+                for c in low[k : k + n]:
+                    key = (key * 0x110000 + ord(c)) % 2**64
+                out.add(((key * int(language.MIX_1) + n) % 2**64 * 0x9E3779B97F4A7C15 % 2**64) >> 50)
+        return out
+
+    order = {r["doc_id"]: r["at"] for r in frame.selectExpr("doc_id", "xxhash64(doc_id) AS at").collect()}
+    fit_on = sorted((k, order[i], grams(t)) for i, t, k in rows if zlib.crc32(str(i).encode()) % 3 != 1)
+    names = sorted(words)
+    marks = [g for k in names for g in sorted((g for n, _, g in fit_on if n == k), key=lambda g: -len(g))[: language.LANDMARKS]]
+    kernel = lambda g, h: len(g & h) / math.sqrt(len(g) * len(h))
+    k_nm = np.array([[kernel(g, m) for m in marks] for _, _, g in fit_on])
+    k_mm = np.array([[kernel(g, m) for m in marks] for g in marks])
+    y = np.array([[1.0 if k == n else -1.0 for n in names] for k, _, _ in fit_on])
+    each = np.array([1 / sum(k == n for n, _, _ in fit_on) for k, _, _ in fit_on])[:, None]
+    weights = np.linalg.lstsq(k_nm.T @ (k_nm * each) + language.RIDGE * k_mm + 1e-9 * np.eye(len(marks)), k_nm.T @ (y * each), rcond=None)[0]
+    for i, t, _ in rows:
+        f = np.array([kernel(grams(t), m) for m in marks]) @ weights
+        best = int(f.argmax())
+        assert got[i][0] == names[best] or np.sort(f)[-1] - np.sort(f)[-2] < 1e-3
+        assert abs(got[i][1] - min(max((f[best] + 1) / 2, 0), 1)) < 5e-3
+
+
 # --- 9: top-k ----------------------------------------------------------------------------------
 
 
