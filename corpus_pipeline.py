@@ -5,6 +5,10 @@ near_duplicates: of each group of documents that the n-gram Jaccard join connect
 decontamination: documents that hold an item of the benchmark go.
 secrets: secrets in texts are replaced by a mark.
 pieces: what is left is encoded; returns ids, counts and digests instead of the columns of documents.
+
+Ids may be null or repeated: rows that agree in id and text are one document, rows that agree in
+id alone are different ones, and a document without an id stays only where no other of its group
+has one. An empty table passes through every stage; other columns pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -21,32 +25,54 @@ NEAR_WORDS, NEAR_HUNDREDTHS = 5, 80
 BROADCAST_IDS = 1_000_000
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without those ids; ids is written first, so its size is known before the join is chosen."""
-    ids = staged(ids.distinct(), "dropped")
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti")
+#: Names of columns that stages add for themselves, and the smallest stand-in for an id.
+KEY, LANGUAGE, SCORE = "__key", "__language", "__score"
+STAND_IN = 1 << 62
+
+
+def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """docs without those keys; keys is written first, so its size is known before the join is chosen."""
+    keys = staged(keys.select(KEY).distinct(), "dropped")
+    return docs.join(F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys, KEY, "left_anti")
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Fit on the labelled documents that aren't held out, predict all, drop those that get no language."""
+    """Fit on the labelled documents that aren't held out, predict all, drop those that get no language.
+
+    Null and letterless texts go; where nothing is labelled, only they do.
+    """
     model = language.fit(docs.where(~language.held_out()))
-    return language.predict(docs, model).where(F.col("lang_pred") != language.UNKNOWN).select(*docs.columns)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    return language.predict(docs, model, lang=LANGUAGE, score=SCORE).where(F.col(LANGUAGE) != language.UNKNOWN).select(*docs.columns)
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = jaccard.jaccard_groups(docs, NEAR_WORDS, NEAR_HUNDREDTHS)
-    return _without(docs, groups.where("component_id <> doc_id").select("doc_id"))
+    """Of each group that similarity links, the smallest id stays; null texts link with nothing and stay; of rows that are repeated one stays."""
+    repeated = staged(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    marked = docs.join(repeated.withColumn(KEY, F.lit(True)), "doc_id", "left") if not repeated.isEmpty() else docs.withColumn(KEY, F.lit(None).cast("boolean"))
+    stand_in = F.lit(STAND_IN) + F.pmod(F.xxhash64("doc_id", "text"), F.lit(STAND_IN >> 1))
+    keyed = marked.withColumn(KEY, F.when(F.col("doc_id").isNull() | F.col(KEY), stand_in).otherwise(F.col("doc_id")))
+    groups = jaccard.jaccard_groups(keyed, NEAR_WORDS, NEAR_HUNDREDTHS, id_col=KEY)
+    kept = _without(keyed, groups.where(F.col("component_id") != F.col(KEY)))
+    once = kept.where(F.col(KEY) < STAND_IN).unionByName(kept.where(F.col(KEY) >= STAND_IN).dropDuplicates([KEY]))
+    return once.select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id"))
+    """Documents that hold an item of the benchmark go, with or without an id; null texts hold none."""
+    keyed = docs.withColumn(KEY, F.xxhash64("doc_id", "text"))
+    found = decontaminate.contaminated(keyed, table(spark, sf_dir, "benchmark"), id_col=KEY)
+    return _without(keyed, found).select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """No document goes; secrets are replaced in place, null texts stay null."""
     return secrets.redact(docs)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row a row: id, number and digests of the pieces; null texts count as empty."""
     return pieces.digests(docs)
 
 
