@@ -29,12 +29,14 @@ from quarry.llm.common import mix64, slices, staged, text_bytes
 LENGTH, GRAM = 50, 16
 #: Bytes of text that are hashed at once, that fill a bucket about, and whose buckets make a task.
 PIECE, BUCKET_BYTES, TASK_BYTES = 1 << 20, 4 << 20, 32 << 20
-#: Stretches that a task gathers before it deals them; pieces of a task that are counted only if it has so many.
-GATHERED, SEEN = 250_000, 4
-#: Counters of the frequency sketch, and of one row of it.
-COUNTERS, CHUNK = 1 << 22, 1 << 18
+#: Stretches that a task gathers before it deals them.
+GATHERED = 250_000
+#: Counters of the frequency sketch, and of one row of it; counters that a task passes on are SEEN above twice its mean.
+COUNTERS, CHUNK, SEEN = 1 << 24, 1 << 20, 4
 #: Bytes of stretches that one suffix array holds, and from which those of one piece are divided by the blocks around it.
 RUN, DIVIDED = 1 << 16, 1 << 17
+#: Places of a piece in its string that one block stands for.
+PLACES = 5
 
 _ENTRY = np.dtype([("m", "<u4"), ("h", "<u8"), ("doc", "<u4"), ("at", "<u4"), ("n", "u1"), ("off", "u1")])
 _BASES = [0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
@@ -172,18 +174,20 @@ def _slot(grams: np.ndarray) -> np.ndarray:
 def piece_classes(texts: DataFrame) -> np.ndarray:
     """For every counter of the sketch, the binary logarithm of how often its pieces occur in all texts.
 
-    A task passes on what it has seen SEEN times or more, so a count may be short by SEEN - 1 for
-    each task. Counts only choose the piece that a string is filed under, never the result.
+    A task passes on only what stands out among all that it has seen, so a count may be short by
+    a few for each task. Counts only choose the piece that a string is filed under, never the result.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(COUNTERS, dtype=np.uint32)
+        seen, all_ = np.zeros(COUNTERS, dtype=np.uint32), 0
         for _, _, data, _ in _pieces(batches):
             if len(data) >= GRAM:
                 np.add.at(seen, _slot(_grams(data)), np.uint32(1))
+                all_ += len(data)
+        least = SEEN + 2 * all_ // COUNTERS
         for n in range(COUNTERS // CHUNK):
             own = seen[n * CHUNK : (n + 1) * CHUNK]
-            used = np.flatnonzero(own >= SEEN)
+            used = np.flatnonzero(own >= least)
             if len(used):
                 yield pa.RecordBatch.from_pydict({"chunk": pa.array([n], pa.int32()), "at": pa.array([used.astype(np.uint32).tobytes()], pa.binary()), "n": pa.array([own[used].tobytes()], pa.binary())})
 
@@ -370,32 +374,34 @@ def _fetched(asked: DataFrame) -> DataFrame:
     return asked.select("doc", "text", "ask", "strings", "piece").mapInArrow(run, "piece long, doc long, at int, off int, bytes binary")
 
 
-def _hopeful(texts: pa.Array, piece: np.ndarray, doc: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Places of the stretches that can share a string with another document's.
+def _hopeful(texts: pa.Array, piece: np.ndarray, doc: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(stretch, start, end): stretches that can share a string with another document's, and the part of each that can.
 
-    A string of LENGTH bytes around its piece covers, by where the piece stands in it, one of
-    three blocks around the piece; without a block in common there is no string in common.
+    A string of LENGTH bytes covers, by where the piece stands in it, one of a few blocks around
+    the piece; without a block in common there is no string in common.
     """
     data, rows = text_bytes(texts)
-    _powers(max(len(data) + 1, PIECE))
-    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_KEYS[1][data] * _FORTH[1][: len(data)])])
+    sums = _sums(data, 1)
     begin, end, at = rows[:-1], rows[1:], rows[:-1] + off
     rest = LENGTH - GRAM
-    third = rest // 3
-    keep = np.zeros(len(piece), dtype=bool)
-    for left, right in ((0, rest - third), (third, rest - 2 * third), (2 * third, 0)):
-        a, b = at - left, at + GRAM + right
-        there = np.flatnonzero((a >= begin) & (b <= end))
+    start, stop = end.copy(), begin.copy()
+    for least in range(0, rest + 1, PLACES):  # places of the piece in the string
+        most = min(least + PLACES - 1, rest)
+        low, high = np.maximum(at - most, begin), np.minimum(at - least + LENGTH, end)  # all strings of this block
+        there = np.flatnonzero((at - least >= begin) & (high - low >= LENGTH) & (low <= at - least))
         if not len(there):
             continue
-        block = mix64((sums[b[there]] - sums[a[there]]) * _BACK[1][a[there]])
+        a = at[there] - least
+        block = mix64((sums[at[there] + GRAM + rest - most] - sums[a]) * _BACK[1][a])
         order = np.lexsort((block, piece[there]))
         p, k, d = piece[there][order], block[order], doc[there][order]
-        new = np.concatenate([[True], (p[1:] != p[:-1]) | (k[1:] != k[:-1])])
-        heads = np.flatnonzero(new)
+        heads = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (k[1:] != k[:-1])]))
         several = np.minimum.reduceat(d, heads) != np.maximum.reduceat(d, heads)
-        keep[there[order[several[np.cumsum(new) - 1]]]] = True
-    return np.flatnonzero(keep)
+        kept = there[order[np.repeat(several, np.diff(np.append(heads, len(order))))]]
+        start[kept] = np.minimum(start[kept], low[kept])
+        stop[kept] = np.maximum(stop[kept], high[kept])
+    own = np.flatnonzero(stop > start)
+    return own, (start - begin)[own], (stop - begin)[own]
 
 
 def _shared(table: pa.Table) -> pa.Table:
@@ -406,8 +412,9 @@ def _shared(table: pa.Table) -> pa.Table:
     piece, doc, at, off = (table.column(c).to_numpy() for c in ("piece", "doc", "at", "off"))
     at, off = at.astype(np.int64), off.astype(np.int64)
     texts = table.column("bytes").combine_chunks()
-    hopeful = _hopeful(texts, piece, doc, off)
-    piece, doc, at, off, texts = piece[hopeful], doc[hopeful], at[hopeful], off[hopeful], texts.take(pa.array(hopeful)).to_pylist()
+    hopeful, start, stop = _hopeful(texts, piece, doc, off)
+    piece, doc, at, off = piece[hopeful], doc[hopeful], at[hopeful] + start, off[hopeful] - start
+    texts = [t[a:b] for t, a, b in zip(texts.take(pa.array(hopeful)).to_pylist(), start.tolist(), stop.tolist(), strict=True)]
     order = np.lexsort((doc, piece)).tolist()
     same: dict[tuple[int, bytes], list[int]] = {}  # the first of each has the smallest document
     for i in order:
@@ -418,17 +425,19 @@ def _shared(table: pa.Table) -> pa.Table:
     sizes = np.cumsum([len(t) for t in found])
     of = piece[heads]
     ends = np.append(np.flatnonzero(of[1:] != of[:-1]) + 1, len(of)) if len(of) else np.zeros(0, dtype=np.int64)
-    out, a = [], 0
+    # the same bytes in a later document go as a whole; what the first document has, the arrays decide
+    out = [(doc[i], at[i], at[i] + len(t)) for t, own in zip(found, places, strict=True) for i in own[1:] if doc[i] > doc[own[0]]]
+    a = 0
     while a < len(found):
         full = int(sizes[a - 1]) + RUN if a else RUN
         k = int(np.searchsorted(sizes[ends - 1], full, side="right"))
         b = max(int(ends[k - 1]) if k else 0, int(ends[np.searchsorted(ends, a, side="right")]))  # whole pieces, one at least
         for which, start in _parts(found[a:b], off[heads[a:b]], doc[heads[a:b]]):
             for w, st in zip(which.tolist(), start.tolist(), strict=True):
-                out += [(doc[i], at[i] + st) for i in places[a + w]]
+                out += [(doc[i], at[i] + st, at[i] + st + LENGTH) for i in places[a + w]]
         a = b
-    d, st = (np.array(c, dtype=np.int64) for c in zip(*out, strict=True)) if out else (np.zeros(0, dtype=np.int64),) * 2
-    return _reply(*_merged(d, st, st + LENGTH)).select(["doc", "start", "end"])
+    d, st, e = (np.array(c, dtype=np.int64) for c in zip(*out, strict=True)) if out else (np.zeros(0, dtype=np.int64),) * 3
+    return _reply(*_merged(d, st, e)).select(["doc", "start", "end"])
 
 
 def _parts(texts: list[bytes], off: np.ndarray, doc: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
