@@ -9,14 +9,21 @@ from pyspark.sql import functions as F
 SPACE = r"\x{9}-\x{D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
 #: Endings of test files; a base name that starts with test_, and these folders, count too. Fixed values.
-TEST_ENDINGS = "_test.go _test.py _test.rs _test.ts _test.js .test.ts .test.tsx .test.js .test.jsx .spec.ts .spec.tsx .spec.js .spec.jsx _spec.rb _spec.lua _test.exs".split()
-TEST_FOLDERS = "test tests __tests__ spec".split()
+TEST_ENDINGS = (
+    "_test.go", "_test.py", "_test.rs", "_test.ts", "_test.js", ".test.ts", ".test.tsx", ".test.js",
+    ".test.jsx", ".spec.ts", ".spec.tsx", ".spec.js", ".spec.jsx", "_spec.rb", "_spec.lua", "_test.exs",
+)
+TEST_FOLDERS = ("test", "tests", "__tests__", "spec")
 TEST_PATTERN = "(" + "|".join(e.replace(".", r"\.") for e in TEST_ENDINGS) + ")$|(^|/)test_[^/]*$|/(" + "|".join(TEST_FOLDERS) + ")/"
 
 #: Grammars by MIME type. Fixed values.
 LANGUAGES = {"text/x-go": "go", "text/x-rust": "rust", "text/x-python": "python", "text/x-nix": "nix", "text/x-lua": "lua", "text/markdown": "markdown"}
 
-_HEADER = r"(?s)\A(---\r?\n(?:(?!---[^\S\n]*(?:\n|\z))[^\n]*\n)*---[^\S\n]*(?:\n|\z))"
+#: A header from its first line to the first line that is --- but for white space at its end. No group repeats, so length is no matter.
+_HEADER = r"(?s)\A(---\r?\n(?:.*?\n)??---[" + SPACE.replace(r"\x{9}-\x{D}", r"\x{9}\x{B}-\x{D}") + r"]*(?:\n|\z))"
+
+#: Which languages put the headings above a chunk before its text when it is embedded.
+HEADING_CONTEXT = ("markdown",)
 
 
 def is_test_path(uri: Column) -> Column:
@@ -37,6 +44,15 @@ def front_matter(text: Column) -> tuple[Column, Column]:
     return body, (F.length(header) - F.length(F.replace(header, F.lit("\n"), F.lit(""))) + 1).cast("int")
 
 
+def uses_heading_context(language: Column) -> Column:
+    return F.coalesce(language.isin(*HEADING_CONTEXT), F.lit(False))
+
+
+def supported(mime: Column) -> Column:
+    """Whether some parser takes the MIME type; what none takes is a failure, not an empty document."""
+    return F.coalesce(F.startswith(mime, F.lit("text/")), F.lit(False))
+
+
 def parsed(mime: Column, content: Column) -> tuple[Column, Column]:
     """(text, starting line): exactly text/markdown loses its header, other text/* is decoded as it is, the rest is null."""
     text = F.make_valid_utf8(content.cast("string"))
@@ -65,14 +81,52 @@ def snippet(text: Column, most: int) -> Column:
     return F.when(F.octet_length(flat) > most, F.concat(cut, F.lit("…"))).otherwise(flat)
 
 
+def clean_path(path: Column) -> Column:
+    """A path without empty, . and .. parts and without a slash at its end; the root stays the root, nothing becomes "."."""
+    rooted = F.startswith(path, F.lit("/"))
+    parts = F.filter(F.split(path, "/", -1), lambda p: ~p.isin("", "."))
+    plain = F.array_join(parts, "/")
+
+    def step(acc, p):
+        up = (p == "..") & (F.size(acc) > 0) & (F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit("")) != "..")
+        return F.when(up, F.slice(acc, F.lit(1), F.size(acc) - 1)).when((p == "..") & rooted, acc).otherwise(F.concat(acc, F.array(p)))
+
+    folded = F.when(F.array_contains(parts, ".."), F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")).otherwise(plain)
+    return F.when(rooted, F.concat(F.lit("/"), folded)).otherwise(F.when(folded == "", ".").otherwise(folded))
+
+
 def result_path(uri: Column, root: str) -> Column:
-    """Local path of a result: file:// decoded, other schemes null, relative ones joined to root."""
-    return (
-        F.when(F.startswith(uri, F.lit("file://")), F.url_decode(F.replace(F.substring(uri, 8, F.length(uri)), F.lit("+"), F.lit("%2B"))))
-        .when(uri.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), F.lit(None).cast("string"))
-        .when(F.startswith(uri, F.lit("/")), uri)
-        .otherwise(F.concat(F.lit(root.rstrip("/") + "/"), uri))
+    """Clean local path of a result: file:// decoded, other schemes and empty ones null, relative ones joined to root."""
+    path = (
+        F.when(F.startswith(uri, F.lit("file://")), F.try_url_decode(F.replace(F.substring(uri, 8, F.length(uri)), F.lit("+"), F.lit("%2B"))))
+        .when(uri.rlike("^[A-Za-z][A-Za-z0-9+.-]*://") | (uri == ""), F.lit(None).cast("string"))
+        .otherwise(uri)
     )
+    return clean_path(F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), path)))
+
+
+def plural(n: Column, noun: str) -> Column:
+    return F.concat(n.cast("string"), F.when(n == 1, F.lit(f" {noun}")).otherwise(F.lit(f" {noun}s")))
+
+
+def percent(done: Column, total: Column) -> Column:
+    """Whole percents, rounded down; null without a total."""
+    return F.when(total > 0, F.floor(F.try_divide(done, total) * 100))
+
+
+def activity_line(document: Column, stage: Column, documents: Column, scans: Column) -> Column:
+    """What is being worked on and what waits, in one line; empty when nothing is."""
+    active = F.when(document != "", F.concat_ws(" ", F.when(stage != "", stage).otherwise("working on"), document))
+    waiting = [F.when(n > 0, F.concat(plural(n, noun), F.lit(" queued"))) for n, noun in ((documents, "document"), (scans, "scan"))]
+    return F.concat_ws(", ", active, *waiting)
+
+
+def scan_summary(ingested: Column, removed: Column, failed: Column, unchanged: Column, took_ms: Column, quiet_ms: int = 750) -> Column:
+    """What a scan did and how long it took; null where it did nothing and took less than quiet_ms."""
+    parts = [F.when(n > 0, F.concat(n.cast("string"), F.lit(f" {word}"))) for n, word in ((ingested, "indexed"), (removed, "removed"), (failed, "failed"))]
+    idle = (ingested == 0) & (removed == 0) & (failed == 0)
+    said = F.concat_ws(", ", *parts, F.when(idle, F.concat(unchanged.cast("string"), F.lit(" unchanged"))))
+    return F.when(~(idle & (took_ms < quiet_ms)), F.concat(said, F.lit(" in "), F.format_string("%.1f", took_ms / 1000), F.lit("s")))
 
 
 def meter(done: Column, total: Column, cells: int = 14) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import SPACE
@@ -16,7 +16,8 @@ MOST_CHUNKS = 16_384
 def word_windows(docs: DataFrame, text_col: str = "text", line_col: str | None = None, window: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:
     """One row a window of words: docs' other columns, chunk_index, text, start_line, end_line.
 
-    Expressions only: lines, then words with their line, then slices; a text without words has no windows.
+    Expressions only: lines, then words with their line, then slices; a text without words has no windows. (Spark
+    interprets functions over arrays, so this is JVM code, but not generated code.)
     """
     step = max(window - overlap, 1)
     first = F.col(line_col) if line_col else F.lit(1)
@@ -27,7 +28,7 @@ def word_windows(docs: DataFrame, text_col: str = "text", line_col: str | None =
 
     words = docs.withColumn("__words", F.flatten(F.transform(lines, words_of)))
     n = F.size("__words")
-    last = F.when(n <= window, F.lit(0)).otherwise(F.ceil((n - window) / step)).cast("int")
+    last = (window_count(n, window, overlap) - 1).cast("int")
     cut = words.where(n > 0).select(*[c for c in docs.columns if c != text_col], F.explode(F.sequence(F.lit(0), last)).alias("chunk_index"), "__words")
     own = F.slice("__words", F.col("chunk_index") * step + 1, F.lit(window))
     return cut.withColumn("__own", own).select(
@@ -35,6 +36,16 @@ def word_windows(docs: DataFrame, text_col: str = "text", line_col: str | None =
     )
 
 
+def window_count(words: Column, window: int = WINDOW, overlap: int = OVERLAP) -> Column:
+    """How many windows a text of so many words has."""
+    step = max(window - overlap, 1)
+    return F.when(words <= 0, 0).when(words <= window, 1).otherwise(F.ceil((words - window) / step) + 1)
+
+
+def word_count(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(f"[^{SPACE}]+"))
+
+
 def over_limit(chunks: DataFrame, key: str, most: int = MOST_CHUNKS) -> DataFrame:
     """Documents with too many chunks, as failures."""
     return chunks.groupBy(key).agg(F.count("*").alias("chunks")).where(F.col("chunks") > most).select(key, F.lit("RESOURCE_LIMIT").alias("failure_stage"), "chunks")

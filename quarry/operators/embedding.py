@@ -1,9 +1,11 @@
-"""A deterministic embedder: words are hashed to buckets. It stands in where no model is at hand, and can be pulled through ingest and search like one."""
+"""Embedders, and a deterministic one: words are hashed to buckets. It stands in where no model is at hand."""
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -30,19 +32,75 @@ def weights(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
 
 
 def nearest_by_hash(docs: DataFrame, query: DataFrame, key: str, limit: int, text_col: str = "text") -> DataFrame:
-    """The limit texts closest to the query text; scores that agree to nine digits are ties, which the smaller key wins. The query has at most DIMENSION weights, so it is broadcast."""
+    """The limit texts closest to the query text; scores that agree to nine digits are ties, which the smaller key wins.
+
+    The query has at most DIMENSION weights, so it is broadcast; norm and product of a text come from one aggregation of its counts.
+    """
     asked = F.broadcast(weights(query, key, text_col).select("bucket", F.col("weight").alias("asked")))
-    scored = weights(docs, key, text_col).join(asked, "bucket").groupBy(key).agg(F.sum(F.col("weight") * F.col("asked")).alias("score"))
+    words = docs.select(key, F.explode(F.regexp_extract_all(F.lower(text_col), F.lit(f"([^{SPACE}]+)"), F.lit(1))).alias("word"))
+    counts = words.groupBy(key, bucket(F.col("word")).alias("bucket")).agg(F.count("*").alias("n")).join(asked, "bucket", "left")
+    scored = counts.groupBy(key).agg((F.sum(F.col("n") * F.col("asked")) / F.sqrt(F.sum(F.col("n") * F.col("n")))).alias("score")).where("score IS NOT NULL")
     return scored.withColumn("score", F.round("score", 9)).orderBy(F.desc("score"), key).limit(limit).select(key, F.round("score", 6).alias("score"))
 
 
-@F.pandas_udf(ArrayType(FloatType()))
-def dense(texts: pd.Series) -> pd.Series:
-    """Unit vectors of DIMENSION floats, in Arrow batches; zeros for a text without words."""
+def hashed(text: str | None) -> np.ndarray:
+    """Unit vector of DIMENSION floats; zeros for a text without words."""
+    places = [int(hashlib.md5(w.encode()).hexdigest()[:7], 16) % DIMENSION for w in _WORD.findall((text or "").lower())]
+    counts = np.bincount(np.array(places, dtype=np.int64), minlength=DIMENSION).astype(np.float64)
+    return (counts / max(np.sqrt((counts * counts).sum()), 1e-12)).astype(np.float32)
+
+
+@dataclass(frozen=True)
+class Model:
+    """An embedder: name and dimension that an index is made with, what is put before passages and before queries, and embed, many texts to vectors.
+
+    Tasks call embed with at most batch texts; it is loaded once a Python worker where it is a closure over a loader.
+    """
+
+    name: str
+    dimension: int
+    embed: Callable[[list[str]], Sequence[np.ndarray]]
+    passage: str = ""
+    query: str = ""
+    batch: int = 64
+
+    def vectors(self, texts: list[str], prefix: str) -> list[np.ndarray]:
+        out: list[np.ndarray] = []
+        for at in range(0, len(texts), self.batch):
+            some = [prefix + t for t in texts[at : at + self.batch]]
+            got = list(self.embed(some))
+            if len(got) != len(some) or any(len(v) != self.dimension for v in got):
+                raise ValueError(f"{self.name} gave {len(got)} vectors of {sorted({len(v) for v in got})} dimensions for {len(some)} texts of {self.dimension}")
+            out += got
+        return out
+
+
+#: Variants: each has a name of its own, which an index remembers, since their vectors can't be compared. hashed-words stands in where no model is at hand.
+MODELS: dict[str, Model] = {
+    "hashed-words": Model("hashed-words", DIMENSION, lambda texts: [hashed(t) for t in texts]),
+    "hashed-words-prefixed": Model("hashed-words-prefixed", DIMENSION, lambda texts: [hashed(t) for t in texts], "passage: ", "query: "),
+}
+
+
+def register(model: Model) -> None:
+    """Make a model known by its name; a name stands for one model."""
+    if MODELS.setdefault(model.name, model) is not model:
+        raise ValueError(f"{model.name} is known already")
+
+
+def passages(model: Model):
+    """Texts to vectors, as a function of a column, in Arrow batches."""
+
+    @F.pandas_udf(ArrayType(FloatType()))
+    def embed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for some in texts:
+            yield pd.Series(model.vectors(some.fillna("").tolist(), model.passage), dtype=object)
+
+    return embed
 
-    def one(text: str | None) -> np.ndarray:
-        places = [int(hashlib.md5(w.encode()).hexdigest()[:7], 16) % DIMENSION for w in _WORD.findall((text or "").lower())]
-        counts = np.bincount(np.array(places, dtype=np.int64), minlength=DIMENSION).astype(np.float64)
-        return (counts / max(np.sqrt((counts * counts).sum()), 1e-12)).astype(np.float32)
 
-    return texts.map(one)
+def query_vector(model: Model, text: str) -> list[float]:
+    """The vector of a query; a blank query is an error."""
+    if not text.strip():
+        raise ValueError("the query must not be empty")
+    return [float(x) for x in model.vectors([text], model.query)[0]]

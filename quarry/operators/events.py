@@ -45,3 +45,149 @@ def retry_delays(failures: DataFrame, key: str, attempts: str, base_ms: int, mos
     """(key, delay_ms): the longest doubling delay over its documents; those tried more than most times are left alone."""
     delay = F.when(F.col(attempts) <= most, F.expr(f"shiftleft({base_ms}, int({attempts} - 1))"))
     return failures.groupBy(key).agg(F.max(delay).alias("delay_ms"))
+
+
+#: Kinds of events. Fixed values.
+KINDS = (
+    "scan_started", "scan_finished", "document_queued", "document_reading", "document_embedding", "document_ingested",
+    "document_failed", "document_deleted", "worker_state_changed", "worker_progress", "rpc_completed", "snapshot",
+)
+UNLISTED = ("worker_progress", "rpc_completed", "snapshot")
+#: One shape for all kinds; fields that a kind lacks are null.
+SCHEMA = (
+    "seq long, kind string, time timestamp, request_id string, source_id string, document_id string, uri string, chunk_count int, error string, ingested int, unchanged int, removed int, failed int, "
+    "transport string, method string, code string, took_ms long, phase string, done long, total long, unit string, worker_state string, from_state string, detail string, "
+    "pending_scans int, pending_documents int, active_document string, active_stage string, sources int, documents int, chunks int, ingest_failures int"
+)
+
+
+def numbered(events: DataFrame, order: list[str], name: str = "seq") -> DataFrame:
+    """events with their place in the order, from 1, without one task for all: sorted partitions are counted first, then numbered on from the sums before them."""
+    ranged = events.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
+    own = ranged.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
+    sizes = own.groupBy("__part").agg(F.max("__n").alias("__size"))
+    before = sizes.withColumn("__before", F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__size")  # one row a partition
+    return own.join(F.broadcast(before), "__part").withColumn(name, F.col("__n") + F.col("__before")).drop("__part", "__n", "__before")
+
+
+def of_kinds(events: DataFrame, kinds: str, kind: str = "kind") -> DataFrame:
+    """Events of the kinds of a comma list; blanks around them don't count, an empty list is all."""
+    wanted = [k.strip() for k in kinds.split(",") if k.strip()]
+    return events.where(F.col(kind).isin(wanted)) if wanted else events
+
+
+def attempts(failures: DataFrame, key: str | list[str], error: str, at: str) -> DataFrame:
+    """(key, attempts, error, failed_at): how often each failed, and the newest error."""
+    keys = [key] if isinstance(key, str) else key
+    return failures.groupBy(*keys).agg(F.count("*").alias("attempts"), F.max_by(error, at).alias("error"), F.max(at).alias("failed_at"))
+
+
+def newest_first(failures: DataFrame, n: int, at: str = "failed_at", tie: str | None = None) -> DataFrame:
+    order = [F.desc(at), *([F.asc(tie)] if tie else [])]
+    return failures.orderBy(*order).limit(n)
+
+
+def rates(events: DataFrame, counted: list[str], started: Column, now: Column, warm_s: float = 5.0) -> DataFrame:
+    """One row: per minute rates of the sums of counted between started and now; null for the first seconds."""
+    seconds = (F.unix_micros(now) - F.unix_micros(started)) / 1e6
+    return events.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counted]).select(*[F.when(seconds >= warm_s, F.col(c) / (seconds / 60)).alias(f"{c}_per_minute") for c in counted])
+
+
+def per_minute(events: DataFrame, ts: str, kind: str, unit: str = "hour") -> DataFrame:
+    minutes = {"minute": 1, "hour": 60, "day": 1440}[unit]
+    return events.groupBy(F.date_trunc(unit, ts).alias(unit), kind).agg(F.count("*").alias("n"), (F.count("*") / minutes).alias("per_minute"))
+
+
+def coalesced(requests: DataFrame, key: str, at: str, planned: str) -> DataFrame:
+    """(key, at, requests): scans that run. A request waits until planned, when its scan begins; those that come while one waits are part of it, one after that begins the next.
+
+    requests has, for each request, the time at which a scan that it starts would begin; a plain window
+    can't tell which requests start one, so each key's requests are folded in order, within the row.
+    """
+    listed = requests.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col(planned).alias("planned")))).alias("all"))
+    none = F.array().cast("array<struct<at:timestamp,planned:timestamp,requests:int>>")
+
+    def step(acc, x):
+        last = F.try_element_at(acc, F.lit(-1))
+        waits = F.coalesce(x["at"] < last["planned"], F.lit(False))
+        joined = F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last["at"].alias("at"), last["planned"].alias("planned"), (last["requests"] + 1).alias("requests"))))
+        return F.when(waits, joined).otherwise(F.concat(acc, F.array(F.struct(x["at"].cast("timestamp").alias("at"), x["planned"].cast("timestamp").alias("planned"), F.lit(1).alias("requests")))))
+
+    runs = listed.select(key, F.explode(F.aggregate("all", none, step)).alias("r"))
+    return runs.select(key, F.col("r.at").alias(at), F.col("r.planned").alias(planned), F.col("r.requests").alias("requests"))
+
+
+def first_in_line(requests: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, order): of the requests that wait, the first of each key keeps its place."""
+    return requests.groupBy(key).agg(F.min(order).alias(order))
+
+
+def scheduled_retries(runs: DataFrame, accepted: DataFrame, key: str, finished: str, delay_ms: str, at: str) -> DataFrame:
+    """(key, fires): retries that come to fire. A run asks for one delay_ms after it finished; any scan accepted in between replaces it, and a run without a delay asks for none."""
+    every = runs.where(F.col(delay_ms).isNotNull()).select(key, F.col(finished).alias("__t"), F.lit(0).alias("__kind"), F.col(delay_ms).cast("long").alias("__delay"))
+    every = every.unionByName(accepted.select(key, F.col(at).alias("__t"), F.lit(1).alias("__kind"), F.lit(None).cast("long").alias("__delay")))
+    following = Window.partitionBy(key).orderBy("__t", "__kind")
+    fires = F.timestamp_micros(F.unix_micros(F.col("__t").cast("timestamp")) + F.col("__delay") * 1000)
+    nxt = F.lead("__t").over(following)
+    return every.withColumns({"fires": fires, "__next": nxt}).where("__kind = 0 AND (__next IS NULL OR __next >= fires)").select(key, "fires")
+
+
+def lines(events: DataFrame) -> DataFrame:
+    """One compact JSON object an event; fields that are null, zero, false or empty are left out, but for seq, kind and time."""
+    kept = ("seq", "kind", "time")
+
+    def present(name: str, kind: str) -> Column:
+        c = F.col(name)
+        if name in kept or kind.startswith(("timestamp", "date", "struct")):
+            return c
+        empty = (c == "") if kind == "string" else (c == F.lit(False)) if kind == "boolean" else F.size(c) == 0 if kind.startswith(("array", "map")) else (c == 0)
+        return F.when(~empty, c)
+
+    return events.select(F.to_json(F.struct(*[present(n, k).alias(n) for n, k in events.dtypes]), {"ignoreNullFields": "true"}).alias("line"))
+
+
+def decoded_stream(frames: DataFrame, schema: str = SCHEMA, column: str = "value") -> DataFrame:
+    """Events from the lines of an event stream: only those that begin with "data: " count, and what isn't a JSON object is left out."""
+    data = frames.where(F.startswith(column, F.lit("data: "))).select(F.substring(column, 7, 1 << 30).alias("__data"))
+    listed = F.try_parse_json(F.concat(F.lit("["), F.col("__data"), F.lit("]")))  # in brackets, what follows a whole object is an error
+    parsed = data.select(F.from_json("__data", schema, {"mode": "PERMISSIVE"}).alias("e"), listed.alias("__v"))
+    one = F.startswith(F.schema_of_variant(F.try_variant_get("__v", "$[0]", "variant")), F.lit("OBJECT")) & F.try_variant_get("__v", "$[1]", "variant").isNull()
+    return parsed.where(one).select("e.*")
+
+
+def snapshot(sources: DataFrame, documents: DataFrame, failures: DataFrame, pending_scans: Column, pending_documents: Column) -> DataFrame:
+    """One gauge row: what is indexed, what failed, what waits."""
+    counts = sources.agg(F.count("*").alias("sources")).crossJoin(documents.agg(F.count("*").alias("documents"), F.coalesce(F.sum("chunk_count"), F.lit(0)).alias("chunks"))).crossJoin(failures.agg(F.count("*").alias("ingest_failures")))  # one row each
+    return counts.select(F.lit("snapshot").alias("kind"), pending_scans.alias("pending_scans"), pending_documents.alias("pending_documents"), "*")
+
+
+def display(events: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """events with what a viewer would show after each: pending, active_document, active_stage, ingested_total, chunks_total, failed_total, last_error, last_scan_ms, last_batch_ms, state.
+
+    pending never falls under zero; before the first queued document of a key, snapshots set it (and
+    what is active), afterwards only events do. When nothing is pending any more nothing is active.
+    """
+    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    kind = F.col("kind")
+    ends = kind.isin("document_ingested", "document_failed", "document_deleted")
+    live = events.withColumn("__live", F.coalesce(F.max(kind == "document_queued").over(w), F.lit(False)))
+    seeds = (kind == "snapshot") & ~F.col("__live")
+    step = F.when(kind == "document_queued", 1).when(ends, -1).otherwise(0)
+    part = live.withColumn("__part", F.sum(F.when(seeds, 1).otherwise(0)).over(w))
+    own = Window.partitionBy(key, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = part.withColumns({"__sum": F.sum(step).over(own), "__seed": F.coalesce(F.first(F.when(seeds, F.col("pending_documents"))).over(own), F.lit(0))})
+    level = summed.withColumn("pending", F.col("__sum") + F.greatest(F.col("__seed"), -F.min("__sum").over(own)))
+    nothing = F.struct(F.lit("").alias("document"), F.lit("").alias("stage"))
+    set_ = (
+        F.when(kind == "document_reading", F.struct(F.col("uri").alias("document"), F.lit("reading").alias("stage"))).when(kind == "document_embedding", F.struct(F.col("uri").alias("document"), F.lit("embedding").alias("stage")))
+        .when(seeds, F.struct(F.coalesce("active_document", F.lit("")).alias("document"), F.coalesce("active_stage", F.lit("")).alias("stage"))).when(ends & (F.col("pending") == 0), nothing)
+    )
+    said = F.when(kind == "document_failed", F.concat_ws(": ", "uri", "error")).when((kind == "scan_finished") & (F.col("error") != ""), F.concat(F.lit("scan "), F.col("source_id"), F.lit(": "), F.col("error")))
+    of = lambda c: F.last(c, ignorenulls=True).over(w)
+    total = lambda c: F.coalesce(F.sum(c).over(w), F.lit(0)).cast("long")
+    active = F.coalesce(of(set_), nothing)
+    return level.withColumns({
+        "__active": active, "ingested_total": total(F.when(kind == "document_ingested", 1)), "chunks_total": total(F.when(kind == "document_ingested", F.col("chunk_count"))), "failed_total": total(F.when(kind == "document_failed", 1)),
+        "last_error": of(said), "last_scan_ms": of(F.when(kind == "scan_finished", F.col("took_ms"))), "last_batch_ms": of(F.when((kind == "rpc_completed") & (F.col("transport") == "grpc") & (F.col("method") == "IngestBatch"), F.col("took_ms"))),
+        "state": of(F.when(kind.isin("snapshot", "worker_state_changed"), F.col("worker_state"))),
+    }).withColumns({"active_document": F.col("__active.document"), "active_stage": F.col("__active.stage")}).drop("__live", "__part", "__sum", "__seed", "__active")

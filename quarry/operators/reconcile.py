@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.text import clean_path
+
 KEYS = ["source_id", "uri"]
 
 
@@ -48,16 +50,40 @@ def upserted(old: DataFrame, new: DataFrame) -> DataFrame:
     return joined.select(*KEYS, F.coalesce("id", "new_id").alias("id"), *[F.coalesce(f"new_{c}", c).alias(c) for c in old.columns if c not in (*KEYS, "id")])
 
 
+def _above(path: Column) -> Column:
+    """The folders above a clean path, the root first."""
+    parts = F.split(path, "/", -1)
+    short = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    return F.when((path == "/") | ~F.contains(path, F.lit("/")), F.array().cast("array<string>")).otherwise(F.transform(short, lambda p: F.when(p == "", "/").otherwise(p)))
+
+
 def nesting(sources: DataFrame) -> DataFrame:
     """(id, other, relation): for each source the first of the earlier ones, in the order of ids, that equals, contains or lies in it.
 
-    The theta join on whole path components becomes an equi-join on the ancestors of each path, so it shuffles like any other join.
+    Paths are compared clean and by whole components. Only the smallest id of each path can be the
+    first of anything, so paths are reduced to it before the equi-joins on the folders above them.
+    """
+    own = sources.select("id", clean_path(F.col("uri")).alias("path"))
+    paths = own.groupBy("path").agg(F.min("id").alias("equal"))
+    above = paths.select("path", "equal", F.explode(_above(F.col("path"))).alias("folder"))
+    inside = above.join(paths.select(F.col("path").alias("folder"), F.col("equal").alias("other")), "folder").groupBy("path").agg(F.min("other").alias("inside"))
+    contains = above.groupBy("folder").agg(F.min("equal").alias("contains")).withColumnRenamed("folder", "path")
+    found = own.join(paths, "path").join(inside, "path", "left").join(contains, "path", "left")
+    earlier = [F.when(F.col(k) < F.col("id"), F.struct(F.col(k).alias("other"), F.lit(k).alias("relation"))) for k in ("equal", "inside", "contains")]
+    first = found.select("id", F.array_min(F.array_compact(F.array(*earlier))).alias("first"))
+    return first.where("first IS NOT NULL").select("id", "first.other", "first.relation")
+
+
+def conflicts(candidates: DataFrame, registered: DataFrame) -> DataFrame:
+    """(uri, id, relation): for each candidate path the first registered source (by created_at, then id) that equals, contains or lies in it.
+
+    Equal paths are no conflict: registering again is allowed. Paths that aren't absolute conflict with nothing.
     """
-    parts = F.split("uri", "/", -1)
-    above = sources.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).alias("path"), "uri")
-    own = sources.select(F.col("id").alias("o_id"), F.col("uri").alias("path"))
-    hits = above.join(own, "path")
-    under = hits.where("o_id < id").select("id", F.col("o_id").alias("other"), F.when(F.col("path") == F.col("uri"), "equal").otherwise("inside").alias("relation"))
-    over = hits.where("id < o_id AND path <> uri").select(F.col("o_id").alias("id"), F.col("id").alias("other"), F.lit("contains").alias("relation"))
-    both = under.unionByName(over)
-    return both.groupBy("id").agg(F.min(F.struct("other", "relation")).alias("first")).select("id", "first.other", "first.relation")
+    ordered = registered.where(F.startswith("uri", F.lit("/"))).select("id", clean_path(F.col("uri")).alias("path"), F.struct("created_at", "id").alias("place"))
+    asked = candidates.where(F.startswith("uri", F.lit("/"))).select("uri", clean_path(F.col("uri")).alias("path")).distinct()
+    paths = ordered.groupBy("path").agg(F.min("place").alias("place"))
+    below = paths.select(F.explode(_above(F.col("path"))).alias("path"), "place").groupBy("path").agg(F.min("place").alias("place"))
+    over = asked.select("uri", F.explode(_above(F.col("path"))).alias("path"))
+    every = [asked.join(paths, "path").withColumn("relation", F.lit("equal")), over.join(paths, "path").withColumn("relation", F.lit("inside")), asked.join(below, "path").withColumn("relation", F.lit("contains"))]
+    hits = every[0].unionByName(every[1]).unionByName(every[2]).groupBy("uri").agg(F.min(F.struct("place", "relation")).alias("first"))
+    return hits.select("uri", F.col("first.place.id").alias("id"), "first.relation").where("relation <> 'equal'")
