@@ -1,13 +1,14 @@
 """A folder tree as a Spark data source: one row a file that can be indexed, without its content.
 
 Spark's own file sources leave out names that begin with an underscore or a dot and keep only
-milliseconds, so the walk is its own. Folders at the top are partitions; content is read later,
-only of the files that reconciliation asks for.
+milliseconds, so the walk is its own. Folders are divided level by level until there are enough
+of them for tasks; content is read later, only of the files that reconciliation asks for.
 """
 
 from __future__ import annotations
 
 import hashlib
+import logging
 import os
 import time
 from collections.abc import Iterator
@@ -24,14 +25,25 @@ EXCLUDED = ("node_modules", "vendor", "target", "__pycache__")
 #: Files changed within so many seconds before the scan are hashed: their time says little.
 RACY_S = 2.0
 #: MIME types by extension. Fixed values.
-MIME_TYPES = {
-    "text/plain": ".txt .text", "text/markdown": ".md .markdown", "text/x-go": ".go", "text/x-rust": ".rs", "text/x-lua": ".lua", "text/x-nix": ".nix", "text/x-python": ".py .pyi",
-    "text/javascript": ".js .mjs .cjs", "text/jsx": ".jsx", "text/typescript": ".ts .mts .cts", "text/tsx": ".tsx", "text/x-java-source": ".java", "text/x-kotlin": ".kt .kts", "text/x-c": ".c .h",
-    "text/x-c++": ".cc .cpp .cxx .hh .hpp .hxx", "text/x-csharp": ".cs", "text/x-ruby": ".rb", "text/x-php": ".php", "text/x-swift": ".swift", "text/x-scala": ".scala .sc",
-    "text/x-shellscript": ".sh .bash .zsh .fish", "text/x-sql": ".sql", "text/yaml": ".yaml .yml", "text/x-toml": ".toml", "text/json": ".json .jsonc", "text/html": ".html .htm", "text/css": ".css",
-    "text/x-scss": ".scss", "text/x-sass": ".sass", "text/x-less": ".less", "text/x-protobuf": ".proto", "text/xml": ".xml .svg",
+BY_EXTENSION = {
+    ".txt": "text/plain", ".text": "text/plain", ".md": "text/markdown", ".markdown": "text/markdown",
+    ".go": "text/x-go", ".rs": "text/x-rust", ".lua": "text/x-lua", ".nix": "text/x-nix",
+    ".py": "text/x-python", ".pyi": "text/x-python", ".js": "text/javascript", ".mjs": "text/javascript",
+    ".cjs": "text/javascript", ".jsx": "text/jsx", ".ts": "text/typescript", ".mts": "text/typescript",
+    ".cts": "text/typescript", ".tsx": "text/tsx", ".java": "text/x-java-source", ".kt": "text/x-kotlin",
+    ".kts": "text/x-kotlin", ".c": "text/x-c", ".h": "text/x-c", ".cc": "text/x-c++",
+    ".cpp": "text/x-c++", ".cxx": "text/x-c++", ".hh": "text/x-c++", ".hpp": "text/x-c++",
+    ".hxx": "text/x-c++", ".cs": "text/x-csharp", ".rb": "text/x-ruby", ".php": "text/x-php",
+    ".swift": "text/x-swift", ".scala": "text/x-scala", ".sc": "text/x-scala", ".sh": "text/x-shellscript",
+    ".bash": "text/x-shellscript", ".zsh": "text/x-shellscript", ".fish": "text/x-shellscript", ".sql": "text/x-sql",
+    ".yaml": "text/yaml", ".yml": "text/yaml", ".toml": "text/x-toml", ".json": "text/json",
+    ".jsonc": "text/json", ".html": "text/html", ".htm": "text/html", ".css": "text/css",
+    ".scss": "text/x-scss", ".sass": "text/x-sass", ".less": "text/x-less", ".proto": "text/x-protobuf",
+    ".xml": "text/xml", ".svg": "text/xml",
 }
-BY_EXTENSION = {e: m for m, own in MIME_TYPES.items() for e in own.split()}
+#: Folders that a walk is divided into at least, where there are so many.
+PARTS = 64
+_LOG = logging.getLogger(__name__)
 
 
 def mime_of(name: str) -> str | None:
@@ -62,9 +74,25 @@ class LocalTreeReader(DataSourceReader):
         self.excluded = set(EXCLUDED) if given is None else {x for x in given.split(",") if x}
 
     def partitions(self) -> list[InputPartition]:
-        rules = self._rules("")
-        below = [e.name for e in sorted(os.scandir(self.root), key=lambda e: e.name) if e.is_dir(follow_symlinks=False) and self._enters(e.name, e.name, rules)]
-        return [_Part("", False), *[_Part(name, True) for name in below]]
+        shallow, deep = [""], self._below("")
+        while deep and len(deep) < PARTS:  # one level further: a folder's own files, and its folders
+            below = [(f, self._below(f)) for f in deep]
+            if not any(b for _, b in below):
+                break
+            shallow += [f for f, _ in below]
+            deep = [x for _, b in below for x in b]
+        return [*[_Part(f, False) for f in shallow], *[_Part(f, True) for f in deep]]
+
+    def _below(self, folder: str) -> list[str]:
+        rules = self._rules(folder)
+        return [path for e, path in self._entries(folder) if e.is_dir(follow_symlinks=False) and self._enters(e.name, path, rules)]
+
+    def _entries(self, folder: str) -> list[tuple[os.DirEntry, str]]:
+        try:
+            return [(e, f"{folder}/{e.name}" if folder else e.name) for e in sorted(os.scandir(os.path.join(self.root, folder)), key=lambda e: e.name)]
+        except OSError as e:
+            _LOG.warning("skipped %s: %s", os.path.join(self.root, folder), e.strerror)
+            return []
 
     def _rules(self, folder: str) -> list:
         found = []
@@ -85,18 +113,13 @@ class LocalTreeReader(DataSourceReader):
 
     def _walk(self, folder: str, deep: bool) -> Iterator[tuple]:
         rules = self._rules(folder)
-        try:
-            entries = sorted(os.scandir(os.path.join(self.root, folder)), key=lambda e: e.name)
-        except OSError:
-            return
-        for e in entries:
-            path = f"{folder}/{e.name}" if folder else e.name
+        for e, path in self._entries(folder):
             if e.is_dir(follow_symlinks=False):
                 if deep and self._enters(e.name, path, rules):
                     yield from self._walk(path, True)
                 continue
             mime = mime_of(e.name)
-            if mime is None or not e.is_file(follow_symlinks=False) or ignored(rules, path, False):
+            if mime is None or not (e.is_file(follow_symlinks=False) or e.is_symlink()) or ignored(rules, path, False):
                 continue
             try:
                 stat = e.stat(follow_symlinks=False)
@@ -125,3 +148,14 @@ def scan(spark: SparkSession, path: str, exclude: list[str] | None = None) -> Da
     if exclude is not None:
         reader = reader.option("exclude", ",".join(exclude))
     return reader.load(path)
+
+
+#: Scans by the type that the catalog remembers of a source.
+TYPES = {"local_dir": scan}
+
+
+def from_catalog(spark: SparkSession, source_type: str, uri: str) -> DataFrame:
+    """The scan of a source that the catalog knows by its type and uri; a type that nothing was registered for is an error."""
+    if source_type not in TYPES:
+        raise ValueError(f"unknown source type {source_type!r}")
+    return TYPES[source_type](spark, uri)
