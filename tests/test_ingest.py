@@ -21,14 +21,14 @@ def test_index_follows_the_folder(spark, tmp_path):
     put("b.txt", "delta " * 500)
     put("c.txt", "")
     assert ingest.ingest(spark, str(root), index, "s1") == {"ingested": 3, "unchanged": 0, "removed": 0, "failed": 0}
-    chunks = store.current(spark, f"{index}/chunks", ingest.CHUNKS)
+    chunks = store.read_parts(spark, f"{index}/chunks", ingest.CHUNKS)
     assert {(r["uri"][-5:], r["chunk_index"], r["start_line"]) for r in chunks.collect()} == {("/a.md", 0, 4), ("b.txt", 0, 1), ("b.txt", 1, 1), ("b.txt", 2, 1)}
     assert ingest.ingest(spark, str(root), index, "s1") == {"ingested": 0, "unchanged": 3, "removed": 0, "failed": 0}
     put("a.md", "---\nt: 1\n---\nalpha beta gamma", (2 * 10**18 // 2 + 5, 10**18 + 5))  # touched, same bytes
     put("b.txt", "delta epsilon", (10**18 + 9, 10**18 + 9))
     (root / "c.txt").unlink()
     assert ingest.ingest(spark, str(root), index, "s1") == {"ingested": 1, "unchanged": 1, "removed": 1, "failed": 0}
-    chunks = store.current(spark, f"{index}/chunks", ingest.CHUNKS)
+    chunks = store.read_parts(spark, f"{index}/chunks", ingest.CHUNKS)
     assert chunks.count() == 2
     asked = chunks.where("uri LIKE '%b.txt'").first()
     best = search.search(chunks, list(asked["embedding"]), 1, 1, document="document_id", tie="point_id").first()
@@ -37,7 +37,7 @@ def test_index_follows_the_folder(spark, tmp_path):
     put("d.txt", "too large", (10**18 + 1, 10**18 + 1))
     for attempt in (1, 2):
         assert ingest.ingest(spark, str(root), index, "s1", most_bytes=5)["failed"] == 1
-        assert [r["attempts"] for r in store.current(spark, f"{index}/failures", ingest.FAILURES).collect()] == [attempt]
+        assert [r["attempts"] for r in store.read_parts(spark, f"{index}/failures", ingest.FAILURES).collect()] == [attempt]
     with pytest.raises(ValueError):
         store.check_manifest(spark, index, "other", 384)
 
@@ -49,3 +49,46 @@ def test_uncommitted_generations_are_not_read(spark, tmp_path):
     assert store.current(spark, table, "n int").count() == 1
     assert store.publish(spark.createDataFrame([(2,), (3,)], "n int"), table) == 2
     assert store.current(spark, table, "n int").count() == 2
+
+
+def test_only_touched_parts_are_written(spark, tmp_path):
+    root, index = tmp_path / "src", f"file://{tmp_path}/index"
+    root.mkdir()
+    for n in range(12):
+        (root / f"f{n}.md").write_text(f"# One\n\nword{n}\n")
+        os.utime(root / f"f{n}.md", ns=(10**18, 10**18))
+    ingest.ingest(spark, str(root), index, "s1")
+    ingest.ingest(spark, str(root), index, "s 2/x")
+    generations = lambda: {n: sorted(p.name for p in (tmp_path / "index" / n).glob("gen=*") if (p / "_COMMITTED").exists()) for n in ("chunks", "documents")}
+    before = generations()
+    assert ingest.ingest(spark, str(root), index, "s1")["unchanged"] == 12 and generations() == before
+    (root / "f3.md").write_text("changed words\n")
+    os.utime(root / "f3.md", ns=(10**18 + 1, 10**18 + 1))
+    assert ingest.ingest(spark, str(root), index, "s1")["ingested"] == 1
+    newest = tmp_path / "index/chunks" / generations()["chunks"][-1]
+    assert len(list(newest.glob("source_id=*/bucket=*"))) == 1
+    chunks = store.read_parts(spark, f"{index}/chunks", ingest.CHUNKS)
+    assert chunks.count() == 24 and chunks.where("text LIKE '%changed%'").count() == 1
+    assert all("source_id=s1" in f for f in store.read_parts(spark, f"{index}/chunks", ingest.CHUNKS, "s1").inputFiles())
+    got = ingest.ingest(spark, str(root), index, "s1", most_chunks=0)
+    assert got == {"ingested": 0, "unchanged": 12, "removed": 0, "failed": 0}  # nothing was read
+    (root / "f3.md").write_text("changed again\n")
+    os.utime(root / "f3.md", ns=(10**18 + 2, 10**18 + 2))
+    assert ingest.ingest(spark, str(root), index, "s1", most_chunks=0)["failed"] == 1
+    failure = store.read_parts(spark, f"{index}/failures", ingest.FAILURES).first()
+    assert failure["stage"] == "RESOURCE_LIMIT" and chunks.where("text LIKE '%changed words%'").count() == 1  # what was there stays
+    (root / "f3.md").unlink()
+    ingest.ingest(spark, str(root), index, "s1")
+    assert store.read_parts(spark, f"{index}/failures", ingest.FAILURES).count() == 0
+    ingest.delete_source(spark, index, "s 2/x")
+    assert tuple(ingest.stats(spark, index).first()) == (1, 11, 11, 0)
+    assert {r["source_id"] for r in store.read_parts(spark, f"{index}/chunks", ingest.CHUNKS).select("source_id").distinct().collect()} == {"s1"}
+
+
+def test_two_writers_do_not_overwrite_each_other(spark, tmp_path):
+    table = f"file://{tmp_path}/t"
+    store.publish(spark.createDataFrame([(1,)], "n int"), table)
+    store._claim(spark, store._folder(table, 2))
+    with pytest.raises(RuntimeError):
+        store.publish(spark.createDataFrame([(2,)], "n int"), table)
+    assert store.current(spark, table, "n int").first()["n"] == 1
