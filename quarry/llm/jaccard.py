@@ -5,11 +5,14 @@ order of all tokens. Orders here go from rare to frequent classes of tokens (a s
 size counts them over all documents) and by different hashes within a class. Candidates come
 from the first order; size, position and parity-sketch bounds, none of which loses a pair,
 thin them; a candidate must also share prefix tokens under each further order; what is left
-is verified on the whole sets. Equal sets are one class from the start. Only connections are
-asked for, so each token group passes on a spanning forest of its candidates, closest pairs
-first. Documents that candidates connect are a family; its sets meet once in one task, or, in
-families of more than FAMILY members, in joins whose rounds go on until every candidate pair
-is connected or refuted.
+is verified on the whole sets. Equal sets are one class from the start.
+
+Only connections are asked for. Documents that candidates connect are a family; a token with
+more than HOT holders makes them one family without looking at pairs. The sets of a family meet
+in one task, if they have at most FAMILY_BYTES. Those of larger families are dealt to tasks of
+that size by hash, anew in each of a few rounds, which connects nearly all that belongs together;
+at the end, holders of one token that are still apart meet chunk by chunk, and each pair of them
+that no bound excludes is verified. No task holds a token's holders or a family as a whole.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import mix64, slices, staged, word_hashes
@@ -31,10 +34,10 @@ CHUNK = 1 << 16
 SKETCHES = ((900, 4), (4000, 16), (0, 64))
 #: Ids that a broadcast join takes at most; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Members of a family of candidates that one task takes at most; larger ones are settled by joins, in rounds.
-FAMILY = 10_000
-#: Members of a token group that are compared at once.
-BLOCK = 1024
+#: Holders of a token from which they are one family; holders that are compared at once, and that a chunk has about.
+HOT, BLOCK = 1024, 512
+#: Bytes of the sets of a family that one task takes at most; rounds in which larger ones are dealt to tasks.
+FAMILY_BYTES, ROUNDS = 8 << 20, 3
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = mix64(np.arange(11, 11 + ORDERS, dtype=np.uint64))
 
@@ -175,21 +178,29 @@ def _fits(e: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, hundredths: in
     return at[close], apart[close]
 
 
-def _forest(e: dict[str, np.ndarray], groups: np.ndarray, hundredths: int) -> list[tuple[int, int]]:
-    """Spanning forest of the open candidate pairs of token groups (runs of entries of the given sizes), closest first."""
-    out: list[tuple[int, int]] = []
+def _united(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Labels (smallest places) after the places i and j are connected too."""
+    while len(i):
+        a, b = label[i], label[j]
+        apart = a != b
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label[label] != label).any():
+            label = label[label]
+    return label
+
+
+def _stars(e: dict[str, np.ndarray], groups: np.ndarray, hundredths: int) -> np.ndarray:
+    """For every entry of token groups (runs of entries of the given sizes) the first one of its group that candidates connect it with."""
+    label = np.arange(len(e["n"]))
     starts = np.cumsum(groups) - groups
     small = groups <= 64
-    found_i, found_j, found_d = [], [], []
-    take = np.repeat(small, groups)
-    own = np.flatnonzero(take)
+    own = np.flatnonzero(np.repeat(small, groups))
     left, right = _pairs(groups[small])
     for at in range(0, len(left), 1 << 20):
         i, j = own[left[at : at + (1 << 20)]], own[right[at : at + (1 << 20)]]
-        ok, apart = _fits(e, i, j, hundredths)
-        found_i.append(i[ok])
-        found_j.append(j[ok])
-        found_d.append(apart)
+        ok, _ = _fits(e, i, j, hundredths)
+        label = _united(label, i[ok], j[ok])
     for start, size in zip(starts[~small].tolist(), groups[~small].tolist(), strict=True):
         order = start + np.argsort(e["n"][start : start + size], kind="stable")
         n = e["n"][order]
@@ -199,77 +210,93 @@ def _forest(e: dict[str, np.ndarray], groups: np.ndarray, hundredths: int) -> li
             for b in range(a, reach, BLOCK):
                 cols = order[b : min(b + BLOCK, reach)]
                 i, j = np.repeat(rows, len(cols)), np.tile(cols, len(rows))
-                if a == b:
-                    upper = np.repeat(np.arange(len(rows)), len(cols)) < np.tile(np.arange(len(cols)), len(rows))
-                    i, j = i[upper], j[upper]
-                ok, apart = _fits(e, i, j, hundredths)
-                found_i.append(i[ok])
-                found_j.append(j[ok])
-                found_d.append(apart)
-    if not found_i:
-        return out
-    i, j, apart = np.concatenate(found_i), np.concatenate(found_j), np.concatenate(found_d)
-    group = np.repeat(np.arange(len(groups)), groups)[i]
-    order = np.lexsort((apart, group))
-    refuted = e["refuted"]
-    parent: dict[tuple[int, int], tuple[int, int]] = {}
-
-    def root(x):
-        while parent.get(x, x) != x:
-            parent[x] = parent.get(parent[x], parent[x])
-            x = parent[x]
-        return x
-
-    ids, comp = e["id"], e["comp"]
-    for g, x, y in zip(group[order].tolist(), i[order].tolist(), j[order].tolist(), strict=True):
-        a, b = int(ids[x]), int(ids[y])
-        if refuted[x] and b in refuted[x]:
+                open_ = label[i] != label[j]
+                i, j = i[open_], j[open_]
+                ok, _ = _fits(e, i, j, hundredths)
+                label = _united(label, i[ok], j[ok])
+    return label
+
+
+def _columns(table: pa.Table, *names: str) -> dict[str, np.ndarray]:
+    out = {n: table.column(n).to_numpy() for n in names}
+    return out | {"parity": _sketches(table.column("parity").to_pylist())}
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], key: str, rows: int) -> Iterator[pa.Table]:
+    """Tables of about so many rows that hold whole groups, from batches that come sorted by key."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
             continue
-        u, v = root((g, int(comp[x]))), root((g, int(comp[y])))
-        if u != v:
-            parent[u] = v
-            out.append((min(a, b), max(a, b)))
-    return out
+        held.append(batch)
+        size += batch.num_rows
+        if size < rows:
+            continue
+        table = pa.Table.from_batches(held)
+        keys = table.column(key).to_numpy()
+        cut = int(np.flatnonzero(keys != keys[-1])[-1] + 1) if keys[0] != keys[-1] else 0  # the last group may go on
+        if cut:
+            yield table.slice(0, cut)
+        held, size = table.slice(cut).to_batches(), len(keys) - cut
+    if size:
+        yield pa.Table.from_batches(held)
 
 
 def _candidates(entries: DataFrame, hundredths: int) -> DataFrame:
-    """(a, b) candidate pairs of a round, from entries (token, id, pos, n, parity, comp, refuted) that come sorted by token."""
+    """(a, b) connections between the holders of each token, from entries (token, id, pos, n, parity) of tokens with at most HOT holders."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def work(table: pa.Table) -> pa.RecordBatch | None:
+        for table in _grouped(batches, "token", 100_000):
             tokens = table.column("token").to_numpy()
             edges = np.flatnonzero(np.diff(tokens)) + 1
-            groups = np.diff(np.concatenate([[0], edges, [len(tokens)]]))
-            e = {"id": table.column("id").to_numpy(), "n": table.column("n").to_numpy(), "pos": table.column("pos").to_numpy(), "comp": table.column("comp").to_numpy(), "parity": _sketches(table.column("parity").to_pylist()), "refuted": [frozenset(x) if x else None for x in table.column("refuted").to_pylist()]}
-            found = sorted(set(_forest(e, groups, hundredths)))
-            if found:
-                a, b = zip(*found, strict=True)
-                return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-            return None
-
-        held: list[pa.RecordBatch] = []
-        rows = 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            rows += batch.num_rows
-            if rows < 200_000:
-                continue
-            table = pa.Table.from_batches(held)
-            tokens = table.column("token").to_numpy()
-            cut = int(np.searchsorted(tokens, tokens[-1]))  # the last group may go on
-            if cut:
-                out = work(table.slice(0, cut))
-                if out is not None:
-                    yield out
-            held, rows = table.slice(cut).to_batches(), len(tokens) - cut
-        if rows:
-            out = work(pa.Table.from_batches(held))
-            if out is not None:
-                yield out
+            e = _columns(table, "id", "n", "pos")
+            e["comp"] = e["id"]
+            label = _stars(e, np.diff(np.concatenate([[0], edges, [len(tokens)]])), hundredths)
+            other = np.flatnonzero(label != np.arange(len(label)))
+            if len(other):
+                yield pa.RecordBatch.from_arrays([pa.array(e["id"][label[other]]), pa.array(e["id"][other])], names=["a", "b"])
 
-    return entries.mapInArrow(run, "a long, b long").distinct()
+    return entries.repartition("token").sortWithinPartitions("token").mapInArrow(run, "a long, b long").distinct()
+
+
+def _still_apart(entries: DataFrame, labels: DataFrame, hundredths: int) -> DataFrame:
+    """(a, b): pairs of holders of a token that are in different components so far and that no bound excludes.
+
+    The component with most holders of a token is only met with the others: its chunks come first,
+    those of the others follow, and each task has the two chunks (or the one) that meet in it.
+    """
+    own = entries.join(labels.select(F.col("node").alias("id"), F.col("component").alias("comp")), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    counts = own.groupBy("token", "comp").agg(F.count("*").alias("n"))
+    tokens = counts.groupBy("token").agg(F.count("*").alias("comps"), F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("most")).where("comps > 1")
+    chunks = lambda c: F.ceil(c / F.lit(BLOCK)).cast("int")
+    shaped = tokens.select("token", F.col("most.comp").alias("main"), chunks(F.col("most.n")).alias("g"), chunks(F.col("all") - F.col("most.n")).alias("h"))
+    main = F.col("comp") == F.col("main")
+    dealt = own.join(shaped, "token").withColumn("chunk", F.when(main, F.pmod(F.xxhash64("id"), F.col("g"))).otherwise(F.col("g") + F.pmod(F.xxhash64("id"), F.col("h"))).cast("int"))
+    meets = F.explode(F.when(main, F.sequence(F.col("g"), F.col("g") + F.col("h") - 1)).otherwise(F.sequence(F.lit(0), F.col("g") + F.col("h") - 1)))
+    met = dealt.withColumn("with", meets).withColumn("task", F.xxhash64("token", F.least("chunk", "with"), F.greatest("chunk", "with")))
+    columns = ("task", "token", "chunk", "id", "n", "pos", "comp", "parity")
+    together = met.select(*columns[:7], F.least("chunk", "with").alias("low"), "parity").repartition("task").sortWithinPartitions("task", "token", "low")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _grouped(batches, "task", 50_000):
+            e = _columns(table, "task", "token", "chunk", "low", "id", "n", "pos", "comp")
+            edges = np.flatnonzero((np.diff(e["task"]) != 0) | (np.diff(e["token"]) != 0) | (np.diff(e["low"]) != 0)) + 1
+            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(e["id"])], strict=True):
+                first = np.flatnonzero(e["chunk"][a:b] == e["low"][a]) + a
+                second = np.flatnonzero(e["chunk"][a:b] != e["low"][a]) + a
+                second = second if len(second) else first
+                for at in range(0, len(first), BLOCK):
+                    rows = first[at : at + BLOCK]
+                    for to in range(0, len(second), 2 * BLOCK):
+                        cols = second[to : to + 2 * BLOCK]
+                        i, j = np.repeat(rows, len(cols)), np.tile(cols, len(rows))
+                        ok, _ = _fits(e, i, j, hundredths)
+                        x, y = e["id"][i[ok]], e["id"][j[ok]]
+                        if len(x):
+                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    return together.mapInArrow(run, "a long, b long").distinct()
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, classes, hundredths: int) -> DataFrame:
@@ -300,16 +327,6 @@ def _packed(texts: DataFrame, words: int, more: list[str]) -> DataFrame:
     return texts.mapInArrow(run, ", ".join(["id long", *[f"{c} long" for c in more], "tokens binary"]))
 
 
-def _together(entries: DataFrame, comp: DataFrame | None = None, refuted: DataFrame | None = None) -> DataFrame:
-    """Entries with their component so far and the partners that were refuted, token groups together."""
-    if comp is None:
-        now = entries.withColumns({"comp": F.col("id"), "refuted": F.lit(None).cast("array<long>")})
-    else:
-        now = entries.join(comp.select(F.col("node").alias("id"), F.col("component").alias("comp")), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        now = now.join(refuted.groupBy("a").agg(F.collect_set("b").alias("refuted")).withColumnRenamed("a", "id"), "id", "left")
-    return now.repartition("token").sortWithinPartitions("token")
-
-
 def _sets_of(texts: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     """Packed sets of the texts of the (written) ids, with whatever other columns (of longs) ids has."""
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
@@ -317,22 +334,23 @@ def _sets_of(texts: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     return _packed(texts.join(ids, "id").select("id", "text", *more), words, more)
 
 
-def _connected(ids: list[int], sets: list[np.ndarray], classes: np.ndarray, hundredths: int) -> list[int]:
-    """Components (smallest ids) of the links among a family."""
+def _connected(ids: list[int], comps: list[int], sets: list[np.ndarray], classes: np.ndarray, hundredths: int) -> list[int]:
+    """Components (smallest component so far) of the links among some documents; those of one component count as linked."""
     order = sorted(range(len(ids)), key=lambda i: (len(sets[i]), ids[i]))
     sizes = np.array([len(sets[i]) for i in order])
     parity = _sketches([_parity(sets[i]) for i in order])
     first = [[prefix(sets[i], classes, k, hundredths).tolist() for k in range(ORDERS)] for i in order]
     others = [[frozenset(f) for f in x[1:]] for x in first]
-    holders: dict[int, list[int]] = {}
-    root = np.arange(len(ids))  # kept flat: a member's root is its component
-    for j in range(len(order)):
-        found = {i for t in first[j][0] for i in holders.get(t, ())}
-        for t in first[j][0]:
-            holders.setdefault(t, []).append(j)
-        if not found:
-            continue
-        near = np.fromiter(found, dtype=np.int64)
+    parent = {c: c for c in comps}
+
+    def root(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    def linked(j: int, some: list[int]) -> bool:
+        near = np.array(some, dtype=np.int64)
         both = sizes[near] + sizes[j]
         need = -(-both * hundredths // (100 + hundredths))
         apart = _apart(parity, near, np.full(len(near), j))
@@ -340,59 +358,72 @@ def _connected(ids: list[int], sets: list[np.ndarray], classes: np.ndarray, hund
         near, need, apart = near[fits], need[fits], apart[fits]
         for k in np.argsort(apart, kind="stable").tolist():
             i = int(near[k])
-            if root[i] == root[j] or any(x.isdisjoint(y) for x, y in zip(others[i], others[j], strict=True)):
+            if any(x.isdisjoint(y) for x, y in zip(others[i], others[j], strict=True)):
                 continue
             if len(np.intersect1d(sets[order[i]], sets[order[j]], assume_unique=True)) >= need[k]:
-                root[root == root[j]] = root[i]
-    least: dict[int, int] = {}
-    for j, i in enumerate(order):
-        r = int(root[j])
-        least[r] = min(ids[i], least.get(r, ids[i]))
-    out = [0] * len(ids)
-    for j, i in enumerate(order):
-        out[i] = least[int(root[j])]
-    return out
+                return True
+        return False
+
+    holders: dict[int, dict[int, list[int]]] = {}  # of each token, by component as it was then
+    for j in range(len(order)):
+        own = comps[order[j]]
+        there: dict[int, list[list[int]]] = {}
+        for t in first[j][0]:
+            for c, members in holders.get(t, {}).items():
+                there.setdefault(c, []).append(members)
+        for c, lists in there.items():
+            if root(c) == root(own):
+                continue
+            some = lists[0][-64:]  # of near copies, the first few are enough
+            rest = lambda: sorted(set().union(*lists) - set(some))  # noqa: E731, B023
+            if linked(j, some) or ((more := rest()) and linked(j, more)):
+                x, y = root(c), root(own)
+                parent[max(x, y)] = min(x, y)
+        for t in first[j][0]:
+            holders.setdefault(t, {}).setdefault(root(own), []).append(j)
+    return [root(c) for c in comps]
 
 
-def _within_families(texts: DataFrame, members: DataFrame, classes, words: int, hundredths: int) -> DataFrame:
-    """(node, component) of families of at most FAMILY members: every set travels once, to its family."""
-    parts = max(members.sparkSession.sparkContext.defaultParallelism, -(-members.count() // FAMILY))
+def _within(texts: DataFrame, members: DataFrame, classes, words: int, hundredths: int) -> DataFrame:
+    """(node, component) of members (node, part, component), written: the sets of a part meet in one task."""
 
     def run(table: pa.Table) -> pa.Table:
-        family = table.column("family").to_numpy()
         ids, packed = table.column("id").to_pylist(), table.column("tokens")
-        order = np.argsort(family, kind="stable")
-        nodes, labels = [], []
-        for mine in np.split(order, np.flatnonzero(np.diff(family[order])) + 1):
-            own = {ids[i]: np.frombuffer(packed[i].as_buffer(), dtype=np.uint64) for i in mine.tolist()}
-            nodes += list(own)
-            labels += _connected(list(own), list(own.values()), classes.value, hundredths)
-        return pa.table({"node": pa.array(nodes, pa.int64()), "component": pa.array(labels, pa.int64())})
-
-    sets = _sets_of(texts, members.select(F.col("node").alias("id"), F.col("component").alias("family")), words)
-    dealt = sets.withColumn("part", F.pmod(F.xxhash64("family"), F.lit(parts)))
-    return dealt.groupBy("part").applyInArrow(run, "node long, component long")
-
-
-def _in_rounds(entries: DataFrame, texts: DataFrame, classes, words: int, hundredths: int) -> DataFrame:
-    """(node, component) of families of any size: each round verifies a spanning forest of the open candidates by joins, until none is open."""
-    entries = staged(entries, "entries")
-    links = refuted = sets = labels = None
-    while True:
-        pairs = staged(_candidates(_together(entries, labels, refuted), hundredths), "pairs")
-        if pairs.isEmpty():
-            break
-        if sets is None:  # a forest touches every class that has a candidate
-            ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-            sets = staged(_sets_of(texts, staged(ids, "ids"), words).dropDuplicates(["id"]), "sets")
-        judged = staged(_verify(pairs, sets, classes, hundredths), "judged")
-        new = judged.where("linked").select("a", "b")
-        links = new if links is None else links.unionByName(new)
-        wrong = judged.where("NOT linked").select("a", "b")
-        wrong = wrong.unionByName(wrong.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        refuted = wrong if refuted is None else refuted.unionByName(wrong)
-        labels = staged(components(links), "labels")
-    return labels if labels is not None else entries.select(F.col("id").alias("node"), F.col("id").alias("component")).limit(0)
+        own = {i: k for k, i in enumerate(ids)}  # rows that repeat an id are one document
+        comps = [table.column("component")[k].as_py() for k in own.values()]
+        sets = [np.frombuffer(packed[k].as_buffer(), dtype=np.uint64) for k in own.values()]
+        return pa.table({"node": pa.array(list(own), pa.int64()), "component": pa.array(_connected(list(own), comps, sets, classes.value, hundredths), pa.int64())})
+
+    sets = _sets_of(texts, members.select(F.col("node").alias("id"), "part", "component"), words)
+    return sets.groupBy("part").applyInArrow(run, "node long, component long")
+
+
+def _settled(entries: DataFrame, far: DataFrame, texts: DataFrame, classes, words: int, hundredths: int) -> DataFrame:
+    """(node, component) of families of any size, far (node, family, parts): rounds by hash, then what is still apart."""
+    labels = far.select("node", F.col("node").alias("component"))
+    for n in range(ROUNDS):
+        part = F.xxhash64("family", F.pmod(F.xxhash64("node", F.lit(n)), F.col("parts")))
+        members = staged(far.join(labels, "node").select("node", part.alias("part"), "component"), "members")
+        found = staged(_within(texts, members, classes, words, hundredths), "found")
+        # a part says which components belong together; components of those are the new ones
+        moved = found.join(members.select("node", F.col("component").alias("was")), "node").where("component <> was").select(F.col("was").alias("a"), F.col("component").alias("b")).distinct()
+        labels = _relabelled(labels, staged(moved, "moved"))
+    pairs = staged(_still_apart(entries, labels, hundredths), "apart")
+    if pairs.isEmpty():
+        return labels
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    sets = staged(_sets_of(texts, staged(ids, "ids"), words).dropDuplicates(["id"]), "sets")
+    links = _verify(pairs, sets, classes, hundredths).where("linked").select("a", "b")
+    both = links.join(labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a").join(labels.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b")
+    return _relabelled(labels, staged(both.select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a <> b").distinct(), "moved"))
+
+
+def _relabelled(labels: DataFrame, together: DataFrame) -> DataFrame:
+    """labels after the components a and b of together are one."""
+    if together.isEmpty():
+        return labels
+    new = components(together).select(F.col("node").alias("component"), F.col("component").alias("now"))
+    return staged(labels.join(new, "component", "left").select("node", F.coalesce("now", "component").alias("component")), "labels")
 
 
 def jaccard_groups(docs: DataFrame, words: int = WORDS, hundredths: int = HUNDREDTHS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -412,20 +443,26 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS, hundredths: int = HUNDRE
     groups = staged(own.groupBy("f1", "f2", "n_shingles").agg(F.min("id").alias("rep"), F.first("tokens").alias("tokens"), F.first("parity").alias("parity")), "classes")
     # prefix tokens that two classes or more have
     listed = groups.select("rep", F.posexplode("tokens").alias("pos", "token"))
-    shared = listed.withColumn("n", F.count("*").over(Window.partitionBy("token"))).where("n > 1").select("token", F.col("rep").alias("id"), F.col("pos").cast("long").alias("pos"))
-    entries = shared.join(groups.select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), "parity"), "id")
-    entries = staged(entries, "entries")
-    pairs = staged(_candidates(_together(entries), hundredths), "pairs")
+    counts = listed.groupBy("token").agg(F.count("*").alias("holders"), F.min("rep").alias("least")).where("holders > 1")
+    shared = listed.join(counts, "token").select("token", F.col("rep").alias("id"), F.col("pos").cast("long").alias("pos"), "holders", "least")
+    entries = staged(shared.join(groups.select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), "parity"), "id"), "entries")
+    few = entries.where(F.col("holders") <= HOT)
+    hot = entries.where((F.col("holders") > HOT) & (F.col("id") != F.col("least"))).select(F.col("least").alias("a"), F.col("id").alias("b"))
+    pairs = staged(_candidates(few.select("token", "id", "pos", "n", "parity"), hundredths).unionByName(hot), "pairs")
     labels = None
     if not pairs.isEmpty():
-        families = staged(components(pairs), "families")  # all that candidates connect; links never leave a family
-        sizes = families.groupBy("component").agg(F.count("*").alias("members"))
-        large = staged(sizes.where(F.col("members") > FAMILY).select("component"), "large")
-        small = families.join(large, "component", "left_anti") if not large.isEmpty() else families
-        labels = _within_families(texts, staged(small, "small"), classes, words, hundredths)
+        families = components(pairs).select("node", F.col("component").alias("family"))  # all that candidates connect; links never leave a family
+        sized = staged(families.join(groups.select(F.col("rep").alias("node"), (8 * F.col("n_shingles")).alias("bytes")), "node"), "families")
+        total = sized.groupBy("family").agg(F.sum("bytes").alias("total"))
+        large = staged(total.where(F.col("total") > FAMILY_BYTES).select("family", F.ceil(F.col("total") / FAMILY_BYTES).cast("long").alias("parts")), "large")
+        small = sized.join(large, "family", "left_anti")
+        parts = max(spark.sparkContext.defaultParallelism * 4, -(-int(small.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]) // FAMILY_BYTES))
+        dealt = small.select("node", F.pmod(F.xxhash64("family"), F.lit(parts)).alias("part"), F.col("node").alias("component"))
+        labels = _within(texts, staged(dealt, "small"), classes, words, hundredths)
         if not large.isEmpty():
-            far = families.join(large, "component", "left_semi").select(F.col("node").alias("id"))
-            labels = labels.unionByName(_in_rounds(entries.join(far, "id", "left_semi"), texts, classes, words, hundredths))
+            far = staged(sized.join(large, "family").select("node", "family", "parts"), "far")
+            mine = entries.join(far.select(F.col("node").alias("id")), "id", "left_semi")
+            labels = labels.unionByName(_settled(mine, far, texts, classes, words, hundredths))
         labels = staged(labels, "labels")
     member = own.join(groups.select("f1", "f2", "n_shingles", "rep"), ["f1", "f2", "n_shingles"]).select("id", "rep").distinct()
     if labels is not None:

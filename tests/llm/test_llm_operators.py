@@ -174,14 +174,46 @@ def jaccard_rows():
     return rows + [(200, prose(11, 3000, 900)), (201, prose(11, 3000, 900) + " end")]
 
 
-@pytest.mark.parametrize("family", [10_000, 1])
-def test_jaccard_groups_match_brute_force(spark, monkeypatch, family):
-    monkeypatch.setattr(jaccard, "FAMILY", family)
+@pytest.mark.parametrize(("family", "hot", "block", "rounds"), [(8 << 20, 1024, 512, 3), (1, 1024, 512, 0), (2000, 3, 4, 1), (3000, 2, 512, 2)])
+def test_jaccard_groups_match_brute_force(spark, monkeypatch, family, hot, block, rounds):
+    for name, value in (("FAMILY_BYTES", family), ("HOT", hot), ("BLOCK", block), ("ROUNDS", rounds)):
+        monkeypatch.setattr(jaccard, name, value)
     rows = jaccard_rows()
     got = sorted(tuple(r) for r in jaccard.jaccard_groups(docs_of(spark, rows + rows[10:14])).distinct().collect())
     assert got == brute_jaccard(rows)
 
 
+def test_thousands_of_near_copies_and_one_token_in_all(spark, monkeypatch):
+    """Copies of one text with edits of their own, and copies that are just too far; all begin alike."""
+    monkeypatch.setattr(jaccard, "FAMILY_BYTES", 400_000)
+    rng = random.Random(21)
+    base = [f"w{k}" for k in range(100)]
+    rows = []
+    for n in range(3000):
+        words = list(base)
+        for at in rng.sample(range(8, 100), 1 if n % 10 else 4):  # one edit: 3 of 101 shingles; four: up to 12
+            words[at] = f"x{n}-{at}"
+        rows.append((n, " ".join(words)))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_groups(docs_of(spark, rows)).collect()}
+    sets = {i: frozenset(zip(w, w[1:], w[2:])) for i, t in rows for w in [t.split()]}
+    ids = sorted(sets)
+    index = {x: n for n, x in enumerate(sorted(set().union(*sets.values())))}
+    held = np.zeros((len(ids), len(index)), dtype=np.float32)
+    for k, i in enumerate(ids):
+        held[k, [index[x] for x in sets[i]]] = 1
+    both = held @ held.T
+    size = held.sum(axis=1)
+    linked = 100 * both >= 90 * (size[:, None] + size[None, :] - both) - 1e-3
+    label = np.arange(len(ids))
+    while True:
+        new = np.array([label[row].min() for row in linked])
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    assert [got[i] for i in ids] == [ids[k] for k in label] and len(set(label.tolist())) > 20
+
+
 def test_jaccard_of_little(spark):
     assert jaccard.jaccard_groups(docs_of(spark, []).limit(0)).count() == 0
     assert [tuple(r) for r in jaccard.jaccard_groups(docs_of(spark, [(None, "a b c")])).collect()] == [(None, 1, None)]
