@@ -59,7 +59,7 @@ def crc_mod(column, modulus: int):
     return F.crc32(column.cast("string").cast("binary")) % F.lit(modulus)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that the named text column of each slice stays near max_bytes (a single longer value goes alone)."""
     for batch in batches:
         if not batch.num_rows:

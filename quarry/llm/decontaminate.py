@@ -306,7 +306,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
             own: Index = index.value
             filled = np.zeros(1 << 20, dtype=bool)
             filled[(own.keys >> np.uint64(44)).astype(np.int64)] = True
-            for part in slices(batches, "__text", 2 << 20):
+            for part in slices(batches, "__text"):
                 t = template(part.column(1))
                 place, keys, row = (np.concatenate(x) for x in zip(windows(t), exact_windows(t, own.widths), strict=True))
                 maybe = np.flatnonzero(filled[(keys >> np.uint64(44)).astype(np.int64)])
