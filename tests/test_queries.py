@@ -29,6 +29,19 @@ def test_query_equals_its_sql(spark, duck, name):
     assert sorted(map(line, got.select(*columns).collect()), key=str) == sorted(map(line, r.fetchall()), key=str)
 
 
+@pytest.mark.parametrize(("name", "key", "source"), [("markdown_chunks", "doc_id", lambda s: registry.registry_more._markdown(s, SF).select("doc_id", "text")), ("code_chunks", "page_id", lambda s: s.read.parquet(f"{SF}/pages.parquet").selectExpr("page_id", "html AS text"))])
+def test_chunks_hold_whole_texts(spark, name, key, source):
+    """Queries without SQL: the chunks of each text, put together, are its words in order, and their lines go up."""
+    texts = {r[key]: r["text"] or "" for r in source(spark).collect()}
+    rows = registry.QUERIES[name](spark, SF).orderBy(key, "chunk_index").collect()
+    own = {k: [r for r in rows if r[key] == k] for k in texts}
+    for k, t in texts.items():
+        assert "".join("".join(r["text"] for r in own[k]).split()) == "".join(t.split())
+        assert [r["chunk_index"] for r in own[k]] == list(range(len(own[k])))
+        assert all(a["start_line"] <= a["end_line"] <= b["end_line"] for a, b in zip(own[k], own[k][1:]))
+        assert all(len(r["text"].encode()) <= 1200 for r in own[k])
+
+
 def test_entry_imports_without_the_llm_subpackage(tmp_path):
     import shutil
     import subprocess
