@@ -84,7 +84,7 @@ _DOCUMENTS = "SELECT concat('d', doc_id) AS document_id, source AS source_id, CA
 
 
 @_register("delete_source_cascade", f"""WITH d AS ({_DOCUMENTS}), kept AS (SELECT * FROM d WHERE source_id NOT IN ('src1', 'src4', 'none')), src AS (SELECT DISTINCT source AS id FROM documents)
-SELECT 'chunks' AS part, coalesce(sum(chunk_count), 0) AS n FROM kept UNION ALL SELECT 'documents', count(*) FROM kept UNION ALL SELECT 'failures', count(*) FROM kept WHERE chunk_count = 0
+SELECT 'chunks' AS part, CAST(coalesce(sum(chunk_count), 0) AS BIGINT) AS n FROM kept UNION ALL SELECT 'documents', count(*) FROM kept UNION ALL SELECT 'failures', count(*) FROM kept WHERE chunk_count = 0
 UNION ALL SELECT 'sources', count(*) FROM src WHERE id NOT IN ('src1', 'src4', 'none')""")
 def delete_source_cascade(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").selectExpr("concat('d', doc_id) AS document_id", "source AS source_id", "CAST(doc_id % 11 AS INT) AS chunk_count")
