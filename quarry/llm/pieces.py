@@ -29,6 +29,10 @@ REMEMBERED = 250_000
 WIDE = 48
 
 
+#: What a normaliser would change: compatibility forms, composed and decomposed letters, blanks in a row and at the ends.
+PROBE = " Ａﬁ  ½é e\u0301 ①"
+
+
 def default_model() -> str:
     import public_tokenizers
 
@@ -47,6 +51,10 @@ class Codec:
         normal = [i for i in range(size) if not (lib.is_control(i) or lib.is_unknown(i) or lib.is_byte(i) or lib.is_unused(i))]
         if any(MARK in names[i].lstrip(MARK) for i in normal):
             raise ValueError("a piece has a word mark behind another character: words can't be encoded on their own")
+        if any("\n" in names[i][1:] for i in normal):
+            raise ValueError("a piece has a line feed behind another character: words can't be encoded on their own")
+        if lib.normalize(PROBE) != MARK + PROBE.replace(" ", MARK):
+            raise ValueError("the vocabulary normalises texts, or puts no word mark before them: it can't be encoded as it is")
         self.ids = {names[i]: i for i in normal}
         self.bytes = {int(names[i][3:5], 16): i for i in range(size) if lib.is_byte(i)}
         self.unknown = lib.unk_id()
