@@ -82,9 +82,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     )
     rows = pages.count()
     ranges = max(spark.sparkContext.defaultParallelism, -(-rows // rows_a_range))
-    # Range borders: a bounded, repeatable selection of keys by hash, as any range partitioning takes.
-    wanted = min(32 * ranges, 50_000)
-    seen = sorted(r[0] for r in about(urls, 2 * wanted, rows, id_col).select("key").limit(4 * wanted).collect())
+    # Range borders: a repeatable selection of keys by hash, a few for each range, as any range partitioning takes.
+    wanted = max(4 * ranges, min(32 * ranges, 50_000))
+    seen = sorted(r[0] for r in about(urls, 2 * wanted, rows, id_col, "key").select("key").limit(4 * wanted).collect())
     borders = [seen[i * len(seen) // ranges] for i in range(1, ranges)] if seen else []
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
