@@ -38,6 +38,8 @@ BROADCAST_IDS = 1_000_000
 HOT, BLOCK = 1024, 512
 #: Bytes of the sets of a family that one task takes at most; rounds in which larger ones are dealt to tasks.
 FAMILY_BYTES, ROUNDS = 8 << 20, 3
+#: About how many documents of a component take part in the rounds after the first.
+SENT = 64
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = mix64(np.arange(11, 11 + ORDERS, dtype=np.uint64))
 
@@ -260,19 +262,19 @@ def _candidates(entries: DataFrame, hundredths: int) -> DataFrame:
     return entries.repartition("token").sortWithinPartitions("token").mapInArrow(run, "a long, b long").distinct()
 
 
-def _still_apart(entries: DataFrame, labels: DataFrame, hundredths: int) -> DataFrame:
+def _still_apart(entries: DataFrame, parity: DataFrame, labels: DataFrame, hundredths: int) -> DataFrame:
     """(a, b): pairs of holders of a token that are in different components so far and that no bound excludes.
 
     The component with most holders of a token is only met with the others: its chunks come first,
     those of the others follow, and each task has the two chunks (or the one) that meet in it.
     """
-    own = entries.join(labels.select(F.col("node").alias("id"), F.col("component").alias("comp")), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    own = entries.select("token", "id", "pos", "n").join(labels.select(F.col("node").alias("id"), F.col("component").alias("comp")), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     counts = own.groupBy("token", "comp").agg(F.count("*").alias("n"))
     tokens = counts.groupBy("token").agg(F.count("*").alias("comps"), F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("most")).where("comps > 1")
     chunks = lambda c: F.ceil(c / F.lit(BLOCK)).cast("int")
     shaped = tokens.select("token", F.col("most.comp").alias("main"), chunks(F.col("most.n")).alias("g"), chunks(F.col("all") - F.col("most.n")).alias("h"))
     main = F.col("comp") == F.col("main")
-    dealt = own.join(shaped, "token").withColumn("chunk", F.when(main, F.pmod(F.xxhash64("id"), F.col("g"))).otherwise(F.col("g") + F.pmod(F.xxhash64("id"), F.col("h"))).cast("int"))
+    dealt = own.join(shaped, "token").join(parity, "id").withColumn("chunk", F.when(main, F.pmod(F.xxhash64("id"), F.col("g"))).otherwise(F.col("g") + F.pmod(F.xxhash64("id"), F.col("h"))).cast("int"))
     meets = F.explode(F.when(main, F.sequence(F.col("g"), F.col("g") + F.col("h") - 1)).otherwise(F.sequence(F.lit(0), F.col("g") + F.col("h") - 1)))
     met = dealt.withColumn("with", meets).withColumn("task", F.xxhash64("token", F.least("chunk", "with"), F.greatest("chunk", "with")))
     columns = ("task", "token", "chunk", "id", "n", "pos", "comp", "parity")
@@ -398,17 +400,30 @@ def _within(texts: DataFrame, members: DataFrame, classes, words: int, hundredth
     return sets.groupBy("part").applyInArrow(run, "node long, component long")
 
 
-def _settled(entries: DataFrame, far: DataFrame, texts: DataFrame, classes, words: int, hundredths: int) -> DataFrame:
-    """(node, component) of families of any size, far (node, family, parts): rounds by hash, then what is still apart."""
+def _settled(entries: DataFrame, parity: DataFrame, far: DataFrame, texts: DataFrame, classes, words: int, hundredths: int) -> DataFrame:
+    """(node, component) of families of any size, far (node, family, bytes): rounds by hash, then what is still apart.
+
+    In the first round all documents take part; in further ones, those of families that are still in
+    several components, each of which sends about SENT. What they miss is found at the end.
+    """
     labels = far.select("node", F.col("node").alias("component"))
     for n in range(ROUNDS):
+        now = far.join(labels, "node")
+        if n:
+            sizes = now.groupBy("family", "component").agg(F.count("*").alias("size"))
+            apart = sizes.groupBy("family").agg(F.count("*").alias("comps")).where("comps > 1").select("family")
+            now = now.join(sizes.join(apart, "family"), ["family", "component"]).where(F.pmod(F.xxhash64("node", F.lit(-n)), F.ceil(F.col("size") / SENT)) == 0).drop("size")
+        now = staged(now, "sent")
+        parts = now.groupBy("family").agg(F.ceil(F.sum("bytes") / FAMILY_BYTES).cast("long").alias("parts"))
         part = F.xxhash64("family", F.pmod(F.xxhash64("node", F.lit(n)), F.col("parts")))
-        members = staged(far.join(labels, "node").select("node", part.alias("part"), "component"), "members")
+        members = staged(now.join(parts, "family").select("node", part.alias("part"), "component"), "members")
+        if members.isEmpty():
+            break
         found = staged(_within(texts, members, classes, words, hundredths), "found")
         # a part says which components belong together; components of those are the new ones
         moved = found.join(members.select("node", F.col("component").alias("was")), "node").where("component <> was").select(F.col("was").alias("a"), F.col("component").alias("b")).distinct()
         labels = _relabelled(labels, staged(moved, "moved"))
-    pairs = staged(_still_apart(entries, labels, hundredths), "apart")
+    pairs = staged(_still_apart(entries, parity, labels, hundredths), "apart")
     if pairs.isEmpty():
         return labels
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
@@ -442,9 +457,10 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS, hundredths: int = HUNDRE
     own = signed.where("n_shingles > 0 AND id IS NOT NULL")
     groups = staged(own.groupBy("f1", "f2", "n_shingles").agg(F.min("id").alias("rep"), F.first("tokens").alias("tokens"), F.first("parity").alias("parity")), "classes")
     # prefix tokens that two classes or more have
-    listed = groups.select("rep", F.posexplode("tokens").alias("pos", "token"))
-    counts = listed.groupBy("token").agg(F.count("*").alias("holders"), F.min("rep").alias("least")).where("holders > 1")
-    shared = listed.join(counts, "token").select("token", F.col("rep").alias("id"), F.col("pos").cast("long").alias("pos"), "holders", "least")
+    listed = groups.select("rep", F.posexplode("tokens").alias("pos", "token")).where("token IS NOT NULL").repartition("token")
+    # both sides of the join read all columns, so that they share one exchange
+    counts = listed.groupBy("token").agg(F.count("*").alias("holders"), F.min(F.struct("rep", "pos")).alias("least")).where("holders > 1")
+    shared = listed.join(counts, "token").select("token", F.col("rep").alias("id"), F.col("pos").cast("long").alias("pos"), "holders", F.col("least.rep").alias("least"))
     entries = staged(shared.join(groups.select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), "parity"), "id"), "entries")
     few = entries.where(F.col("holders") <= HOT)
     hot = entries.where((F.col("holders") > HOT) & (F.col("id") != F.col("least"))).select(F.col("least").alias("a"), F.col("id").alias("b"))
@@ -454,15 +470,15 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS, hundredths: int = HUNDRE
         families = components(pairs).select("node", F.col("component").alias("family"))  # all that candidates connect; links never leave a family
         sized = staged(families.join(groups.select(F.col("rep").alias("node"), (8 * F.col("n_shingles")).alias("bytes")), "node"), "families")
         total = sized.groupBy("family").agg(F.sum("bytes").alias("total"))
-        large = staged(total.where(F.col("total") > FAMILY_BYTES).select("family", F.ceil(F.col("total") / FAMILY_BYTES).cast("long").alias("parts")), "large")
+        large = staged(total.where(F.col("total") > FAMILY_BYTES).select("family"), "large")
         small = sized.join(large, "family", "left_anti")
         parts = max(spark.sparkContext.defaultParallelism * 4, -(-int(small.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]) // FAMILY_BYTES))
         dealt = small.select("node", F.pmod(F.xxhash64("family"), F.lit(parts)).alias("part"), F.col("node").alias("component"))
         labels = _within(texts, staged(dealt, "small"), classes, words, hundredths)
         if not large.isEmpty():
-            far = staged(sized.join(large, "family").select("node", "family", "parts"), "far")
+            far = staged(sized.join(large, "family").select("node", "family", "bytes"), "far")
             mine = entries.join(far.select(F.col("node").alias("id")), "id", "left_semi")
-            labels = labels.unionByName(_settled(mine, far, texts, classes, words, hundredths))
+            labels = labels.unionByName(_settled(mine, groups.select(F.col("rep").alias("id"), "parity"), far, texts, classes, words, hundredths))
         labels = staged(labels, "labels")
     member = own.join(groups.select("f1", "f2", "n_shingles", "rep"), ["f1", "f2", "n_shingles"]).select("id", "rep").distinct()
     if labels is not None:
