@@ -12,7 +12,7 @@ more than HOT holders makes them one family without looking at pairs. The sets o
 in one task, if they have at most FAMILY_BYTES. Those of larger families are dealt to tasks of
 that size by hash, anew in each of a few rounds, which connects nearly all that belongs together;
 at the end, holders of one token that are still apart meet chunk by chunk, and each pair of them
-that no bound excludes is verified. No task holds a token's holders or a family as a whole.
+that no bound excludes is verified. No task keeps all holders of a token, or a large family, in memory.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import mix64, slices, staged, word_hashes
@@ -36,8 +36,8 @@ SKETCHES = ((900, 4), (4000, 16), (0, 64))
 BROADCAST_IDS = 1_000_000
 #: Holders of a token from which they are one family; holders that are compared at once, and that a chunk has about.
 HOT, BLOCK = 1024, 512
-#: Bytes of the sets of a family that one task takes at most; rounds in which larger ones are dealt to tasks.
-FAMILY_BYTES, ROUNDS = 8 << 20, 3
+#: Bytes of the sets of a family that meet as a whole at most, and of a part, families or a share of one, about; rounds in which larger families are dealt to parts.
+FAMILY_BYTES, PART_BYTES, ROUNDS = 8 << 20, 2 << 20, 3
 #: About how many documents of a component take part in the rounds after the first.
 SENT = 64
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -268,7 +268,7 @@ def _still_apart(entries: DataFrame, parity: DataFrame, labels: DataFrame, hundr
     The component with most holders of a token is only met with the others: its chunks come first,
     those of the others follow, and each task has the two chunks (or the one) that meet in it.
     """
-    own = entries.select("token", "id", "pos", "n").join(labels.select(F.col("node").alias("id"), F.col("component").alias("comp")), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    own = entries.select("token", "id", F.col("pos").cast("long").alias("pos"), "n").join(labels.select(F.col("node").alias("id"), F.col("component").alias("comp")), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     counts = own.groupBy("token", "comp").agg(F.count("*").alias("n"))
     tokens = counts.groupBy("token").agg(F.count("*").alias("comps"), F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("most")).where("comps > 1")
     chunks = lambda c: F.ceil(c / F.lit(BLOCK)).cast("int")
@@ -414,7 +414,7 @@ def _settled(entries: DataFrame, parity: DataFrame, far: DataFrame, texts: DataF
             apart = sizes.groupBy("family").agg(F.count("*").alias("comps")).where("comps > 1").select("family")
             now = now.join(sizes.join(apart, "family"), ["family", "component"]).where(F.pmod(F.xxhash64("node", F.lit(-n)), F.ceil(F.col("size") / SENT)) == 0).drop("size")
         now = staged(now, "sent")
-        parts = now.groupBy("family").agg(F.ceil(F.sum("bytes") / FAMILY_BYTES).cast("long").alias("parts"))
+        parts = now.groupBy("family").agg(F.ceil(F.sum("bytes") / PART_BYTES).cast("long").alias("parts"))
         part = F.xxhash64("family", F.pmod(F.xxhash64("node", F.lit(n)), F.col("parts")))
         members = staged(now.join(parts, "family").select("node", part.alias("part"), "component"), "members")
         if members.isEmpty():
@@ -456,15 +456,15 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS, hundredths: int = HUNDRE
     signed = staged(signatures(texts, classes, words, hundredths), "signatures")
     own = signed.where("n_shingles > 0 AND id IS NOT NULL")
     groups = staged(own.groupBy("f1", "f2", "n_shingles").agg(F.min("id").alias("rep"), F.first("tokens").alias("tokens"), F.first("parity").alias("parity")), "classes")
-    # prefix tokens that two classes or more have
-    listed = groups.select("rep", F.posexplode("tokens").alias("pos", "token")).where("token IS NOT NULL").repartition("token")
-    # both sides of the join read all columns, so that they share one exchange
-    counts = listed.groupBy("token").agg(F.count("*").alias("holders"), F.min(F.struct("rep", "pos")).alias("least")).where("holders > 1")
-    shared = listed.join(counts, "token").select("token", F.col("rep").alias("id"), F.col("pos").cast("long").alias("pos"), "holders", F.col("least.rep").alias("least"))
+    # prefix tokens that two classes or more have; one shuffle, and a window that spills, since a join would shuffle all tokens twice
+    listed = groups.select("rep", F.posexplode("tokens").alias("pos", "token"))
+    same = Window.partitionBy("token")
+    counted = listed.withColumns({"holders": F.count("*").over(same), "least": F.min("rep").over(same)}).where("holders > 1")
+    shared = counted.select("token", F.col("rep").alias("id"), F.col("pos").cast("int").alias("pos"), F.when(F.col("holders") > HOT, F.col("least")).alias("least"))
     entries = staged(shared.join(groups.select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), "parity"), "id"), "entries")
-    few = entries.where(F.col("holders") <= HOT)
-    hot = entries.where((F.col("holders") > HOT) & (F.col("id") != F.col("least"))).select(F.col("least").alias("a"), F.col("id").alias("b"))
-    pairs = staged(_candidates(few.select("token", "id", "pos", "n", "parity"), hundredths).unionByName(hot), "pairs")
+    few = entries.where("least IS NULL")
+    hot = entries.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
+    pairs = staged(_candidates(few.select("token", "id", F.col("pos").cast("long").alias("pos"), "n", "parity"), hundredths).unionByName(hot), "pairs")
     labels = None
     if not pairs.isEmpty():
         families = components(pairs).select("node", F.col("component").alias("family"))  # all that candidates connect; links never leave a family
@@ -472,7 +472,7 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS, hundredths: int = HUNDRE
         total = sized.groupBy("family").agg(F.sum("bytes").alias("total"))
         large = staged(total.where(F.col("total") > FAMILY_BYTES).select("family"), "large")
         small = sized.join(large, "family", "left_anti")
-        parts = max(spark.sparkContext.defaultParallelism * 4, -(-int(small.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]) // FAMILY_BYTES))
+        parts = max(spark.sparkContext.defaultParallelism * 4, -(-int(small.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]) // PART_BYTES))
         dealt = small.select("node", F.pmod(F.xxhash64("family"), F.lit(parts)).alias("part"), F.col("node").alias("component"))
         labels = _within(texts, staged(dealt, "small"), classes, words, hundredths)
         if not large.isEmpty():

@@ -83,7 +83,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     limits = F.create_map(*[F.lit(x) for kv in least.items() for x in kv])
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices((c for b in batches for c in _rows(b, 512)), "text"):
+        for part in slices((c for b in batches for c in _rows(b, 128)), "text"):
             packed = np.packbits(presence(part.column(1).to_pylist()).astype(bool), axis=1)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([r.tobytes() for r in packed], pa.binary())], names=["lang", "at", "bits"])
 
@@ -122,7 +122,7 @@ def predict(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        for part in slices((c for b in batches for c in _rows(b, 512)), "__text"):
+        for part in slices((c for b in batches for c in _rows(b, 128)), "__text"):
             texts = part.column(part.schema.get_field_index("__text")).to_pylist()
             langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
             there = [i for i, t in enumerate(texts) if t] if own.languages else []

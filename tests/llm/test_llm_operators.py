@@ -176,7 +176,7 @@ def jaccard_rows():
 
 @pytest.mark.parametrize(("family", "hot", "block", "rounds"), [(8 << 20, 1024, 512, 3), (1, 1024, 512, 0), (2000, 3, 4, 1), (3000, 2, 512, 2)])
 def test_jaccard_groups_match_brute_force(spark, monkeypatch, family, hot, block, rounds):
-    for name, value in (("FAMILY_BYTES", family), ("HOT", hot), ("BLOCK", block), ("ROUNDS", rounds)):
+    for name, value in (("FAMILY_BYTES", family), ("PART_BYTES", family), ("HOT", hot), ("BLOCK", block), ("ROUNDS", rounds)):
         monkeypatch.setattr(jaccard, name, value)
     rows = jaccard_rows()
     got = sorted(tuple(r) for r in jaccard.jaccard_groups(docs_of(spark, rows + rows[10:14])).distinct().collect())
@@ -186,6 +186,7 @@ def test_jaccard_groups_match_brute_force(spark, monkeypatch, family, hot, block
 def test_thousands_of_near_copies_and_one_token_in_all(spark, monkeypatch):
     """Copies of one text with edits of their own, and copies that are just too far; all begin alike."""
     monkeypatch.setattr(jaccard, "FAMILY_BYTES", 400_000)
+    monkeypatch.setattr(jaccard, "PART_BYTES", 200_000)
     rng = random.Random(21)
     base = [f"w{k}" for k in range(100)]
     rows = []
