@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import decontaminate, jaccard, language, pieces, recurrent, secrets, suffixes, topk, url_rules, warc
-from quarry.llm.common import table
+from quarry.llm import decontaminate, jaccard, language, pieces, recurrent, repair, secrets, suffixes, topk, trie, url_rules, warc
+from quarry.llm.common import staged, table
 
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
@@ -58,6 +58,16 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.filter_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(trie.rebuilt(staged(trie.signed(trie.ordered(table(spark, sf_dir, "conversations"))), "turns")))
+
+
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    turns = repair.damaged(conversations)
+    return repair.repair_report(conversations, turns, staged(repair.audits(turns), "audits"))
+
+
 def _sql_spans(rule: secrets.Rule, rank: int) -> str:
     quoted = rule.pattern.replace("'", "''")
     own = f"regexp_extract_all(t, '{quoted}', {rule.group})"
@@ -110,6 +120,22 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 1000 AND page_id < kept THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN payload_bytes >= 1000 AND page_id < kept THEN kept END AS refers_to FROM k"""
 
+OP12_SQL = r"""
+WITH own AS (SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS l
+             FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+crc AS (SELECT conv_id, l, xor(list_reduce(list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda i: ascii(substr(conv_id::VARCHAR, i, 1))::BIGINT),
+        lambda acc, b: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, xor(acc, b)), 4294967295), 4294967295) % 4 AS h FROM own),
+full_ AS (SELECT c.conv_id, list_concat(coalesce(b.l[1:c.h], []), c.l[c.h + 1:]) AS s FROM crc c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 20),
+sequences AS (SELECT s, min(conv_id) AS conv_id, count(*) AS n, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ends FROM full_ GROUP BY s),
+nodes AS (SELECT s[1:d] AS p, d, min(conv_id) AS conv_id, CAST(sum(n) AS BIGINT) AS n_convs, max(CASE WHEN len(s) = d THEN ends END) AS ends
+          FROM (SELECT *, unnest(range(0, len(s) + 1)) AS d FROM sequences) GROUP BY ALL),
+valued AS (SELECT *, CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(p[d].t, '[^\x20\x09-\x0D]+')) END AS saved,
+                  (SELECT count(*) FROM nodes c WHERE c.d = nodes.d + 1 AND c.p[1:nodes.d] = nodes.p) AS n_children FROM nodes),
+above AS (SELECT p[1:a] AS p, a AS d, saved, n_children FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM valued)),
+totals AS (SELECT p, CAST(sum(saved) AS BIGINT) AS saved_tokens, count(*) FILTER (WHERE n_children = 0) AS n_leaves FROM above GROUP BY p)
+SELECT v.conv_id, v.d AS depth, u.conv_id AS parent_conv_id, v.n_convs, v.n_children, t.n_leaves, t.saved_tokens, sha256(coalesce(v.ends, '')) AS ends_sha256
+FROM valued v JOIN totals t ON t.p = v.p LEFT JOIN nodes u ON v.d > 0 AND u.d = v.d - 1 AND u.p = v.p[1:v.d - 1]"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -121,5 +147,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_exact_topk": op9_exact_topk,
     "op10_url_filter": op10_url_filter,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_structure_repair": op13_structure_repair,
 }
-SQL: dict[str, str] = {"op1_secret_scan": OP1_SQL, "op7_warc": OP7_SQL, "op9_exact_topk": OP9_SQL, "op10_url_filter": OP10_SQL}
+SQL: dict[str, str] = {"op1_secret_scan": OP1_SQL, "op7_warc": OP7_SQL, "op9_exact_topk": OP9_SQL, "op10_url_filter": OP10_SQL, "op12_prefix_trie": OP12_SQL}
