@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import mix64, slices, staged, text_bytes
@@ -288,7 +288,7 @@ def _reply(doc: np.ndarray, start: np.ndarray, end: np.ndarray, piece: np.ndarra
     return pa.Table.from_arrays([pa.array(keys.astype(np.int64)), *none, s, e, p], names=names)
 
 
-def _dealt(texts: DataFrame, buckets: int, classes) -> DataFrame:
+def _dealt(texts: DataFrame, buckets: int, classes, bits: int) -> DataFrame:
     """Stretches of all texts, packed by bucket; a stretch that an earlier document among those gathered has too is settled at once."""
 
     def pack(doc: np.ndarray, start: np.ndarray, n: np.ndarray, piece: np.ndarray, whole: np.ndarray, off: np.ndarray) -> pa.RecordBatch:
@@ -296,7 +296,7 @@ def _dealt(texts: DataFrame, buckets: int, classes) -> DataFrame:
         same = np.zeros(len(order), dtype=bool)
         same[1:] = (whole[order][1:] == whole[order][:-1]) & (piece[order][1:] == piece[order][:-1])
         head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-        later = doc[order] > doc[order[head]]
+        later = doc[order] >> bits > doc[order[head]] >> bits
         gone, kept = order[later], order[~later]
         bucket = (piece[kept] >> np.uint64(32)).astype(np.int64) % buckets
         by = np.argsort(bucket, kind="stable")
@@ -332,7 +332,7 @@ def _dealt(texts: DataFrame, buckets: int, classes) -> DataFrame:
     return texts.mapInArrow(run, "bucket int, ids binary, entries binary, spans binary")
 
 
-def _settle(table: pa.Table) -> pa.Table:
+def _settle(table: pa.Table, bits: int) -> pa.Table:
     """A bucket: stretches that an earlier document has too are removed, those that differ under one piece are asked for."""
     parts, docs = [], []
     for ids, entries in zip(table.column("ids"), table.column("entries"), strict=True):
@@ -348,7 +348,7 @@ def _settle(table: pa.Table) -> pa.Table:
     new_h = new_m | np.concatenate([[True], h[1:] != h[:-1]])
     heads, groups = np.flatnonzero(new_h), np.flatnonzero(new_m)
     first = doc[heads][np.cumsum(new_h) - 1]  # the first document of the same stretch
-    gone = doc > first
+    gone = doc >> bits > first >> bits
     in_group = np.cumsum(new_m) - 1
     several = np.add.reduceat(new_h.astype(np.int64), groups) > 1
     apart = np.minimum.reduceat(doc, groups) != np.maximum.reduceat(doc, groups)
@@ -404,7 +404,7 @@ def _hopeful(texts: pa.Array, piece: np.ndarray, doc: np.ndarray, off: np.ndarra
     return own, (start - begin)[own], (stop - begin)[own]
 
 
-def _shared(table: pa.Table) -> pa.Table:
+def _shared(table: pa.Table, bits: int) -> pa.Table:
     """Suffix arrays over the different stretches of pieces: strings that an earlier document has too are removed.
 
     Equal strings have equal pieces, so one array can hold several pieces: pieces share one until they have RUN bytes.
@@ -426,13 +426,13 @@ def _shared(table: pa.Table) -> pa.Table:
     of = piece[heads]
     ends = np.append(np.flatnonzero(of[1:] != of[:-1]) + 1, len(of)) if len(of) else np.zeros(0, dtype=np.int64)
     # the same bytes in a later document go as a whole; what the first document has, the arrays decide
-    out = [(doc[i], at[i], at[i] + len(t)) for t, own in zip(found, places, strict=True) for i in own[1:] if doc[i] > doc[own[0]]]
+    out = [(doc[i], at[i], at[i] + len(t)) for t, own in zip(found, places, strict=True) for i in own[1:] if doc[i] >> bits > doc[own[0]] >> bits]
     a = 0
     while a < len(found):
         full = int(sizes[a - 1]) + RUN if a else RUN
         k = int(np.searchsorted(sizes[ends - 1], full, side="right"))
         b = max(int(ends[k - 1]) if k else 0, int(ends[np.searchsorted(ends, a, side="right")]))  # whole pieces, one at least
-        for which, start in _parts(found[a:b], off[heads[a:b]], doc[heads[a:b]]):
+        for which, start in _parts(found[a:b], off[heads[a:b]], doc[heads[a:b]] >> bits):
             for w, st in zip(which.tolist(), start.tolist(), strict=True):
                 out += [(doc[i], at[i] + st, at[i] + st + LENGTH) for i in places[a + w]]
         a = b
@@ -491,33 +491,50 @@ def _repeats(texts: list[bytes], doc: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return own[order[gone]], place[order[gone]]
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, start array<int>, end array<int>): byte spans of the strings of LENGTH bytes that also start in a document of a smaller id."""
-    texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.encode(F.col(text_col), "UTF-8").alias("text"))
+def repeated_spans(texts: DataFrame, bits: int = 0) -> DataFrame:
+    """(doc, start array<int>, end array<int>): byte spans of the strings of LENGTH bytes of texts (doc, text in bytes) that also start in a document of a smaller id; an id is doc without its last bits."""
+    texts = texts.where("doc IS NOT NULL")
     size = texts.select(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    spark = docs.sparkSession
+    spark = texts.sparkSession
     buckets = int(max(spark.sparkContext.defaultParallelism, 16, -(-size // BUCKET_BYTES)))
     tasks = int(max(spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES)))
     classes = spark.sparkContext.broadcast(piece_classes(texts))  # COUNTERS bytes
-    settled = staged(_dealt(texts, buckets, classes).repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_settle, _REPLY), "settled")
+    settled = staged(_dealt(texts, buckets, classes, bits).repartition(tasks, "bucket").groupBy("bucket").applyInArrow(lambda t: _settle(t, bits), _REPLY), "settled")
     asks = settled.where("ask IS NOT NULL").groupBy("doc").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("ask", "strings", "piece")])
     asks = staged(asks, "asks")
     fetched = _fetched(texts.join(asks, "doc")).withColumn("bucket", F.pmod(F.xxhash64("piece"), F.lit(buckets)))
-    shared = staged(fetched.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_shared, "doc long, start array<int>, end array<int>"), "shared")
+    shared = staged(fetched.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(lambda t: _shared(t, bits), "doc long, start array<int>, end array<int>"), "shared")
     spans = settled.where("start IS NOT NULL").select("doc", "start", "end").unionByName(shared)
     return spans.groupBy("doc").agg(F.flatten(F.collect_list("start")).alias("start"), F.flatten(F.collect_list("end")).alias("end"))
 
 
+def _told_apart(texts: DataFrame) -> tuple[DataFrame, int]:
+    """texts (doc, text), and 0; where rows repeat an id with another text, doc is moved up by some bits, which number the texts of an id, and those bits."""
+    known = texts.where("doc IS NOT NULL").select("doc", F.xxhash64("text").alias("hash"))
+    repeated = staged(known.groupBy("doc").agg(F.min("hash").alias("a"), F.max("hash").alias("b")).where("a <> b").select("doc"), "repeated")
+    if repeated.isEmpty():
+        return texts, 0
+    number = F.row_number().over(Window.partitionBy("doc").orderBy("hash")) - 1
+    several = staged(known.join(repeated, "doc").distinct().select("doc", "hash", number.cast("long").alias("number")), "several")
+    most, least, largest = *several.agg(F.max("number")).first(), *texts.agg(F.min("doc"), F.max("doc")).first()
+    bits = int(most).bit_length()
+    if max(-least, largest + 1) << bits >= 1 << 63:
+        raise ValueError(f"ids are too large to number {most + 1} texts of one id beside them")
+    marked = texts.withColumn("hash", F.xxhash64("text")).join(several, ["doc", "hash"], "left")
+    return marked.select((F.shiftleft("doc", bits) + F.coalesce("number", F.lit(0))).alias("doc"), "text"), bits
+
+
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_bytes, n_removed, n_spans, kept_sha256, kept binary) of every row.
 
-    Ids are integers; rows that repeat an id must repeat its text, and never remove each other.
+    Ids are integers; rows that repeat an id, with the same text or another, never remove from each
+    other, and each loses what documents of smaller ids have, whichever of their texts has it.
     Texts shorter than LENGTH bytes keep everything; a null text counts as empty; a row with a
     null id is kept whole and removes nothing; an empty table gives an empty result; other
     columns are ignored whatever their names.
     """
-    spans = staged(repeated_spans(docs, id_col, text_col), "spans")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("text"))
+    texts, bits = _told_apart(docs.select(F.col(id_col).cast("long").alias("doc"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("text")))
+    spans = staged(repeated_spans(texts, bits), "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", PIECE):
@@ -536,4 +553,4 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]], names=["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     done = texts.join(spans, "doc", "left").select("doc", "text", "start", "end").mapInArrow(run, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    return done.withColumnRenamed("doc", id_col)
+    return done.withColumn("doc", F.shiftright("doc", bits)).withColumnRenamed("doc", id_col)
