@@ -36,10 +36,10 @@ def payloads(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> Data
 
 
 def revisits(bodies: DataFrame) -> DataFrame:
-    """(page_id, refers_to) of the pages whose payload a page of a larger id has too. A null id is smaller than any."""
+    """(page_id, digest, size, refers_to) of the pages whose payload a page of a larger id has too. A null id is smaller than any."""
     marked = bodies.where(F.length("body") >= REVISIT_BYTES).select("page_id", F.sha1("body").alias("digest"), F.length("body").alias("size"))
     kept = marked.groupBy("digest", "size").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return marked.join(kept, ["digest", "size"]).where("page_id IS NULL AND refers_to IS NOT NULL OR page_id < refers_to").select("page_id", "refers_to").distinct()
+    return marked.join(kept, ["digest", "size"]).where("page_id IS NULL AND refers_to IS NOT NULL OR page_id < refers_to").select("page_id", "digest", "size", "refers_to").distinct()
 
 
 def train_dictionary(bodies: DataFrame) -> bytes:
@@ -74,7 +74,10 @@ def _response(page_id: int | None, url: str | None, body: bytes, refers_to: int
 def write_archives(bodies: DataFrame, refers: DataFrame, folder: str, dictionary: bytes) -> DataFrame:
     """Write a record for every page; returns the committed table (archive, records)."""
     # refers is a written table: the planner knows its size, broadcasts it if it is small and shuffles otherwise
-    rows = bodies.join(refers, bodies["page_id"].eqNullSafe(refers["page_id"]), "left").select(bodies["page_id"], "url", "body", "refers_to") if refers.take(1) else bodies.withColumn("refers_to", F.lit(None).cast("long"))
+    # an id may have several payloads, so a page is found by id and payload
+    own = bodies.withColumns({"own_digest": F.sha1("body"), "own_size": F.length("body")})
+    same = own["page_id"].eqNullSafe(refers["page_id"]) & (own["own_digest"] == refers["digest"]) & (own["own_size"] == refers["size"])
+    rows = own.join(refers, same, "left").select(own["page_id"], "url", "body", "refers_to") if refers.take(1) else bodies.withColumn("refers_to", F.lit(None).cast("long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -170,8 +173,8 @@ def archive_pages(pages: DataFrame, folder: str | None = None, id_col: str = "pa
     """Write all pages as WARC archives under folder (by default in the shared folder) and read them back.
 
     One record a row: a null html is an empty payload, a null url becomes about:blank, rows that
-    repeat an id are written each, and of equal payloads of REVISIT_BYTES bytes or more all rows
-    of the largest id are responses and the others revisits of it. An empty table writes no
+    repeat an id are written each, with the same payload or another, and of equal payloads of
+    REVISIT_BYTES bytes or more all rows of the largest id are responses and the others revisits of it. An empty table writes no
     archive and gives no rows; other columns are ignored whatever their names. Ids are integers.
     """
     spark = pages.sparkSession
