@@ -17,7 +17,7 @@ that no bound excludes is verified. No task keeps all holders of a token, or a l
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +40,8 @@ HOT, BLOCK = 1024, 512
 FAMILY_BYTES, PART_BYTES, ROUNDS = 8 << 20, 2 << 20, 3
 #: About how many documents of a component take part in the rounds after the first.
 SENT = 64
+#: From here on stand-ins for ids that are repeated with other texts.
+STAND_IN = 1 << 62
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = mix64(np.arange(11, 11 + ORDERS, dtype=np.uint64))
 
@@ -301,16 +303,30 @@ def _still_apart(entries: DataFrame, parity: DataFrame, labels: DataFrame, hundr
     return together.mapInArrow(run, "a long, b long").distinct()
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, classes, hundredths: int) -> DataFrame:
-    """(a, b, linked): the filters of the further orders are intersected, then whole sets are compared."""
+class Prefixes:
+    """What makes sets candidates: a token among the first of both, under each order of tokens."""
+
+    def __init__(self, classes, hundredths: int) -> None:
+        self.classes, self.hundredths = classes, hundredths
+
+    def keys(self, sets: list[np.ndarray]) -> list[list[int]]:
+        """Of each set, the keys of which candidates share one."""
+        return [prefix(s, self.classes.value, 0, self.hundredths).tolist() for s in sets]
+
+    def others(self, tokens: np.ndarray) -> list[frozenset[int]]:
+        """Further keys of a set; candidates share one in each place."""
+        return [frozenset(prefix(tokens, self.classes.value, k, self.hundredths).tolist()) for k in range(1, ORDERS)]
+
+
+def _verify(pairs: DataFrame, sets: DataFrame, met, hundredths: int) -> DataFrame:
+    """(a, b, linked): the further filters are intersected, then whole sets are compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = classes.value
         for batch in batches:
             linked = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = (np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in (x, y))
-                both = all(len(np.intersect1d(prefix(x, known, k, hundredths), prefix(y, known, k, hundredths), assume_unique=True)) for k in range(1, ORDERS))
+                both = not any(a.isdisjoint(b) for a, b in zip(met.others(x), met.others(y), strict=True))
                 shared = len(np.intersect1d(x, y, assume_unique=True)) if both else 0
                 linked.append(100 * shared >= hundredths * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
@@ -336,13 +352,13 @@ def _sets_of(texts: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     return _packed(texts.join(ids, "id").select("id", "text", *more), words, more)
 
 
-def _connected(ids: list[int], comps: list[int], sets: list[np.ndarray], classes: np.ndarray, hundredths: int) -> list[int]:
+def _connected(ids: list[int], comps: list[int], sets: list[np.ndarray], met, hundredths: int) -> list[int]:
     """Components (smallest component so far) of the links among some documents; those of one component count as linked."""
     order = sorted(range(len(ids)), key=lambda i: (len(sets[i]), ids[i]))
     sizes = np.array([len(sets[i]) for i in order])
     parity = _sketches([_parity(sets[i]) for i in order])
-    first = [[prefix(sets[i], classes, k, hundredths).tolist() for k in range(ORDERS)] for i in order]
-    others = [[frozenset(f) for f in x[1:]] for x in first]
+    keys = met.keys([sets[i] for i in order])
+    others = [met.others(sets[i]) for i in order]
     parent = {c: c for c in comps}
 
     def root(c: int) -> int:
@@ -366,11 +382,11 @@ def _connected(ids: list[int], comps: list[int], sets: list[np.ndarray], classes
                 return True
         return False
 
-    holders: dict[int, dict[int, list[int]]] = {}  # of each token, by component as it was then
+    holders: dict[int, dict[int, list[int]]] = {}  # of each key, by component as it was then
     for j in range(len(order)):
         own = comps[order[j]]
         there: dict[int, list[list[int]]] = {}
-        for t in first[j][0]:
+        for t in keys[j]:
             for c, members in holders.get(t, {}).items():
                 there.setdefault(c, []).append(members)
         for c, lists in there.items():
@@ -381,12 +397,12 @@ def _connected(ids: list[int], comps: list[int], sets: list[np.ndarray], classes
             if linked(j, some) or ((more := rest()) and linked(j, more)):
                 x, y = root(c), root(own)
                 parent[max(x, y)] = min(x, y)
-        for t in first[j][0]:
+        for t in keys[j]:
             holders.setdefault(t, {}).setdefault(root(own), []).append(j)
     return [root(c) for c in comps]
 
 
-def _within(texts: DataFrame, members: DataFrame, classes, words: int, hundredths: int) -> DataFrame:
+def _within(texts: DataFrame, members: DataFrame, met, words: int, hundredths: int) -> DataFrame:
     """(node, component) of members (node, part, component), written: the sets of a part meet in one task."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -394,13 +410,13 @@ def _within(texts: DataFrame, members: DataFrame, classes, words: int, hundredth
         own = {i: k for k, i in enumerate(ids)}  # rows that repeat an id are one document
         comps = [table.column("component")[k].as_py() for k in own.values()]
         sets = [np.frombuffer(packed[k].as_buffer(), dtype=np.uint64) for k in own.values()]
-        return pa.table({"node": pa.array(list(own), pa.int64()), "component": pa.array(_connected(list(own), comps, sets, classes.value, hundredths), pa.int64())})
+        return pa.table({"node": pa.array(list(own), pa.int64()), "component": pa.array(_connected(list(own), comps, sets, met, hundredths), pa.int64())})
 
     sets = _sets_of(texts, members.select(F.col("node").alias("id"), "part", "component"), words)
     return sets.groupBy("part").applyInArrow(run, "node long, component long")
 
 
-def _settled(entries: DataFrame, parity: DataFrame, far: DataFrame, texts: DataFrame, classes, words: int, hundredths: int) -> DataFrame:
+def _settled(entries: DataFrame, parity: DataFrame, far: DataFrame, texts: DataFrame, met, words: int, hundredths: int) -> DataFrame:
     """(node, component) of families of any size, far (node, family, bytes): rounds by hash, then what is still apart.
 
     In the first round all documents take part; in further ones, those of families that are still in
@@ -419,7 +435,7 @@ def _settled(entries: DataFrame, parity: DataFrame, far: DataFrame, texts: DataF
         members = staged(now.join(parts, "family").select("node", part.alias("part"), "component"), "members")
         if members.isEmpty():
             break
-        found = staged(_within(texts, members, classes, words, hundredths), "found")
+        found = staged(_within(texts, members, met, words, hundredths), "found")
         # a part says which components belong together; components of those are the new ones
         moved = found.join(members.select("node", F.col("component").alias("was")), "node").where("component <> was").select(F.col("was").alias("a"), F.col("component").alias("b")).distinct()
         labels = _relabelled(labels, staged(moved, "moved"))
@@ -428,7 +444,7 @@ def _settled(entries: DataFrame, parity: DataFrame, far: DataFrame, texts: DataF
         return labels
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     sets = staged(_sets_of(texts, staged(ids, "ids"), words).dropDuplicates(["id"]), "sets")
-    links = _verify(pairs, sets, classes, hundredths).where("linked").select("a", "b")
+    links = _verify(pairs, sets, met, hundredths).where("linked").select("a", "b")
     both = links.join(labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a").join(labels.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b")
     return _relabelled(labels, staged(both.select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a <> b").distinct(), "moved"))
 
@@ -441,17 +457,73 @@ def _relabelled(labels: DataFrame, together: DataFrame) -> DataFrame:
     return staged(labels.join(new, "component", "left").select("node", F.coalesce("now", "component").alias("component")), "labels")
 
 
+def connected_classes(texts: DataFrame, groups: DataFrame, pairs: DataFrame, entries: Callable[[DataFrame], DataFrame], met, words: int, hundredths: int) -> DataFrame | None:
+    """(node, component) of all classes, groups (rep, n_shingles, parity), that the (written) candidate pairs (a, b) connect; None without pairs.
+
+    entries gives (token, id, pos, n, parity) for the classes of a DataFrame (id): by which keys they meet.
+    """
+    if pairs.isEmpty():
+        return None
+    families = components(pairs).select("node", F.col("component").alias("family"))  # all that candidates connect; links never leave a family
+    sized = staged(families.join(groups.select(F.col("rep").alias("node"), (8 * F.col("n_shingles")).alias("bytes")), "node"), "families")
+    total = sized.groupBy("family").agg(F.sum("bytes").alias("total"))
+    large = staged(total.where(F.col("total") > FAMILY_BYTES).select("family"), "large")
+    small = sized.join(large, "family", "left_anti")
+    parts = max(texts.sparkSession.sparkContext.defaultParallelism * 4, -(-int(small.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]) // PART_BYTES))
+    dealt = small.select("node", F.pmod(F.xxhash64("family"), F.lit(parts)).alias("part"), F.col("node").alias("component"))
+    labels = _within(texts, staged(dealt, "small"), met, words, hundredths)
+    if not large.isEmpty():
+        far = staged(sized.join(large, "family").select("node", "family", "bytes"), "far")
+        labels = labels.unionByName(_settled(entries(far.select(F.col("node").alias("id"))), groups.select(F.col("rep").alias("id"), "parity"), far, texts, met, words, hundredths))
+    return staged(labels, "labels")
+
+
+def told_apart(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """(id, text in bytes) of all rows, and where rows repeat an id with another text, stand-ins for ids and (id, real) of those.
+
+    A stand-in is above STAND_IN, and the same for rows that agree in id and text.
+    """
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("text"))
+    hashed = F.xxhash64("text")
+    repeated = staged(texts.where("id IS NOT NULL").groupBy("id").agg(F.min(hashed).alias("a"), F.max(hashed).alias("b")).where("a <> b").select("id"), "repeated")
+    if repeated.isEmpty():
+        return texts, None
+    stand_in = F.lit(STAND_IN) + F.pmod(F.xxhash64("id", "text"), F.lit(STAND_IN >> 1))
+    marked = texts.join(repeated.withColumn("again", F.lit(True)), "id", "left")
+    names = marked.where("again").select(stand_in.alias("id"), F.col("id").alias("real")).distinct()
+    return marked.select(F.when(F.col("again"), stand_in).otherwise(F.col("id")).alias("id"), "text"), staged(names, "names")
+
+
+def of_documents(signed: DataFrame, groups: DataFrame, labels: DataFrame | None, names: DataFrame | None, id_col: str) -> DataFrame:
+    """(id_col, n_shingles, component_id) of every row of signed; rows that share an id are one document, whatever their texts."""
+    own = signed.where("n_shingles > 0 AND id IS NOT NULL")
+    member = own.join(groups.select("f1", "f2", "n_shingles", "rep"), ["f1", "f2", "n_shingles"]).select("id", "rep").distinct()
+    if labels is not None:
+        member = member.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("rep", F.coalesce("component", "rep"))
+    found = signed.select("id", "n_shingles").join(member.select("id", F.col("rep").alias("component")), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    if names is not None:
+        found = staged(found.join(names, "id", "left").select(F.coalesce("real", "id").alias("id"), "n_shingles", "component"), "named")
+        classes = found.where("id IS NOT NULL").select("id", "component").distinct()
+        least = staged(classes.groupBy("component").agg(F.min("id").alias("least")), "least")
+        nodes = classes.join(least, "component").select("id", "least").distinct()
+        several = nodes.groupBy("id").agg(F.min("least").alias("a"), F.max("least").alias("b")).where("a <> b").select("id", "a")
+        together = staged(nodes.join(several, "id").select("a", F.col("least").alias("b")).where("a <> b").distinct(), "together")
+        labelled = _relabelled(least.select(F.col("component").alias("node"), F.col("least").alias("component")), together)
+        found = found.join(labelled.select(F.col("node").alias("component"), F.col("component").alias("now")), "component", "left").withColumn("component", F.coalesce("now", "component"))
+    return found.select(F.col("id").alias(id_col), "n_shingles", F.col("component").alias("component_id"))
+
+
 def jaccard_groups(docs: DataFrame, words: int = WORDS, hundredths: int = HUNDREDTHS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_shingles, component_id) of every row: components of the links of similarity hundredths / 100 or more.
 
-    Ids are integers and name documents: rows that repeat an id are one document, and if their
-    texts differ, one of the texts stands for it in further links. Rows with a null
+    Ids are integers below STAND_IN and name documents: rows that repeat an id are one document, which
+    has the links of each of its texts; each row has the size of its own. Rows with a null
     id are sized but link with nothing and have a null component. A null, empty or wordless text
-    has no shingles and is its own component; an empty table gives an empty result; other columns
+    has no shingles and links with nothing; an empty table gives an empty result; other columns
     are ignored whatever their names. Whole texts are read.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("text"))
+    texts, names = told_apart(docs, id_col, text_col)
     classes = spark.sparkContext.broadcast(frequency_classes(texts.select("text"), words))  # COUNTERS bytes
     signed = staged(signatures(texts, classes, words, hundredths), "signatures")
     own = signed.where("n_shingles > 0 AND id IS NOT NULL")
@@ -465,23 +537,5 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS, hundredths: int = HUNDRE
     few = entries.where("least IS NULL")
     hot = entries.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
     pairs = staged(_candidates(few.select("token", "id", F.col("pos").cast("long").alias("pos"), "n", "parity"), hundredths).unionByName(hot), "pairs")
-    labels = None
-    if not pairs.isEmpty():
-        families = components(pairs).select("node", F.col("component").alias("family"))  # all that candidates connect; links never leave a family
-        sized = staged(families.join(groups.select(F.col("rep").alias("node"), (8 * F.col("n_shingles")).alias("bytes")), "node"), "families")
-        total = sized.groupBy("family").agg(F.sum("bytes").alias("total"))
-        large = staged(total.where(F.col("total") > FAMILY_BYTES).select("family"), "large")
-        small = sized.join(large, "family", "left_anti")
-        parts = max(spark.sparkContext.defaultParallelism * 4, -(-int(small.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]) // PART_BYTES))
-        dealt = small.select("node", F.pmod(F.xxhash64("family"), F.lit(parts)).alias("part"), F.col("node").alias("component"))
-        labels = _within(texts, staged(dealt, "small"), classes, words, hundredths)
-        if not large.isEmpty():
-            far = staged(sized.join(large, "family").select("node", "family", "bytes"), "far")
-            mine = entries.join(far.select(F.col("node").alias("id")), "id", "left_semi")
-            labels = labels.unionByName(_settled(mine, groups.select(F.col("rep").alias("id"), "parity"), far, texts, classes, words, hundredths))
-        labels = staged(labels, "labels")
-    member = own.join(groups.select("f1", "f2", "n_shingles", "rep"), ["f1", "f2", "n_shingles"]).select("id", "rep").distinct()
-    if labels is not None:
-        member = member.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("rep", F.coalesce("component", "rep"))
-    member = member.groupBy("id").agg(F.min("rep").alias("component"))
-    return signed.select("id", "n_shingles").join(member, "id", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
+    labels = connected_classes(texts, groups, pairs, lambda ids: entries.join(ids, "id", "left_semi"), Prefixes(classes, hundredths), words, hundredths)
+    return of_documents(signed, groups, labels, names, id_col)

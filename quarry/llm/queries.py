@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import decontaminate, jaccard, language, pieces, recurrent, repair, secrets, suffixes, topk, trie, url_rules, warc
+from quarry.llm import decontaminate, jaccard, language, minhash, pieces, recurrent, repair, secrets, suffixes, topk, trie, url_rules, warc
 from quarry.llm.common import staged, table
 
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -58,6 +58,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.filter_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op11_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.trie(trie.rebuilt(staged(trie.signed(trie.ordered(table(spark, sf_dir, "conversations"))), "turns")))
 
@@ -147,6 +151,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_exact_topk": op9_exact_topk,
     "op10_url_filter": op10_url_filter,
+    "op11_circulant_minhash": op11_circulant_minhash,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_structure_repair": op13_structure_repair,
 }
