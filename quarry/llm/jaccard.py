@@ -40,6 +40,8 @@ HOT, BLOCK = 1024, 512
 FAMILY_BYTES, PART_BYTES, ROUNDS = 8 << 20, 2 << 20, 3
 #: About how many documents of a component take part in the rounds after the first.
 SENT = 64
+#: Documents of a component that a new one is compared with first.
+FEW = 64
 #: From here on stand-ins for ids that are repeated with other texts.
 STAND_IN = 1 << 62
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -367,20 +369,23 @@ def _connected(ids: list[int], comps: list[int], sets: list[np.ndarray], met, hu
             c = parent[c]
         return c
 
-    def linked(j: int, some: list[int]) -> bool:
-        near = np.array(some, dtype=np.int64)
-        both = sizes[near] + sizes[j]
+    def near(j: int, some: list[int]) -> list[tuple[int, int]]:
+        """(i, tokens to share) of those of some that no bound keeps apart from j, likely ones first."""
+        i = np.array(some, dtype=np.int64)
+        both = sizes[i] + sizes[j]
         need = -(-both * hundredths // (100 + hundredths))
-        apart = _apart(parity, near, np.full(len(near), j))
-        fits = (sizes[near] * 100 >= sizes[j] * hundredths) & (apart <= both - 2 * need)
-        near, need, apart = near[fits], need[fits], apart[fits]
-        for k in np.argsort(apart, kind="stable").tolist():
-            i = int(near[k])
-            if any(x.isdisjoint(y) for x, y in zip(others[i], others[j], strict=True)):
-                continue
-            if len(np.intersect1d(sets[order[i]], sets[order[j]], assume_unique=True)) >= need[k]:
-                return True
-        return False
+        fits = np.flatnonzero(sizes[i] * 100 >= sizes[j] * hundredths)
+        apart = _apart(parity, i[fits], np.full(len(fits), j))
+        close = apart <= (both - 2 * need)[fits]
+        fits = fits[close][np.argsort(apart[close], kind="stable")]
+        return list(zip(i[fits].tolist(), need[fits].tolist(), strict=True))
+
+    def linked(i: int, j: int, need: int) -> bool:
+        return not any(x.isdisjoint(y) for x, y in zip(others[i], others[j], strict=True)) and len(np.intersect1d(sets[order[i]], sets[order[j]], assume_unique=True)) >= need
+
+    def unite(x: int, y: int) -> None:
+        x, y = root(x), root(y)
+        parent[max(x, y)] = min(x, y)
 
     holders: dict[int, dict[int, list[int]]] = {}  # of each key, by component as it was then
     for j in range(len(order)):
@@ -389,14 +394,20 @@ def _connected(ids: list[int], comps: list[int], sets: list[np.ndarray], met, hu
         for t in keys[j]:
             for c, members in holders.get(t, {}).items():
                 there.setdefault(c, []).append(members)
+        left: set[int] = set()
         for c, lists in there.items():
             if root(c) == root(own):
                 continue
-            some = lists[0][-64:]  # of near copies, the first few are enough
-            rest = lambda: sorted(set().union(*lists) - set(some))  # noqa: E731, B023
-            if linked(j, some) or ((more := rest()) and linked(j, more)):
-                x, y = root(c), root(own)
-                parent[max(x, y)] = min(x, y)
+            if len(lists[0]) > FEW:  # of near copies, the last few are enough
+                some = lists[0][-FEW:]
+                if any(linked(i, j, need) for i, need in near(j, some)):
+                    unite(c, own)
+                    continue
+            left.update(*lists)
+        if left:  # all others of all components at once
+            for i, need in near(j, list(left)):
+                if root(comps[order[i]]) != root(own) and linked(i, j, need):
+                    unite(comps[order[i]], own)
         for t in keys[j]:
             holders.setdefault(t, {}).setdefault(root(own), []).append(j)
     return [root(c) for c in comps]
@@ -436,6 +447,9 @@ def _settled(entries: DataFrame, parity: DataFrame, far: DataFrame, texts: DataF
         if members.isEmpty():
             break
         found = staged(_within(texts, members, met, words, hundredths), "found")
+        if not n:  # each document was a component and in one part
+            labels = found
+            continue
         # a part says which components belong together; components of those are the new ones
         moved = found.join(members.select("node", F.col("component").alias("was")), "node").where("component <> was").select(F.col("was").alias("a"), F.col("component").alias("b")).distinct()
         labels = _relabelled(labels, staged(moved, "moved"))
