@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import ids, text
-from quarry.operators import catalog, chunking, evaluation, events, reconcile, search
+from quarry.jobs import scratch
+from quarry.operators import catalog, chunking, evaluation, events, parts, reconcile, search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -89,6 +90,28 @@ def knn_multi_query(spark, sf_dir):
     return search.nearest_each(v, v.where("vec_id % 50 = 0"), 10).select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
 
 
+def _laid_out(spark, sf_dir) -> parts.Parts:
+    folder = scratch.fresh(spark, "vectors")
+    parts.write_parts(_vectors(spark, sf_dir), folder)
+    return parts.Parts.read(spark, folder)
+
+
+@_register("knn_pruned", SQL["knn_topk"])
+def knn_pruned(spark, sf_dir):
+    return _hits(parts.search_parts(_laid_out(spark, sf_dir), _asked(_vectors(spark, sf_dir)), 40).hits)
+
+
+@_register("knn_pruned_source", SQL["knn_source_filter"])
+def knn_pruned_source(spark, sf_dir):
+    return _hits(parts.search_parts(_laid_out(spark, sf_dir), _asked(_vectors(spark, sf_dir)), 10, F.col("label") == 3).hits)
+
+
+@_register("knn_pruned_multi", SQL["knn_multi_query"])
+def knn_pruned_multi(spark, sf_dir):
+    found = parts.search_parts_each(_laid_out(spark, sf_dir), _vectors(spark, sf_dir).where("vec_id % 50 = 0"), 10, scratch.written)
+    return found.select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
+
+
 def _outcomes(spark, sf_dir):
     v = _vectors(spark, sf_dir)
     labels = v.select("vec_id", "label")
