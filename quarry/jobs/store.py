@@ -12,6 +12,8 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,6 +65,16 @@ def _claim(spark: SparkSession, folder: str) -> None:
         raise RuntimeError(f"{folder} is being written by another run") from e
 
 
+@contextmanager
+def _released(spark: SparkSession, folder: str) -> Iterator[None]:
+    """A claimed generation that fails to be written is given up at once, with its claim."""
+    try:
+        yield
+    except BaseException:
+        discard(spark, folder)
+        raise
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a file or folder that this run made."""
     fs, made = _fs(spark, path)
@@ -81,7 +93,8 @@ def publish(df: DataFrame, table: str) -> int:
     found = _generations(spark, table, "_SUCCESS")
     number = found[-1] + 1 if found else 1
     _claim(spark, _folder(table, number))
-    df.write.mode("append").parquet(_folder(table, number))
+    with _released(spark, _folder(table, number)):
+        df.write.mode("append").parquet(_folder(table, number))
     discard(spark, f"{_folder(table, number)}/{CLAIM}")
     return number
 
@@ -128,11 +141,17 @@ def publish_parts(df: DataFrame, table: str, touched: list[tuple[str, int]]) ->
         return last
     folder = _folder(table, last + 1)
     _claim(spark, folder)
+    with _released(spark, folder):
+        _write_generation(df, folder, touched)
+    discard(spark, f"{folder}/{CLAIM}")
+    return last + 1
+
+
+def _write_generation(df: DataFrame, folder: str, touched: list[tuple[str, int]]) -> None:
+    spark = df.sparkSession
     df.repartition(*LAYOUT).sortWithinPartitions(*LAYOUT).write.mode("append").partitionBy(*LAYOUT).parquet(folder)
     filled = {(s, b) for s, b in touched if _fs(spark, f"{folder}/source_id={_escaped(spark, s)}/bucket={b}")[0].exists(_fs(spark, f"{folder}/source_id={_escaped(spark, s)}/bucket={b}")[1])}
     _write_text(spark, f"{folder}/{MARKER}", json.dumps([[s, b, int((s, b) in filled)] for s, b in touched]), overwrite=True)
-    discard(spark, f"{folder}/{CLAIM}")
-    return last + 1
 
 
 def vacuum(spark: SparkSession, table: str, keep: int = 2) -> int:

@@ -36,10 +36,10 @@ def _fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iter
         state.remove()
         return
     level, seen = state.get if state.exists else (0, 0)
-    for frame in frames:
-        sums = np.cumsum(frame.sort_values(["ts", "event_id"])["step"].to_numpy(dtype=np.int64))
-        if len(sums):  # a level that never falls under zero is the sum less its smallest value so far
-            level, seen = int(sums[-1] + max(level, -int(sums.min()))), seen + len(sums)
+    # a batch's events of a key may come in several frames, which aren't in order among each other
+    sums = np.cumsum(pd.concat([f[["ts", "event_id", "step"]] for f in frames]).sort_values(["ts", "event_id"])["step"].to_numpy(dtype=np.int64))
+    if len(sums):  # a level that never falls under zero is the sum less its smallest value so far
+        level, seen = int(sums[-1] + max(level, -int(sums.min()))), seen + len(sums)
     state.update((level, seen))
     state.setTimeoutDuration(IDLE_MS)
     yield pd.DataFrame({"key": [key[0]], "level": [level], "seen": [seen]})

@@ -125,8 +125,9 @@ def test_streams_agree_with_batches(spark, tmp_path):
     log.select("event_id", F.to_timestamp("t").alias("ts"), "user_id", "event_type", "value", "props").write.parquet(str(tmp_path / "log"))
     step = F.when(F.col("event_type") == "up", 1).otherwise(-1)
     for name, stream, mode in (("gauge", streams.gauge(streams.follow(spark, str(tmp_path / "log")), step), "update"), ("runs", streams.debounced(streams.follow(spark, str(tmp_path / "log"), ["up", "down"]), quiet="2 seconds", late="0 seconds"), "append")):
-        q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
-        q.awaitTermination(120)
+        q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).start()
+        q.processAllAvailable()
+        q.stop()
     assert {r["key"]: r["level"] for r in spark.table("gauge").collect()} == {1: 1, 2: 2}
     assert sorted((r["user_id"], r["hints"]) for r in spark.table("runs").collect()) == [(1, 2), (1, 2), (2, 1)]
 
