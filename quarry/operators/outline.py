@@ -1,19 +1,16 @@
 """Where texts may be cut: outlines of Markdown and of code, as nested blocks of bytes.
 
 No grammar is at hand, so Markdown is scanned by its block rules (headings of both spellings,
-fences, blank lines) and code by its indentation, comments and closing lines. An outline is a
+fences, blank lines) and code by its strings, comments and delimiters (lexing). An outline is a
 Block whose children follow each other; what lies between children belongs to no child.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
 
-#: What begins a comment line, and opens and closes a block comment, by language. Fixed values.
-COMMENTS = {"go": ("//", "/*", "*/"), "rust": ("//", "/*", "*/"), "python": ("#", None, None), "nix": ("#", "/*", "*/"), "lua": ("--", "--[[", "]]")}
-#: Lines that close what lines above them opened. Fixed values.
-_CLOSES = re.compile(rb"[\]})]|end\b|else\b|elif\b|except\b|finally\b|until\b")
+from quarry.operators.lexing import Block, code
+
 _LINE = re.compile(rb"[^\n]*\n|[^\n]+\Z")
 _FENCE = re.compile(rb" {0,3}(`{3,}|~{3,})")
 _ATX = re.compile(rb" {0,3}(#{1,6})(?:[ \t]+(.*?))?[ \t]*\r?\n?\Z", re.S)
@@ -21,16 +18,6 @@ _UNDERLINE = re.compile(rb" {0,3}(=+|-+)[ \t]*\r?\n?\Z")
 _NO_PARAGRAPH = re.compile(rb" {0,3}(?:[-*+>|]|\d+[.)]|(?:[*_-][ \t]*){3,}\r?\n?\Z)")
 
 
-@dataclass
-class Block:
-    start: int
-    end: int
-    lead: bool = False  # a comment or a heading: it introduces what comes next
-    level: int = 0  # of a heading
-    title: str = ""
-    children: list[Block] = field(default_factory=list)
-
-
 def _markdown_blocks(data: bytes) -> list[Block]:
     """Headings, fenced blocks and runs of other lines, in order; blank lines belong to none."""
     out: list[Block] = []
@@ -87,48 +74,6 @@ def markdown(data: bytes) -> Block:
     return root
 
 
-def code(data: bytes, language: str) -> Block:
-    """Lines nested by indentation: a line holds those below it that are indented further, and what closes it."""
-    line_mark, opener, closer = (x.encode() if x else None for x in COMMENTS[language])
-    root = Block(0, len(data))
-    open_: list[tuple[int, Block]] = [(-1, root)]
-    comment: Block | None = None
-    for m in _LINE.finditer(data):
-        body = m.group().strip()
-        start, end = m.start(), m.start() + len(m.group().rstrip())
-        if comment is not None:
-            for held in (comment, *[above for _, above in open_[1:]]) if body else ():
-                held.end = end
-            if closer in body:
-                comment = None
-            continue
-        if not body:
-            continue
-        depth = len(m.group()) - len(m.group().lstrip())
-        in_block = opener is not None and body.startswith(opener)
-        lead = in_block or body.startswith(line_mark)
-        if not lead and _CLOSES.match(body) and open_[-1][1] is not root:
-            while open_[-1][0] > depth:
-                open_.pop()
-            if open_[-1][0] == depth:  # goes on with the block that was opened at this depth
-                open_[-1][1].children.append(Block(start, end))
-                for _, above in open_[1:]:
-                    above.end = end
-                continue
-        while open_[-1][0] >= depth:
-            open_.pop()
-        block = Block(start, end, lead)
-        open_[-1][1].children.append(block)
-        for _, above in open_[1:]:
-            above.end = end
-        if in_block:
-            comment = block if closer not in body[len(opener) :] else None
-        elif not lead:
-            block.children.append(Block(start, end))
-            open_.append((depth, block))
-    return root
-
-
 def outline(data: bytes, language: str) -> Block:
     return markdown(data) if language == "markdown" else code(data, language)
 

@@ -1,14 +1,15 @@
 """Chunks at syntax boundaries, and the trail of headings above them.
 
-Texts are cut where their outline allows it, in Arrow batches: a block that fits the budget stays
-whole, a larger one is cut between its children, a leaf between lines. What introduces something
+Texts are cut where their outline allows it, in Arrow batches: places open under a budget (a block
+that fits stays whole, a larger one opens between its children, a leaf between lines), and one
+greedy pass takes as much as fits from each place to another. What introduces something
 (a comment, a heading) goes with what follows it. Headings come out of the same pass as rows
 beside the chunks, and their trails are window functions over both, an as-of join without a join.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,82 +36,82 @@ def _piece(data: bytes, start: int, end: int, lead: bool = False) -> Piece:
     return start, end, BLANK if not data[start:end].strip(_ASCII_SPACE) else LEAD if lead else BODY
 
 
-def _by_lines(data: bytes, start: int, end: int, budget: int) -> Iterator[Piece]:
-    """As many whole lines as fit each time; a line beyond the budget is cut between characters."""
+def _line_places(data: bytes, start: int, end: int, budget: int) -> Iterator[int]:
+    """Where a stretch beyond the budget is cut: behind the last line that fits, or between characters of one that doesn't."""
     while end - start > budget:
-        cut = data.rfind(b"\n", start, start + budget) + 1
-        if cut <= start:
-            cut = start + budget
-            while cut > start and data[cut] & 0xC0 == 0x80:
-                cut -= 1
-            if cut == start:  # not even one character fits
+        at = data.rfind(b"\n", start, start + budget) + 1
+        if at <= start:
+            at = start + budget
+            while at > start and data[at] & 0xC0 == 0x80:
+                at -= 1
+            if at == start:  # not even one character fits
                 break
-        yield _piece(data, start, cut)
-        start = cut
-    if end > start:
-        yield _piece(data, start, end)
-
-
-def pieces(block: Block, data: bytes, budget: int = BUDGET, depth: int = 0) -> Iterator[Piece]:
-    """Pieces that cover the block without gaps."""
-    if block.end - block.start <= budget:
-        if block.end > block.start:
-            yield _piece(data, block.start, block.end, block.lead)
-    elif depth >= DEEPEST or not block.children:
-        yield from _by_lines(data, block.start, block.end, budget)
-    else:
-        at = block.start
+        yield at
+        start = at
+
+
+def places(root: Block, data: bytes, budget: int) -> tuple[list[int], set[int]]:
+    """Where the text may be cut under a budget, in order with both ends of the outline, and which of them open a lead.
+
+    A block that fits keeps its inside closed; one that doesn't opens where its children begin and end.
+    """
+    found, leads, todo = {root.start, root.end}, set(), [(root, 0)]
+    if root.lead and root.end - root.start <= budget:
+        leads.add(root.start)
+    while todo:
+        block, depth = todo.pop()
+        if block.end - block.start <= budget or depth >= DEEPEST:
+            continue
         for child in block.children:
-            yield from _by_lines(data, at, child.start, budget)
-            yield from pieces(child, data, budget, depth + 1)
-            at = max(at, child.end)
-        yield from _by_lines(data, at, block.end, budget)
-
-
-def with_leads_joined(own: list[Piece], data: bytes, budget: int = BUDGET) -> list[Piece]:
-    """Leads on lines next to each other become one, as long as the budget holds them."""
-    out: list[Piece] = []
-    for piece in own:
-        if piece[2] == LEAD:
-            gap = bool(out) and out[-1][2] == BLANK and data.count(b"\n", out[-1][0], out[-1][1]) <= 1
-            last = len(out) - 1 - gap
-            if last >= 0 and out[last][2] == LEAD and piece[1] - out[last][0] <= budget:
-                out[last:] = [(out[last][0], piece[1], LEAD)]
-                continue
-        out.append(piece)
-    return out
+            found.update((child.start, child.end))
+            if child.lead and child.end - child.start <= budget:
+                leads.add(child.start)
+            todo.append((child, depth + 1))
+    ordered = sorted(found)
+    for a, b in list(zip(ordered, ordered[1:])):
+        found.update(_line_places(data, a, b, budget))
+    return sorted(found), leads
+
+
+def pieces(root: Block, data: bytes, budget: int = BUDGET) -> list[Piece]:
+    """Pieces between the places, which cover the outline without gaps."""
+    at, leads = places(root, data, budget)
+    return [_piece(data, a, b, a in leads) for a, b in zip(at, at[1:])]
 
 
 def packed(own: list[Piece], budget: int = BUDGET) -> list[tuple[int, int]]:
-    """Ranges of pieces up to the budget; leads at the end of a full range move to the next one, or stand alone if they don't fit there."""
-    ranges: list[tuple[int, int]] = []
-    start = lead = None
-    end = 0
-    for a, b, kind in own:
-        if start is None:
-            if kind == BLANK:
-                continue
-            start = a
-        elif b - start > budget:
-            cuts = [a]
-            if lead is not None and lead > start:
-                cuts = [lead] if b - lead <= budget else [lead, a]
-            for cut in cuts:
-                ranges.append((start, cut))
-                start = cut
-            lead = None
-        end = b
-        lead = (a if lead is None else lead) if kind == LEAD else None if kind == BODY else lead
-    return [*ranges, (start, end)] if start is not None else []
+    """Ranges of as many pieces as fit the budget, cut before the leads at their end: those go with what follows, or stand alone if it leaves them no room."""
+    first = next((n for n, piece in enumerate(own) if piece[2] != BLANK), len(own))
+    ends = [end for _, end, _ in own]
+    home, run = [], None  # of each piece: the first of the leads that it ends with, if any
+    for n, (_, _, kind) in enumerate(own):
+        run = None if kind == BODY else n if kind == LEAD and run is None else run
+        home.append(run)
+    ranges, at = [], first
+    while at < len(own):
+        start = own[at][0]
+        after = max(bisect_right(ends, start + budget, at), at + 1)  # the first piece that doesn't fit
+        lead = home[after - 1] if after < len(own) else None
+        if lead is not None:
+            lead = next((n for n in range(max(lead, at), after) if own[n][2] == LEAD), None)
+        if lead is None or lead == at:
+            ranges.append((start, ends[after - 1]))
+            at = after
+            continue
+        ranges.append((start, own[lead][0]))
+        at = lead
+        if ends[after] - own[lead][0] > budget:
+            ranges.append((own[lead][0], ends[after - 1]))
+            at = after
+    return ranges
 
 
 def cut(text: str, language: str, budget: int = BUDGET) -> tuple[list[tuple[int, int, str]], list[Block], list[int]]:
     """(start, end, text) of the chunks of a text, its headings, and the places of its line feeds; all in bytes."""
     data = text.encode("utf-8", "surrogatepass")
     root = outline(data, language)
-    own = with_leads_joined([*_by_lines(data, 0, root.start, budget), *pieces(root, data, budget), *_by_lines(data, root.end, len(data), budget)], data, budget)
     found = []
-    for a, b in packed(own, budget):
+    for a, b in packed(pieces(root, data, budget), budget):
         raw = data[a:b].decode("utf-8", "replace")
         inner = raw.strip(_SPACE)
         if inner:
