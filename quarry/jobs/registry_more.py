@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text
 from quarry.jobs.registry import _register, _table
-from quarry.operators import catalog, chunking, events, reconcile, search, syntax
+from quarry.operators import batching, catalog, chunking, events, reconcile, search, syntax
 
 # --- chunks and headings ---------------------------------------------------------------------
 
@@ -39,6 +39,23 @@ def chunk_limits(spark, sf_dir):
     return chunking.over_limit(chunking.word_windows(_table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", 4)
 
 
+# --- batches ---------------------------------------------------------------------------------
+
+# Small limits, so that documents, bytes, deletions and sources all end batches in these tables.
+_MOST, _TARGET = 16, 6000
+
+
+@_register("batch_groups", f"""WITH RECURSIVE d AS (SELECT source, doc_id, octet_length(encode(coalesce(text, ''))) AS size, doc_id % 37 = 0 AS gone, row_number() OVER (ORDER BY source NULLS FIRST, doc_id) AS n FROM documents),
+r AS (SELECT n, source, doc_id, size, gone, CASE WHEN gone THEN 0 ELSE 1 END AS held, CASE WHEN gone THEN 0 ELSE size END AS bytes, CAST(CASE WHEN gone THEN 0 ELSE 1 END AS BIGINT) AS batch FROM d WHERE n = 1
+UNION ALL SELECT n, source, doc_id, size, gone, CASE WHEN gone THEN 0 WHEN new THEN 1 ELSE held + 1 END, CASE WHEN gone THEN 0 WHEN new THEN size ELSE bytes + size END, batch + CASE WHEN new AND NOT gone THEN 1 ELSE 0 END
+FROM (SELECT d.*, r.held, r.bytes, r.batch, d.source IS DISTINCT FROM r.source OR r.held = 0 OR r.held >= {_MOST} OR r.bytes + d.size > {_TARGET} AS new FROM r JOIN d ON d.n = r.n + 1))
+SELECT batch, any_value(source) AS source, count(*) AS documents, CAST(sum(size) AS BIGINT) AS bytes, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM r WHERE NOT gone GROUP BY batch""")
+def batch_groups(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("source", "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"), (F.col("doc_id") % 37 == 0).alias("gone"))
+    rows = batching.batched(docs, "source", ["doc_id"], "size", "gone", _MOST, _TARGET)
+    return rows.groupBy("batch").agg(F.any_value("source").alias("source"), F.count("*").alias("documents"), F.sum("size").alias("bytes"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+
+
 # --- sources ---------------------------------------------------------------------------------
 
 # Users are sources, their first event registered them; every third comes again under the path of another.

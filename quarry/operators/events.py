@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.jobs.scratch import written
+
 
 def replay(events: DataFrame, n: int = 512, order: str = "event_id") -> DataFrame:
     """The newest n events, oldest first."""
@@ -62,12 +64,13 @@ SCHEMA = (
 
 
 def numbered(events: DataFrame, order: list[str], name: str = "seq") -> DataFrame:
-    """events with their place in the order, from 1, without one task for all: sorted partitions are counted first, then numbered on from the sums before them."""
-    ranged = events.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
-    own = ranged.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
-    sizes = own.groupBy("__part").agg(F.max("__n").alias("__size"))
+    """events with their place in the order, from 1, without one task for all: sorted partitions are written once, counted, then numbered on from the sums before them. Rows that tie in order take any of their places."""
+    ranged = events.repartitionByRange(*order).sortWithinPartitions(*order)
+    own = written(ranged.withColumn("__id", F.monotonically_increasing_id()), "numbered")  # partition and place in it, fixed by writing
+    part, place = F.shiftright("__id", 33), F.col("__id").bitwiseAND((1 << 33) - 1)
+    sizes = own.groupBy(part.alias("__part")).agg((F.max(place) + 1).alias("__size"))
     before = sizes.withColumn("__before", F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__size")  # one row a partition
-    return own.join(F.broadcast(before), "__part").withColumn(name, F.col("__n") + F.col("__before")).drop("__part", "__n", "__before")
+    return own.withColumn("__part", part).join(F.broadcast(before), "__part").withColumn(name, place + 1 + F.col("__before")).drop("__part", "__id", "__before")
 
 
 def of_kinds(events: DataFrame, kinds: str, kind: str = "kind") -> DataFrame:
