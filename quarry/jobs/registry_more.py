@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quarry.functions import text
 from quarry.jobs.registry import _register, _table
 from quarry.operators import batching, catalog, chunking, events, reconcile, search, syntax
+from quarry.streaming import latency
 
 # --- chunks and headings ---------------------------------------------------------------------
 
@@ -166,6 +167,17 @@ def _fields() -> list[str]:
     return ["event_id", "user_id", "ts", f"{_KIND} AS kind", "concat('/f/', event_id % 100) AS uri", "CAST(event_id % 7 AS INT) AS chunk_count", "CASE WHEN event_id % 3 = 0 THEN 'bad' ELSE '' END AS error", "event_id % 900 AS took_ms", "CAST(event_id % 5 AS INT) AS pending_documents"]
 
 
+# A view begins a call, which what comes next of another kind ends.
+@_register("call_latency", """SELECT CAST(b.event_id AS VARCHAR) AS request_id, CASE WHEN b.user_id % 3 = 0 THEN 'IngestBatch' ELSE 'Search' END AS method, e.event_type AS code, CAST(floor((epoch_us(e.ts) - epoch_us(b.ts)) / 1000) AS BIGINT) AS took_ms
+FROM events b LEFT JOIN events e ON e.event_id = b.event_id + 1 AND e.event_type <> 'view' AND e.ts BETWEEN b.ts AND b.ts + INTERVAL 5 MINUTE WHERE b.event_type = 'view'""")
+def call_latency(spark, sf_dir):
+    log = _table(spark, sf_dir, "events").withColumn("at", F.col("ts").cast("timestamp"))
+    method = F.when(F.col("user_id") % 3 == 0, "IngestBatch").otherwise("Search")
+    begins = log.where("event_type = 'view'").select(F.col("event_id").cast("string").alias("request_id"), F.lit("grpc").alias("transport"), method.alias("method"), "at")
+    ends = log.where("event_type <> 'view'").select((F.col("event_id") - 1).cast("string").alias("request_id"), "at", F.col("event_type").alias("code"))
+    return latency.calls(begins, ends).select("request_id", "method", "code", "took_ms")
+
+
 @_register("numbered_events", "SELECT event_id, CAST(row_number() OVER (ORDER BY ts, event_id) AS BIGINT) AS seq FROM events")
 def numbered_events(spark, sf_dir):
     return events.numbered(_table(spark, sf_dir, "events").select("event_id", "ts"), ["ts", "event_id"]).select("event_id", "seq")
