@@ -8,6 +8,7 @@ of them for tasks; content is read later, only of the files that reconciliation
 from __future__ import annotations
 
 import hashlib
+import json
 import logging
 import os
 import time
@@ -71,7 +72,9 @@ class LocalTreeReader(DataSourceReader):
         self.root = canonical(options["path"])
         self.now = float(options.get("now", time.time()))
         given = options.get("exclude")
-        self.excluded = set(EXCLUDED) if given is None else {x for x in given.split(",") if x}
+        listed = options.get("excluded_json")  # as JSON, for names with commas
+        names = json.loads(listed) if listed else EXCLUDED if given is None else given.split(",")
+        self.excluded = {x.strip() for x in names if x.strip()}
 
     def partitions(self) -> list[InputPartition]:
         shallow, deep = [""], self._below("")
@@ -117,16 +120,19 @@ class LocalTreeReader(DataSourceReader):
             if e.is_dir(follow_symlinks=False):
                 if deep and self._enters(e.name, path, rules):
                     yield from self._walk(path, True)
-                continue
-            mime = mime_of(e.name)
-            if mime is None or not (e.is_file(follow_symlinks=False) or e.is_symlink()) or ignored(rules, path, False):
-                continue
-            try:
-                stat = e.stat(follow_symlinks=False)
-                digest = hashlib.sha256(Path(e.path).read_bytes()).hexdigest() if self.now - stat.st_mtime_ns / 1e9 < RACY_S else ""
-            except OSError:
-                continue
-            yield e.path, mime, digest, f"{stat.st_size}:{stat.st_mtime_ns}", path
+            elif found := self._file(e, path, rules):
+                yield found
+
+    def _file(self, e: os.DirEntry, path: str, rules: list) -> tuple | None:
+        mime = mime_of(e.name)
+        if mime is None or not (e.is_file(follow_symlinks=False) or e.is_symlink()) or ignored(rules, path, False):
+            return None
+        try:
+            stat = e.stat(follow_symlinks=False)
+            digest = hashlib.sha256(Path(e.path).read_bytes()).hexdigest() if self.now - stat.st_mtime_ns / 1e9 < RACY_S else ""
+        except OSError:
+            return None
+        return e.path, mime, digest, f"{stat.st_size}:{stat.st_mtime_ns}", path
 
 
 class LocalTree(DataSource):
@@ -146,7 +152,7 @@ def scan(spark: SparkSession, path: str, exclude: list[str] | None = None) -> Da
     spark.dataSource.register(LocalTree)
     reader = spark.read.format("localtree").option("now", repr(time.time()))
     if exclude is not None:
-        reader = reader.option("exclude", ",".join(exclude))
+        reader = reader.option("excluded_json", json.dumps(exclude))
     return reader.load(path)
 
 
