@@ -123,16 +123,18 @@ class LocalTreeReader(DataSourceReader):
             elif found := self._file(e, path, rules):
                 yield found
 
+    def _wanted(self, e: os.DirEntry, path: str, rules: list) -> bool:
+        return mime_of(e.name) is not None and (e.is_file(follow_symlinks=False) or e.is_symlink()) and not ignored(rules, path, False)
+
     def _file(self, e: os.DirEntry, path: str, rules: list) -> tuple | None:
-        mime = mime_of(e.name)
-        if mime is None or not (e.is_file(follow_symlinks=False) or e.is_symlink()) or ignored(rules, path, False):
+        if not self._wanted(e, path, rules):
             return None
         try:
             stat = e.stat(follow_symlinks=False)
             digest = hashlib.sha256(Path(e.path).read_bytes()).hexdigest() if self.now - stat.st_mtime_ns / 1e9 < RACY_S else ""
         except OSError:
             return None
-        return e.path, mime, digest, f"{stat.st_size}:{stat.st_mtime_ns}", path
+        return e.path, mime_of(e.name), digest, f"{stat.st_size}:{stat.st_mtime_ns}", path
 
 
 class LocalTree(DataSource):

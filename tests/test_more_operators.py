@@ -127,9 +127,10 @@ def test_hints_of_changes(spark, tmp_path):
     (root / "sub/b.go").write_text("x")
     (root / "c.go").write_text("x")
     rows, after = w.read(at)
-    assert [r[0] for r in rows] == [str(root)] and list(w.readBetweenOffsets(at, after)) == [(str(root), after["digest"])]
+    assert [r[0] for r in rows] == [str(root)] and list(w.readBetweenOffsets(at, after)) == [(str(root), "", after["digest"])]
     os.rename(root, tmp_path / "gone")
-    assert list(w.read(after)[0]) == []
+    rows, gone = w.read(after)
+    assert list(rows) == [(str(root), "", watch.GONE)] and list(w.read(gone)[0]) == []
     os.rename(tmp_path / "gone", root)
     seen = []
     q = watch.on_hints(watch.hints(spark, str(root)), seen.append, str(tmp_path / "cp"), "1 second")
