@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import ids, text
 from quarry.jobs import scratch
-from quarry.operators import catalog, chunking, evaluation, events, parts, reconcile, search
+from quarry.operators import catalog, chunking, evaluation, events, parts, reconcile, search, table_functions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -164,6 +164,12 @@ def word_window_chunks(spark, sf_dir):
     return chunking.word_windows(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@_register("chunk_function", _DOC_WINDOWS)
+def chunk_function(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.lit(None).cast("string").alias("language"))
+    return table_functions.chunks(docs, "auto").drop("language", "context")
+
+
 @_register("html_as_text_chunks", _windows_sql("page_id", "SELECT page_id, html AS t FROM pages"))
 def html_as_text_chunks(spark, sf_dir):
     pages = _table(spark, sf_dir, "pages")

@@ -16,7 +16,7 @@ from pyspark.sql.types import ArrayType, FloatType
 from quarry.functions.text import SPACE
 
 DIMENSION = 384
-_WORD = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+WORD = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
 def bucket(word: Column) -> Column:
@@ -45,7 +45,7 @@ def nearest_by_hash(docs: DataFrame, query: DataFrame, key: str, limit: int, tex
 
 def hashed(text: str | None) -> np.ndarray:
     """Unit vector of DIMENSION floats; zeros for a text without words."""
-    places = [int(hashlib.md5(w.encode()).hexdigest()[:7], 16) % DIMENSION for w in _WORD.findall((text or "").lower())]
+    places = [int(hashlib.md5(w.encode()).hexdigest()[:7], 16) % DIMENSION for w in WORD.findall((text or "").lower())]
     counts = np.bincount(np.array(places, dtype=np.int64), minlength=DIMENSION).astype(np.float64)
     return (counts / max(np.sqrt((counts * counts).sum()), 1e-12)).astype(np.float32)
 
