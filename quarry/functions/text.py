@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,17 +50,37 @@ def uses_heading_context(language: Column) -> Column:
     return F.coalesce(language.isin(*HEADING_CONTEXT), F.lit(False))
 
 
+def _as_text(content: Column) -> Column:
+    return F.make_valid_utf8(content.cast("string"))
+
+
+#: Content to (text, starting line), by MIME type; a name that ends in a slash takes all types that begin with it and have none of their own.
+#: exactly text/markdown loses its header, other text is decoded as it is.
+PARSERS: dict[str, Callable[[Column], tuple[Column, Column]]] = {"text/markdown": lambda c: front_matter(_as_text(c)), "text/": lambda c: (_as_text(c), F.lit(1))}
+
+
 def supported(mime: Column) -> Column:
     """Whether some parser takes the MIME type; what none takes is a failure, not an empty document."""
-    return F.coalesce(F.startswith(mime, F.lit("text/")), F.lit(False))
+    return F.coalesce(_parser(mime) != "", F.lit(False))
 
 
 def parsed(mime: Column, content: Column) -> tuple[Column, Column]:
-    """(text, starting line): exactly text/markdown loses its header, other text/* is decoded as it is, the rest is null."""
-    text = F.make_valid_utf8(content.cast("string"))
-    body, line = front_matter(text)
-    markdown = mime == "text/markdown"
-    return F.when(markdown, body).when(F.startswith(mime, F.lit("text/")), text), F.when(markdown, line).otherwise(1)
+    """(text, starting line) by the parser of the MIME type; null and 1 without one."""
+    own = _parser(mime)
+    text, line = F.lit(None).cast("string"), F.lit(1)
+    for name, parse in PARSERS.items():
+        body, first = parse(content)
+        text, line = F.when(own == name, body).otherwise(text), F.when(own == name, first).otherwise(line)
+    return text, line.cast("int")
+
+
+def _parser(mime: Column) -> Column:
+    """The name in PARSERS that a MIME type has its parser under: its own, or else the longest beginning; empty for none."""
+    begins = sorted((n for n in PARSERS if n.endswith("/")), key=len, reverse=True)
+    found = F.when(mime.isin(*[n for n in PARSERS if not n.endswith("/")]), mime)
+    for name in begins:
+        found = found.when(F.startswith(mime, F.lit(name)), F.lit(name))
+    return found.otherwise("")
 
 
 def label(display_path: Column, uri: Column) -> Column:
@@ -83,8 +105,16 @@ def snippet(text: Column, most: int) -> Column:
 
 def clean_path(path: Column) -> Column:
     """A path without empty, . and .. parts and without a slash at its end; the root stays the root, nothing becomes "."."""
+    return _named(path, lambda given: _named(F.filter(F.split(given, "/", -1), lambda p: ~p.isin("", ".")), lambda parts: _clean(given, parts)))
+
+
+def _named(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value worked out once however often then uses it: it is a variable of a lambda function there."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _clean(path: Column, parts: Column) -> Column:
     rooted = F.startswith(path, F.lit("/"))
-    parts = F.filter(F.split(path, "/", -1), lambda p: ~p.isin("", "."))
     plain = F.array_join(parts, "/")
 
     def step(acc, p):
@@ -92,7 +122,7 @@ def clean_path(path: Column) -> Column:
         return F.when(up, F.slice(acc, F.lit(1), F.size(acc) - 1)).when((p == "..") & rooted, acc).otherwise(F.concat(acc, F.array(p)))
 
     folded = F.when(F.array_contains(parts, ".."), F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")).otherwise(plain)
-    return F.when(rooted, F.concat(F.lit("/"), folded)).otherwise(F.when(folded == "", ".").otherwise(folded))
+    return _named(folded, lambda f: F.when(rooted, F.concat(F.lit("/"), f)).otherwise(F.when(f == "", ".").otherwise(f)))
 
 
 def result_path(uri: Column, root: str) -> Column:
@@ -102,7 +132,7 @@ def result_path(uri: Column, root: str) -> Column:
         .when(uri.rlike("^[A-Za-z][A-Za-z0-9+.-]*://") | (uri == ""), F.lit(None).cast("string"))
         .otherwise(uri)
     )
-    return clean_path(F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), path)))
+    return clean_path(_named(path, lambda p: F.when(F.startswith(p, F.lit("/")), p).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), p))))
 
 
 def plural(n: Column, noun: str) -> Column:

@@ -87,7 +87,7 @@ def sources_in_order(spark, sf_dir):
 
 
 @_register("source_conflicts", """WITH p AS (SELECT page_id, '/' || regexp_extract(url, '^[a-z]+://([^?#]*)', 1) AS raw FROM pages), u AS (SELECT page_id, regexp_replace(regexp_replace(raw, '/+', '/', 'g'), '(.)/$', '\\1') AS path, raw FROM p),
-r AS (SELECT 'r' || page_id AS id, path, page_id % 17 AS created_at FROM u WHERE page_id % 3 = 0), c AS (SELECT DISTINCT raw, path FROM u WHERE page_id % 3 = 1),
+r AS (SELECT 'r' || page_id AS id, path, page_id % 17 AS created_at FROM u WHERE page_id % 3 = 0), a AS (SELECT CASE page_id % 3 WHEN 0 THEN raw || '//deeper/' WHEN 1 THEN raw ELSE regexp_replace(path, '/[^/]*$', '') END AS raw FROM u WHERE path <> '/'), c AS (SELECT DISTINCT raw, regexp_replace(regexp_replace(raw, '/+', '/', 'g'), '(.)/$', '\\1') AS path FROM a WHERE starts_with(raw, '/')),
 m AS (SELECT c.raw AS uri, r.id, r.created_at, CASE WHEN c.path = r.path THEN 'equal' WHEN starts_with(c.path, r.path || '/') THEN 'inside' ELSE 'contains' END AS relation
 FROM c JOIN r ON c.path = r.path OR starts_with(c.path, r.path || '/') OR starts_with(r.path, c.path || '/'))
 SELECT uri, id, relation FROM (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY uri ORDER BY created_at, id) = 1) WHERE relation <> 'equal'""")
@@ -95,7 +95,9 @@ def source_conflicts(spark, sf_dir):
     raw = F.concat(F.lit("/"), F.regexp_extract("url", "^[a-z]+://([^?#]*)", 1))
     pages = _table(spark, sf_dir, "pages").select("page_id", raw.alias("uri"))
     registered = pages.where("page_id % 3 = 0").select(F.concat(F.lit("r"), F.col("page_id").cast("string")).alias("id"), "uri", (F.col("page_id") % 17).alias("created_at"))
-    return reconcile.conflicts(pages.where("page_id % 3 = 1"), registered)
+    folder = F.regexp_replace(text.clean_path(F.col("uri")), "/[^/]*$", "")
+    asked = F.when(F.col("page_id") % 3 == 0, F.concat("uri", F.lit("//deeper/"))).when(F.col("page_id") % 3 == 1, F.col("uri")).otherwise(folder)
+    return reconcile.conflicts(pages.where(text.clean_path(F.col("uri")) != "/").select("page_id", asked.alias("uri")), registered)
 
 
 _DOCUMENTS = "SELECT concat('d', doc_id) AS document_id, source AS source_id, CAST(doc_id % 11 AS INT) AS chunk_count FROM documents"
@@ -229,22 +231,22 @@ def snapshot_gauge(spark, sf_dir):
 # --- payloads and results --------------------------------------------------------------------
 
 
-@_register("payload_results", """SELECT 'd' || page_id AS document_id, 's' AS source_id, url AS uri, CAST(page_id % 9 AS INTEGER) AS chunk_index, CAST(page_id AS DOUBLE) / 4 AS score, substr(html, 1, 40) AS text,
+@_register("payload_results", """SELECT 'd' || page_id AS document_id, 's' AS source_id, url AS uri, CAST(page_id % 9 AS INTEGER) AS chunk_index, CAST(page_id AS DOUBLE) / 4 AS score, html AS text,
 CASE WHEN page_id % 4 = 0 THEN 0 ELSE CAST(page_id % 50 AS INTEGER) END AS start_line, 0 AS end_line FROM pages WHERE page_id % 6 NOT IN (1, 2) AND url IS NOT NULL AND html IS NOT NULL""")
 def payload_results(spark, sf_dir):
     p = F.col("page_id")
     fields = F.struct(
         F.when(p % 6 != 1, F.concat(F.lit("d"), p.cast("string"))).alias("document_id"), F.lit("s").alias("source_id"), F.col("url").alias("uri"), F.when(p % 6 != 2, p % 9).alias("chunk_index"),
-        F.substring("html", 1, 40).alias("text"), F.when(p % 4 != 0, p % 50).alias("start_line"), F.lit("no number").alias("end_line"),
+        F.col("html").alias("text"), F.when(p % 4 != 0, p % 50).alias("start_line"), F.lit("no number").alias("end_line"),
     )
     return search.decoded(_table(spark, sf_dir, "pages").select((p.cast("double") / 4).alias("score"), F.to_json(fields).alias("payload")))
 
 
-@_register("result_entries", f"""WITH r AS (SELECT page_id, CASE WHEN page_id % 7 <> 0 THEN '/r/' || page_id END AS path, CASE WHEN page_id % 5 <> 0 THEN page_id % 3 END AS l, CASE WHEN page_id % 8 <> 1 THEN page_id / 7.0 END AS score, trim(regexp_replace(substr(html, 1, 60), '[ \\t-\\r]+', ' ', 'g')) AS t FROM pages)
+@_register("result_entries", f"""WITH r AS (SELECT page_id, CASE WHEN page_id % 7 <> 0 THEN '/r/' || page_id END AS path, CASE WHEN page_id % 5 <> 0 THEN page_id % 3 END AS l, CASE WHEN page_id % 8 <> 1 THEN page_id / 7.0 END AS score, trim(regexp_replace(html, '[ \\t-\\r]+', ' ', 'g')) AS t FROM pages)
 SELECT path, CAST(greatest(1, l) AS INTEGER) AS line, round(score, 6) AS score, t AS text, path || ':' || CAST(greatest(1, l) AS INTEGER) || '  ' || printf('%.4f', CAST(score AS DOUBLE)) || '  ' || t AS display FROM r WHERE path IS NOT NULL AND l IS NOT NULL AND score IS NOT NULL AND t IS NOT NULL""")
 def result_entries(spark, sf_dir):
     p = F.col("page_id")
-    rows = _table(spark, sf_dir, "pages").select(F.when(p % 7 != 0, F.concat(F.lit("r/"), p.cast("string"))).alias("uri"), F.when(p % 5 != 0, p % 3).alias("start_line"), F.when(p % 8 != 1, p / 7).alias("score"), F.substring("html", 1, 60).alias("text"))
+    rows = _table(spark, sf_dir, "pages").select(F.when(p % 7 != 0, F.concat(F.lit("r/"), p.cast("string"))).alias("uri"), F.when(p % 5 != 0, p % 3).alias("start_line"), F.when(p % 8 != 1, p / 7).alias("score"), F.col("html").alias("text"))
     return search.entries(rows, text.result_path(F.col("uri"), "/")).withColumn("score", F.round("score", 6))
 
 

@@ -18,6 +18,8 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.errors import Conflict, InvalidArgument
+
 #: Hash buckets of each source, columns that tables are laid out by, name of the marker.
 BUCKETS, LAYOUT, MARKER, CLAIM = 64, ("source_id", "bucket"), "_COMMITTED", "_CLAIM"
 #: A claim of a writer that is older than so many seconds is what a broken run left.
@@ -57,12 +59,12 @@ def _claim(spark: SparkSession, folder: str) -> None:
     fs, path = _fs(spark, f"{folder}/{CLAIM}")
     if fs.exists(path):
         if time.time() - fs.getFileStatus(path).getModificationTime() / 1000 < STALE_S:
-            raise RuntimeError(f"{folder} is being written by another run")
+            raise Conflict(f"{folder} is being written by another run")
         fs.delete(_fs(spark, folder)[1], True)
     try:
         _write_text(spark, f"{folder}/{CLAIM}", uuid.uuid4().hex, overwrite=False)
     except Exception as e:
-        raise RuntimeError(f"{folder} is being written by another run") from e
+        raise Conflict(f"{folder} is being written by another run") from e
 
 
 @contextmanager
@@ -176,7 +178,7 @@ def check_manifest(spark: SparkSession, index: str, model: str, dimension: int)
     if row is None:
         publish(spark.createDataFrame([(model, dimension)], "model string, dimension int").coalesce(1), f"{index}/manifest")
     elif (row["model"], row["dimension"]) != (model, dimension):
-        raise ValueError(f"the index holds {row['model']} with {row['dimension']} dimensions, not {model} with {dimension}")
+        raise InvalidArgument(f"the index holds {row['model']} with {row['dimension']} dimensions, not {model} with {dimension}")
 
 
 def replaced(old: DataFrame, new: DataFrame, gone: DataFrame, key: str = "document_id") -> DataFrame:

@@ -7,6 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.errors import NotFound
 from quarry.functions.text import clean_path
 
 SOURCES = "id string, type string, uri string, created_at timestamp"
@@ -45,7 +46,7 @@ def resolve(sources: DataFrame, wanted: str) -> str:
     if found:
         return found[0]["id"]
     known = [r["uri"] for r in in_order(sources).limit(20).collect()]
-    raise LookupError(f"no source matches {wanted!r}; registered: {', '.join(known)}" if known else "no sources are registered")
+    raise NotFound(f"no source matches {wanted!r}; registered: {', '.join(known)}" if known else "no sources are registered")
 
 
 def deleted(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
+from quarry.errors import InvalidArgument, WrongAnswer
 from quarry.functions.text import SPACE
 
 DIMENSION = 384
@@ -70,7 +71,7 @@ class Model:
             some = [prefix + t for t in texts[at : at + self.batch]]
             got = list(self.embed(some))
             if len(got) != len(some) or any(len(v) != self.dimension for v in got):
-                raise ValueError(f"{self.name} gave {len(got)} vectors of {sorted({len(v) for v in got})} dimensions for {len(some)} texts of {self.dimension}")
+                raise WrongAnswer(f"{self.name} gave {len(got)} vectors of {sorted({len(v) for v in got})} dimensions for {len(some)} texts of {self.dimension}")
             out += got
         return out
 
@@ -85,7 +86,7 @@ MODELS: dict[str, Model] = {
 def register(model: Model) -> None:
     """Make a model known by its name; a name stands for one model."""
     if MODELS.setdefault(model.name, model) is not model:
-        raise ValueError(f"{model.name} is known already")
+        raise InvalidArgument(f"{model.name} is known already")
 
 
 def passages(model: Model):
@@ -102,5 +103,5 @@ def passages(model: Model):
 def query_vector(model: Model, text: str) -> list[float]:
     """The vector of a query; a blank query is an error."""
     if not text.strip():
-        raise ValueError("the query must not be empty")
+        raise InvalidArgument("the query must not be empty")
     return [float(x) for x in model.vectors([text], model.query)[0]]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,19 +108,34 @@ def coalesced(requests: DataFrame, key: str, at: str, planned: str) -> DataFrame
     """(key, at, requests): scans that run. A request waits until planned, when its scan begins; those that come while one waits are part of it, one after that begins the next.
 
     requests has, for each request, the time at which a scan that it starts would begin; a plain window
-    can't tell which requests start one, so each key's requests are folded in order, within the row.
+    can't tell which requests start one, so each key's requests pass in order through one task, which
+    holds one Arrow frame and the scan that waits. Requests without a time come first and never wait.
     """
-    listed = requests.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col(planned).alias("planned")))).alias("all"))
-    none = F.array().cast("array<struct<at:timestamp,planned:timestamp,requests:int>>")
-
-    def step(acc, x):
-        last = F.try_element_at(acc, F.lit(-1))
-        waits = F.coalesce(x["at"] < last["planned"], F.lit(False))
-        joined = F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last["at"].alias("at"), last["planned"].alias("planned"), (last["requests"] + 1).alias("requests"))))
-        return F.when(waits, joined).otherwise(F.concat(acc, F.array(F.struct(x["at"].cast("timestamp").alias("at"), x["planned"].cast("timestamp").alias("planned"), F.lit(1).alias("requests")))))
-
-    runs = listed.select(key, F.explode(F.aggregate("all", none, step)).alias("r"))
-    return runs.select(key, F.col("r.at").alias(at), F.col("r.planned").alias(planned), F.col("r.requests").alias("requests"))
+    sent = requests.select(key, F.unix_micros(F.col(at).cast("timestamp")).alias("__at"), F.unix_micros(F.col(planned).cast("timestamp")).alias("__planned"))
+    kind = sent.schema[key].dataType.simpleString()
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting = None  # key, at, planned, requests
+        for batch in batches:
+            done = []
+            for k, t, begins in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if waiting and waiting[0] == k and t is not None and waiting[2] is not None and t < waiting[2]:
+                    waiting[3] += 1
+                    continue
+                if waiting:
+                    done.append(waiting)
+                waiting = [k, t, begins, 1]
+            if done:
+                yield _frame(done, batch.schema)
+        if waiting:
+            yield _frame([waiting], batch.schema)
+
+    def _frame(rows: list[list], schema: pa.Schema) -> pa.RecordBatch:
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [*schema.types, pa.int32()], strict=True)]
+        return pa.RecordBatch.from_arrays(columns, names=[*schema.names, "requests"])
+
+    runs = sent.repartition(key).sortWithinPartitions(key, "__at", "__planned").mapInArrow(fold, f"`{key}` {kind}, __at long, __planned long, requests int")
+    return runs.select(key, F.timestamp_micros("__at").alias(at), F.timestamp_micros("__planned").alias(planned), "requests")
 
 
 def first_in_line(requests: DataFrame, key: str, order: str) -> DataFrame:

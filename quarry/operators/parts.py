@@ -25,6 +25,7 @@ import pyarrow.parquet
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.errors import InvalidArgument
 from quarry.operators.search import _Nearest, _unit, nearest
 
 #: Pivots at most; vectors that they are fitted on at most; rounds of fitting.
@@ -94,7 +95,7 @@ def write_parts(chunks: DataFrame, folder: str, vector: str = "embedding", key:
     known = chunks.where(fine(vector))
     rows, least, most = known.agg(F.count("*"), F.min(F.size(vector)), F.max(F.size(vector))).first()
     if least != most:
-        raise ValueError(f"vectors have {least} to {most} components")
+        raise InvalidArgument(f"vectors have {least} to {most} components")
     centres = fit_pivots(known, vector, key, pivots)
     # the key parts what is equal, so many equal vectors fill several files
     filed = _filed(known, centres, vector).repartitionByRange(max(1, -(-rows // file_rows)), "pivot", "away", key).sortWithinPartitions("pivot", "away", key)

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.errors import InvalidArgument
 from quarry.functions.text import is_test_path
 
 #: How far a capped search reaches beyond its limit, and the most that it fetches.
@@ -22,11 +23,11 @@ def fetch_limit(limit: int, per_file: int) -> int:
 
 def check_request(limit: int, per_file: int, query: str | None = None) -> None:
     if query is not None and not query.strip():
-        raise ValueError("the query must not be empty")
+        raise InvalidArgument("the query must not be empty")
     if not 1 <= limit <= 100:
-        raise ValueError("limit must lie between 1 and 100")
+        raise InvalidArgument("limit must lie between 1 and 100")
     if not 0 <= per_file <= 100:
-        raise ValueError("per_file must lie between 0 and 100")
+        raise InvalidArgument("per_file must lie between 0 and 100")
 
 
 def parse_request(params: dict[str, str]) -> dict:
@@ -36,7 +37,7 @@ def parse_request(params: dict[str, str]) -> dict:
         try:
             return int(params[name]) if params.get(name) else default
         except ValueError:
-            raise ValueError(f"{name} must be an integer") from None
+            raise InvalidArgument(f"{name} must be an integer") from None
 
     out = {"query": params.get("q", ""), "limit": whole("limit", 10), "per_file": whole("per_file", 2), "source": params.get("source") or None, "exclude_tests": params.get("exclude_tests") == "true"}
     check_request(out["limit"], out["per_file"], out["query"])

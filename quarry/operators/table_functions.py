@@ -17,6 +17,7 @@ from pyspark.sql.functions import udtf
 from pyspark.sql.types import IntegerType, StringType, StructType
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
+from quarry.errors import InvalidArgument
 from quarry.functions.text import LANGUAGES
 from quarry.operators import chunking, syntax
 from quarry.operators.embedding import WORD
@@ -81,18 +82,18 @@ def _function(known: dict[str, Chunker]):
         @staticmethod
         def analyze(rows: AnalyzeArgument, text: AnalyzeArgument = None, language: AnalyzeArgument = None, line: AnalyzeArgument = None, chunker: AnalyzeArgument = None) -> AnalyzeResult:
             if not rows.isTable:
-                raise ValueError("chunk takes a table first: chunk(TABLE(...))")
+                raise InvalidArgument("chunk takes a table first: chunk(TABLE(...))")
             given = {"text": (text, "text"), "language": (language, "language"), "line": (line, None), "chunker": (chunker, "auto")}
             values = {k: v.value if v is not None else usual for k, (v, usual) in given.items()}
             if values["chunker"] not in known:
-                raise ValueError(f"no chunker {values['chunker']!r}; there are {', '.join(sorted(known))}")
+                raise InvalidArgument(f"no chunker {values['chunker']!r}; there are {', '.join(sorted(known))}")
             for k in ("text", "language", "line"):
                 if values[k] is not None and values[k] not in rows.dataType.names:
-                    raise ValueError(f"the table has no column {values[k]!r} for {k}")
+                    raise InvalidArgument(f"the table has no column {values[k]!r} for {k}")
             out = StructType([f for f in rows.dataType.fields if f.name not in (values["text"], values["line"])])
             clash = set(out.names) & set(_CHUNK.names)
             if clash:
-                raise ValueError(f"columns of chunks are in the table already: {', '.join(sorted(clash))}")
+                raise InvalidArgument(f"columns of chunks are in the table already: {', '.join(sorted(clash))}")
             return AnalyzeResult(schema=StructType(out.fields + _CHUNK.fields))
 
         def eval(self, rows, text="text", language="language", line=None, chunker="auto"):

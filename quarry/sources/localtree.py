@@ -18,6 +18,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from quarry.errors import InvalidArgument
 from quarry.sources.ignore import ignored, parse
 
 SCHEMA = "uri string, mime_type string, content_hash string, fingerprint string, display_path string"
@@ -165,5 +166,5 @@ TYPES = {"local_dir": scan}
 def from_catalog(spark: SparkSession, source_type: str, uri: str) -> DataFrame:
     """The scan of a source that the catalog knows by its type and uri; a type that nothing was registered for is an error."""
     if source_type not in TYPES:
-        raise ValueError(f"unknown source type {source_type!r}")
+        raise InvalidArgument(f"unknown source type {source_type!r}")
     return TYPES[source_type](spark, uri)

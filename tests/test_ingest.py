@@ -92,3 +92,91 @@ def test_two_writers_do_not_overwrite_each_other(spark, tmp_path):
     with pytest.raises(RuntimeError):
         store.publish(spark.createDataFrame([(2,)], "n int"), table)
     assert store.current(spark, table, "n int").first()["n"] == 1
+
+
+def _put(root, name, body, ns=10**18):
+    (root / name).write_text(body)
+    os.utime(root / name, ns=(ns, ns))
+
+
+def test_documents_whose_chunks_cannot_be_stored_are_failures(spark, tmp_path, monkeypatch):
+    root, index = tmp_path / "src", f"file://{tmp_path}/index"
+    root.mkdir()
+    _put(root, "a.md", "alpha")
+    _put(root, "b.txt", "beta")
+    assert ingest.ingest(spark, str(root), index, "s1")["ingested"] == 2
+    _put(root, "a.md", "alpha two", 10**18 + 1)
+    (root / "b.txt").unlink()
+    whole = store._write_generation
+
+    def breaks(df, folder, touched):
+        if "/chunks/" in folder:
+            raise OSError("disk full\nmore")
+        whole(df, folder, touched)
+
+    monkeypatch.setattr(store, "_write_generation", breaks)
+    for attempt in (1, 2):
+        assert ingest.ingest(spark, str(root), index, "s1") == {"ingested": 0, "unchanged": 0, "removed": 0, "failed": 1}
+        failure = store.read_parts(spark, f"{index}/failures", ingest.FAILURES).first()
+        assert (failure["stage"], failure["error"], failure["attempts"]) == ("STORE", "disk full", attempt)
+    held = lambda n, s: sorted(r["uri"][-5:] for r in store.read_parts(spark, f"{index}/{n}", s).collect())
+    assert held("documents", ingest.DOCUMENTS) == held("chunks", ingest.CHUNKS) == ["/a.md", "b.txt"]
+    monkeypatch.setattr(store, "_write_generation", whole)
+    assert ingest.ingest(spark, str(root), index, "s1") == {"ingested": 1, "unchanged": 0, "removed": 1, "failed": 0}
+    assert held("failures", ingest.FAILURES) == [] and held("documents", ingest.DOCUMENTS) == ["/a.md"]
+
+
+@pytest.mark.parametrize("table", ["documents", "failures"])
+def test_a_run_that_breaks_is_made_good_by_the_next(spark, tmp_path, monkeypatch, table):
+    root, index = tmp_path / "src", f"file://{tmp_path}/index"
+    root.mkdir()
+    _put(root, "a.md", "alpha")
+    _put(root, "c.txt", "far too long")
+    whole = store._write_generation
+
+    def breaks(df, folder, touched):
+        if f"/{table}/" in folder:
+            raise OSError("gone")
+        whole(df, folder, touched)
+
+    monkeypatch.setattr(store, "_write_generation", breaks)
+    with pytest.raises(OSError):
+        ingest.ingest(spark, str(root), index, "s1", most_bytes=6)
+    assert list((tmp_path / "index/incoming").iterdir()) == []
+    (tmp_path / "index/incoming/old").mkdir()
+    os.utime(tmp_path / "index/incoming/old", (1, 1))
+    monkeypatch.setattr(store, "_write_generation", whole)
+    got = ingest.ingest(spark, str(root), index, "s1", most_bytes=6)
+    assert got["failed"] == 1 and got["ingested"] + got["unchanged"] == 1
+    assert store.read_parts(spark, f"{index}/chunks", ingest.CHUNKS).count() == store.read_parts(spark, f"{index}/documents", ingest.DOCUMENTS).count() == 1
+    assert store.read_parts(spark, f"{index}/failures", ingest.FAILURES).count() == 1 and list((tmp_path / "index/incoming").iterdir()) == []
+
+
+def test_parsers_and_chunkers_are_extension_points(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from quarry.functions import text
+    from quarry.operators import table_functions
+
+    root, index = tmp_path / "src", f"file://{tmp_path}/index"
+    root.mkdir()
+    _put(root, "a.yaml", "one\ntwo")
+    monkeypatch.setitem(text.PARSERS, "text/yaml", lambda c: (F.upper(c.cast("string")), F.lit(7)))
+    monkeypatch.setitem(table_functions.CHUNKERS, "lines", lambda body, language, line: (table_functions.Chunk(t, line + n, line + n) for n, t in enumerate(body.split("\n"))))
+    assert ingest.ingest(spark, str(root), index, "s1", chunker="lines")["ingested"] == 1
+    rows = store.read_parts(spark, f"{index}/chunks", ingest.CHUNKS).orderBy("chunk_index").collect()
+    assert [(r["text"], r["start_line"]) for r in rows] == [("ONE", 7), ("TWO", 8)]
+
+
+def test_errors_say_whose_fault_it_is(spark, tmp_path):
+    from quarry import errors
+
+    index = f"file://{tmp_path}/index"
+    with pytest.raises(errors.InvalidArgument):
+        search.check_request(0, 2)
+    with pytest.raises(errors.NotFound):
+        ingest.ingest(spark, str(tmp_path), index, "s1", model="none")
+    store._claim(spark, store._folder(f"{index}/t", 1))
+    with pytest.raises(errors.Conflict):
+        store.publish(spark.range(1), f"{index}/t")
+    assert issubclass(errors.Conflict, RuntimeError) and issubclass(errors.NotFound, LookupError)
