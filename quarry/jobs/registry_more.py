@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions import text
+from quarry.jobs import scratch
 from quarry.jobs.registry import _register, _table
-from quarry.operators import batching, catalog, chunking, events, reconcile, search, syntax
+from quarry.operators import batching, catalog, chunking, events, lookups, reconcile, search, syntax
 from quarry.streaming import latency
 
 # --- chunks and headings ---------------------------------------------------------------------
@@ -231,6 +232,14 @@ def snapshot_gauge(spark, sf_dir):
 # --- payloads and results --------------------------------------------------------------------
 
 
+@_register("uri_lookup", "SELECT page_id, url, html FROM pages WHERE url IN (SELECT url FROM pages WHERE page_id % 50 = 0)")
+def uri_lookup(spark, sf_dir):
+    path = scratch.fresh(spark, "pages")
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    lookups.written(pages, path, "page_id", ["url"])
+    return lookups.rows_of(spark, path, "url", pages.where("page_id % 50 = 0").select("url"))
+
+
 @_register("payload_results", """SELECT 'd' || page_id AS document_id, 's' AS source_id, url AS uri, CAST(page_id % 9 AS INTEGER) AS chunk_index, CAST(page_id AS DOUBLE) / 4 AS score, html AS text,
 CASE WHEN page_id % 4 = 0 THEN 0 ELSE CAST(page_id % 50 AS INTEGER) END AS start_line, 0 AS end_line FROM pages WHERE page_id % 6 NOT IN (1, 2) AND url IS NOT NULL AND html IS NOT NULL""")
 def payload_results(spark, sf_dir):

@@ -151,7 +151,9 @@ def publish_parts(df: DataFrame, table: str, touched: list[tuple[str, int]]) ->
 
 def _write_generation(df: DataFrame, folder: str, touched: list[tuple[str, int]]) -> None:
     spark = df.sparkSession
-    df.repartition(*LAYOUT).sortWithinPartitions(*LAYOUT).write.mode("append").partitionBy(*LAYOUT).parquet(folder)
+    within = [c for c in ("id", "document_id", "uri", "chunk_index") if c in df.columns]  # so that look-ups can leave row groups out
+    writer = df.repartition(*LAYOUT).sortWithinPartitions(*LAYOUT, *within).write.mode("append").option("parquet.bloom.filter.adaptive.enabled", "true")
+    writer.option("parquet.bloom.filter.enabled#uri", "true").partitionBy(*LAYOUT).parquet(folder)
     filled = {(s, b) for s, b in touched if _fs(spark, f"{folder}/source_id={_escaped(spark, s)}/bucket={b}")[0].exists(_fs(spark, f"{folder}/source_id={_escaped(spark, s)}/bucket={b}")[1])}
     _write_text(spark, f"{folder}/{MARKER}", json.dumps([[s, b, int((s, b) in filled)] for s, b in touched]), overwrite=True)
 
