@@ -20,8 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
-import pyarrow.parquet
+from pyarrow import fs, parquet
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -179,9 +178,9 @@ def _met(asked: DataFrame, limit: int, vector: str, key: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def met(file: str, ids: list[np.ndarray], vectors: list[np.ndarray]) -> pa.RecordBatch:
             best = _Nearest(np.concatenate(ids), np.concatenate(vectors), limit)
-            store, path = pyarrow.fs.FileSystem.from_uri(file)
+            store, path = fs.FileSystem.from_uri(file)
             with store.open_input_file(path) as f:
-                for rows in pyarrow.parquet.ParquetFile(f).iter_batches(4096, columns=[key, vector]):
+                for rows in parquet.ParquetFile(f).iter_batches(4096, columns=[key, vector]):
                     best.meet(rows.column(key).to_numpy().astype(np.int64), _unit(rows.column(vector)))
             n = best.keys.shape[1]
             return pa.RecordBatch.from_arrays([pa.array(np.repeat(best.ids, n)), pa.array(best.keys.ravel()), pa.array(best.scores.ravel())], names=["query_id", "vec_id", "score"])
