@@ -15,6 +15,8 @@ from quarry.errors import InvalidArgument
 
 #: Bytes of a row group, chance that a Bloom filter passes a value that isn't there, values that are asked as a filter at most.
 ROW_GROUP_BYTES, FALSE_HITS, FILTERED = 8 << 20, 0.01, 1000
+#: Bytes of values, with 16 more for each, up to which they are sent to all executors.
+SENT_BYTES = 64 << 20
 
 
 def written(df: DataFrame, path: str, sorted_by: str, blooms: list[str], distinct: int = 100_000, row_group_bytes: int = ROW_GROUP_BYTES) -> None:
@@ -53,15 +55,17 @@ def _any(tests: list):
     return tests[0]
 
 
-def rows_of(spark: SparkSession, path: str, column: str, asked: DataFrame, filtered: int = FILTERED) -> DataFrame:
+def rows_of(spark: SparkSession, path: str, column: str, asked: DataFrame, filtered: int = FILTERED, sent_bytes: int = SENT_BYTES) -> DataFrame:
     """The rows whose column is among the values of asked's first column: as filters if there are few, else by a semi join.
 
-    No more than filtered values, and one to tell that there are more, reach the driver.
+    No more than filtered values, and one to tell that there are more, are collected. The values of the join are
+    measured: up to sent_bytes they are broadcast, so that the table isn't shuffled, beyond that both sides are.
     """
     values = asked.select(F.col(asked.columns[0]).alias(column)).where(F.col(column).isNotNull()).distinct()
     few = [r[0] for r in values.limit(filtered + 1).collect()]
     if len(few) <= filtered:
         return rows(spark, path, column, few, filtered)
-    return spark.read.parquet(path).join(values, column, "left_semi")
+    size = values.agg(F.sum(F.octet_length(F.col(column).cast("string")) + 16)).first()[0]
+    return spark.read.parquet(path).join(F.broadcast(values) if size <= sent_bytes else values, column, "left_semi")
 
 

@@ -52,8 +52,8 @@ def test_values_from_a_table_few_or_many(spark, table):
     asked = rows.where("n < 300").select(F.col("uri").alias("asked"))
     asked = asked.unionByName(asked).unionByName(spark.createDataFrame([(None,), ("/none",)], "asked string"))
     want = rows.join(asked.select(F.col("asked").alias("uri")).distinct(), "uri", "left_semi").select(*rows.columns)
-    for most in (1000, 10):
-        got = lookups.rows_of(spark, path, "uri", asked, most).select(*rows.columns)
+    for most, sent in ((1000, 0), (10, lookups.SENT_BYTES), (10, 0)):
+        got = lookups.rows_of(spark, path, "uri", asked, most, sent).select(*rows.columns)
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     assert lookups.rows_of(spark, path, "uri", asked.limit(0)).count() == 0 and lookups.rows(spark, path, "uri", [None]).count() == 0
     assert lookups.rows(spark, path, "n", list(range(1000))).count() == rows.where("n < 1000").count()  # a thousand filters are still planned
