@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from quarry.errors import InvalidArgument, WrongAnswer
-from quarry.functions.text import SPACE
+from quarry.functions import text
 
 DIMENSION = 384
 WORD = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -26,7 +26,7 @@ def bucket(word: Column) -> Column:
 
 def weights(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """(key, bucket, weight): sparse unit vectors."""
-    words = docs.select(key, F.explode(F.regexp_extract_all(F.lower(text_col), F.lit(f"([^{SPACE}]+)"), F.lit(1))).alias("word"))
+    words = docs.select(key, F.explode(text.words(F.lower(text_col))).alias("word"))
     counts = words.groupBy(key, bucket(F.col("word")).alias("bucket")).agg(F.count("*").alias("n"))
     norms = counts.groupBy(key).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
     return counts.join(norms, key).select(key, "bucket", (F.col("n") / F.col("norm")).alias("weight"))
@@ -35,13 +35,32 @@ def weights(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
 def nearest_by_hash(docs: DataFrame, query: DataFrame, key: str, limit: int, text_col: str = "text") -> DataFrame:
     """The limit texts closest to the query text; scores that agree to nine digits are ties, which the smaller key wins.
 
-    The query has at most DIMENSION weights, so it is broadcast; norm and product of a text come from one aggregation of its counts.
+    The query has at most DIMENSION weights, which become a literal. A text is scored within its row, so tasks
+    hold one text at a time and only scores are sorted. Rows that repeat a key are one text: they alone are
+    exploded and aggregated by bucket.
     """
-    asked = F.broadcast(weights(query, key, text_col).select("bucket", F.col("weight").alias("asked")))
-    words = docs.select(key, F.explode(F.regexp_extract_all(F.lower(text_col), F.lit(f"([^{SPACE}]+)"), F.lit(1))).alias("word"))
-    counts = words.groupBy(key, bucket(F.col("word")).alias("bucket")).agg(F.count("*").alias("n")).join(asked, "bucket", "left")
-    scored = counts.groupBy(key).agg((F.sum(F.col("n") * F.col("asked")) / F.sqrt(F.sum(F.col("n") * F.col("n")))).alias("score")).where("score IS NOT NULL")
-    return scored.withColumn("score", F.round("score", 9)).orderBy(F.desc("score"), key).limit(limit).select(key, F.round("score", 6).alias("score"))
+    asked = {r["bucket"]: r["weight"] for r in weights(query, key, text_col).groupBy("bucket").agg(F.sum("weight").alias("weight")).collect()}
+    weight = F.array(*[F.lit(float(asked.get(n, 0.0))) for n in range(DIMENSION)])
+    repeated = docs.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(F.col(key).alias("__again"))
+    once, again = docs, None
+    if not repeated.isEmpty():
+        same = docs[key].eqNullSafe(F.col("__again"))
+        once, again = docs.join(repeated, same, "left_anti"), docs.join(repeated, same, "left_semi")
+    placed = once.select(key, F.sort_array(F.transform(text.words(F.lower(text_col)), bucket)).alias("__buckets"))
+    product = F.aggregate("__buckets", F.lit(0.0), lambda total, b: total + F.get(weight, b.cast("int")))
+    none = F.struct(F.lit(-1).cast("long").alias("last"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("squares"))
+
+    def step(done, b):  # a run of n equal buckets adds 1 + 3 + ... + (2 n - 1), which is n * n
+        run = F.when(b == done["last"], done["run"] + 1).otherwise(F.lit(0).cast("long"))
+        return F.struct(b.alias("last"), run.alias("run"), (done["squares"] + 2 * run + 1).cast("long").alias("squares"))
+
+    scored = placed.select(key, product.alias("product"), F.aggregate("__buckets", none, step, lambda done: done["squares"]).alias("squares"))
+    if again is not None:
+        words = again.select(key, F.explode(text.words(F.lower(text_col))).alias("word"))
+        counts = words.groupBy(key, bucket(F.col("word")).alias("bucket")).agg(F.count("*").alias("n"))
+        scored = scored.unionByName(counts.groupBy(key).agg(F.sum(F.col("n") * F.get(weight, F.col("bucket").cast("int"))).alias("product"), F.sum(F.col("n") * F.col("n")).alias("squares")))
+    found = scored.where("product > 0").select(key, F.round(F.col("product") / F.sqrt("squares"), 9).alias("score"))
+    return found.orderBy(F.desc("score"), key).limit(limit).select(key, F.round("score", 6).alias("score"))
 
 
 def hashed(text: str | None) -> np.ndarray:
