@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.text import SPACE
+from quarry.functions import text
 
 #: Words of a window, and words that two windows share.
 WINDOW, OVERLAP = 220, 40
@@ -16,24 +16,25 @@ MOST_CHUNKS = 16_384
 def word_windows(docs: DataFrame, text_col: str = "text", line_col: str | None = None, window: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:
     """One row a window of words: docs' other columns, chunk_index, text, start_line, end_line.
 
-    Expressions only: lines, then words with their line, then slices; a text without words has no windows. (Spark
-    interprets functions over arrays, so this is JVM code, but not generated code.)
+    Expressions only: words of each line, then all words and the line of each, then slices, which alone are
+    exploded; a text without words has no windows. (Spark interprets functions over arrays, so this is JVM code, but
+    not generated code. The outer explode keeps Spark from adding a filter that works out all words once more.)
     """
     step = max(window - overlap, 1)
+    rest = [c for c in docs.columns if c != text_col]
     first = F.col(line_col) if line_col else F.lit(1)
     lines = F.split(F.col(text_col), "\n", -1)
+    by_line = docs.select(*rest, F.transform(lines, text.words).alias("__lines"))
+    numbers = F.flatten(F.transform("__lines", lambda words, number: F.array_repeat((number + first).cast("int"), F.size(words))))
+    words = by_line.select(*rest, F.flatten("__lines").alias("__words"), numbers.alias("__line"))
+    n = F.size("__words")
 
-    def words_of(line, number):
-        return F.transform(F.regexp_extract_all(line, F.lit(f"([^{SPACE}]+)"), F.lit(1)), lambda w: F.struct(w.alias("word"), (number + first).cast("int").alias("line")))
+    def cut(k):
+        end = F.least(k * step + window, n)
+        return F.struct(k.alias("chunk_index"), F.array_join(F.slice("__words", k * step + 1, F.lit(window)), " ").alias("text"), F.element_at("__line", k * step + 1).alias("start_line"), F.element_at("__line", end).alias("end_line"))
 
-    words = docs.withColumn("__words", F.flatten(F.transform(lines, words_of)))
-    n = F.size("__words")
-    last = (window_count(n, window, overlap) - 1).cast("int")
-    cut = words.where(n > 0).select(*[c for c in docs.columns if c != text_col], F.explode(F.sequence(F.lit(0), last)).alias("chunk_index"), "__words")
-    own = F.slice("__words", F.col("chunk_index") * step + 1, F.lit(window))
-    return cut.withColumn("__own", own).select(
-        *[c for c in docs.columns if c != text_col], "chunk_index", F.array_join(F.col("__own.word"), " ").alias("text"), F.element_at("__own.line", 1).alias("start_line"), F.element_at("__own.line", -1).alias("end_line")
-    )
+    cuts = F.when(n > 0, F.transform(F.sequence(F.lit(0), (window_count(n, window, overlap) - 1).cast("int")), cut))
+    return words.select(*rest, F.explode_outer(cuts).alias("__cut")).where("__cut IS NOT NULL").select(*rest, "__cut.*")
 
 
 def window_count(words: Column, window: int = WINDOW, overlap: int = OVERLAP) -> Column:
@@ -42,8 +43,8 @@ def window_count(words: Column, window: int = WINDOW, overlap: int = OVERLAP) ->
     return F.when(words <= 0, 0).when(words <= window, 1).otherwise(F.ceil((words - window) / step) + 1)
 
 
-def word_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(f"[^{SPACE}]+"))
+def word_count(words_of: Column) -> Column:
+    return F.size(text.words(words_of))
 
 
 def over_limit(chunks: DataFrame, key: str, most: int = MOST_CHUNKS) -> DataFrame:
