@@ -251,7 +251,7 @@ def document_ids(spark, sf_dir):
 
 @_register("point_ids", f"WITH x AS ({_DOC_WINDOWS}) SELECT doc_id, chunk_index, {_uuid_sql(ids.POINT_SPACE, 'CAST(doc_id AS VARCHAR) || chr(47) || CAST(chunk_index AS VARCHAR)')} AS point_id FROM x")
 def point_ids(spark, sf_dir):
-    chunks = chunking.word_windows(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    chunks = chunking.window_indexes(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return chunks.select("doc_id", "chunk_index", ids.point_id(F.col("doc_id").cast("string"), F.col("chunk_index")).alias("point_id"))
 
 

@@ -37,6 +37,13 @@ def word_windows(docs: DataFrame, text_col: str = "text", line_col: str | None =
     return words.select(*rest, F.explode_outer(cuts).alias("__cut")).where("__cut IS NOT NULL").select(*rest, "__cut.*")
 
 
+def window_indexes(docs: DataFrame, text_col: str = "text", window: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:
+    """docs' other columns and chunk_index of every window that word_windows has; words are counted, not cut."""
+    rest = [c for c in docs.columns if c != text_col]
+    counted = docs.select(*rest, window_count(word_count(F.col(text_col)), window, overlap).cast("int").alias("__windows"))
+    return counted.select(*rest, F.explode_outer(F.when(F.col("__windows") > 0, F.sequence(F.lit(0), F.col("__windows") - 1))).alias("chunk_index")).where("chunk_index IS NOT NULL")
+
+
 def window_count(words: Column, window: int = WINDOW, overlap: int = OVERLAP) -> Column:
     """How many windows a text of so many words has."""
     step = max(window - overlap, 1)
