@@ -38,7 +38,7 @@ def code_chunks(spark, sf_dir):
 @_register("chunk_limits", f"""WITH n AS (SELECT doc_id, len(regexp_extract_all(text, '[^{text.SPACE}]+')) AS w FROM documents), c AS (SELECT doc_id, CASE WHEN w = 0 THEN 0 WHEN w <= 220 THEN 1 ELSE CAST(ceil((w - 220) / 180.0) AS BIGINT) + 1 END AS chunks FROM n)
 SELECT doc_id, 'RESOURCE_LIMIT' AS failure_stage, chunks FROM c WHERE chunks > 4""")
 def chunk_limits(spark, sf_dir):
-    return chunking.over_limit(chunking.word_windows(_table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", 4)
+    return chunking.texts_over_limit(_table(spark, sf_dir, "documents"), "doc_id", most=4)
 
 
 # --- batches ---------------------------------------------------------------------------------

@@ -57,3 +57,10 @@ def word_count(words_of: Column) -> Column:
 def over_limit(chunks: DataFrame, key: str, most: int = MOST_CHUNKS) -> DataFrame:
     """Documents with too many chunks, as failures."""
     return chunks.groupBy(key).agg(F.count("*").alias("chunks")).where(F.col("chunks") > most).select(key, F.lit("RESOURCE_LIMIT").alias("failure_stage"), "chunks")
+
+
+def texts_over_limit(docs: DataFrame, key: str, text_col: str = "text", most: int = MOST_CHUNKS) -> DataFrame:
+    """over_limit of the word windows of docs, from the number of words alone."""
+    windows = docs.select(key, word_count(F.col(text_col)).alias("__words")).select(key, window_count(F.col("__words")).cast("long").alias("__windows"))
+    chunks = windows.groupBy(key).agg(F.sum("__windows").alias("chunks"))
+    return chunks.where(F.col("chunks") > most).select(key, F.lit("RESOURCE_LIMIT").alias("failure_stage"), "chunks")
