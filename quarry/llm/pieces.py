@@ -69,6 +69,11 @@ class Codec:
                     pairs[a * self.symbols + b] = i
         self.pairs = pairs
         self.score = np.array([lib.get_score(i) for i in range(size)], dtype=np.float64)
+        self.rank = np.append(np.unique(-self.score, return_inverse=True)[1], size).astype(np.int32)  # small for high scores, equal for equal ones; the last, for -1, is of no piece
+        self.of_code = -1 - np.arange(0x110000, dtype=np.int32)  # the symbol of every code point
+        for c, i in self.symbol.items():
+            if len(c) == 1:
+                self.of_code[ord(c)] = i
         self._hash(np.fromiter(pairs, dtype=np.int64), np.fromiter(pairs.values(), dtype=np.int32))
         self.written = [str(i).encode() for i in range(size)]
         self.plain = [names[i].replace(MARK, " ").encode() for i in range(size)]
@@ -113,26 +118,27 @@ class Codec:
     def _matrix(self, words: list[str]) -> list[list[int]]:
         """Symbols of words of one length, after all merges; -1 - code point for characters of no piece."""
         out: list[list[int]] = [[]] * len(words)
-        get = self.symbol.get
-        sym = np.array([[get(c, -1 - ord(c)) for c in w] for w in words], dtype=np.int64)
+        sym = self.of_code[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)].reshape(len(words), -1)
         rows = np.arange(len(words))
         piece = self._merge(sym[:, :-1].ravel(), sym[:, 1:].ravel()).reshape(len(words), -1)
         while True:
-            agenda = np.where(piece >= 0, self.score[piece], -np.inf)
-            best = agenda.argmax(axis=1) if piece.shape[1] else np.zeros(len(rows), dtype=np.int64)
-            live = np.isfinite(agenda[np.arange(len(rows)), best]) if piece.shape[1] else np.zeros(len(rows), dtype=bool)
-            for r, s in zip(rows[~live].tolist(), sym[~live].tolist(), strict=True):
-                out[r] = s
-            if not live.any():
-                return out
-            rows, sym, piece, best = rows[live], sym[live], piece[live], best[live]
+            if piece.shape[1]:
+                best = self.rank[piece].argmin(axis=1)
+                new = piece[np.arange(len(rows)), best]
+                live = new >= 0
+            else:
+                live = np.zeros(len(rows), dtype=bool)
+            if not live.all():
+                for r, s in zip(rows[~live].tolist(), sym[~live].tolist(), strict=True):
+                    out[r] = s
+                if not live.any():
+                    return out
+                rows, sym, piece, best, new = rows[live], sym[live], piece[live], best[live], new[live]
             n, width = np.arange(len(rows)), sym.shape[1]
-            new = piece[n, best]
             columns = np.arange(width - 1)
-            sym = np.take_along_axis(sym, columns + (columns > best[:, None]), axis=1)
+            sym = np.where(columns > best[:, None], sym[:, 1:], sym[:, :-1])
             sym[n, best] = new
-            columns = np.arange(width - 2)
-            piece = np.take_along_axis(piece, columns + (columns >= best[:, None]), axis=1) if width > 2 else piece[:, :0]
+            piece = np.where(columns[:-1] >= best[:, None], piece[:, 1:], piece[:, :-1])
             has = np.flatnonzero(best > 0)
             piece[has, best[has] - 1] = self._merge(sym[has, best[has] - 1], new[has])
             has = np.flatnonzero(best < width - 2)
@@ -219,16 +225,17 @@ class Codec:
     def code(self, texts: list[str]) -> Iterator[tuple[int, bytes, bytes, bool]]:
         """(number of ids, ids written with commas, decoded text, agreement with the library) of every text."""
         split = [self.words(t) if t else [] for t in texts]
-        fresh = {k for keys in split for k in keys if k not in self.known}
+        words = set().union(*split)
+        fresh = words.difference(self.known)
         if len(self.known) + len(fresh) > REMEMBERED:
-            fresh = {k for keys in split for k in keys}
+            fresh = words
         if fresh:
-            self.learn(sorted(fresh))
-        known = self.known
+            self.learn(list(fresh))
+        get = self.known.__getitem__
         for keys in split:
-            parts = [known[k] for k in keys]
-            ids = b",".join([p[0] for p in parts])
-            yield (ids.count(b",") + 1 if ids else 0), ids, b"".join([p[1] for p in parts])[1:], all([p[2] for p in parts])
+            own, plain, right = zip(*map(get, keys), strict=True) if keys else ((), (), ())
+            ids = b",".join(own)
+            yield (ids.count(b",") + 1 if ids else 0), ids, b"".join(plain)[1:], all(right)
 
 
 _CODECS: dict[str, Codec] = {}
