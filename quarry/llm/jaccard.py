@@ -30,7 +30,7 @@ from quarry.llm.components import components
 #: Words of a shingle; similarity in hundredths; counters of the frequency sketch; different token orders.
 WORDS, HUNDREDTHS, COUNTERS, ORDERS = 3, 90, 1 << 20, 3
 CHUNK = 1 << 16
-#: Words (of 64 bits) of the parity sketch of sets of up to so many tokens; larger ones have the last.
+#: Words (of 64 bits) of the parity sketch of sets of up to so many tokens at 0.9, fewer at lower similarities; larger ones have the last.
 SKETCHES = ((900, 4), (4000, 16), (0, 64))
 #: Ids that a broadcast join takes at most; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -42,6 +42,8 @@ FAMILY_BYTES, PART_BYTES, ROUNDS = 8 << 20, 2 << 20, 3
 SENT = 64
 #: Documents of a component that a new one is compared with first.
 FEW = 64
+#: Pairs of two components that are verified before all others of them.
+FIRST = 4
 #: From here on stand-ins for ids that are repeated with other texts.
 STAND_IN = 1 << 62
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -109,9 +111,13 @@ def prefix(tokens: np.ndarray, classes: np.ndarray, order: int, hundredths: int)
     return tokens[first[np.argsort(rank[first], kind="stable")]]
 
 
-def _parity(tokens: np.ndarray) -> bytes:
-    """Bits that say whether an odd number of tokens falls on them: two sets differ in as many tokens at least as bits."""
-    bits = 64 * next(words for most, words in SKETCHES if len(tokens) <= most or not most)
+def _parity(tokens: np.ndarray, hundredths: int) -> bytes:
+    """Bits that say whether an odd number of tokens falls on them: two sets differ in as many tokens at least as bits.
+
+    At most half of the bits differ, and linked sets may differ in (100 - h) / (100 + h) of their tokens: lower similarities need more bits.
+    """
+    like = len(tokens) * (100 - hundredths) * 190 / ((100 + hundredths) * 10)
+    bits = 64 * next(words for most, words in SKETCHES if like <= most or not most)
     odd = np.bincount(((tokens * _STEP) >> np.uint64(48)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
@@ -151,7 +157,7 @@ def signatures(texts: DataFrame, classes, words: int, hundredths: int) -> DataFr
             for s in shingle_sets(part.column(1), words):
                 if len(s):
                     f1, f2 = (int(np.bitwise_xor.reduce(mix64(s * _STEP + seed)).astype(np.int64)) for seed in _SEEDS[:2])
-                    rows.append((len(s), f1, f2, prefix(s, known, 0, hundredths).view(np.int64), _parity(s)))
+                    rows.append((len(s), f1, f2, prefix(s, known, 0, hundredths).view(np.int64), _parity(s, hundredths)))
                 else:
                     rows.append((0, 0, 0, np.zeros(0, dtype=np.int64), b""))
             n, f1, f2, tokens, parity = zip(*rows, strict=True)
@@ -358,7 +364,7 @@ def _connected(ids: list[int], comps: list[int], sets: list[np.ndarray], met, hu
     """Components (smallest component so far) of the links among some documents; those of one component count as linked."""
     order = sorted(range(len(ids)), key=lambda i: (len(sets[i]), ids[i]))
     sizes = np.array([len(sets[i]) for i in order])
-    parity = _sketches([_parity(sets[i]) for i in order])
+    parity = _sketches([_parity(sets[i], hundredths) for i in order])
     keys = met.keys([sets[i] for i in order])
     others = [met.others(sets[i]) for i in order]
     parent = {c: c for c in comps}
@@ -431,15 +437,19 @@ def _settled(entries: DataFrame, parity: DataFrame, far: DataFrame, texts: DataF
     """(node, component) of families of any size, far (node, family, bytes): rounds by hash, then what is still apart.
 
     In the first round all documents take part; in further ones, those of families that are still in
-    several components, each of which sends about SENT. What they miss is found at the end.
+    several components, each of which sends about SENT. Where most documents of a family are still alone, they
+    take no part again, since a further round would send nearly all sets to find little. What rounds miss is found
+    at the end: a few pairs of every two components first, then all of components that are still apart.
     """
     labels = far.select("node", F.col("node").alias("component"))
     for n in range(ROUNDS):
         now = far.join(labels, "node")
         if n:
             sizes = now.groupBy("family", "component").agg(F.count("*").alias("size"))
-            apart = sizes.groupBy("family").agg(F.count("*").alias("comps")).where("comps > 1").select("family")
-            now = now.join(sizes.join(apart, "family"), ["family", "component"]).where(F.pmod(F.xxhash64("node", F.lit(-n)), F.ceil(F.col("size") / SENT)) == 0).drop("size")
+            alone = F.count(F.when(F.col("size") == 1, 1))
+            apart = sizes.groupBy("family").agg(F.count("*").alias("comps"), (2 * alone <= F.sum("size")).alias("all")).where("comps > 1").select("family", "all")
+            sent = F.pmod(F.xxhash64("node", F.lit(-n)), F.ceil(F.col("size") / SENT)) == 0
+            now = now.join(sizes.join(apart, "family"), ["family", "component"]).where(sent & (F.col("all") | (F.col("size") > 1))).drop("size", "all")
         now = staged(now, "sent")
         parts = now.groupBy("family").agg(F.ceil(F.sum("bytes") / PART_BYTES).cast("long").alias("parts"))
         part = F.xxhash64("family", F.pmod(F.xxhash64("node", F.lit(n)), F.col("parts")))
@@ -454,13 +464,27 @@ def _settled(entries: DataFrame, parity: DataFrame, far: DataFrame, texts: DataF
         moved = found.join(members.select("node", F.col("component").alias("was")), "node").where("component <> was").select(F.col("was").alias("a"), F.col("component").alias("b")).distinct()
         labels = _relabelled(labels, staged(moved, "moved"))
     pairs = staged(_still_apart(entries, parity, labels, hundredths), "apart")
-    if pairs.isEmpty():
-        return labels
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = staged(_sets_of(texts, staged(ids, "ids"), words).dropDuplicates(["id"]), "sets")
-    links = _verify(pairs, sets, met, hundredths).where("linked").select("a", "b")
-    both = links.join(labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a").join(labels.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b")
-    return _relabelled(labels, staged(both.select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a <> b").distinct(), "moved"))
+    for most in (FIRST, None):
+        if pairs.isEmpty():
+            break
+        now = _between(pairs, labels)
+        if most:
+            two = Window.partitionBy(F.least("ca", "cb"), F.greatest("ca", "cb")).orderBy(F.xxhash64("a", "b"), "a", "b")
+            now = now.withColumn("rank", F.row_number().over(two)).where(F.col("rank") <= most)
+        tried = staged(now.select("a", "b"), "tried")
+        ids = tried.select(F.col("a").alias("id")).unionByName(tried.select(F.col("b").alias("id"))).distinct()
+        sets = staged(_sets_of(texts, staged(ids, "ids"), words).dropDuplicates(["id"]), "sets")
+        links = staged(_verify(tried, sets, met, hundredths).where("linked").select("a", "b"), "links")
+        labels = _relabelled(labels, staged(_between(links, labels).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "moved"))
+        if most:
+            pairs = staged(_between(pairs.join(tried, ["a", "b"], "left_anti"), labels).select("a", "b"), "apart")
+    return labels
+
+
+def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(a, b, ca, cb): pairs (a, b) of documents of different components ca and cb."""
+    both = pairs.join(labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a").join(labels.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b")
+    return both.select("a", "b", "ca", "cb").where("ca <> cb")
 
 
 def _relabelled(labels: DataFrame, together: DataFrame) -> DataFrame:

@@ -79,7 +79,7 @@ class Bands:
         return []
 
 
-def signatures(texts: DataFrame, words: int, met: Bands) -> DataFrame:
+def signatures(texts: DataFrame, words: int, hundredths: int, met: Bands) -> DataFrame:
     """(id, n_shingles, f1, f2, bands, parity) of each text: size and fingerprint of its set, band keys, parity sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +90,7 @@ def signatures(texts: DataFrame, words: int, met: Bands) -> DataFrame:
             rows = []
             for s in sets:
                 f1, f2 = (int(np.bitwise_xor.reduce(mix64(s * _STEP + seed)).astype(np.int64)) for seed in _SEEDS[:2]) if len(s) else (0, 0)
-                rows.append((len(s), f1, f2, next(bands).tobytes() if len(s) else b"", _parity(s) if len(s) else b""))
+                rows.append((len(s), f1, f2, next(bands).tobytes() if len(s) else b"", _parity(s, hundredths) if len(s) else b""))
             n, f1, f2, keys, parity = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(x, pa.int64()) for x in (n, f1, f2)], pa.array(keys, pa.binary()), pa.array(parity, pa.binary())], names=["id", "n_shingles", "f1", "f2", "bands", "parity"])
 
@@ -145,7 +145,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, hundredths: int = HUNDR
     """
     met = Bands(bands, rows)
     texts, names = told_apart(docs, id_col, text_col)
-    signed = staged(signatures(texts, words, met), "signatures")
+    signed = staged(signatures(texts, words, hundredths, met), "signatures")
     own = signed.where("n_shingles > 0 AND id IS NOT NULL")
     groups = staged(own.groupBy("f1", "f2", "n_shingles").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("parity").alias("parity")), "classes")
     found = staged(_met(groups), "met")

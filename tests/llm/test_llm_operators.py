@@ -215,6 +215,33 @@ def test_thousands_of_near_copies_and_one_token_in_all(spark, monkeypatch):
     assert [got[i] for i in ids] == [ids[k] for k in label] and len(set(label.tolist())) > 20
 
 
+@pytest.mark.parametrize("hundredths", [80, 90])
+def test_sketches_tell_unlike_sets_apart(hundredths):
+    """At 0.8 sets may differ in twice as many tokens, so sketches have more bits; those of linked sets never exclude."""
+    rng = np.random.default_rng(8)
+    for n in (400, 900, 2000, 4000, 8000):
+        x, y = (np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for _ in range(2))
+        moved = (n * (100 - hundredths)) // (100 + hundredths)  # with so many others, similarity is the threshold or just above
+        near = np.concatenate([x[moved:], y[:moved]])
+        sketches = jaccard._sketches([jaccard._parity(s, hundredths) for s in (x, y, near)])
+        allowed = 2 * n - 2 * -(-2 * n * hundredths // (100 + hundredths))
+        unlike, like = jaccard._apart(sketches, np.array([0, 0]), np.array([1, 2])).tolist()
+        assert like <= allowed < unlike, n
+
+
+def test_unlike_documents_of_a_large_family_are_sent_once(spark, monkeypatch):
+    """One token makes a family of documents that hardly any link holds together: further rounds don't send them again, and the few near copies are found."""
+    for name, value in (("FAMILY_BYTES", 1), ("PART_BYTES", 4000), ("HOT", 3), ("FIRST", 1)):
+        monkeypatch.setattr(jaccard, name, value)
+    sent, within = [], jaccard._within
+    monkeypatch.setattr(jaccard, "_within", lambda texts, members, *rest: (sent.append(members.count()), within(texts, members, *rest))[1])
+    rows = [(n, " ".join(["all", "begin", "so"] + [f"w{n}-{k}" for k in range(25)])) for n in range(40)]
+    rows += [(100 + n, rows[n][1] + " end") for n in range(4)]
+    got = sorted(tuple(r) for r in jaccard.jaccard_groups(docs_of(spark, rows)).collect())
+    assert got == brute_jaccard(rows) and len({c for _, _, c in got}) == 40
+    assert sum(sent) <= 44 + 8  # all of them in the first round, then those that are no longer alone
+
+
 def test_jaccard_of_little(spark):
     assert jaccard.jaccard_groups(docs_of(spark, []).limit(0)).count() == 0
     assert [tuple(r) for r in jaccard.jaccard_groups(docs_of(spark, [(None, "a b c")])).collect()] == [(None, 1, None)]
