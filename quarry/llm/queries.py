@@ -34,8 +34,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model, counts = recurrent.fit(docs.where(~recurrent.held_out()))
-    return recurrent.score(docs, model, counts).withColumn("held_out", recurrent.held_out())
+    return recurrent.fit_and_score(docs, ~recurrent.held_out()).withColumn("held_out", recurrent.held_out())
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

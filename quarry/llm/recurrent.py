@@ -13,9 +13,11 @@ of its whole text. The network is mixed with the counts, so that every word has
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,8 @@ END, RARE = 0, 1
 WINDOW, STREAMS, STEPS = 24, 256, 24
 #: Tokens of a document, and documents, that are scored at once.
 SCORED, ABREAST = 24, 512
+#: States that are collected before their words are scored; equal words from which their rows are summed by themselves.
+COLLECTED, MANY = 8192, 16
 #: Scores of classes and words are cut here, so that no exponential overflows and none has to be shifted.
 HIGHEST = 60.0
 #: Share of the training documents that the rounds end with, and the size of steps in each.
@@ -80,6 +84,35 @@ def token_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
+def _stretches(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(begins, lengths) of stretches of equal values, longest first."""
+    begins = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+    n = np.diff(np.append(begins, len(values)))
+    order = np.argsort(-n, kind="stable")
+    return begins[order], n[order]
+
+
+def _anew(keep: np.ndarray) -> dict[int, np.ndarray]:
+    """By step, the places at which a document begins."""
+    step, place = np.nonzero(keep == 0)
+    cuts = np.flatnonzero(step[1:] != step[:-1]) + 1
+    return {int(step[i]): p for i, p in zip(np.append(0, cuts), np.split(place, cuts), strict=True)} if len(step) else {}
+
+
+def _sums(rows: np.ndarray, begins: np.ndarray, n: np.ndarray, order: np.ndarray | None = None) -> np.ndarray:
+    """Sums (K x stretches x wide) of stretches of rows (K x N x wide), which are in this order; longest first."""
+    order = np.arange(rows.shape[1]) if order is None else order
+    out = rows.take(order[begins], axis=1)
+    many = int(np.searchsorted(-n, -MANY, side="right"))
+    for k in range(many):
+        own = rows.take(order[begins[k] : begins[k] + n[k]], axis=1)
+        np.matmul(np.ones(n[k], dtype=rows.dtype), own, out=out[:, k])
+    for step in range(1, int(n[many]) if many < len(n) else 0):
+        go_on = int(np.searchsorted(-n, -step, side="left"))  # stretches of more than step rows
+        out[:, many:go_on] += rows.take(order[begins[many:go_on] + step], axis=1)
+    return out
+
+
 @dataclass
 class Network:
     """Weights, all in one vector, so that tasks can average them."""
@@ -115,132 +148,204 @@ class Network:
         self.parts = self.split(self.vector)
 
     def _space(self, name: str, *shape: int) -> np.ndarray:
-        size = int(np.prod(shape))
+        size = math.prod(shape)
         if name not in self.room or len(self.room[name]) < size:
             self.room[name] = np.empty(size, dtype=self.vector.dtype)
         return self.room[name][:size].reshape(shape)
 
-    def forward(self, inputs: np.ndarray, state: np.ndarray, kept: list | None = None, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """States after each of T inputs (T x B), from a state (B x HIDDEN), and the last one; keep (T x B) is 0 where a document begins. The states lie in memory that the next call uses again.
+    def gates(self, words: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """What every input, or each of some, adds to the gates (3 x words x HIDDEN, with their bias) and the weights of the state (3 x HIDDEN x HIDDEN). Two gates are negated and the third is doubled, as their functions take them by way of exp."""
+        p = self.parts
+        signs = np.array([-1, -1, 2], dtype=self.vector.dtype)[:, None, None]
+        w, u = (np.ascontiguousarray(p[k].reshape(-1, 3, HIDDEN).transpose(1, 0, 2)) * signs for k in "wu")
+        embed = p["embed"] if words is None else p["embed"][words]
+        table = np.matmul(embed, w, out=self._space("table", 3, len(embed), HIDDEN))
+        table += p["b"].reshape(3, 1, HIDDEN) * signs
+        return table, u
 
-        Inside, gates lie above each other (3 * HIDDEN x B), so that each of them is one stretch of memory.
+    def forward(self, inputs: np.ndarray, state: np.ndarray, kept: list | None = None, keep: np.ndarray | None = None, gates: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """States after each of T inputs (T x B), from a state (B x HIDDEN), and the last one; keep (T x B) is 0 where a document begins; gates() of the present weights may be given. The states lie in memory that the next call uses again.
+
+        Inside, gates lie behind each other (3 x B x HIDDEN), so that each of them is one stretch of memory.
         """
-        p = self.parts
-        w, u, bias = np.ascontiguousarray(p["w"].T), np.ascontiguousarray(p["u"].T), p["b"][:, None]
+        table, u = gates or self.gates()
         steps, wide = inputs.shape
         out = self._space("out", steps, wide, HIDDEN)
-        every_a, every_g, states = (self._space(k, steps if kept is not None else 1, n * HIDDEN, wide) for k, n in (("a", 3), ("g", 3), ("states", 1)))
-        state = np.ascontiguousarray(state.T)
-        for t in range(steps):
-            at = t if kept is not None else 0
-            if keep is not None:
-                state = np.multiply(state, keep[t], out=states[at])
-            a = np.matmul(w, p["embed"][inputs[t]].T, out=every_a[at])
-            a += bias
-            g = np.matmul(u, state, out=every_g[at])
-            gn = g[2 * HIDDEN :]
-            zr = a[: 2 * HIDDEN]
-            zr += g[: 2 * HIDDEN]
-            zr *= 0.5  # the logistic function by way of tanh
-            np.tanh(zr, out=zr)
-            zr *= 0.5
-            zr += 0.5
-            z, r, n = zr[:HIDDEN], zr[HIDDEN:], a[2 * HIDDEN :]
-            n += r * gn
-            np.tanh(n, out=n)
-            if kept is not None:
-                kept.append((state, z, r, n, gn))
-            state = state - n
-            state *= z
-            state += n
-            out[t] = state.T
-        return out, np.ascontiguousarray(state.T)
+        held = steps if kept is not None else 1
+        every_a, every_g, states = self._space("a", held, 3, wide, HIDDEN), self._space("g", held, 3, wide, HIDDEN), self._space("states", held, wide, HIDDEN)
+        part = self._space("part", wide, HIDDEN)
+        anew = _anew(keep) if keep is not None else {}
+        with np.errstate(over="ignore"):  # a gate that is shut has 1 / infinity
+            for t in range(steps):
+                at = t if kept is not None else 0
+                if kept is not None or t in anew:
+                    states[at] = state
+                    state = states[at]
+                if t in anew:
+                    state[anew[t]] = 0
+                a = table.take(inputs[t], axis=1, out=every_a[at], mode="clip")
+                g = np.matmul(state, u, out=every_g[at])
+                zr = a[:2]
+                zr += g[:2]
+                np.exp(zr, out=zr)
+                zr += 1
+                np.divide(1, zr, out=zr)
+                z, r, n, gn = zr[0], zr[1], a[2], g[2]
+                n += np.multiply(r, gn, out=part)
+                np.exp(n, out=n)
+                n += 1
+                np.divide(-2, n, out=n)
+                n += 1
+                if kept is not None:
+                    kept.append((state, z, r, n, gn))
+                after = np.subtract(state, n, out=out[t])
+                after *= z
+                after += n
+                state = after
+        return out, state.copy()
 
     def log_probs(self, states: np.ndarray, targets: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """ln P of each target after each state (rows); with grads, also adds gradients of the sum of -ln P and returns those of the states."""
+        """ln P of each target after each state (rows); with grads, also adds gradients of the sum of -ln P and returns those of the states.
+
+        Rows are taken in the order of their targets, so that those of a class are one stretch.
+        """
         p = self.parts
-        of = targets // PER_CLASS
-        rows = np.arange(len(targets))
-        ones = np.ones(PER_CLASS, dtype=states.dtype)
-        e = np.matmul(states, p["class_w"], out=self._space("e", len(states), CLASSES))
-        e += p["class_b"]
-        np.minimum(e, HIGHEST, out=e)
-        own_class = e[rows, of]
+        if not len(targets):
+            return np.zeros(0, dtype=states.dtype), None if grads is None else np.zeros_like(states)
+        size = len(targets)
+        order = np.argsort(targets.astype(np.uint16), kind="stable")
+        y = targets[order].astype(np.int64)
+        of, own = y // PER_CLASS, y % PER_CLASS
+        there = states.take(order, axis=0, out=self._space("there", size, HIDDEN), mode="clip")
+        top = max(float(there.max()), -float(there.min()))
+        edges = np.searchsorted(of, np.arange(CLASSES + 1)).tolist()
+        classes = [(c, slice(edges[c], edges[c + 1])) for c in range(CLASSES) if edges[c] < edges[c + 1]]
+        e, total, at = self._space("e", size, PER_CLASS), np.empty(size, dtype=states.dtype), np.arange(size) * PER_CLASS
+        scaled, more = (self._space(k, size, HIDDEN) for k in ("scaled", "more"))
+        back = self._space("back", size, HIDDEN)
+        ln = 0
+
+        def low(w: np.ndarray, b: np.ndarray) -> bool:  # no score can come near HIGHEST
+            return top * float(np.abs(w).sum(axis=-2).max()) + float(np.abs(b).max()) < HIGHEST
+
+        def shares() -> np.ndarray:  # what each row's e has to be divided by
+            inverse = 1 / total
+            np.multiply(there, inverse[:, None], out=scaled)
+            return inverse
+
+        # first the class, then the word within it: e * weights / total are the probabilities
+        w, b = p["class_w"], p["class_b"]
+        np.matmul(there, w, out=e)
+        weights = np.exp(b)
+        if not low(w, b):
+            e += b
+            np.minimum(e, HIGHEST, out=e)
+            weights, b = np.ones_like(b), np.zeros_like(b)
+        ln = e.ravel().take(at + of) + b[of]
         np.exp(e, out=e)
-        total = e @ ones[:CLASSES]
-        out = own_class - np.log(total)
-        back = None
+        np.matmul(e, weights, out=total)
+        ln -= np.log(total)
         if grads is not None:
-            e *= (1 / total)[:, None]
-            e[rows, of] -= 1
-            grads["class_w"] += states.T @ e
-            grads["class_b"] += e.sum(axis=0)
-            back = e @ p["class_w"].T
-        order = np.argsort(of, kind="stable")
-        edges = np.searchsorted(of[order], np.arange(CLASSES + 1))
-        for c in np.flatnonzero(np.diff(edges)):
-            mine = order[edges[c] : edges[c + 1]]
-            own = targets[mine] % PER_CLASS
-            k = rows[: len(mine)]
-            there = states[mine]
-            e = np.matmul(there, p["word_w"][c], out=self._space("e", len(there), PER_CLASS))
-            e += p["word_b"][c]
+            inverse = shares()
+            grads["class_w"] += (scaled.T @ e) * weights
+            grads["class_b"] += (inverse @ e) * weights
+            np.matmul(e, (w * weights).T, out=back)
+            back *= inverse[:, None]
+        w, b = p["word_w"], p["word_b"]
+        for c, mine in classes:
+            np.matmul(there[mine], w[c], out=e[mine])
+        weights = np.exp(b)
+        if not low(w, b):
+            e += b[of]
             np.minimum(e, HIGHEST, out=e)
-            own_word = e[k, own]
-            np.exp(e, out=e)
-            total = e @ ones
-            out[mine] += own_word - np.log(total)
-            if grads is not None:
-                e *= (1 / total)[:, None]
-                e[k, own] -= 1
-                grads["word_w"][c] += there.T @ e
-                grads["word_b"][c] += e.sum(axis=0)
-                back[mine] += e @ p["word_w"][c].T
-        return out, back
+            weights, b = np.ones_like(b), np.zeros_like(b)
+        ln += e.ravel().take(at + own)
+        ln += b.ravel().take(y)
+        np.exp(e, out=e)
+        for c, mine in classes:
+            np.matmul(e[mine], weights[c], out=total[mine])
+        ln -= np.log(total)
+        out = np.empty_like(ln)
+        out[order] = ln
+        if grads is None:
+            return out, None
+        inverse = shares()
+        d_w, d_b = np.zeros_like(w), np.zeros_like(b)
+        weighed = np.ascontiguousarray((w * weights[:, None]).transpose(0, 2, 1))
+        for c, mine in classes:
+            held = e[mine]
+            np.matmul(scaled[mine].T, held, out=d_w[c])
+            np.matmul(inverse[mine], held, out=d_b[c])
+            np.matmul(held, weighed[c], out=more[mine])
+        d_w *= weights[:, None]
+        d_b *= weights
+        grads["word_w"] += d_w
+        grads["word_b"] += d_b
+        more *= inverse[:, None]
+        back += more
+        heads, n = _stretches(y)  # what the targets themselves add, one row for each that occurs
+        (sums,) = _sums(there[None], heads, n)
+        c, word = of[heads], own[heads]
+        grads["word_w"][c, :, word] -= sums
+        grads["word_b"][c, word] -= n
+        one = (np.arange(CLASSES)[:, None] == c).astype(sums.dtype)
+        grads["class_w"] -= (one @ sums).T
+        grads["class_b"] -= one @ n.astype(sums.dtype)
+        towards = p["class_w"].T[c] + p["word_w"][c, :, word]
+        number = np.argsort(heads, kind="stable")
+        back -= towards.take(np.repeat(number, n[number]), axis=0, out=more, mode="clip")
+        given = self._space("given", size, HIDDEN)
+        given[order] = back
+        return out, given
 
     def gradients(self, x: np.ndarray, y: np.ndarray, state: np.ndarray, keep: np.ndarray, flat: np.ndarray) -> tuple[float, np.ndarray]:
         """Adds the gradients of the sum of -ln P of the targets of a window to flat; returns that sum and the last state."""
         p, grads = self.parts, self.split(flat)
         kept: list = []
-        states, last = self.forward(x, state, kept, keep)
+        order = np.argsort(x.ravel().astype(np.uint16), kind="stable")
+        words = x.ravel()[order]
+        heads, times = _stretches(words)
+        words = words[heads]
+        number = np.empty(x.size, dtype=np.int64)
+        by_place = np.argsort(heads)
+        number[order] = np.repeat(by_place, times[by_place])
+        states, last = self.forward(number.reshape(x.shape), state, kept, keep, self.gates(words))
         ln, back = self.log_probs(states.reshape(-1, HIDDEN), y.ravel(), grads)
         back = back.reshape(*y.shape, HIDDEN)
-        carried = np.zeros_like(state.T)
-        d_a = self._space("d_a", *x.shape, 3 * HIDDEN)
-        one = self._space("one", 3 * HIDDEN, x.shape[1])
-        u = np.ascontiguousarray(p["u"])
+        d_a = self._space("d_a", 4, *x.shape, HIDDEN)  # of the new state's share of the state before, of both gates, of the new state
+        rest, three = self._space("rest", x.shape[1], HIDDEN), self._space("three", 3, x.shape[1], HIDDEN)
+        u = np.ascontiguousarray(p["u"].reshape(HIDDEN, 3, HIDDEN).transpose(1, 2, 0)[[2, 0, 1]])
+        carried, anew = np.zeros_like(state), _anew(keep)
         for t in range(len(x) - 1, -1, -1):
-            h, z, r, n, gn = kept[t]
-            d = carried + back[t].T
-            d_z, d_r, d_n = one[:HIDDEN], one[HIDDEN : 2 * HIDDEN], one[2 * HIDDEN :]
-            rest = 1 - z
-            np.subtract(h, n, out=d_z)
-            d_z *= z
+            h, z, r, n, gn = kept[t]  # gn is doubled
+            d = carried
+            d += back[t]
+            through, d_z, d_r, d_n = d_a[:, t]
+            np.subtract(1, z, out=rest)
+            rest *= d
             np.multiply(n, n, out=d_n)
             np.subtract(1, d_n, out=d_n)
             d_n *= rest
-            d_n *= d
-            rest *= d
+            np.subtract(h, n, out=d_z)
+            d_z *= z
             d_z *= rest
+            np.multiply(d_n, r, out=through)
             np.subtract(1, r, out=d_r)
-            d_r *= r
+            d_r *= 0.5
             d_r *= gn
-            d_r *= d_n
-            d_a[t] = one.T
-            d_n *= r
-            grads["u"] += h @ one.T
-            carried = u @ one
+            d_r *= through
             d *= z
-            carried += d
-            carried *= keep[t]
-        flat_a = d_a.reshape(-1, 3 * HIDDEN)
-        grads["b"] += flat_a.sum(axis=0)
-        grads["w"] += p["embed"][x.ravel()].T @ flat_a
-        d_e = flat_a @ p["w"].T
-        order = np.argsort(x.ravel(), kind="stable")
-        words = x.ravel()[order]
-        heads = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
-        grads["embed"][words[heads]] += np.add.reduceat(d_e[order], heads, axis=0)
+            for more in np.matmul(d_a[:3, t], u, out=three):
+                d += more
+            if t in anew:
+                d[anew[t]] = 0
+        before = self._space("states", *x.shape, HIDDEN).reshape(-1, HIDDEN)  # as forward left them
+        d_a = d_a.reshape(4, -1, HIDDEN)
+        grads["u"] += np.matmul(before.T, d_a[:3])[[1, 2, 0]].transpose(1, 0, 2).reshape(HIDDEN, -1)
+        sums = _sums(d_a[1:], heads, times, order).transpose(1, 0, 2).reshape(len(words), -1)
+        grads["b"] += sums.sum(axis=0)
+        grads["w"] += p["embed"][words].T @ sums
+        grads["embed"][words] += sums @ p["w"].T
         return -float(ln.sum()), last
 
     def train(self, documents: list[tuple[np.ndarray, np.ndarray]], rate: float = RATES[0]) -> int:
@@ -292,25 +397,42 @@ class Model:
     types: int
     rest: float  # ln of the mass that words outside the vocabulary have by the counts
     network: Network
+    looked_up: dict[bytes, int] | None = None  # see packed
+
+    def __getstate__(self):
+        return self.__dict__ | {"looked_up": None}
 
     @property
     def norm(self) -> float:
         return self.train_tokens + ALPHA * (self.types + 1)
 
     def packed(self) -> dict[bytes, int]:
-        """Count and number of every held word in one integer, so that a word is looked up once."""
-        return {b"": END} | {w: c << 12 | self.numbers.get(w, RARE) for w, c in self.counts.items()}
+        """Count and number as an input of every held word in one integer, so that a word is looked up once; worked out once in a process."""
+        if self.looked_up is None:
+            self.looked_up = {b"": END} | {w: c << 13 | (self.numbers[w] if w in self.numbers else _ending(w)) for w, c in self.counts.items()}
+        return self.looked_up
 
-    def encode(self, words: list[bytes], packed: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(inputs, targets, counts): each word but the last is an input of the next; the first input is the end of what was before."""
-        get = packed.get
-        found = np.array([get(w, RARE) for w in words], dtype=np.int64)
-        targets = found & 4095
-        seen = targets.copy()
-        rare = np.flatnonzero(targets == RARE)
-        if len(rare):
-            seen[rare] = [VOCABULARY + (w[-1] * 31 + (w[-2] if len(w) > 1 else 7)) % ENDINGS for w in [words[i] for i in rare.tolist()]]
-        return np.concatenate([[END], seen[:-1]]), targets, found >> 12
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(inputs, counts): what each word is as an input of the next one (uint16), and its count, 0 where it isn't held."""
+        found = np.fromiter(map(self.packed().get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        other = np.flatnonzero(found < 0)
+        if len(other):
+            found[other] = [_ending(words[i]) for i in other.tolist()]
+        return (found & 8191).astype(np.uint16), found >> 13
+
+
+def _pair(seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(inputs, targets) of a document: each word but the last is an input of the next; the first input is the end of what was before."""
+    inputs = np.empty(len(seen), dtype=np.int32)
+    inputs[0], inputs[1:] = END, seen[:-1]
+    targets = seen.astype(np.int32)
+    targets[seen >= VOCABULARY] = RARE
+    return inputs, targets
+
+
+def _ending(word: bytes) -> int:
+    """The input that stands for a word outside the network's vocabulary."""
+    return VOCABULARY + (word[-1] * 31 + (word[-2] if len(word) > 1 else 7)) % ENDINGS
 
 
 def _vocabulary(counts: dict[bytes, int]) -> dict[bytes, int]:
@@ -320,8 +442,20 @@ def _vocabulary(counts: dict[bytes, int]) -> dict[bytes, int]:
 
 def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[Model, DataFrame]:
     """(model, written table of all token counts). train holds the documents that may be learned from: all their whole texts are counted and trained on."""
-    texts = train.select(F.col(id_col).alias("id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("text"))
-    counts = staged(token_counts(texts.select("text")), "counts")
+    model, counts = _counted(train, text_col)
+    return _trained(staged(_encoded(train, model, id_col, text_col).select("words", "at"), "encoded"), model), counts
+
+
+def fit_and_score(docs: DataFrame, learned, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """score of docs by what fit learns from those where learned (a column) is true; texts are taken apart once for both."""
+    model, counts = _counted(docs.where(learned), text_col)
+    encoded = staged(_encoded(docs, model, id_col, text_col, learned), "encoded")
+    return _scored(encoded, _trained(encoded.where("learned"), model), counts, id_col)
+
+
+def _counted(train: DataFrame, text_col: str) -> tuple[Model, DataFrame]:
+    """(model with a network that hasn't learned yet, written table of all token counts)."""
+    counts = staged(token_counts(train.select(F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))), "counts")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     steps = sorted((r["step"], r["n"]) for r in counts.groupBy(F.floor(F.log2("c") * 8).cast("int").alias("step")).agg(F.count("*").alias("n")).collect())
     least, held = 0, total[1]
@@ -335,39 +469,76 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tup
     model = Model(known, numbers, int(total[0]), int(total[1]), 0.0, Network.fresh())
     inside = sum((known.get(w, 0) + ALPHA) / model.norm for w in numbers)
     model.rest = float(np.log(max(1 - inside, 1e-12)))
-    documents = texts.select("text", F.xxhash64("id", "text").alias("at"))
+    return model, counts
+
+
+def _encoded(docs: DataFrame, model: Model, id_col: str, text_col: str, learned=None) -> DataFrame:
+    """(id, row, at, learned, n_tokens, n_known, base, words, tail) of every text: its words as inputs of the network (uint16), what the counts say of them, and the words that model doesn't hold, which counts have to price."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most HEAD counts and a network of fixed size
+    kind = dict(docs.dtypes)[id_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: Model = sent.value
+        whole, number = len(own.counts) == own.types, TaskContext.get().partitionId() << 36
+        log_norm = np.log(own.norm)
+        for part in slices(batches, "text"):
+            words: list[bytes] = []
+            ends = [0]
+            for text in part.column("text").to_pylist():
+                words += tokens_of(text)
+                ends.append(len(words))
+            seen, c = own.encode(words)
+            starts = np.array(ends[:-1])
+            base = np.log(c + ALPHA) - log_norm
+            tails: list[list] = [[] for _ in starts]
+            if not whole:
+                other = np.flatnonzero(c == 0)
+                base[other] = 0.0  # priced by counts
+                cuts = np.searchsorted(other, ends).tolist()
+                other = other.tolist()
+                tails = [list(Counter([words[i] for i in other[a:b]]).items()) for a, b in zip(cuts, cuts[1:])]
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, tails)]).astype(np.int32)), pa.StructArray.from_arrays([pa.array([x for t in tails for x, _ in t], pa.binary()), pa.array([n for t in tails for _, n in t], pa.int64())], names=["token", "n"]))
+            packed = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer((np.array(ends) * 2).astype(np.int32)), pa.py_buffer(seen)])
+            columns = [part.column("id"), pa.array(np.arange(number, number + len(starts))), part.column("at"), part.column("learned"), pa.array(np.diff(ends)), pa.array(np.add.reduceat(c > 0, starts, dtype=np.int64)), pa.array(np.add.reduceat(base, starts)), packed, lists]
+            number += len(starts)
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "row", "at", "learned", "n_tokens", "n_known", "base", "words", "tail"])
+
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), (F.lit(True) if learned is None else learned).alias("learned"))
+    return texts.withColumn("at", F.xxhash64("id", "text")).mapInArrow(run, f"id {kind}, row long, at long, learned boolean, n_tokens long, n_known long, base double, words binary, tail array<struct<token:binary,n:long>>")
+
+
+def _trained(documents: DataFrame, model: Model) -> Model:
+    """model with the network that the rounds over documents (words, at) leave."""
     begin = 0.0
     for end, rate in zip(ROUNDS, RATES, strict=True):
         place = F.shiftrightunsigned("at", 33)  # 31 bits say which round, the others which shard
         mine = documents.where((place >= int(begin * 2**31)) & (place < int(end * 2**31)))
-        model.network = _round(mine, model, rate, max(1, round(model.train_tokens * (end - begin))))
+        model.network = _round(mine, model.network, rate, max(1, round(model.train_tokens * (end - begin))))
         begin = end
-    return model, counts
+    return model
 
 
-def _round(documents: DataFrame, model: Model, rate: float, tokens: int) -> Network:
-    """The network after one round over documents (text, at), about so many tokens: shards train side by side from model's weights."""
-    spark = documents.sparkSession
-    sent = spark.sparkContext.broadcast(model)
+def _round(documents: DataFrame, network: Network, rate: float, tokens: int) -> Network:
+    """The network after one round over documents (words, at), about so many tokens: shards train side by side from network's weights."""
+    sent = documents.sparkSession.sparkContext.broadcast(network.vector)
     shards = min(-(-tokens // SHARD), MOST_SHARDS)
 
     def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base: Model = sent.value
-        packed, now, own, done, waiting, size = base.packed(), None, None, 0, [], 0
+        now, own, done, waiting, size = None, None, 0, [], 0
 
         def result() -> pa.RecordBatch:
             return pa.RecordBatch.from_pydict({"shard": pa.array([now], pa.int64()), "tokens": pa.array([done], pa.int64()), "weights": pa.array([own.vector.tobytes()], pa.binary())})
 
-        for part in slices(batches, "text"):
-            for shard, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+        for part in slices(batches, "words"):
+            for shard, words in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 if shard != now or size >= LAID_OUT:
                     done += own.train(waiting, rate) if waiting else 0
                     waiting, size = [], 0
                 if shard != now:
                     if own is not None:
                         yield result()
-                    now, own, done = shard, Network(base.network.vector.copy()), 0
-                waiting.append(base.encode(tokens_of(text), packed)[:2])
+                    now, own, done = shard, Network(sent.value.copy()), 0
+                waiting.append(_pair(np.frombuffer(words, dtype=np.uint16)))
                 size += len(waiting[-1][0])
         if own is not None:
             done += own.train(waiting, rate)
@@ -376,20 +547,20 @@ def _round(documents: DataFrame, model: Model, rate: float, tokens: int) -> Netw
     def mean(rows: pa.Table) -> pa.Table:
         order = np.argsort(rows.column("shard").to_numpy(), kind="stable").tolist()
         tokens_ = rows.column("tokens").to_pylist()
-        total = np.zeros(len(sent.value.network.vector))
+        total = np.zeros(len(sent.value))
         for i in order:
             total += tokens_[i] * np.frombuffer(rows.column("weights")[i].as_buffer(), dtype=np.float32)
         return pa.table({"shard": pa.array([rows.column("shard")[0].as_py() // AVERAGED], pa.int64()), "tokens": pa.array([sum(tokens_)], pa.int64()), "weights": pa.array([(total / sum(tokens_)).astype(np.float32).tobytes()], pa.binary())})
 
     shape = "shard long, tokens long, weights binary"
-    dealt = documents.select(F.pmod("at", F.lit(shards)).alias("shard"), "text", "at")
-    trained = dealt.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "at").select("shard", "text").mapInArrow(refine, shape)
+    dealt = documents.select(F.pmod("at", F.lit(shards)).alias("shard"), "words", "at")
+    trained = dealt.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "at").select("shard", "words").mapInArrow(refine, shape)
     trained = staged(trained, "trained")
     while shards > 1:
         trained = trained.groupBy(F.floor(F.col("shard") / AVERAGED).alias("group")).applyInArrow(mean, shape)
         shards = -(-shards // AVERAGED)
     found = trained.collect()
-    return Network(np.frombuffer(bytes(found[0]["weights"]), dtype=np.float32).copy()) if found else model.network
+    return Network(np.frombuffer(bytes(found[0]["weights"]), dtype=np.float32).copy()) if found else network
 
 
 def _window_scores(net: Network, inputs: list[np.ndarray], targets: list[np.ndarray]) -> np.ndarray:
@@ -399,6 +570,14 @@ def _window_scores(net: Network, inputs: list[np.ndarray], targets: list[np.ndar
     begins = np.cumsum(sizes) - sizes
     flat_x, flat_y = np.concatenate(inputs), np.concatenate(targets)
     out = np.empty(len(flat_x), dtype=np.float32)
+    gates = net.gates()
+    held, places, size = np.empty((COLLECTED + ABREAST * SCORED, HIDDEN), dtype=np.float32), [], 0
+
+    def flush():
+        where = np.concatenate(places)
+        out[where] = net.log_probs(held[: len(where)], flat_y[where])[0]
+        places.clear()
+
     for first in range(0, len(longest), ABREAST):
         order = longest[first : first + ABREAST]
         begin, lengths = begins[order], sizes[order]
@@ -408,9 +587,16 @@ def _window_scores(net: Network, inputs: list[np.ndarray], targets: list[np.ndar
             steps = np.arange(at, min(at + SCORED, int(lengths[0])))[:, None]
             there = steps < lengths[:n]
             where = np.where(there, begin[:n] + steps, 0)
-            states, last = net.forward(flat_x[where], state[:n])
-            out[where[there]] = net.log_probs(states[there], flat_y[where[there]])[0]
-            state = last
+            states, state = net.forward(flat_x[where], state[:n], gates=gates)
+            rows = np.flatnonzero(there)
+            places.append(where.ravel()[rows])
+            states.reshape(-1, HIDDEN).take(rows, axis=0, out=held[size : size + len(rows)], mode="clip")
+            size += len(rows)
+            if size >= COLLECTED:
+                flush()
+                size = 0
+    if places:
+        flush()
     return out
 
 
@@ -421,60 +607,59 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_i
     scored each; an empty table gives an empty result; other columns are ignored whatever their
     names. With nothing to learn from, every token has the mass of an unseen word.
     """
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)  # at most HEAD counts and a network of fixed size
-    kind = dict(docs.dtypes)[id_col]
+    return _scored(staged(_encoded(docs, model, id_col, text_col), "encoded"), model, counts, id_col)
+
+
+def _scored(encoded: DataFrame, model: Model, counts: DataFrame, id_col: str) -> DataFrame:
+    """score of a written table that _encoded made."""
+    kind = dict(encoded.dtypes)["id"]
+    known = np.zeros(VOCABULARY)
+    for w, n in model.numbers.items():
+        known[n] = model.counts.get(w, 0)
+    by_counts = np.log(known + ALPHA) - np.log(model.norm)
+    by_counts[RARE] = model.rest  # a rare word shares the network's probability by its share of the counts
+    sent = encoded.sparkSession.sparkContext.broadcast((model.network.vector, by_counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Model = sent.value
-        whole, packed = len(own.counts) == own.types, own.packed()
-        number = TaskContext.get().partitionId() << 36
-        log_norm = np.log(own.norm)
-        unseen = np.log(ALPHA) - log_norm
+        network, by_counts = Network(sent.value[0]), sent.value[1]
         waiting: dict[bool, list[tuple]] = {False: [], True: []}  # short and long documents, so that those which run side by side are alike
+        kind_, held = None, {False: 0, True: 0}
 
         def flush(some: list[tuple]) -> pa.RecordBatch:
-            doc_ids, numbers, inputs, targets, counts_, tails = zip(*some, strict=True)
-            ln = _window_scores(own.network, inputs, targets).astype(np.float64)
-            flat, c = np.concatenate(targets), np.concatenate(counts_).astype(np.float64)
-            base = np.log(c + ALPHA) - log_norm
-            mixed = np.where(flat == RARE, np.log(MIXED * np.exp(ln - own.rest) + 1 - MIXED) + base, np.log(MIXED * np.exp(ln) + (1 - MIXED) * np.exp(base)))
-            sizes = np.array([len(t) for t in targets])
-            starts = np.cumsum(sizes) - sizes
-            lost = np.array([sum(n for _, n in t) for t in tails]) * unseen  # words outside the head are priced by the join instead
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(t) for t in tails])]).astype(np.int32)), pa.StructArray.from_arrays([pa.array([x for t in tails for x, _ in t], pa.binary()), pa.array([n for t in tails for _, n in t], pa.int64())], names=["token", "n"]))
-            columns = [pa.array(numbers, pa.int64()), pa.array(sizes), pa.array(np.add.reduceat(c > 0, starts, dtype=np.int64)), pa.array(np.add.reduceat(base, starts) - lost), pa.array(np.add.reduceat(mixed, starts) - lost), lists]
+            doc_ids, numbers, sizes, seen_known, base, words = zip(*some, strict=True)
+            inputs, targets = zip(*[_pair(np.frombuffer(w, dtype=np.uint16)) for w in words], strict=True)
+            # the network's and the counts' probabilities are mixed, as a multiple of the counts'
+            ln = _window_scores(network, inputs, targets) - by_counts[np.concatenate(targets)]
+            np.exp(ln, out=ln)
+            ln *= MIXED
+            ln += 1 - MIXED
+            np.log(ln, out=ln)
+            own = np.add.reduceat(ln, np.cumsum(sizes) - sizes) + base
             some.clear()
-            return pa.RecordBatch.from_arrays([pa.array(doc_ids, kind_), *columns], names=["id", "row", "n_tokens", "n_known", "base", "own", "tail"])
+            return pa.RecordBatch.from_arrays([pa.array(doc_ids, kind_), pa.array(numbers, pa.int64()), pa.array(sizes, pa.int64()), pa.array(seen_known, pa.int64()), pa.array(base, pa.float64()), pa.array(own)], names=["id", "row", "n_tokens", "n_known", "base", "own"])
 
-        kind_, held = None, {False: 0, True: 0}
-        for part in slices(batches, "text"):
+        for part in slices(batches, "words"):
             kind_ = part.schema.field(0).type
-            for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                words = tokens_of(text)
-                inputs, targets, c = own.encode(words, packed)
-                tail = [] if whole else list(Counter([words[i] for i in np.flatnonzero(c == 0).tolist()]).items())
-                side = len(words) > LONG
-                waiting[side].append((doc_id, number, inputs.astype(np.int32), targets.astype(np.int32), c, tail))
-                number += 1
-                held[side] += len(words)
-                if held[side] > (HELD if side else HELD // 2):
+            for one in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                side = one[2] > LONG
+                waiting[side].append(one)
+                held[side] += one[2]
+                if held[side] > HELD:
                     yield flush(waiting[side])
                     held[side] = 0
         for some in waiting.values():
             if some:
                 yield flush(some)
 
-    texts = docs.select(F.col(id_col).alias("id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("text"))
-    first = texts.mapInArrow(run, f"id {kind}, row long, n_tokens long, n_known long, base double, own double, tail array<struct<token:binary,n:long>>")
+    first = encoded.select("id", "row", "n_tokens", "n_known", "base", "words").mapInArrow(run, f"id {kind}, row long, n_tokens long, n_known long, base double, own double")
     if len(model.counts) < model.types:
         first = staged(first, "scored")
-        tail = first.select("row", F.explode("tail").alias("t")).select("row", "t.token", "t.n").join(counts, "token", "left")
+        tail = encoded.select("row", F.explode("tail").alias("t")).select("row", "t.token", "t.n").join(counts, "token", "left")
         c = F.coalesce("c", F.lit(0))
         priced = tail.groupBy("row").agg(F.sum(F.col("n") * (F.log(c + ALPHA) - float(np.log(model.norm)))).alias("more"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("known"))
-        first = first.drop("tail").join(priced, "row", "left")
+        first = first.join(priced, "row", "left")
     else:
         first = first.withColumns({"more": F.lit(0.0), "known": F.lit(0)})
     ten = float(np.log(10))
-    more, known = F.coalesce("more", F.lit(0.0)), F.coalesce("known", F.lit(0))
-    return first.select(F.col("id").alias(id_col), "n_tokens", (F.col("n_known") + known).cast("long").alias("n_known"), F.lit(model.train_tokens).cast("long").alias("train_tokens"), ((F.col("base") + more) / ten).alias("base_score"), ((F.col("own") + more) / ten).alias("score"))
+    more, known_ = F.coalesce("more", F.lit(0.0)), F.coalesce("known", F.lit(0))
+    return first.select(F.col("id").alias(id_col), "n_tokens", (F.col("n_known") + known_).cast("long").alias("n_known"), F.lit(model.train_tokens).cast("long").alias("train_tokens"), ((F.col("base") + more) / ten).alias("base_score"), ((F.col("own") + more) / ten).alias("score"))

@@ -506,6 +506,40 @@ def test_network_gains_over_the_counts_on_held_out_documents(spark):
     assert r[0] > 0.6 * r[1]  # half of the bits or more would be gained by knowing both followers of each word
 
 
+@pytest.mark.parametrize("head", [250_000, 20])
+def test_texts_taken_apart_once_score_as_by_fit_and_score(spark, monkeypatch, head):
+    monkeypatch.setattr(recurrent, "HEAD", head)
+    frame = docs_of(spark, [(i, prose(i % 7, 60, 80)) for i in range(50)] + [(90, None), (91, ""), (92, "unseenword é ZZ zz zz"), (3, prose(1, 1700, 80))])
+    model, counts = recurrent.fit(frame.where(~recurrent.held_out()))
+    want = recurrent.score(frame, model, counts)
+    got = recurrent.fit_and_score(frame, ~recurrent.held_out())
+    assert got.columns == want.columns
+    rows = [sorted(map(tuple, x.collect())) for x in (got, want)]
+    assert [r[:4] for r in rows[0]] == [r[:4] for r in rows[1]]
+    assert np.allclose([r[4:] for r in rows[0]], [r[4:] for r in rows[1]], rtol=1e-6)
+
+
+def test_stretches_are_summed_and_high_scores_are_cut():
+    rng = np.random.default_rng(4)
+    values = np.sort(np.concatenate([rng.integers(0, 60, 300), np.full(90, 7), [61]]))
+    rows, order = rng.normal(size=(3, len(values), 5)), rng.permutation(len(values))
+    heads, n = recurrent._stretches(values)
+    assert n.sum() == len(values) and n[0] > recurrent.MANY > n[-1]
+    for k, v in enumerate(values[heads]):
+        assert np.allclose(recurrent._sums(rows, heads, n, order)[:, k], rows[:, order[values == v]].sum(axis=1))
+    net = recurrent.Network(recurrent.Network.fresh(6).vector.astype(np.float64))
+    net.parts["class_w"] *= 40
+    net.parts["word_w"] *= 40
+    p, states, y = net.parts, rng.uniform(-1, 1, (50, recurrent.HIDDEN)), rng.integers(0, recurrent.VOCABULARY, 50)
+    want = []
+    for h, t in zip(states, y, strict=True):
+        c, k = divmod(int(t), recurrent.PER_CLASS)
+        for e, own in ((h @ p["class_w"] + p["class_b"], c), (h @ p["word_w"][c] + p["word_b"][c], k)):
+            e = np.minimum(e, recurrent.HIGHEST)
+            want.append(e[own] - np.log(np.exp(e).sum()))
+    assert np.allclose(net.log_probs(states, y)[0], np.reshape(want, (-1, 2)).sum(axis=1))
+
+
 def test_nothing_to_learn_from(spark):
     frame = docs_of(spark, [(1, "a b")])
     model, counts = recurrent.fit(frame.limit(0))
