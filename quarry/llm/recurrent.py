@@ -14,7 +14,6 @@ of its whole text. The network is mixed with the counts, so that every word has
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import repeat
@@ -52,9 +51,15 @@ MIXED = 0.9
 HEAD = 250_000
 
 
-def tokens_of(text: bytes | None) -> list[bytes]:
-    """Lower-cased (A-Z) words and one end, which is written as the empty word."""
-    return [*(text or b"").lower().split(), b""]
+def tokens_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(lower-cased (A-Z) words of binary texts end to end, where the words of each text begin and the last ones end); each text has one more token, its end."""
+    texts = pa.concat_arrays([texts]) if texts.offset else texts
+    split = pa.compute.ascii_split_whitespace(pa.compute.ascii_lower(pa.Array.from_buffers(pa.string(), len(texts), texts.buffers())))
+    words, cuts = split.flatten(), split.offsets.to_numpy()
+    there = np.concatenate([[0], np.cumsum(pa.compute.binary_length(words).to_numpy() > 0)])  # blanks at the ends of a text leave empty words
+    if there[-1] < len(words):
+        words = words.filter(pa.compute.not_equal(words, ""))
+    return words.cast(pa.binary()), there[cuts]
 
 
 def held_out(id_col: str = "doc_id"):
@@ -66,20 +71,25 @@ def token_counts(texts: DataFrame) -> DataFrame:
     """(token binary, c) over all texts (one binary column); partial counts are made before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        held, size, ends = [], 0, 0
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["token", "c"])
-            seen.clear()
-            return out
-
-        for part in slices(batches, "text"):
-            for text in part.column(0).to_pylist():
-                seen.update(tokens_of(text))
-            if len(seen) > 200_000:
+            found = pa.compute.value_counts(pa.chunked_array(held, pa.binary()))
+            held.clear()
+            return pa.RecordBatch.from_arrays(found.flatten(), names=["token", "c"])
+
+        for part in slices(batches, "text", 8 << 20):
+            words, _ = tokens_of(part.column(0))
+            held.append(words)
+            ends += len(part)
+            size += words.nbytes
+            if size > 64 << 20:
                 yield flush()
-        if seen:
+                size = 0
+        if held:
             yield flush()
+        if ends:
+            yield pa.RecordBatch.from_arrays([pa.array([b""], pa.binary()), pa.array([ends], pa.int64())], names=["token", "c"])
 
     return texts.mapInArrow(run, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
@@ -397,7 +407,7 @@ class Model:
     types: int
     rest: float  # ln of the mass that words outside the vocabulary have by the counts
     network: Network
-    looked_up: dict[bytes, int] | None = None  # see packed
+    looked_up: tuple | None = None  # see tables
 
     def __getstate__(self):
         return self.__dict__ | {"looked_up": None}
@@ -406,19 +416,23 @@ class Model:
     def norm(self) -> float:
         return self.train_tokens + ALPHA * (self.types + 1)
 
-    def packed(self) -> dict[bytes, int]:
-        """Count and number as an input of every held word in one integer, so that a word is looked up once; worked out once in a process."""
+    def tables(self) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """(held words, what each is as an input of the network, their counts); worked out once in a process."""
         if self.looked_up is None:
-            self.looked_up = {b"": END} | {w: c << 13 | (self.numbers[w] if w in self.numbers else _ending(w)) for w, c in self.counts.items()}
+            words = [w for w in self.counts if w]
+            seen = np.fromiter((self.numbers[w] if w in self.numbers else _ending(w) for w in words), dtype=np.uint16, count=len(words))
+            self.looked_up = pa.array(words, pa.binary()), seen, np.fromiter(map(self.counts.__getitem__, words), dtype=np.int64, count=len(words))
         return self.looked_up
 
-    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(inputs, counts): what each word is as an input of the next one (uint16), and its count, 0 where it isn't held."""
-        found = np.fromiter(map(self.packed().get, words, repeat(-1)), dtype=np.int64, count=len(words))
-        other = np.flatnonzero(found < 0)
+        held, seen, counts = self.tables()
+        at = pa.compute.fill_null(pa.compute.index_in(words, value_set=held), len(held)).to_numpy()
+        inputs, c = np.append(seen, np.uint16(0))[at], np.append(counts, 0)[at]
+        other = np.flatnonzero(at == len(held))
         if len(other):
-            found[other] = [_ending(words[i]) for i in other.tolist()]
-        return (found & 8191).astype(np.uint16), found >> 13
+            inputs[other] = [_ending(w) for w in words.take(pa.array(other)).to_pylist()]
+        return inputs, c
 
 
 def _pair(seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -481,24 +495,23 @@ def _encoded(docs: DataFrame, model: Model, id_col: str, text_col: str, learned=
         own: Model = sent.value
         whole, number = len(own.counts) == own.types, TaskContext.get().partitionId() << 36
         log_norm = np.log(own.norm)
-        for part in slices(batches, "text"):
-            words: list[bytes] = []
-            ends = [0]
-            for text in part.column("text").to_pylist():
-                words += tokens_of(text)
-                ends.append(len(words))
-            seen, c = own.encode(words)
-            starts = np.array(ends[:-1])
+        for part in slices(batches, "text", 8 << 20):
+            words, cuts = tokens_of(part.column("text"))
+            ends = cuts + np.arange(len(cuts))  # with the end of each text
+            seen, c = np.full(ends[-1], END, dtype=np.uint16), np.full(ends[-1], own.counts.get(b"", 0), dtype=np.int64)
+            place = np.arange(len(words)) + np.repeat(np.arange(len(part)), np.diff(cuts))
+            seen[place], c[place] = own.encode(words)
+            starts = ends[:-1]
             base = np.log(c + ALPHA) - log_norm
-            tails: list[list] = [[] for _ in starts]
+            other = np.zeros(0, dtype=np.int64)
             if not whole:
                 other = np.flatnonzero(c == 0)
                 base[other] = 0.0  # priced by counts
-                cuts = np.searchsorted(other, ends).tolist()
-                other = other.tolist()
-                tails = [list(Counter([words[i] for i in other[a:b]]).items()) for a, b in zip(cuts, cuts[1:])]
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, tails)]).astype(np.int32)), pa.StructArray.from_arrays([pa.array([x for t in tails for x, _ in t], pa.binary()), pa.array([n for t in tails for _, n in t], pa.int64())], names=["token", "n"]))
-            packed = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer((np.array(ends) * 2).astype(np.int32)), pa.py_buffer(seen)])
+            at = np.searchsorted(place, other)
+            at[~np.isin(other, place)] = len(words)  # ends, where few texts are learned from
+            tails = pa.StructArray.from_arrays([pa.concat_arrays([words, pa.array([b""], pa.binary())]).take(pa.array(at)), pa.array(np.ones(len(other), dtype=np.int64))], names=["token", "n"])
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(other, ends).astype(np.int32)), tails)
+            packed = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer((ends * 2).astype(np.int32)), pa.py_buffer(seen)])
             columns = [part.column("id"), pa.array(np.arange(number, number + len(starts))), part.column("at"), part.column("learned"), pa.array(np.diff(ends)), pa.array(np.add.reduceat(c > 0, starts, dtype=np.int64)), pa.array(np.add.reduceat(base, starts)), packed, lists]
             number += len(starts)
             yield pa.RecordBatch.from_arrays(columns, names=["id", "row", "at", "learned", "n_tokens", "n_known", "base", "words", "tail"])
